@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import observability
+from tidemark.plans import clustering, content, observability, search, signals
 
-_PLANS = (observability,)
+_PLANS = (observability, content, signals, search, clustering)
 QUERIES = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
 ORACLES = {name: sql for plan in _PLANS for name, sql in plan.ORACLES.items()}
