@@ -89,16 +89,16 @@ def pelt(x: np.ndarray, least: int, penalty: float) -> list[int]:
     total = np.full(n + 1, np.inf)
     total[0] = -penalty
     last = np.zeros(n + 1, int)
-    open_ = [0]
+    until = {0: n + 1}  # the time from which a start can no longer be best: one shortest segment after it fell behind
     for t in range(least, n + 1):
-        starts = np.array([a for a in open_ if t - a >= least])
-        if len(starts):
-            found = total[starts] + cost(starts, t) + penalty
-            best = int(found.argmin())
-            total[t], last[t] = found[best], starts[best]
-            keep = set(starts[found - penalty <= total[t]].tolist())
-            open_ = [a for a in open_ if t - a < least or a in keep]
-        open_.append(t)
+        until = {a: x for a, x in until.items() if x > t}
+        starts = np.array([a for a in until if t - a >= least])
+        found = total[starts] + cost(starts, t) + penalty
+        best = int(found.argmin())
+        total[t], last[t] = found[best], starts[best]
+        for a in starts[found - penalty > total[t]].tolist():
+            until[a] = min(until[a], t + least)
+        until[t] = n + 1
     out, t = [], n
     while t > 0:
         t = int(last[t])
