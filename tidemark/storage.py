@@ -26,6 +26,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark._jvm.System.gc()  # Spark deletes the shuffle files of a finished write once its plan is collected
     out = spark.read.schema(df.schema).parquet(path)
     out._tidemark_path = path
     return out
