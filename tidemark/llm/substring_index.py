@@ -21,14 +21,15 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.llm.words import Spans, hashes_of, mix, rolling, slices
-from tidemark.storage import materialize
+from tidemark.llm.words import Spans, mix, rolling, slices, window_argmin, word_hashes
+from tidemark.storage import discard, materialize
 
 WINDOW = 20
 GRAM = 4
@@ -38,7 +39,6 @@ BATCHES = (0.125, 0.25)
 MAX_RUNS = 1
 
 _NULL_ID = -(2**63)
-_STEP = 200_000
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,11 +76,9 @@ def _anchors(hashes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
     if n <= 0:
         return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4)
     grams = rolling(hashes, GRAM)
-    view = np.lib.stride_tricks.sliding_window_view(grams, WINDOW - GRAM + 1)
-    least = np.concatenate([view[lo : lo + _STEP].argmin(axis=1) for lo in range(0, n, _STEP)])
     ends = np.repeat(starts + lengths, lengths)[:n]
     s = np.flatnonzero(np.arange(n) + WINDOW <= ends)
-    place = s + least[s]
+    place = window_argmin(grams, WINDOW - GRAM + 1)[s]
     new = np.ones(len(s), bool)
     new[1:] = (place[1:] != place[:-1]) | (s[1:] != s[:-1] + 1)
     first = np.flatnonzero(new)
@@ -89,19 +87,10 @@ def _anchors(hashes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
     return grams[at], np.searchsorted(starts + lengths, at, side="right"), at, s[first], s[last] if len(s) else s
 
 
-def _split(column: pa.Array) -> tuple[list[list[bytes]], np.ndarray]:
-    words = [t.split() for t in _texts(column)]
-    return words, np.array([len(w) for w in words], np.int64)
-
-
-def _joined(words: list[list[bytes]]) -> np.ndarray:
-    return hashes_of([w for doc in words for w in doc])
-
-
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
-        words, lengths = _split(b.column("blob"))
-        h, doc, at, _, _ = _anchors(_joined(words), lengths)
+        hashes, lengths = word_hashes(_texts(b.column("blob")))
+        h, doc, at, _, _ = _anchors(hashes, lengths)
         starts = np.cumsum(lengths) - lengths
         yield pa.RecordBatch.from_arrays(
             [
@@ -116,8 +105,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
-        words, lengths = _split(b.column("blob"))
-        hashes = _joined(words)
+        hashes, lengths = word_hashes(_texts(b.column("blob")))
         h, doc, at, first, last = _anchors(hashes, lengths)
         starts = np.cumsum(lengths) - lengths
         asked = b.column("at")
@@ -142,8 +130,8 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
-        words, lengths = _split(b.column("blob"))
-        digests = rolling(_joined(words), WINDOW)
+        hashes, lengths = word_hashes(_texts(b.column("blob")))
+        digests = rolling(hashes, WINDOW)
         starts = np.cumsum(lengths) - lengths
         asked = b.column("asked")
         doc = np.repeat(np.arange(len(lengths)), asked.value_lengths().to_numpy())
@@ -168,17 +156,15 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
-        words, _ = _split(b.column("blob"))
-        removed = b.column("removed").to_pylist()
         out = []
-        for doc, spans in zip(words, removed, strict=True):
-            drop = np.zeros(len(doc) + 1, np.int64)
-            for x in spans or ():
-                drop[x["start"]] += 1
-                drop[x["start"] + x["n"] + WINDOW - 1] -= 1
-            gone = np.cumsum(drop)[: len(doc)] > 0
-            kept = [w for w, g in zip(doc, gone.tolist(), strict=True) if not g] if spans else doc
-            out.append((len(doc), len(doc) - len(kept), b" ".join(kept)))
+        for text, spans in zip(_texts(b.column("blob")), b.column("removed").to_pylist(), strict=True):
+            words = kept = text.split()
+            if spans:
+                change = np.zeros(len(words) + 1, np.int64)
+                np.add.at(change, [x["start"] for x in spans], 1)
+                np.add.at(change, [x["start"] + x["n"] + WINDOW - 1 for x in spans], -1)
+                kept = list(compress(words, (np.cumsum(change)[:-1] == 0).tolist()))
+            out.append((len(words), len(words) - len(kept), b" ".join(kept)))
         yield pa.RecordBatch.from_arrays(
             [
                 b.column("k"),
@@ -208,7 +194,9 @@ class FingerprintIndex:
             found = counts.withColumn("known", F.lit(False))
         found = materialize(found, "matched")
         self.runs.append(materialize(found.filter("not known").select("h").sortWithinPartitions("h"), "run"))
-        return found.filter("known or n > 1").select("h")
+        seen = materialize(found.filter("known or n > 1").select("h"), "seen")
+        discard(found)
+        return seen
 
     def history(self) -> DataFrame:
         """All fingerprints so far; a fingerprint is in one run only."""
@@ -221,7 +209,9 @@ class FingerprintIndex:
         """Merge the runs into one sorted run."""
         if len(self.runs) > self.max_runs:
             merged = self.history().repartition(F.col("h")).sortWithinPartitions("h")
-            self.runs = [materialize(merged, "compacted")]
+            old, self.runs = self.runs, [materialize(merged, "compacted")]
+            for run in old:
+                discard(run)
 
 
 def _first(rows: DataFrame, extra: list[str]) -> DataFrame:
@@ -237,6 +227,13 @@ def _later(rows: DataFrame, firsts: DataFrame) -> DataFrame:
     return rows.join(one, ["h", "d"]).filter("not (k = _k and copy = _copy and start = _start)").drop("_k", "_copy", "_start")
 
 
+def _lists(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """The values of each document as a list, as long as the document at most. Rows move before they are
+    gathered: lists of a part of a document would take more room on the way than its rows."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "k").groupBy("k", "copy").agg(F.collect_list(value).alias(name))
+
+
 def remove_repeats(docs: DataFrame, batches: tuple[float, ...] = BATCHES) -> DataFrame:
     """Remove each word covered by a window whose word sequence also starts earlier.
 
@@ -260,25 +257,25 @@ def remove_repeats(docs: DataFrame, batches: tuple[float, ...] = BATCHES) -> Dat
     for x in repeated[1:]:
         known = known.unionByName(x)
     known = materialize(known.distinct(), "repeated")
-    asked = prints.join(known, "h").groupBy("k", "copy").agg(F.collect_list("at").alias("at"))
+    for x in repeated:
+        discard(x)
+    asked = _lists(prints.join(known, "h").select("k", "copy", "at"), "at", F.col("at"))
     stretches = materialize(
         texts.join(asked, ["k", "copy"]).mapInArrow(_stretches, "h bigint, d bigint, k bigint, copy int, start int, n int"),
         "stretches",
     )
     firsts = _first(stretches, ["n"])
     several = materialize(firsts.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h"), "several")
-    asked = (
-        firsts.join(several, "h")
-        .groupBy(F.col("first.k").alias("k"), F.col("first.copy").alias("copy"))
-        .agg(F.collect_list(F.struct("h", "first.start", "first.n")).alias("asked"))
-    )
+    discard(prints)
+    shared = firsts.join(several, "h").select("first.k", "first.copy", "h", "first.start", "first.n")
+    asked = _lists(shared, "asked", F.struct("h", "start", "n"))
     windows = materialize(
         texts.join(asked, ["k", "copy"]).mapInArrow(_windows, "h bigint, d bigint, k bigint, copy int, start int"), "windows"
     )
     spans = _later(stretches, firsts).select("k", "copy", "start", "n").unionByName(
         _later(windows, _first(windows, [])).select("k", "copy", "start", F.lit(1).alias("n"))
     )
-    removed = spans.groupBy("k", "copy").agg(F.collect_list(F.struct("start", "n")).alias("removed"))
+    removed = _lists(spans, "removed", F.struct("start", "n"))
     out = texts.join(removed, ["k", "copy"], "left").mapInArrow(
         _kept, "k bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string"
     )

@@ -6,30 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 
 #: Odd multipliers of the polynomial hashes, wrapping at 64 bits.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
+#: Bytes that are hashed at once; a longer word is taken as a whole.
+_BLOCK = 1 << 20
 
-class WordHashes(dict):
-    """Remembers the hash of each word; forgets all at a fixed number, so memory stays bounded."""
-
-    limit = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_hashes = WordHashes()
-
-
-def hashes_of(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -41,6 +27,58 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * BASE)
+
+
+class Spans:
+    """Hash of any stretch of values from prefix sums."""
+
+    _power = np.ones(1, np.uint64)
+    _inverse = np.ones(1, np.uint64)
+
+    @classmethod
+    def _tables(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls._power) < n:
+            for name, factor in (("_power", BASE), ("_inverse", BASE_INVERSE)):
+                table = np.full(max(n, 2 * len(cls._power)), factor, np.uint64)
+                table[0] = 1
+                setattr(cls, name, np.multiply.accumulate(table))
+        return cls._power[:n], cls._inverse[:n]
+
+    def __init__(self, values: np.ndarray) -> None:
+        power, self.inverse = self._tables(len(values) + 1)
+        self.sums = np.zeros(len(values) + 1, np.uint64)
+        np.add.accumulate(values * power[:-1], out=self.sums[1:])
+
+    def __call__(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return mix((self.sums[start + length] - self.sums[start]) * self.inverse[start])
+
+
+def _hash_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of each word of some bytes."""
+    edges = np.flatnonzero(np.diff(_SPACE[raw], prepend=True, append=True))
+    starts, ends = edges[::2], edges[1::2]
+    return Spans(_BYTE[raw])(starts, ends - starts), starts
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` of all texts in order, and how many each text has."""
+    joined = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    hashes, places, low = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while low < len(joined):
+        high = min(len(joined), low + _BLOCK)
+        while high < len(joined) and not _SPACE[joined[high - 1]]:
+            blanks = np.flatnonzero(_SPACE[joined[high : high + _BLOCK]])
+            high += int(blanks[0]) + 1 if len(blanks) else min(_BLOCK, len(joined) - high)
+        found, starts = _hash_words(joined[low:high])
+        hashes.append(found)
+        places.append(starts + low)
+        low = high
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    upto = np.searchsorted(np.concatenate(places), ends)
+    return np.concatenate(hashes), np.diff(upto, prepend=0)
+
+
 def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of ``k`` consecutive words."""
     m = len(hashes) - k + 1
@@ -52,27 +90,17 @@ def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-class Spans:
-    """Hash of any stretch of words from prefix sums."""
-
-    def __init__(self, hashes: np.ndarray) -> None:
-        n = len(hashes)
-        power = np.full(n + 1, BASE, np.uint64)
-        power[0] = 1
-        np.multiply.accumulate(power, out=power)
-        self.inverse = np.full(n + 1, BASE_INVERSE, np.uint64)
-        self.inverse[0] = 1
-        np.multiply.accumulate(self.inverse, out=self.inverse)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.add.accumulate(hashes * power[:n], out=self.sums[1:])
-
-    def __call__(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-        return mix((self.sums[start + length] - self.sums[start]) * self.inverse[start])
-
-
-def binary(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
-    """UTF-8 of a string column without decoding it."""
-    return column.cast(pa.binary()).to_pylist()
+def window_argmin(values: np.ndarray, width: int) -> np.ndarray:
+    """Place of the leftmost least value of each window of ``width``, by doubling."""
+    best, place, size = values, np.arange(len(values)), 1
+    while size < width:
+        step = min(size, width - size)
+        n = len(best) - step
+        first = best[:n] <= best[step:]
+        place = np.where(first, place[:n], place[step:])
+        best = np.where(first, best[:n], best[step:])
+        size += step
+    return place
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
