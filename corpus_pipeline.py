@@ -12,18 +12,27 @@ from tidemark.storage import materialize
 LEAST_SCORE = 0.5
 
 
+def _packed(docs: DataFrame, *beside: str) -> DataFrame:
+    """Each row as one struct, so that no column of a stage can clash with one of the documents."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"), *beside)
+
+
+def _unpacked(rows: DataFrame, columns: list[str], **new) -> DataFrame:
+    return rows.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in columns])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a recognisable language; a null ``lang`` becomes the predicted one."""
     model = language.fit(docs.filter(~F.coalesce(language.held_out(F.col("doc_id")), F.lit(False))))
-    found = language.predict(docs, model).filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    found = language.predict(_packed(docs, "text"), model)
+    kept = found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return _unpacked(kept, docs.columns, lang=F.coalesce("doc.lang", "lang_pred"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops boilerplate lines of each source."""
-    found = lines.drop_boilerplate(docs, "source")
-    found = found.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("bigint"))
-    return found.select(docs.columns)
+    found = lines.drop_boilerplate(_packed(docs), "doc.source", "doc.text")
+    return _unpacked(found, docs.columns, text=F.col("kept"), n_chars=F.length("kept").cast("bigint"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -265,6 +265,10 @@ def replaced(text: str | None, spans: list[dict] | None) -> str | None:
     return "".join([*out, text[at:]])
 
 
+#: Names that documents don't have.
+_ID, _AT, _HASH, _SPANS = (f"__tidemark_{x}" for x in ("id", "at", "hash", "spans"))
+
+
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with its ``text`` rewritten, and ``n_chars`` with it where there is such a column."""
     found = find_spans(docs).filter(F.size("spans") > 0).select("doc_id", F.col("at").alias("_at"), "spans").distinct()
@@ -273,7 +277,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            new = [replaced(t, s) for t, s in zip(b.column("text").to_pylist(), b.column("_spans").to_pylist(), strict=True)]
+            new = [replaced(t, s) for t, s in zip(b.column("text").to_pylist(), b.column(_SPANS).to_pylist(), strict=True)]
             columns = []
             for name in names:
                 if name == "text":
@@ -288,6 +292,6 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
 
 def _joined(docs: DataFrame, found: DataFrame) -> DataFrame:
-    right = found.select(F.col("doc_id").alias("_id"), "_at", F.col("spans").alias("_spans"))
-    left = docs.withColumn("_hash", F.xxhash64("text"))
-    return left.join(right, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_at")), "left").drop("_id", "_at", "_hash")
+    right = found.select(F.col("doc_id").alias(_ID), F.col("_at").alias(_AT), F.col("spans").alias(_SPANS))
+    left = docs.withColumn(_HASH, F.xxhash64("text"))
+    return left.join(right, F.col("doc_id").eqNullSafe(F.col(_ID)) & (F.col(_HASH) == F.col(_AT)), "left").drop(_ID, _AT, _HASH)

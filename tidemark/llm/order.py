@@ -36,10 +36,10 @@ def with_next(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
         .agg(F.sort_array(F.collect_set(F.struct(F.col("_v").isNotNull().alias("f"), F.col("_v"))))[0]["_v"].alias("_v"))
     )
     order = Window.orderBy(F.col("_b"))  # over at most n rows
-    heads = heads.withColumn("_to", F.lead("_b").over(order)).withColumn("_top", F.max("_b").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    lowest = heads.agg(F.min("_b").alias("lo"))
-    heads = heads.crossJoin(F.broadcast(lowest)).select(
-        F.coalesce("_to", "lo").alias("_b"), F.lit(True).alias("_last"), F.struct(F.col("_v").alias("v")).alias("_h")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = heads.withColumn("_to", F.lead("_b").over(order)).withColumn("_low", F.min("_b").over(whole))
+    heads = heads.select(
+        F.coalesce("_to", "_low").alias("_b"), F.lit(True).alias("_last"), F.struct(F.col("_v").alias("v")).alias("_h")
     )
     return (
         inner.join(heads, ["_b", "_last"], "left")

@@ -251,6 +251,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are the smallest doc_id of their component."""
-    keep = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi")
+    """The rows of ``docs`` that have the smallest doc_id of their component; of rows that repeat it, one."""
+    found = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = materialize(found.groupBy("doc_id").agg(F.count("*").alias("n")), "keep")
+    ids = keep.select(F.col("doc_id").alias("__tidemark_id"))
+    kept = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__tidemark_id")), "left_semi")
+    return kept if keep.filter("n > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
