@@ -41,7 +41,7 @@ def merged_series(spark, d):
     """Clicks, views and the rest as two merged series."""
     s = _series(spark, d).withColumn("family", F.when(F.col("event_type").isin("click", "view"), "traffic").otherwise("other"))
     out = T.merge_series(s, ["family"])
-    return out.withColumn("avg_value", F.round("avg_value", 6))
+    return out.withColumn("avg_value", F.round("avg_value", 4))
 
 
 def counter_increase(spark, d):
@@ -194,7 +194,7 @@ ORACLES = {
         l as (select *, greatest(1.5 * avg(step) over (partition by event_type), 1) as lim from s)
         select event_type, window_start, doc_count, step, round(cast(lim as double), 6) as "limit", round(step / greatest(top, 1), 6) as strength from l where step >= lim""",
     "merged_series": f"""with {_DAY} select case when event_type in ('click', 'view') then 'traffic' else 'other' end as family, window_start, window_end, cast(sum(doc_count) as bigint) as doc_count,
-        round(avg(avg_value), 6) as avg_value, max(last_at) as last_at from series group by 1, 2, 3""",
+        round(avg(avg_value), 4) as avg_value, max(last_at) as last_at from series group by 1, 2, 3""",
     "counter_increase": """with s as (select event_type, ts, row_number() over (partition by event_type, cast(ts as date) order by ts, value) as n from events),
         l as (select event_type, n, lag(n) over (partition by event_type order by ts) as p from s)
         select event_type, cast(sum(case when p is null then 0 when n < p then n else n - p end) as double) as increase from l group by event_type""",
