@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import clustering, content, observability, search, signals, tables
+from tidemark.plans import catalog, clustering, content, observability, search, signals, tables
 
-_PLANS = (observability, content, signals, search, clustering, tables)
+_PLANS = (catalog, observability, content, signals, search, clustering, tables)
 QUERIES = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
 ORACLES = {name: sql for plan in _PLANS for name, sql in plan.ORACLES.items()}
