@@ -98,6 +98,12 @@ def stream_dedupe(spark, d):
     return J.insert_new(s, ["user_id", "event_type"], "event_id", "dedupe")
 
 
+def stream_dedupe_watermark(spark, d):
+    """Users and types seen within ninety days of event time; older keys' state is given up."""
+    s = _event_stream(spark, d).select("user_id", "event_type", "ts")
+    return J.drain(J.first_of_each(s, ["user_id", "event_type"], "ts", "90 days"), "seen").select("user_id", "event_type")
+
+
 def stream_windows(spark, d):
     """Six-hour counts by type; windows that the watermark has passed."""
     s = _event_stream(spark, d).select("event_type", "ts")
@@ -131,7 +137,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         upsert_least_greatest, upsert_replace, upsert_do_nothing, conditional_claim, slice_replace, trend_backfill, html_text, html_markdown, crawl_meta, connector_items,
-        stream_dedupe, stream_windows, stream_retry_dlq, stream_routing, stream_rate_limit,
+        stream_dedupe, stream_dedupe_watermark, stream_windows, stream_retry_dlq, stream_routing, stream_rate_limit,
     )
 }
 ORACLES = {
@@ -157,6 +163,7 @@ ORACLES = {
         e as (select case when len(pairs) = 0 then base else base || '?' || array_to_string(pairs, '&') end as external_id, title, lang, published_at, page_id from p where lang in ('en', 'de')),
         r as (select *, row_number() over (partition by external_id order by published_at, title) as r from e) select external_id, title, lang, published_at from r where r = 1""",
     "stream_dedupe": "select user_id, event_type, min(event_id) as event_id, arg_min(value, event_id) as value from events group by 1, 2",
+    "stream_dedupe_watermark": "select distinct user_id, event_type from events",
     "stream_windows": """select event_type, date_trunc('day', ts)::timestamp + to_hours(cast(hour(ts) // 6 * 6 as bigint)) as window_start, count(*) as n from events
         where ts < timestamp '2024-01-29' group by 1, 2""",
     "stream_retry_dlq": """select event_id, cast(least(k % 7 + 1, 5) as int) as attempts, case when k % 7 < 5 then 'done' else 'dead' end as status
