@@ -227,11 +227,15 @@ def _later(rows: DataFrame, firsts: DataFrame) -> DataFrame:
     return rows.join(one, ["h", "d"]).filter("not (k = _k and copy = _copy and start = _start)").drop("_k", "_copy", "_start")
 
 
-def _lists(rows: DataFrame, name: str, value: Column) -> DataFrame:
-    """The values of each document as a list, as long as the document at most. Rows move before they are
-    gathered: lists of a part of a document would take more room on the way than its rows."""
+def _beside(texts: DataFrame, rows: DataFrame, name: str, fields: list[str], how: str = "inner") -> DataFrame:
+    """Texts with the values of their document as a list, as long as the document at most. Rows move before
+    they are gathered: lists of a part of a document would take more room on the way than its rows.
+    The join is by ``k`` alone, by which the texts are bucketed, so they stay where they are."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "k").groupBy("k", "copy").agg(F.collect_list(value).alias(name))
+    lists = rows.repartition(n, "k").groupBy("k").agg(F.collect_list(F.struct("copy", *fields)).alias("_all"))
+    own = F.filter("_all", lambda x: x["copy"] == F.col("copy"))
+    value = (lambda x: x[fields[0]]) if len(fields) == 1 else (lambda x: F.struct(*[x[f].alias(f) for f in fields]))
+    return texts.join(lists, "k", how).withColumn(name, F.transform(own, value)).drop("_all")
 
 
 def remove_repeats(docs: DataFrame, batches: tuple[float, ...] = BATCHES) -> DataFrame:
@@ -259,24 +263,22 @@ def remove_repeats(docs: DataFrame, batches: tuple[float, ...] = BATCHES) -> Dat
     known = materialize(known.distinct(), "repeated")
     for x in repeated:
         discard(x)
-    asked = _lists(prints.join(known, "h").select("k", "copy", "at"), "at", F.col("at"))
+    asked = prints.join(known, "h").select("k", "copy", "at")
     stretches = materialize(
-        texts.join(asked, ["k", "copy"]).mapInArrow(_stretches, "h bigint, d bigint, k bigint, copy int, start int, n int"),
+        _beside(texts, asked, "at", ["at"]).mapInArrow(_stretches, "h bigint, d bigint, k bigint, copy int, start int, n int"),
         "stretches",
     )
     firsts = _first(stretches, ["n"])
     several = materialize(firsts.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h"), "several")
     discard(prints)
     shared = firsts.join(several, "h").select("first.k", "first.copy", "h", "first.start", "first.n")
-    asked = _lists(shared, "asked", F.struct("h", "start", "n"))
     windows = materialize(
-        texts.join(asked, ["k", "copy"]).mapInArrow(_windows, "h bigint, d bigint, k bigint, copy int, start int"), "windows"
+        _beside(texts, shared, "asked", ["h", "start", "n"]).mapInArrow(_windows, "h bigint, d bigint, k bigint, copy int, start int"), "windows"
     )
     spans = _later(stretches, firsts).select("k", "copy", "start", "n").unionByName(
         _later(windows, _first(windows, [])).select("k", "copy", "start", F.lit(1).alias("n"))
     )
-    removed = _lists(spans, "removed", F.struct("start", "n"))
-    out = texts.join(removed, ["k", "copy"], "left").mapInArrow(
+    out = _beside(texts, spans, "removed", ["start", "n"], "left").mapInArrow(
         _kept, "k bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string"
     )
     return out.select(F.nullif("k", F.lit(_NULL_ID)).alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept")
