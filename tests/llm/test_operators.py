@@ -168,6 +168,7 @@ def test_op4_finds_families(spark):
     notices = [(i, t, f) for i, (f, t) in enumerate((f, t) for f, ts in licences.NOTICES.items() for t in ts)]
     plain = [(100 + i, t, "") for i, t in enumerate(texts()) if t and "MIT" not in t]
     both = [(999, "x y z\n" + licences.NOTICES["MIT"][0] + "\nfoo\n" + licences.NOTICES["GPL"][0], "GPL,MIT"), (998, None, "")]
+    both.append(both[0])  # a repeated row
     df = spark.createDataFrame([*notices, *plain, *both], "doc_id long, text string, want string")
     got = {r.doc_id: r for r in licences.scan(df).collect()}
     assert {i: got[i].families for i, _, _ in [*notices, *plain, *both]} == {i: f for i, _, f in [*notices, *plain, *both]}

@@ -9,8 +9,8 @@ probable than the 99.9th percentile of what it reaches on held-out paragraphs, a
 A prediction is confirmed by comparison with the family's notices: ``COVER`` of the 3-grams of one must occur.
 
 A paragraph without a weighted word has the probabilities of the intercepts, so only paragraphs with one
-are scored further; that is exact, not a prefilter. Weights are joined by n-gram: at most
-``VOCABULARY`` rows.
+are scored further, by their weighted n-grams alone; that is exact, not a prefilter. Features are the n-grams of
+the notices that other paragraphs rarely have, so weights are a few hundred rows whatever the corpus.
 
 Defined results: null and empty texts have no paragraphs; repeated paragraphs count each time.
 """
@@ -20,14 +20,15 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.storage import materialize
 
 UNKNOWN = "unknown"
-SAMPLE = 5000
-VOCABULARY = 4096
+SAMPLE = 3000
+#: An n-gram that so large a share of other paragraphs have says nothing.
+COMMON = 0.01
 COVER = 0.5
 REGULARISATION = 0.0002
 
@@ -77,6 +78,10 @@ def _grams(w: Column, n: int) -> Column:
     return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.concat_ws(" ", x, y)), parts)
 
 
+def _literals(values: list[str]) -> Column:
+    return F.array(*[F.lit(x) for x in values])
+
+
 def features(w: Column) -> Column:
     return F.array_distinct(F.concat(w, _grams(w, 2)))
 
@@ -99,12 +104,22 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
 def negatives(lines: DataFrame) -> DataFrame:
     """``(w)`` of the ``SAMPLE`` different paragraphs of smallest hash that don't speak of licences."""
-    rows = lines.select("line", F.xxhash64("line").alias("h")).filter(~F.lower("line").rlike("licen[cs]e|copyright|warranty|redistribut"))
+    spoken = reduce(lambda a, b: a | b, [F.contains("low", F.lit(x)) for x in ("license", "licence", "copyright", "warranty", "redistribut")])
+    rows = lines.select("line", F.explode(F.array(F.lower("line"))).alias("low")).filter(~spoken).select("line", F.xxhash64("line").alias("h"))
     least = materialize(rows.select("h").groupBy("h").agg(F.count("*").alias("n")).orderBy("h").limit(SAMPLE).select("h"), "sample")
     chosen = rows.join(F.broadcast(least), "h").groupBy("h").agg(F.first("line").alias("line"))  # at most SAMPLE rows
     return chosen.select(words(F.col("line")).alias("w")).filter(F.size("w") > 0)
 
 
+def _vocabulary(base: DataFrame, unknown: DataFrame) -> list[str]:
+    """N-grams of the notices but those that ``COMMON`` of the unknown paragraphs have."""
+    total = max(1, unknown.count())
+    mine = base.select(F.explode(features(F.col("w"))).alias("g")).distinct()
+    seen = unknown.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+    kept = mine.join(seen, "g", "left").filter(F.coalesce("n", F.lit(0)) <= COMMON * total)
+    return sorted(r["g"] for r in kept.collect())  # of the notices above
+
+
 def fit(spark: SparkSession, sample: DataFrame) -> dict:
     """Weights of the n-grams that have any, intercepts, and the least probability of each family."""
     base = notices(spark)
@@ -122,11 +137,11 @@ def fit(spark: SparkSession, sample: DataFrame) -> dict:
         .select(label.cast("double").alias("label"), features(F.col("w")).alias("grams"), "out")
         .withColumn("weight", F.when(F.col("label") == 0, 1.0).otherwise(4.0))
     )
-    rows = materialize(rows.repartition(2), "training")
+    rows = materialize(rows.coalesce(1), "training")
     learn = rows.filter("not out")
-    vectors = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=VOCABULARY, minDF=2, binary=True).fit(learn)
+    vectors = CountVectorizerModel.from_vocabulary(_vocabulary(base, rows.filter("label = 0")), "grams", "features")
     model = LogisticRegression(
-        family="multinomial", regParam=REGULARISATION, elasticNetParam=0.5, weightCol="weight", maxIter=60, standardization=False
+        family="multinomial", regParam=REGULARISATION, elasticNetParam=0.5, weightCol="weight", maxIter=50, tol=1e-4, standardization=False
     ).fit(vectors.transform(learn))
     matrix, intercepts = model.coefficientMatrix.toArray(), list(model.interceptVector)
     present = sorted({int(x) for x in range(model.numClasses)})
@@ -143,7 +158,7 @@ def score(rows: DataFrame, fitted: dict) -> DataFrame:
     """``(row, place, p)``: class probabilities of ``rows(row, place, grams)`` that have a weighted n-gram."""
     spark, n = rows.sparkSession, len(fitted["names"])
     listed = ", ".join(f"named_struct('g', {_quoted(g)}, 'w', array({', '.join(f'{x!r}D' for x in w)}))" for g, w in fitted["weights"].items())
-    weights = spark.sql(f"select inline(array({listed}))")  # at most VOCABULARY rows
+    weights = spark.sql(f"select inline(array({listed}))")  # n-grams of the notices
     sums = (
         rows.select("row", "place", F.explode("grams").alias("g"))
         .join(F.broadcast(weights), "g")
@@ -161,14 +176,32 @@ def scan(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_paragraphs, n_licensed, n_unconfirmed, families, least_probability)`` for each row of
     ``docs(doc_id, text)``: families of confirmed paragraphs, sorted and joined by commas."""
     spark = docs.sparkSession
-    keyed = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))  # equal rows have equal results
     lines = paragraphs(keyed.select("row", "doc_id", "text"))
     fitted = fit(spark, negatives(lines))
     active = sorted({w for g in fitted["weights"] for w in g.split(" ")})
-    w = words(F.col("line"))
-    likely = lines.withColumn("w", w).filter(F.arrays_overlap("w", F.array(*[F.lit(x) for x in active])))
-    likely = materialize(likely.select("row", "doc_id", "place", "w"), "likely")
-    scored = score(likely.select("row", "place", features(F.col("w")).alias("grams")), fitted)
+    phrases = sorted({r["t"] for r in notices(spark).select(F.explode(_grams(F.col("w"), 3)).alias("t")).distinct().collect()})  # of the notices above
+    # exploding one value keeps the optimizer from writing an expression out at each place that uses it
+    likely = (
+        lines.select("row", "place", F.explode(F.array(words(F.col("line")))).alias("w"))
+        .filter(F.arrays_overlap("w", _literals(active)))
+        .select(
+            "row",
+            "place",
+            F.explode(
+                F.array(
+                    F.struct(
+                        F.array_intersect(features(F.col("w")), _literals(sorted(fitted["weights"]))).alias("grams"),
+                        F.array_intersect(_grams(F.col("w"), 3), _literals(phrases)).alias("g3"),
+                    )
+                )
+            ).alias("x"),
+        )
+        .select("row", "place", "x.grams", "x.g3")
+        .filter(F.size("grams") > 0)
+    )
+    likely = materialize(likely.dropDuplicates(["row", "place"]), "likely")
+    scored = score(likely.select("row", "place", "grams"), fitted)
     best = F.array_position("p", F.array_max("p")).cast("int")
     chosen = scored.select("row", "place", best.alias("c"), F.array_max("p").alias("probability")).filter(
         (F.col("c") > 1) & (F.col("probability") > F.element_at(F.array(*[F.lit(float(x)) for x in fitted["least"]]), F.col("c")))
@@ -180,7 +213,6 @@ def scan(docs: DataFrame) -> DataFrame:
     met = F.exists("ts", lambda t: F.size(F.array_intersect(t, F.col("g3"))) >= COVER * F.size(F.array_distinct(t)))
     checked = (
         chosen.join(likely, ["row", "place"])
-        .withColumn("g3", _grams(F.col("w"), 3))
         .join(F.broadcast(templates), "family")  # a row for each family above
         .withColumn("confirmed", met)
     )
