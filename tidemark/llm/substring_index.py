@@ -65,6 +65,7 @@ def stored_documents(docs: DataFrame) -> DataFrame:
     )
     name = f"tidemark_texts_{uuid.uuid4().hex}"
     numbered.write.bucketBy(n, "k").saveAsTable(name, format="parquet")
+    spark._jvm.System.gc()  # the shuffle files of the write go
     return spark.table(name)
 
 
@@ -275,9 +276,14 @@ def remove_repeats(docs: DataFrame, batches: tuple[float, ...] = BATCHES) -> Dat
     windows = materialize(
         _beside(texts, shared, "asked", ["h", "start", "n"]).mapInArrow(_windows, "h bigint, d bigint, k bigint, copy int, start int"), "windows"
     )
-    spans = _later(stretches, firsts).select("k", "copy", "start", "n").unionByName(
-        _later(windows, _first(windows, [])).select("k", "copy", "start", F.lit(1).alias("n"))
-    )
+    spans = materialize(_later(stretches, firsts).select("k", "copy", "start", "n"), "stretch-spans")
+    for x in (stretches, firsts, several, known, *index.runs):
+        discard(x)
+    first_windows = _first(windows, [])
+    more = materialize(_later(windows, first_windows).select("k", "copy", "start", F.lit(1).alias("n")), "window-spans")
+    for x in (windows, first_windows):
+        discard(x)
+    spans = spans.unionByName(more)
     out = _beside(texts, spans, "removed", ["start", "n"], "left").mapInArrow(
         _kept, "k bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string"
     )
