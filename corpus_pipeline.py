@@ -36,7 +36,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near-duplicates."""
+    """Keeps one row of each group of near-duplicates, that of the smallest doc_id (null is the largest)."""
     return simhash.one_of_each(docs)
 
 

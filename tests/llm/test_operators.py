@@ -270,6 +270,19 @@ def test_op8(docs, rows):
     assert sorted(repr((r.doc_id, r.fingerprint, r.component_id)) for r in simhash.near_duplicates(docs).collect()) == want
 
 
+def test_one_of_each_keeps_rows_without_or_with_repeated_ids(spark):
+    def text(i):
+        return " ".join(f"w{i}x{k}" for k in range(40))
+
+    rows = [(None, text(i), "en", "s", 1) for i in range(30)]  # unlinked texts without a doc_id
+    rows += [(None, text(0), "en", "s", 1), (7, text(1), "en", "s", 1)]  # a copy; a copy that has a doc_id
+    rows += [(9, text(50), "en", "s", 1), (9, text(51), "en", "s", 1)]  # unlinked texts with the same doc_id
+    rows += [(4, text(60), "en", "s", 1), (5, text(60), "en", "s", 1), (5, text(61), "en", "s", 1)]  # id 5: once a copy, once not
+    kept = [(r.doc_id, r.text) for r in simhash.one_of_each(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()]
+    want = [(None, text(i)) for i in range(30) if i != 1] + [(7, text(1)), (9, text(50)), (9, text(51)), (4, text(60)), (5, text(61))]
+    assert sorted(map(repr, kept)) == sorted(map(repr, want))
+
+
 def test_op8_keys_meet_within_four_bits():
     rng = np.random.default_rng(7)
     a = rng.integers(0, 2**64, 4000, dtype=np.uint64)

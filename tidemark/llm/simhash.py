@@ -27,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.words import slices
 from tidemark.operators.components import connected_components
@@ -62,14 +62,16 @@ def text_fingerprint(text: bytes) -> int:
 def _fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
         found = [text_fingerprint(t or b"") for t in b.column("text").cast(pa.binary()).to_pylist()]
+        names = [n for n in b.schema.names if n != "text"]
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array(np.array(found, np.uint64).view(np.int64))], ["doc_id", "fp"]
+            [*[b.column(n) for n in names], pa.array(np.array(found, np.uint64).view(np.int64))], [*names, "fp"]
         )
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp bigint)`` for each row; ``fp`` has the fingerprint's bits."""
-    return docs.select("doc_id", "text").mapInArrow(_fingerprinted, "doc_id bigint, fp bigint")
+def fingerprints(docs: DataFrame, *beside: str) -> DataFrame:
+    """``(doc_id, *beside, fp bigint)`` for each row; ``fp`` has the fingerprint's bits, ``beside`` is bigint."""
+    names = ["doc_id", *beside]
+    return docs.select(*names, "text").mapInArrow(_fingerprinted, ", ".join(f"{n} bigint" for n in [*names, "fp"]))
 
 
 @cache
@@ -239,21 +241,36 @@ def link_forest(distinct: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_linked, "src bigint, dst bigint").distinct()
 
 
+def _named(prints: DataFrame, least: Column) -> DataFrame:
+    """``(fp, least, component)`` for each distinct ``fp``; ``least`` is an aggregate of its rows."""
+    sizes = materialize(prints.groupBy("fp").agg(least.alias("least")), "distinct")
+    parts = connected_components(materialize(link_forest(sizes.select("fp")), "links"))
+    return sizes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``; the component is named by its smallest doc_id."""
     prints = materialize(fingerprints(docs), "simhash")
-    sizes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    parts = connected_components(materialize(link_forest(sizes.select("fp")), "links"))
-    named = sizes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    named = _named(prints, F.min("doc_id"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     members = materialize(named.select("fp", "component").join(least, "component").select("fp", "component_id"), "members")
     return prints.join(members, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Names that documents don't have.
+_ROW, _TEXT, _ALL = (f"__tidemark_{x}" for x in ("row", "text", "all"))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that have the smallest doc_id of their component; of rows that repeat it, one."""
-    found = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = materialize(found.groupBy("doc_id").agg(F.count("*").alias("n")), "keep")
-    ids = keep.select(F.col("doc_id").alias("__tidemark_id"))
-    kept = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__tidemark_id")), "left_semi")
-    return kept if keep.filter("n > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
+    """One row of each component: the first by doc_id (null last), hash of the text and hash of the row.
+
+    Rows have a key of their own, so that those without a doc_id, or with the same one, stay apart.
+    """
+    whole = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    rows = materialize(docs.withColumn(_ROW, F.monotonically_increasing_id()), "rows")
+    marked = rows.withColumns({_TEXT: F.xxhash64("text"), _ALL: F.xxhash64(*whole)})
+    prints = materialize(fingerprints(marked, _TEXT, _ALL, _ROW), "simhash")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", _TEXT, _ALL, _ROW))
+    best = _named(prints, first).groupBy("component").agg(F.min("least").alias("least"))
+    keep = materialize(best.select(F.col(f"least.{_ROW}").alias(_ROW)), "keep")
+    return rows.join(keep, _ROW, "left_semi").drop(_ROW)
