@@ -65,6 +65,62 @@ def test_unrelated_new_signals_survive_a_merge(spark):
     assert sorted((r.signal, r.merged) for r in C.merge_signals(df).collect()) == [("s1", "s1"), ("s2", "s1"), ("s3", "s3")]
 
 
+def test_signal_merge_equals_the_formula(spark):
+    kind = (
+        "workspace string, signal string, doc_ids array<string>, semantic_cluster_ids array<long>, keywords array<string>, title_terms array<string>, score double, "
+        "first_seen timestamp_ntz, last_seen timestamp_ntz"
+    )
+    t, far = dt.datetime(2024, 1, 1), dt.datetime(2024, 6, 1)
+    pairs = {
+        "too low": (("a", [1, 2], ["k"], ["x", "y"], t), ("b", [1, 2], ["k", "l", "m"], ["x", "y"], t), False),  # .22 + .08 + .16 + .10 = .56
+        "five terms": (("a b c d e", [1], ["k"], ["x", "y"], t), ("a f g h i", [1], ["k"], ["x", "y"], t), True),  # .031 + .22 + .24 + .16 + .10 = .751
+        "union": (("a", [1], ["k"], ["x"], t), ("a b c d e", [2], ["l"], ["y"], t), False),  # one of five documents, not of one
+        "documents": (("a b", [1], ["k"], ["x"], t), ("a b c", [2], ["l"], ["y"], far), True),
+        "title": (("a", [1], ["k"], ["x", "y"], t), ("b", [2], ["k"], ["x", "y", "z"], t), True),
+        "title, other time": (("a", [1], ["k"], ["x", "y"], t), ("b", [2], ["k"], ["x", "y", "z"], far), False),
+    }
+    rows = [(w, s, docs.split(), sem, kw, title, score, at, at) for w, two in pairs.items() for s, score, (docs, sem, kw, title, at) in (("s1", 0.9, two[0]), ("s2", 0.8, two[1]))]
+    got = {r.workspace: r.merged == "s1" for r in C.merge_signals(spark.createDataFrame(rows, kind)).collect() if r.signal == "s2"}
+    assert got == {w: two[2] for w, two in pairs.items()}
+    got = {r.workspace: r.merged == "s1" for r in C.merge_signals(spark.createDataFrame(rows, kind), least=0.55).collect() if r.signal == "s2"}
+    assert got == {w: two[2] or w == "too low" for w, two in pairs.items()}  # the score alone, as its keywords share a third
+
+
+def test_signal_merge_equals_brute_force(spark):
+    rnd = random.Random(5)
+
+    def some(values, n):
+        return sorted(rnd.sample(values, rnd.randrange(1, n)))
+
+    rows = []
+    for i in range(60):
+        at = dt.datetime(2024, 1, 1) + dt.timedelta(days=rnd.randrange(60))
+        rows.append((i % 2, i, some(range(40), 6), some(range(3), 3), some("klm", 3), some("wxyz", 4), rnd.random(), at, at + dt.timedelta(days=rnd.randrange(9))))
+    kind = "workspace int, signal long, doc_ids array<long>, semantic_cluster_ids array<long>, keywords array<string>, title_terms array<string>, score double, first_seen timestamp_ntz, last_seen timestamp_ntz"
+    want, branches = set(), set()
+
+    def ratio(a, b):
+        return len(set(a) & set(b)) / len(set(a) | set(b))
+
+    for w in (0, 1):
+        left = sorted((list(r) for r in rows if r[0] == w), key=lambda r: -r[6])
+        while left:
+            top, rest = left.pop(0), []
+            want.add((w, top[1], top[1]))
+            for r in left:
+                doc, sem, kw, title = (ratio(top[k], r[k]) for k in (2, 3, 4, 5))
+                near = abs(max(top[7], r[7]) - min(top[8], r[8])) <= dt.timedelta(days=30)
+                hit = (doc >= 0.25, 0.28 * doc + 0.22 * sem + 0.24 * kw + 0.16 * title + 0.10 * near >= 0.72, kw >= 0.6 and title >= 0.45 and near)
+                branches |= {k for k in range(3) if hit[k]}
+                if any(hit):
+                    want.add((w, r[1], top[1]))
+                    top[2], top[3] = {*top[2], *r[2]}, {*top[3], *r[3]}
+                else:
+                    rest.append(r)
+            left = rest
+    assert {tuple(r) for r in C.merge_signals(spark.createDataFrame(rows, kind)).collect()} == want and branches == {0, 1, 2}
+
+
 def test_cluster_merge(spark):
     t = dt.datetime(2024, 1, 1)
     kind = "workspace string, cluster string, doc_ids array<string>, title_terms array<string>, concepts array<string>, centroid array<double>, coherence double, first_seen timestamp_ntz, last_seen timestamp_ntz"

@@ -97,22 +97,38 @@ def merge_clusters(clusters: DataFrame, least: float = 0.68, title: float = 0.34
     )
 
 
-def merge_signals(signals: DataFrame) -> DataFrame:
+def _temporal(a: dict, b: dict, gap_hours: float) -> float:
+    """1 for spans whose later start and earlier end are at most ``gap_hours`` apart, 0 beyond or without times."""
+    ends = a["first"], a["last"], b["first"], b["last"]
+    if any(pd.isna(x) for x in ends):
+        return 0.0
+    gap = abs((max(ends[0], ends[2]) - min(ends[1], ends[3])).total_seconds()) / 3600
+    return 1.0 if gap <= gap_hours else max(0.0, 1 - gap / max(gap_hours, 1))
+
+
+def merge_signals(signals: DataFrame, least: float = 0.72, documents: float = 0.25, gap_hours: float = 720) -> DataFrame:
     """``(workspace, signal, merged)``: signals folded by falling score into those they overlap.
 
+    ``signals(workspace, signal, doc_ids, keywords, title_terms, score)``, and ``semantic_cluster_ids``, ``first_seen``
+    and ``last_seen`` where they are known. What absorbs another takes its documents and semantic clusters.
     Signals are told apart by their own key, so one without an id in the store never swallows others."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         kept: list[dict] = []
         for row in pdf.sort_values(["score", "signal"], ascending=[False, True]).itertuples():
-            mine = {"signal": row.signal, "members": [row.signal], "docs": set(row.doc_ids), "words": set(row.keywords), "title": set(row.title_terms)}
+            semantic = getattr(row, "semantic_cluster_ids", None)
+            mine = {
+                "signal": row.signal, "members": [row.signal], "docs": set(row.doc_ids), "semantic": set() if semantic is None else set(semantic), "words": set(row.keywords),
+                "title": set(row.title_terms), "first": getattr(row, "first_seen", None), "last": getattr(row, "last_seen", None),
+            }
             for other in kept:
-                both = len(mine["docs"] & other["docs"])
-                doc = both / max(min(len(mine["docs"]), len(other["docs"])), 1)
-                kw, title = _jaccard(mine["words"], other["words"]), _jaccard(mine["title"], other["title"])
-                if doc >= 0.25 or 0.28 * doc + 0.24 * kw + 0.16 * title >= 0.72 or (kw >= 0.6 and title >= 0.45):
+                doc = len(mine["docs"] & other["docs"]) / max(len(mine["docs"] | other["docs"]), 1)
+                sem, kw, title = (_jaccard(mine[k], other[k]) for k in ("semantic", "words", "title"))
+                time = _temporal(mine, other, gap_hours)
+                score = 0.28 * doc + 0.22 * sem + 0.24 * kw + 0.16 * title + 0.10 * time
+                if doc >= documents or score >= least or (kw >= 0.6 and title >= 0.45 and time >= 0.4):
                     other["members"] += mine["members"]
-                    for k in ("docs", "words", "title"):
+                    for k in ("docs", "semantic"):
                         other[k] |= mine[k]
                     break
             else:

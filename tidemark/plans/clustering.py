@@ -90,8 +90,15 @@ def greedy_merge(spark, d):
 
 
 def greedy_signal_merge(spark, d):
-    c = _clusters(spark, d, 100)
-    rows = c.select((F.col("post_id") % 7).alias("workspace"), F.col("cluster").alias("signal"), "doc_ids", F.col("concepts").alias("keywords"), "title_terms", (F.col("post_id") % 100 / 100).alias("score"))
+    """Signals folded by score; their semantic clusters are those that their posts' vectors fall into."""
+    c = materialize(_clusters(spark, d, 100), "signals")
+    parts = components(spark, d).select("post_id", F.col("cluster").alias("part"))
+    members = c.select("cluster", F.explode("doc_ids").alias("post_id")).join(parts, "post_id")
+    semantic = members.groupBy("cluster").agg(F.collect_set("part").alias("semantic_cluster_ids"))
+    rows = c.join(semantic, "cluster", "left").select(
+        (F.col("post_id") % 7).alias("workspace"), F.col("cluster").alias("signal"), "doc_ids", F.coalesce("semantic_cluster_ids", F.array().cast("array<bigint>")).alias("semantic_cluster_ids"),
+        F.col("concepts").alias("keywords"), "title_terms", (F.col("post_id") % 100 / 100).alias("score"), "first_seen", "last_seen",
+    )
     return C.merge_signals(rows)
 
 
