@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import clusters as C, ranking, series as T, upsert as U
 from tidemark.operators.components import connected_components
 from tidemark.operators.similarity import similarity_edges
+from tidemark.plans import clustering, observability, signals
 from tidemark.sources import connectors
 from tidemark.streaming import jobs
 
@@ -128,6 +129,19 @@ def test_cluster_merge(spark):
     assert sorted((r.cluster, r.merged) for r in C.merge_clusters(spark.createDataFrame(rows, kind)).collect()) == [("a", "a"), ("b", "a"), ("c", "c")]
 
 
+def test_queries_read_whole_texts(spark, tmp_path):
+    words = " ".join(f"w{i:02}" for i in range(30))
+    texts = [" ".join(f"http://h{i}.org/" for i in range(120)), "x" * 60 + " April Fool", words, words]
+    rows = [(i * 3, t, "en", "src1", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert observability.media_unnest_counts(spark, str(tmp_path)).count() == 120
+    assert signals.april_fools_guard(spark, str(tmp_path)).first()["share"] == 0.75  # ids 0 and 6 have a cue before the text, 3 inside it
+    terms = {tuple(r.title_terms) for r in clustering._clusters(spark, str(tmp_path), 1, None).collect()}
+    assert tuple(words.split()) in terms
+
+
 def test_golden_pairs(spark):
     pairs = spark.createDataFrame([("same", 1, 2), ("other", 1, 3), ("same", 8, 9)], "kind string, a long, b long")
     clusters = spark.createDataFrame([(1, 1), (2, 1), (3, 3)], "post_id long, cluster long")

@@ -46,11 +46,12 @@ def preview(text: Column, n: int) -> Column:
     return F.left(compact(F.regexp_replace(F.coalesce(text, F.lit("")), r"<[^>]+>", " ")), F.lit(n))
 
 
-def urls(text: Column, limit: int = 10) -> Column:
-    """The first different URLs whose hosts are not social ones, trailing punctuation removed."""
+def urls(text: Column, limit: int | None = 10) -> Column:
+    """The first different URLs whose hosts are not social ones, trailing punctuation removed; all without a limit."""
     found = F.transform(F.regexp_extract_all(text, F.lit(URL), F.lit(0)), lambda u: F.regexp_replace(u, r"[.,;:!?]+$", ""))
     kept = F.filter(found, lambda u: ~_host(u).isin(*SOCIAL_HOSTS))
-    return F.slice(F.array_distinct(kept), 1, limit)
+    every = F.array_distinct(kept)
+    return every if limit is None else F.slice(every, 1, limit)
 
 
 def _host(url: Column) -> Column:

@@ -172,7 +172,7 @@ def post_with_enrichments(spark, d):
 
 def media_unnest_counts(spark, d):
     """Links inside posts' texts: how many posts and workspaces name each host."""
-    found = V.posts(spark, d).select("post_id", "workspace", F.explode(tx.urls(F.concat_ws(" ", "content"), 100)).alias("url"))
+    found = V.posts(spark, d).select("post_id", "workspace", F.explode(tx.urls(F.concat_ws(" ", "content"), None)).alias("url"))
     pages = V.crawls(spark, d).select("post_id", F.lit("page").alias("workspace"), "url")
     return found.unionByName(pages).select("post_id", "workspace", tx.host(F.col("url")).alias("host")).groupBy("host").agg(
         F.count_distinct("post_id").alias("posts"), F.count_distinct("workspace").alias("workspaces"), F.count("*").alias("links")

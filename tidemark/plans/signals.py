@@ -100,7 +100,7 @@ def april_fools_guard(spark, d):
     p = V.posts(spark, d).filter("source_id is not null")
     moved = p.select(
         "source_id", F.when(F.col("post_id") % 3 == 0, F.lit("2024-04-01 12:00:00").cast("timestamp_ntz")).otherwise(F.col("published_at")).alias("at"),
-        F.when(F.col("post_id") % 2 == 0, F.concat(F.lit("April Fool "), F.left("content", F.lit(50)))).otherwise(F.left("content", F.lit(50))).alias("content"),
+        F.when(F.col("post_id") % 2 == 0, F.concat(F.lit("April Fool "), "content")).otherwise(F.col("content")).alias("content"),
     )
     flag = S.april_joke(F.col("at"), F.lit(""), F.col("content"))
     shares = moved.groupBy("source_id").agg(F.avg(F.when(flag, 1.0).otherwise(0.0)).alias("share"))
