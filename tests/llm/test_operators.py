@@ -84,7 +84,7 @@ def test_empty_table(name, empty):
     assert OPERATORS[name](empty).count() == 0
 
 
-@pytest.mark.parametrize("name", [x for x in OPERATORS if x not in ("op4", "op7")])
+@pytest.mark.parametrize("name", OPERATORS)
 def test_extra_columns_change_nothing(name, docs, wide):
     def found(d):
         return sorted(map(repr, OPERATORS[name](d).collect()))
@@ -205,7 +205,6 @@ def test_op6(spark):
 def test_op7(docs, rows):
     path = P.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     pieces = packing.pack(docs, path).collect()
     want = collections.Counter(np.array([*tok.encode(r[1] or "", add_special_tokens=False).ids, 1], "<u4").tobytes() for r in rows)
     starts = collections.defaultdict(list)
@@ -228,6 +227,28 @@ def test_op7(docs, rows):
         assert at <= packing.SIZE
 
 
+def test_op7_ids_are_the_tokenizers():
+    rnd = random.Random(9)
+    path = P.path("word_bpe_49k.json")
+    tok, own = Tokenizer.from_file(path), packing.coder(path)
+    parts = [*"aZeéÉßµ×÷ÿİJ.,!?'\"-<|>—…\u0331\u030c \t\n\u0085\u3000\x1c0129٣中🙂sTmdLv_`^~Ω", "<|endoftext|>", "<|ENDOFTEXT|>", "it's", "'ll", "é.", "J\u030c"]
+    data = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(60))) for _ in range(5000)]
+    for lo in range(0, len(data), 50):
+        for text, (ids, after) in zip(data[lo : lo + 50], own.encode([x.encode() for x in data[lo : lo + 50]])):
+            assert ids == np.array([*tok.encode(text, add_special_tokens=False).ids, 1], "<u4").tobytes()
+            assert len(after) == 0 or 0 < after[0] and after[-1] < len(ids) // 4 and (np.diff(after) > 0).all()
+
+
+def test_op7_settled_cuts_begin_the_best():
+    rnd = random.Random(4)
+    for _ in range(300):
+        place = np.cumsum([0] + [rnd.randrange(1, 5) for _ in range(60)])
+        cost = np.array([0] + [rnd.choice([0, 1, 3]) for _ in range(60)])
+        cut = rnd.randrange(5, 55)
+        settled = packing.settled_cuts(place[:cut], cost[:cut], 8)
+        assert packing.best_cuts(place, cost, 8)[: len(settled)] == settled
+
+
 def test_op7_cuts_are_the_best(spark):
     rnd = random.Random(3)
     for _ in range(40):

@@ -56,7 +56,6 @@ def test_run_equals_brute_force(spark):
     got = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in got} == {i for i, _ in rows}
     tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     pieces = collections.defaultdict(list)
     for r in sorted(got, key=lambda r: r.start):
         pieces[r.doc_id].append(r.ids)

@@ -5,16 +5,18 @@ one line that is cut into windows of at most ``SIZE`` tokens. Cuts may fall at d
 ends (a small penalty for the truncated document) and, where a sentence leaves no other choice, inside it (a
 larger one). The cost of a window is its padding plus the penalty of its cut, so with f the least cost up to
 a cut at t, ``f(t) = penalty(t) + SIZE - t + min(f(s) + s)`` over cuts s within ``SIZE``; a monotone queue keeps
-that minimum, so each cut point is handled once. The line is solved in stretches of ``STRETCH`` tokens, whose
-last open window goes on into the next, so memory is bounded whatever a task holds. The last
+that minimum, so each cut point is handled once. Each ``STRETCH`` tokens the windows that all best cuts so far
+have in common are closed; as every later cut builds on one of those, the cuts of a task are the best of its
+whole line, while it holds little more than a stretch and the document at hand. The last
 window of a task may instead be cut into lengths that are powers of two, which take no padding.
 
-Words are tokenized once per task: white space separates what the tokenizer treats apart, so ids of a
-word are remembered (up to a fixed number), and a plain word with ASCII marks behind it is put
-together from the two.
+Words are tokenized once per task: white space separates what the tokenizer treats apart, so ids of a word are
+remembered (up to a fixed number), and those of the new words of a batch come from one call. ASCII marks at the
+end of a word, behind a letter or digit, are a word of their own, as the tokenizer parts them there. The tokenizer's special tokens are recognised in texts, as it does by itself.
 
 Defined results: null and empty texts have only the end id; repeated rows are packed as often as they occur;
-rows without a doc_id come first.
+rows without a doc_id come first, those with the same one in an order of no meaning; a text of any length is
+cut where it must be; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from tidemark.llm.words import slices
 
@@ -40,60 +42,82 @@ STRETCH = 1 << 18
 #: Farthest apart that two possible cuts may lie.
 REACH = 1024
 
-_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+#: ASCII marks that no contraction begins with, behind a letter or digit and at the end of a word.
+_MARKS = re.compile(rb"([!-&(-/:-@[-`{-~](?:(?<=[A-Za-z0-9].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[!-&(-/:-@[-`{-~]*)(?=\s|\Z)")
+_LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 
 
 class Words(dict):
     """Ids of words as little-endian unsigned 32-bit integers."""
 
-    limit = 300_000
+    limit = 600_000
 
     def __init__(self, tokenizer: Tokenizer) -> None:
-        self.tokenizer, self.parts = tokenizer, {}
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.limit:
+        self.tokenizer = tokenizer
+        # what is left of the tokenizer's steps for words of letters, between blanks
+        self.plain = Tokenizer(tokenizer.model)
+        self.plain.normalizer = normalizers.Lowercase()
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+
+    def learn(self, words: set[bytes]) -> None:
+        """Keep the ids of new words."""
+        if len(self) + len(words) > self.limit:
             self.clear()
-        plain = _PLAIN.fullmatch(word)
-        if plain:
-            core = plain[1].decode().lower()
-            ids = self.part(core) + self.part(plain[2].decode())
-        else:
-            ids = self.encoded(word.decode())
-        self[word] = ids
-        return ids
-
-    def part(self, text: str) -> bytes:
-        found = self.parts.get(text)
-        if found is None:
-            if len(self.parts) >= 3 * self.limit:
-                self.parts.clear()
-            found = self.parts[text] = self.encoded(text)
-        return found
-
-    def encoded(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if text else b""
+        plain = []
+        for word in [w for w in words if w not in self]:
+            if _LETTERS.fullmatch(word):
+                plain.append(word)
+            else:
+                self[word] = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        # a mark between the words gives an id that letters never give
+        text = b" ! ".join([b"", *plain, b""]).decode()
+        ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        cuts = (4 * np.flatnonzero(ids == ids[0])).tolist()
+        raw = ids.tobytes()
+        self.update(zip(plain, [raw[a + 4 : b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
 
 
 class Coder:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
         self.words = Words(tokenizer)
         self.ends = np.zeros(max(tokenizer.get_vocab().values()) + 1, bool)
         for token, i in tokenizer.get_vocab().items():
             self.ends[i] = token.removesuffix("</w>")[-1:] in (".", "!", "?")
 
-    def encode(self, text: bytes) -> tuple[bytes, np.ndarray]:
-        """Ids with the end id, and the places after sentence ends."""
-        ids = [self.words[w] for w in text.split()]
+    def encode(self, texts: list[bytes]) -> list[tuple[bytes, np.ndarray]]:
+        """For each text its ids with the end id, and the places after sentence ends."""
+        words, upto = [], []
+        for text in texts:
+            words += _parted(text).split()
+            upto.append(len(words))
+        self.words.learn(set(words))
+        ids = list(map(self.words.__getitem__, words))
         joined = b"".join(ids)
-        after = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) // 4
-        if len(after):
-            after = after[after > 0]
-            after = after[self.ends[np.frombuffer(joined, "<u4")[after - 1]]]
-        return joined + END_ID.to_bytes(4, "little"), after
+        after = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4, out=after[1:])
+        stops = after[upto].tolist()
+        after = after[1:][np.diff(after) > 0]
+        after = after[self.ends[np.frombuffer(joined, "<u4")[after - 1]]]
+        cuts = np.searchsorted(after, stops, side="right").tolist()
+        out, low, first, end = [], 0, 0, END_ID.to_bytes(4, "little")
+        for high, last in zip(stops, cuts, strict=True):
+            out.append((joined[4 * low : 4 * high] + end, after[first:last] - low))
+            low, first = high, last
+        return out
+
+
+def _parted(text: bytes) -> bytes:
+    """A to Z in lower case, as the tokenizer does first, and a blank before marks that end a word; but not where
+    that could hide a special token, make one, or make a letter that joins with a combining mark (of U+0300 to
+    U+036F) in lower case only."""
+    if b"<|" in text:
+        return text
+    parted = _MARKS.sub(rb" \1", text)
+    return parted if b"\xcc" in text or b"\xcd" in text else parted.lower()
 
 
 _ready: dict[str, Coder] = {}
@@ -129,11 +153,11 @@ def cut_points(lengths: np.ndarray, sentences: list[np.ndarray], carried: int) -
     return place, cost
 
 
-def best_cuts(place: np.ndarray, cost: np.ndarray, size: int = SIZE) -> list[int]:
-    """Indices of the cuts of least cost, from the first place to the last."""
+def transitions(place: np.ndarray, cost: np.ndarray, size: int = SIZE) -> list[int]:
+    """For each place the one before it on the cheapest way there from the first."""
     at, penalty = place.tolist(), cost.tolist()
     n = len(at)
-    least, before = [0] * n, [0] * n
+    before = [0] * n
     queue, head = [0], 0
     value = [at[0]] + [0] * (n - 1)
     for j in range(1, n):
@@ -141,20 +165,39 @@ def best_cuts(place: np.ndarray, cost: np.ndarray, size: int = SIZE) -> list[int
         low = t - size
         while at[queue[head]] < low:
             head += 1
-        i = queue[head]
-        before[j] = i
-        least[j] = f = penalty[j] + size - t + value[i]
-        value[j] = v = f + t
+        before[j] = i = queue[head]
+        value[j] = v = penalty[j] + size + value[i]
         while len(queue) > head and value[queue[-1]] >= v:
             queue.pop()
         queue.append(j)
-    cuts, j = [n - 1], n - 1
+    return before
+
+
+def path_to(j: int, before: list[int]) -> list[int]:
+    cuts = [j]
     while j:
         j = before[j]
         cuts.append(j)
     return cuts[::-1]
 
 
+def best_cuts(place: np.ndarray, cost: np.ndarray, size: int = SIZE) -> list[int]:
+    """Indices of the cuts of least cost, from the first place to the last."""
+    return path_to(len(place) - 1, transitions(place, cost, size))
+
+
+def settled_cuts(place: np.ndarray, cost: np.ndarray, size: int = SIZE) -> list[int]:
+    """Indices of the cuts that stay the best whatever follows the last place: those on the cheapest ways
+    to all places that a later window may begin at."""
+    before = transitions(place, cost, size)
+    ways = set(np.flatnonzero(place > place[-1] - size).tolist())
+    while len(ways) > 1:
+        last = max(ways)
+        ways.remove(last)
+        ways.add(before[last])
+    return path_to(ways.pop(), before)
+
+
 def tail_lengths(n: int) -> list[int]:
     """Lengths of the last windows: one with padding, or powers of two if cutting costs less."""
     powers = [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
@@ -175,6 +218,7 @@ class _Line:
         self.docs: list[tuple] = []  # doc_id, ids, sentence ends
         self.carried = 0  # tokens of the first document that are in closed windows
         self.tokens = 0
+        self.next_close = STRETCH
         self.sequence = first_sequence
         self.keep_ids = keep_ids
 
@@ -183,18 +227,16 @@ class _Line:
         self.tokens += len(ids) // 4
 
     def close(self, last: bool) -> list[tuple]:
-        """Rows of the windows that are closed now: all but the last one, or all."""
+        """Rows of the windows that are closed now: those that are settled, or all."""
         if not self.tokens:
             return []
         lengths = np.array([len(d[1]) // 4 for d in self.docs], np.int64)
         lengths[0] -= self.carried
         place, cost = cut_points(lengths, [d[2] for d in self.docs], self.carried)
-        edges = [int(place[i]) for i in best_cuts(place, cost)]
+        edges = [int(place[i]) for i in (best_cuts if last else settled_cuts)(place, cost)]
         if last:
             for n in tail_lengths(edges.pop() - edges[-1]):
                 edges.append(edges[-1] + n)
-        else:
-            edges.pop()
         return self._rows(edges, lengths)
 
     def _rows(self, edges: list[int], lengths: np.ndarray) -> list[tuple]:
@@ -236,10 +278,12 @@ def pack(docs: DataFrame, path: str, keep_ids: bool = True) -> DataFrame:
         line = _Line(TaskContext.get().partitionId() << 36, keep_ids)
         for b in slices(batches, 64):
             rows = []
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                line.add(doc_id, *own.encode(text or b""))
-                if line.tokens >= STRETCH:
+            found = own.encode([t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()])
+            for doc_id, (ids, sentences) in zip(b.column("doc_id").to_pylist(), found, strict=True):
+                line.add(doc_id, ids, sentences)
+                if line.tokens >= line.next_close:
                     rows += line.close(last=False)
+                    line.next_close = line.tokens + STRETCH
             if rows:
                 yield _batch(rows)
         rows = line.close(last=True)
