@@ -4,16 +4,20 @@ A window is ``WINDOW`` consecutive words of one document. Each window is known b
 smallest hash among its ``GRAM``-word grams; equal windows have equal fingerprints at the same place, and
 neighbouring windows mostly share theirs, so about one word in nine carries one. The index keeps sorted
 immutable runs of fingerprints. A new batch's fingerprints are merge-joined with the runs and with each
-other; those seen before are candidates, new ones become the next run, and small runs are compacted.
+other; those seen before are candidates, new ones become the next run, and runs are compacted by size: a run
+that isn't twice as large as the next newer one is merged with it, so each fingerprint is rewritten a
+logarithmic number of times.
 
 Candidates are verified on all of their words. A stretch is what the windows of one fingerprint
 cover; a stretch whose digest (and fingerprint) occurs earlier is removed as a whole, and the first
-stretches of a fingerprint that has several are compared window by window. Both digests are 64 bits over
-all words, beside the 64 bits of the fingerprint. No pairs are made: every step is a
+stretches of a fingerprint that has several are compared window by window. Both digests are 128 bits of BLAKE2b
+over the bytes of all words, so equal hashes of different words never count. No pairs are made: every step is a
 grouping with partial sums, or a join with one row per key on one side that adaptive execution can split.
 
-Defined results: null text has no words; documents with fewer than ``WINDOW`` words keep all; rows that
-repeat a doc_id are separate documents, in the order of their texts; a null doc_id sorts first.
+Defined results: null text has no words; documents with fewer than ``WINDOW`` words keep all; a text of any length
+is read whole; rows that repeat a doc_id are separate documents, in the order of their texts; rows without a doc_id
+come first (among ids within 2^40 of the least there is), in the order of a hash of their texts; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -28,25 +32,26 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.llm.words import Spans, mix, rolling, slices, window_argmin, word_hashes
+from tidemark.llm.words import rolling, slices, window_argmin, word_hashes
 from tidemark.storage import discard, materialize
 
 WINDOW = 20
 GRAM = 4
 #: Shares of the documents, by doc_id, that the query adds to the index as its first batches.
 BATCHES = (0.125, 0.25)
-#: Runs beyond this number are merged into one.
-MAX_RUNS = 1
+#: A run is merged with the next newer one unless it is so many times as large.
+TIER = 2
 
+#: Rows without a doc_id get keys from here on, by 40 bits of a hash of the text.
 _NULL_ID = -(2**63)
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=3)
     for b in batches:
-        texts = b.column(1).cast(pa.binary())
+        texts = b.column(2).cast(pa.binary())
         blobs = [None if x is None else pack.compress(x) for x in texts.to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(blobs, pa.binary())], ["k", "blob"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(blobs, pa.binary())], ["k", "doc_id", "blob"])
 
 
 def _texts(column: pa.Array) -> list[bytes]:
@@ -55,13 +60,14 @@ def _texts(column: pa.Array) -> list[bytes]:
 
 
 def stored_documents(docs: DataFrame) -> DataFrame:
-    """``(k, copy, blob)``: compressed texts in a table bucketed by doc_id, so later steps move lists of
-    positions to the texts and never the texts again."""
+    """``(k, copy, doc_id, blob)``: compressed texts in a table bucketed by ``k``, which is the doc_id or stands for
+    it, so later steps move lists of positions to the texts and never the texts again."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = docs.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("k"), "text").mapInArrow(_packed, "k bigint, blob binary")
+    k = F.coalesce("doc_id", F.lit(_NULL_ID) + F.shiftrightunsigned(F.xxhash64("text"), 24))
+    packed = docs.select(k.alias("k"), "doc_id", "text").mapInArrow(_packed, "k bigint, doc_id bigint, blob binary")
     numbered = packed.repartition(n, "k").withColumn(
-        "copy", F.row_number().over(Window.partitionBy("k").orderBy("blob")) - 1
+        "copy", F.row_number().over(Window.partitionBy("k").orderBy("doc_id", "blob")) - 1
     )
     name = f"tidemark_texts_{uuid.uuid4().hex}"
     numbered.write.bucketBy(n, "k").saveAsTable(name, format="parquet")
@@ -69,6 +75,27 @@ def stored_documents(docs: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
+def _digests(texts: list[bytes], doc: np.ndarray, first: np.ndarray, last: np.ndarray, shape: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit halves of a digest of the words from ``first`` up to ``last`` of each document in ``doc`` (ascending),
+    and of one byte each from the columns of ``shape``."""
+    out = np.empty((len(doc), 2), np.int64)
+    edges = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else doc
+    for low, high in zip(edges.tolist(), [*edges[1:].tolist(), len(doc)], strict=False):
+        words = texts[doc[low]].split()
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        begins = np.append(0, ends)[first[low:high]].tolist()
+        stops = ends[last[low:high] - 1].tolist()
+        line = memoryview(b" ".join([*words, b""]))
+        digest = hashlib.blake2b
+        if shape is None:
+            found = [digest(line[a:b], digest_size=16).digest() for a, b in zip(begins, stops, strict=True)]
+        else:
+            tags = np.ascontiguousarray(shape[low:high], np.uint8)
+            found = [digest(line[a:b], digest_size=16, salt=t).digest() for a, b, t in zip(begins, stops, map(bytes, tags), strict=True)]
+        out[low:high] = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
+    return out[:, 0], out[:, 1]
+
+
 def _anchors(hashes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of joined documents: the hash of each fingerprint, its document, its place and the first and last
     start of the windows that have it; places count from the start of all."""
@@ -106,7 +133,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
-        hashes, lengths = word_hashes(_texts(b.column("blob")))
+        texts = _texts(b.column("blob"))
+        hashes, lengths = word_hashes(texts)
         h, doc, at, first, last = _anchors(hashes, lengths)
         starts = np.cumsum(lengths) - lengths
         asked = b.column("at")
@@ -114,44 +142,44 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = np.isin(at, wanted)
         h, doc, at, first, last = h[keep], doc[keep], at[keep], first[keep], last[keep]
         n = last - first + 1
-        shape = mix((n * 64 + at - first).astype(np.uint64))
-        digest = mix(Spans(hashes)(first, n + WINDOW - 1) ^ shape) if len(first) else h
+        begin = first - starts[doc]
+        d, d2 = _digests(texts, doc, begin, begin + n + WINDOW - 1, np.column_stack([n, at - first]))
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(h.view(np.int64)),
-                pa.array(digest.view(np.int64)),
+                pa.array(d),
+                pa.array(d2),
                 pa.array(b.column("k").to_numpy()[doc]),
                 pa.array(b.column("copy").to_numpy()[doc].astype(np.int32)),
-                pa.array((first - starts[doc]).astype(np.int32)),
+                pa.array(begin.astype(np.int32)),
                 pa.array(n.astype(np.int32)),
             ],
-            ["h", "d", "k", "copy", "start", "n"],
+            ["h", "d", "d2", "k", "copy", "start", "n"],
         )
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches):
-        hashes, lengths = word_hashes(_texts(b.column("blob")))
-        digests = rolling(hashes, WINDOW)
-        starts = np.cumsum(lengths) - lengths
+    for b in slices(batches, 64):
+        texts = _texts(b.column("blob"))
         asked = b.column("asked")
-        doc = np.repeat(np.arange(len(lengths)), asked.value_lengths().to_numpy())
+        doc = np.repeat(np.arange(len(texts)), asked.value_lengths().to_numpy())
         part = asked.flatten()
         h, start, n = (part.field(i).to_numpy() for i in range(3))
         n = n.astype(np.int64)
         each = np.repeat(np.arange(len(n)), n)
-        within = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-        local = start[each] + within
+        local = start[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
         doc = doc[each]
+        d, d2 = _digests(texts, doc, local, local + WINDOW)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(h[each]),
-                pa.array(digests[starts[doc] + local].view(np.int64)),
+                pa.array(d),
+                pa.array(d2),
                 pa.array(b.column("k").to_numpy()[doc]),
                 pa.array(b.column("copy").to_numpy()[doc].astype(np.int32)),
                 pa.array(local.astype(np.int32)),
             ],
-            ["h", "d", "k", "copy", "start"],
+            ["h", "d", "d2", "k", "copy", "start"],
         )
 
 
@@ -168,22 +196,22 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append((len(words), len(words) - len(kept), b" ".join(kept)))
         yield pa.RecordBatch.from_arrays(
             [
-                b.column("k"),
+                b.column("doc_id"),
                 pa.array([x[0] for x in out], pa.int64()),
                 pa.array([x[1] for x in out], pa.int64()),
                 pa.array([hashlib.sha256(x[2]).hexdigest() for x in out], pa.string()),
                 pa.array([x[2].decode() for x in out], pa.string()),
             ],
-            ["k", "n_words", "n_removed", "kept_sha256", "kept"],
+            ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
         )
 
 
 class FingerprintIndex:
     """Sorted immutable runs of fingerprints; ``add`` gives those of a batch that were seen before."""
 
-    def __init__(self, max_runs: int = MAX_RUNS) -> None:
-        self.runs: list[DataFrame] = []
-        self.max_runs = max_runs
+    def __init__(self, tier: float = TIER) -> None:
+        self.runs: list[tuple[DataFrame, int]] = []  # oldest first, with their sizes
+        self.tier = tier
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Join a batch's fingerprints ``(h, ...)`` with the runs; return the repeated ones as ``(h)``."""
@@ -194,38 +222,47 @@ class FingerprintIndex:
         else:
             found = counts.withColumn("known", F.lit(False))
         found = materialize(found, "matched")
-        self.runs.append(materialize(found.filter("not known").select("h").sortWithinPartitions("h"), "run"))
+        self._keep(found.filter("not known").select("h").sortWithinPartitions("h"), "run")
         seen = materialize(found.filter("known or n > 1").select("h"), "seen")
         discard(found)
         return seen
 
+    def _keep(self, run: DataFrame, label: str) -> None:
+        kept = materialize(run, label)
+        self.runs.append((kept, kept.count()))
+
     def history(self) -> DataFrame:
         """All fingerprints so far; a fingerprint is in one run only."""
-        out = self.runs[0]
-        for run in self.runs[1:]:
+        out = self.runs[0][0]
+        for run, _ in self.runs[1:]:
             out = out.unionByName(run)
         return out
 
     def compact(self) -> None:
-        """Merge the runs into one sorted run."""
-        if len(self.runs) > self.max_runs:
-            merged = self.history().repartition(F.col("h")).sortWithinPartitions("h")
-            old, self.runs = self.runs, [materialize(merged, "compacted")]
-            for run in old:
-                discard(run)
+        """Merge the newest two runs into one sorted run as long as their sizes are near."""
+        while len(self.runs) > 1 and self.runs[-2][1] < self.tier * self.runs[-1][1]:
+            (older, _), (newer, _) = self.runs[-2:]
+            del self.runs[-2:]
+            self._keep(older.unionByName(newer).repartition(F.col("h")).sortWithinPartitions("h"), "compacted")
+            discard(older)
+            discard(newer)
+
+    def discard(self) -> None:
+        for run, _ in self.runs:
+            discard(run)
 
 
 def _first(rows: DataFrame, extra: list[str]) -> DataFrame:
-    """The earliest row of each ``(h, d)``."""
+    """The earliest row of each ``(h, d, d2)``."""
     return materialize(
-        rows.groupBy("h", "d").agg(F.min(F.struct("k", "copy", "start", *extra)).alias("first")), "first"
+        rows.groupBy("h", "d", "d2").agg(F.min(F.struct("k", "copy", "start", *extra)).alias("first")), "first"
     )
 
 
 def _later(rows: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Rows that are not the earliest of their ``(h, d)``."""
-    one = firsts.select("h", "d", *[F.col(f"first.{x}").alias(f"_{x}") for x in ("k", "copy", "start")])
-    return rows.join(one, ["h", "d"]).filter("not (k = _k and copy = _copy and start = _start)").drop("_k", "_copy", "_start")
+    """Rows that are not the earliest of their ``(h, d, d2)``."""
+    one = firsts.select("h", "d", "d2", *[F.col(f"first.{x}").alias(f"_{x}") for x in ("k", "copy", "start")])
+    return rows.join(one, ["h", "d", "d2"]).filter("not (k = _k and copy = _copy and start = _start)").drop("_k", "_copy", "_start")
 
 
 def _beside(texts: DataFrame, rows: DataFrame, name: str, fields: list[str], how: str = "inner") -> DataFrame:
@@ -266,7 +303,7 @@ def remove_repeats(docs: DataFrame, batches: tuple[float, ...] = BATCHES) -> Dat
         discard(x)
     asked = prints.join(known, "h").select("k", "copy", "at")
     stretches = materialize(
-        _beside(texts, asked, "at", ["at"]).mapInArrow(_stretches, "h bigint, d bigint, k bigint, copy int, start int, n int"),
+        _beside(texts, asked, "at", ["at"]).mapInArrow(_stretches, "h bigint, d bigint, d2 bigint, k bigint, copy int, start int, n int"),
         "stretches",
     )
     firsts = _first(stretches, ["n"])
@@ -274,17 +311,16 @@ def remove_repeats(docs: DataFrame, batches: tuple[float, ...] = BATCHES) -> Dat
     discard(prints)
     shared = firsts.join(several, "h").select("first.k", "first.copy", "h", "first.start", "first.n")
     windows = materialize(
-        _beside(texts, shared, "asked", ["h", "start", "n"]).mapInArrow(_windows, "h bigint, d bigint, k bigint, copy int, start int"), "windows"
+        _beside(texts, shared, "asked", ["h", "start", "n"]).mapInArrow(_windows, "h bigint, d bigint, d2 bigint, k bigint, copy int, start int"), "windows"
     )
     spans = materialize(_later(stretches, firsts).select("k", "copy", "start", "n"), "stretch-spans")
-    for x in (stretches, firsts, several, known, *index.runs):
+    for x in (stretches, firsts, several, known):
         discard(x)
+    index.discard()
     first_windows = _first(windows, [])
     more = materialize(_later(windows, first_windows).select("k", "copy", "start", F.lit(1).alias("n")), "window-spans")
     for x in (windows, first_windows):
         discard(x)
     spans = spans.unionByName(more)
-    out = _beside(texts, spans, "removed", ["start", "n"], "left").mapInArrow(
-        _kept, "k bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string"
-    )
-    return out.select(F.nullif("k", F.lit(_NULL_ID)).alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept")
+    out = _beside(texts, spans, "removed", ["start", "n"], "left")
+    return out.mapInArrow(_kept, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
