@@ -1,13 +1,14 @@
 """Operator 3: language ID by multinomial naive Bayes over hashed character n-grams.
 
 Fitting adds up n-gram counts inside each task and once more in a grouping by language and bucket; only the
-matrix, of a fixed number of buckets for each language, reaches the driver and is broadcast. Scoring
+matrix, of 64 KB for each language there is, reaches the driver, a language at a time, and is broadcast. Scoring
 hashes a batch of texts to one array of buckets and sums the looked-up rows of the matrix for each text.
 
 Defined results: texts that are null or have no letter are ``und`` with score 0; with no labelled rows every
 text is ``und``; ties go to the language that sorts first. The score is the posterior of the predicted
 language for a text of at most ``EVIDENCE`` n-grams: log-likelihoods of longer texts are scaled down to
-that many, else every score would round to 1.
+that many, else every score would round to 1. A text of any length is read whole; repeated rows count each time;
+every language with a labelled text is learned; other columns are kept or not read.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ BITS = 14
 ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
 EVIDENCE = 60
-#: Upper bound of languages that are learned: those with the most labelled documents.
-MAX_LANGUAGES = 256
+#: Languages whose counts a task holds at once (128 KB each).
+HELD = 64
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -63,22 +64,25 @@ def buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out.reshape(-1), lengths * len(ORDERS)
 
 
-def _counts(languages: list[str]):
-    place = {x: i for i, x in enumerate(languages)}
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[str, np.ndarray] = {}
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), 1 << BITS), np.int64)
-        for b in slices(batches, 512):
-            texts, langs = b.column("text").to_pylist(), b.column("lang").to_pylist()
-            for lang in set(langs):
-                found, _ = buckets([t for t, x in zip(texts, langs, strict=True) if x == lang])
-                total[place[lang]] += np.bincount(found, minlength=1 << BITS)
-        lang, bucket = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[lang, bucket])], ["l", "b", "n"]
-        )
+    def out() -> pa.RecordBatch:
+        rows = [(lang, np.flatnonzero(total)) for lang, total in held.items()]
+        counts = [held[lang][at] for lang, at in rows]
+        langs = pa.array([lang for lang, at in rows for _ in range(len(at))], pa.string())
+        bucket, n = (np.concatenate([np.zeros(0, np.int64), *x]) for x in ([at for _, at in rows], counts))
+        held.clear()
+        return pa.RecordBatch.from_arrays([langs, pa.array(bucket.astype(np.int32)), pa.array(n.astype(np.int64))], ["lang", "b", "n"])
 
-    return count
+    for b in slices(batches, 512):
+        texts, langs = b.column("text").to_pylist(), b.column("lang").to_pylist()
+        for lang in set(langs):
+            found, _ = buckets([t for t, x in zip(texts, langs, strict=True) if x == lang])
+            if lang not in held and len(held) >= HELD:
+                yield out()
+            held[lang] = held.get(lang, 0) + np.bincount(found, minlength=1 << BITS)
+    yield out()
 
 
 @dataclass
@@ -109,18 +113,19 @@ class LanguageModel:
 def fit(labelled: DataFrame) -> LanguageModel:
     """Learn from all rows of ``labelled(text, lang)`` that have both."""
     rows = labelled.select("text", "lang").filter("text is not null and lang is not null")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    sizes = sorted((r["lang"], r["count"]) for r in sizes)
+    sizes = sorted((r["lang"], r["count"]) for r in rows.groupBy("lang").count().collect())
     languages = [x for x, _ in sizes]
-    counts = np.zeros((1 << BITS, len(languages)))
+    place = {x: i for i, x in enumerate(languages)}
+    logs = np.zeros((1 << BITS, len(languages)), np.float32)
     if languages:
-        known = rows.filter(F.col("lang").isin(languages))
-        sums = known.mapInArrow(_counts(languages), "l int, b int, n bigint").groupBy("l", "b").agg(F.sum("n").alias("n"))
-        found = sums.toPandas()
-        counts[found["b"], found["l"]] = found["n"]
-    counts += SMOOTHING
+        sums = rows.mapInArrow(_count, "lang string, b int, n bigint").groupBy("lang", "b").agg(F.sum("n").alias("n"))
+        lists = sums.groupBy("lang").agg(F.collect_list("b").alias("b"), F.collect_list("n").alias("n"))  # of BITS bits at most
+        for r in lists.toLocalIterator():
+            column = np.full(1 << BITS, SMOOTHING)
+            column[r["b"]] += r["n"]
+            logs[:, place[r["lang"]]] = np.log(column / column.sum())
     prior = np.log(np.array([n for _, n in sizes], float) / max(1, sum(n for _, n in sizes)))
-    return LanguageModel(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32), prior)
+    return LanguageModel(languages, logs, prior)
 
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
