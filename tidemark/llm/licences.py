@@ -1,22 +1,27 @@
 """Operator 4: licence scan by a trained paragraph classifier, in SQL expressions and spark.ml.
 
-Paragraphs are the lines of a text. Their word 1-grams and 2-grams, each counted once, feed a multinomial
+Paragraphs are the lines of a text, and the runs of lines between blank lines, so that a notice is seen as one line
+or wrapped over several. Their word 1-grams and 2-grams, each counted once, feed a multinomial
 logistic regression whose elastic-net penalty leaves few of them with weights. It learns licence families from
-the notices below, whole and with each word left out in turn, and the class ``unknown`` from a
-bounded sample of the documents' paragraphs: the ``SAMPLE`` with the smallest hashes, whatever the corpus.
-A fifth of the sample is held out and calibrates the class: a family must be more
-probable than the 99.9th percentile of what it reaches on held-out paragraphs, and than a half.
-A prediction is confirmed by comparison with the family's notices: ``COVER`` of the 3-grams of one must occur.
-
-A paragraph without a weighted word has the probabilities of the intercepts, so only paragraphs with one
-are scored further, by their weighted n-grams alone; that is exact, not a prefilter. Features are the n-grams of
-the notices that other paragraphs rarely have, so weights are a few hundred rows whatever the corpus.
-
-Defined results: null and empty texts have no paragraphs; repeated paragraphs count each time.
+the notices below, whole and with each word left out in turn, and the class ``unknown`` from talk about licences
+and a bounded sample of the documents' lines: the ``SAMPLE`` with the smallest hashes, whatever the corpus, but for
+those that hold a notice. A fifth of the sample is held out and calibrates the class: a family must be more
+probable than the 99.9th percentile of what it reaches on held-out lines, and than a half.
+A prediction is confirmed by comparison with the notices: ``COVER`` of the 3-grams of one of the family's must occur,
+as large a share of those that no other family has, and no other family's notice may be covered better.
+
+A line without a word of a weighted n-gram has the probabilities of the intercepts, so only others are scored
+further; that is exact, not a prefilter. Features are the n-grams of
+the notices that other lines rarely have, so weights are some hundreds of rows whatever the corpus.
+
+Defined results: null and empty texts have no paragraphs; repeated paragraphs count each time; equal rows have equal
+results; on a tie of probabilities the family that stands first below is predicted; a text of any length is read
+whole; an empty table has no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
@@ -27,27 +32,45 @@ from tidemark.storage import materialize
 
 UNKNOWN = "unknown"
 SAMPLE = 3000
-#: An n-gram that so large a share of other paragraphs have says nothing.
+#: An n-gram that so large a share of other lines have says nothing.
 COMMON = 0.01
 COVER = 0.5
 REGULARISATION = 0.0002
 
-#: Opening notices of licence families.
+#: Notices of licence families.
 NOTICES = {
     "MIT": [
         "Released under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
         "This project is licensed under the terms of the MIT license.",
+        "Licensed under the MIT License. See LICENSE in the project root for license information.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     ],
     "GPL": [
         "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY",
+        "Released under the GNU General Public License.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    ],
+    "LGPL": [
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "Released under the GNU Lesser General Public License.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+        "You should have received a copy of the GNU Lesser General Public License along with this library.",
+    ],
+    "AGPL": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "Released under the GNU Affero General Public License.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
     ],
     "CC-BY": [
         "Licensed under CC BY 4.0.",
@@ -59,18 +82,85 @@ NOTICES = {
         "This work is licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ],
+    "CC-BY-SA": [
+        "Licensed under CC BY-SA 4.0.",
+        "This work is licensed under CC BY-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    ],
+    "CC0": [
+        "Released under CC0 1.0.",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+        "This work has been dedicated to the public domain under the Creative Commons CC0 1.0 Universal dedication.",
+    ],
     "BSD": [
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Released under the BSD License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    ],
+    "ISC": [
+        "Released under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     ],
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "Released under the Mozilla Public License 2.0.",
+    ],
+    "EPL-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "Released under the Eclipse Public License 2.0.",
+    ],
+    "BSL-1.0": [
+        "Distributed under the Boost Software License, Version 1.0.",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use, reproduce, display, distribute, execute, and transmit the Software",
+    ],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     ],
 }
 
+#: Talk about licences that is none of these notices, for the unknown class.
+TALK = [
+    "All rights reserved. No part of this publication may be reproduced without written permission of the publisher.",
+    "Copyright 2019 by the authors. All rights reserved.",
+    "Please read this license agreement carefully before you install or use the software.",
+    "A driving licence and a copy of the passport must be shown at the desk.",
+    "The city council granted the bar a license to serve until two in the morning.",
+    "The warranty does not cover damage that comes from use other than the intended one.",
+    "See the LICENSE file for details.",
+    "The license fee is due each year and must be paid before the first of March.",
+    "This product includes software that third parties have licensed to us under their own terms.",
+    "We compared how the terms of public licenses changed between version 2.0 and version 3.",
+    "Free of charge for members; other persons pay at the door.",
+    "You may not use this service except in compliance with these terms of use.",
+    "The software is sold under a commercial license only.",
+    "Use of this website is governed by the terms of service and the privacy policy.",
+    "The above copyright line names the photographer.",
+    "Distribution rights were licensed to a studio for an amount that was not published.",
+    "He has been a free software advocate since the foundation of the group.",
+    "This work was supported by a grant of the national science foundation.",
+    "It is provided as is, without any warranty, and support ends with this version.",
+    "The library is open to the public; copies can be made in the reading room.",
+]
+
 
 def words(line: Column) -> Column:
-    return F.regexp_extract_all(F.lower(line), F.lit("[a-z0-9]+(?:[.-][a-z0-9]+)*"), F.lit(0))
+    return F.regexp_extract_all(F.lower(line), F.lit(_WORD), F.lit(0))
+
+
+_WORD = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
+
+
+def _own_words(line: str) -> list[str]:
+    return re.findall(_WORD, line.lower())
+
+
+def _own_grams(line: str, n: int) -> list[str]:
+    w = _own_words(line)
+    return list(dict.fromkeys(" ".join(w[i : i + n]) for i in range(len(w) - n + 1)))
 
 
 def _grams(w: Column, n: int) -> Column:
@@ -78,8 +168,13 @@ def _grams(w: Column, n: int) -> Column:
     return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.concat_ws(" ", x, y)), parts)
 
 
-def _literals(values: list[str]) -> Column:
-    return F.array(*[F.lit(x) for x in values])
+def _in(x: Column, known: list[str]) -> Column:
+    return x.isin(known) if known else F.lit(False)
+
+
+def _among(values: Column, known: list[str]) -> Column:
+    """Different values that are known; a set is looked up, however many there are."""
+    return F.array_distinct(F.filter(values, lambda x: _in(x, known)))
 
 
 def features(w: Column) -> Column:
@@ -90,6 +185,19 @@ def _quoted(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def coverage(g3: Column) -> Column:
+    """For each family the largest share of a notice's 3-grams that occur; 0 if under ``COVER`` of those of its own do."""
+    grams = {f: [_own_grams(t, 3) for t in texts] for f, texts in NOTICES.items()}
+
+    def share(family: str, t: list[str]) -> Column:
+        other = {g for f, ts in grams.items() if f != family for x in ts for g in x}
+        own = [g for g in t if g not in other]
+        n, m = (F.size(_among(g3, k)) for k in (t, own))
+        return F.when(m >= COVER * len(own), n / len(t)).otherwise(F.lit(0.0))
+
+    return F.array(*[F.array_max(F.array(*[share(f, t) for t in ts])) for f, ts in grams.items()])
+
+
 def notices(spark: SparkSession) -> DataFrame:
     """``(family, words)`` of each notice."""
     rows = ", ".join(f"({_quoted(f)}, {_quoted(t)})" for f, texts in NOTICES.items() for t in texts)
@@ -97,18 +205,20 @@ def notices(spark: SparkSession) -> DataFrame:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """``(row, doc_id, place, line)`` of the lines that are not blank."""
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    return docs.select("row", "doc_id", F.posexplode(lines).alias("place", "line")).filter(F.length(F.trim("line")) > 0)
+    """``(row, block, place, line)`` of the lines that are not blank; blank lines part the blocks."""
+    blocks = docs.select("row", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\n[ \t\r]*\n")).alias("block", "lines"))
+    return blocks.select("row", "block", F.posexplode(F.split("lines", "\n")).alias("place", "line")).filter(F.length(F.trim("line")) > 0)
 
 
 def negatives(lines: DataFrame) -> DataFrame:
-    """``(w)`` of the ``SAMPLE`` different paragraphs of smallest hash that don't speak of licences."""
-    spoken = reduce(lambda a, b: a | b, [F.contains("low", F.lit(x)) for x in ("license", "licence", "copyright", "warranty", "redistribut")])
-    rows = lines.select("line", F.explode(F.array(F.lower("line"))).alias("low")).filter(~spoken).select("line", F.xxhash64("line").alias("h"))
+    """``(w)`` of ``TALK`` and of the ``SAMPLE`` different lines of smallest hash that don't hold a notice."""
+    rows = lines.select("line", F.xxhash64("line").alias("h"))
     least = materialize(rows.select("h").groupBy("h").agg(F.count("*").alias("n")).orderBy("h").limit(SAMPLE).select("h"), "sample")
     chosen = rows.join(F.broadcast(least), "h").groupBy("h").agg(F.first("line").alias("line"))  # at most SAMPLE rows
-    return chosen.select(words(F.col("line")).alias("w")).filter(F.size("w") > 0)
+    found = materialize(chosen.select(words(F.col("line")).alias("w")).filter(F.size("w") > 0), "lines")
+    found = found.filter(F.array_max(coverage(_grams(F.col("w"), 3))) < COVER)
+    talk = lines.sparkSession.sql(f"select inline(array({', '.join(f'struct({_quoted(x)} as line)' for x in TALK)}))")
+    return found.unionByName(talk.select(words(F.col("line")).alias("w")))
 
 
 def _vocabulary(base: DataFrame, unknown: DataFrame) -> list[str]:
@@ -148,79 +258,86 @@ def fit(spark: SparkSession, sample: DataFrame) -> dict:
     names = [names[i] for i in present]
     weights = {g: [float(x) for x in matrix[:, i]] for i, g in enumerate(vectors.vocabulary) if abs(matrix[:, i]).max() > 1e-6}
     fitted = {"names": names, "weights": weights, "intercepts": intercepts}
-    held = score(rows.filter("out").select(F.monotonically_increasing_id().alias("row"), F.lit(0).alias("place"), "grams"), fitted)
+    one = F.lit(0)
+    held = score(rows.filter("out").select(F.monotonically_increasing_id().alias("row"), one.alias("block"), one.alias("place"), "grams"), fitted)
     least = held.agg(*[F.percentile_approx(F.element_at("p", i + 1), 0.999, 1000).alias(f"p{i}") for i in range(len(names))]).first()
     fitted["least"] = [max(0.5, least[i] or 0.0) for i in range(len(names))]
     return fitted
 
 
 def score(rows: DataFrame, fitted: dict) -> DataFrame:
-    """``(row, place, p)``: class probabilities of ``rows(row, place, grams)`` that have a weighted n-gram."""
+    """``(row, block, place, p)``: class probabilities of ``rows(row, block, place, grams)`` that have a weighted n-gram."""
     spark, n = rows.sparkSession, len(fitted["names"])
     listed = ", ".join(f"named_struct('g', {_quoted(g)}, 'w', array({', '.join(f'{x!r}D' for x in w)}))" for g, w in fitted["weights"].items())
     weights = spark.sql(f"select inline(array({listed}))")  # n-grams of the notices
     sums = (
-        rows.select("row", "place", F.explode("grams").alias("g"))
+        rows.select("row", "block", "place", F.explode("grams").alias("g"))
         .join(F.broadcast(weights), "g")
-        .groupBy("row", "place")
+        .groupBy("row", "block", "place")
         .agg(*[F.sum(F.element_at("w", i + 1)).alias(f"s{i}") for i in range(n)])
     )
     margin = F.array(*[F.col(f"s{i}") + float(b) for i, b in enumerate(fitted["intercepts"])])
-    top = sums.select("row", "place", margin.alias("m"))
+    top = sums.select("row", "block", "place", margin.alias("m"))
     odds = top.withColumn("e", F.transform("m", lambda x: F.exp(x - F.array_max("m"))))
     total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
-    return odds.select("row", "place", F.transform("e", lambda x: x / total).alias("p"))
+    return odds.select("row", "block", "place", F.transform("e", lambda x: x / total).alias("p"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_paragraphs, n_licensed, n_unconfirmed, families, least_probability)`` for each row of
-    ``docs(doc_id, text)``: families of confirmed paragraphs, sorted and joined by commas."""
+    ``docs(doc_id, text)``: lines that are not blank; confirmed lines, and blocks with a family that none of their lines
+    has by itself; lines and blocks whose prediction was not confirmed; families, sorted and joined by commas."""
     spark = docs.sparkSession
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))  # equal rows have equal results
-    lines = paragraphs(keyed.select("row", "doc_id", "text"))
+    lines = paragraphs(keyed.select("row", "text"))
     fitted = fit(spark, negatives(lines))
     active = sorted({w for g in fitted["weights"] for w in g.split(" ")})
-    phrases = sorted({r["t"] for r in notices(spark).select(F.explode(_grams(F.col("w"), 3)).alias("t")).distinct().collect()})  # of the notices above
+    phrases = sorted({g for texts in NOTICES.values() for t in texts for g in _own_grams(t, 3)})
+    w = F.col("w")
+    candidate = F.struct(_among(F.concat(w, _grams(w, 2)), sorted(fitted["weights"])).alias("grams"), _among(_grams(w, 3), phrases).alias("g3"))
     # exploding one value keeps the optimizer from writing an expression out at each place that uses it
     likely = (
-        lines.select("row", "place", F.explode(F.array(words(F.col("line")))).alias("w"))
-        .filter(F.arrays_overlap("w", _literals(active)))
-        .select(
-            "row",
-            "place",
-            F.explode(
-                F.array(
-                    F.struct(
-                        F.array_intersect(features(F.col("w")), _literals(sorted(fitted["weights"]))).alias("grams"),
-                        F.array_intersect(_grams(F.col("w"), 3), _literals(phrases)).alias("g3"),
-                    )
-                )
-            ).alias("x"),
-        )
-        .select("row", "place", "x.grams", "x.g3")
-        .filter(F.size("grams") > 0)
+        lines.select("row", "block", "place", F.explode(F.array(words(F.col("line")))).alias("w"))
+        .filter(F.exists("w", lambda x: _in(x, active)))
+        .select("row", "block", "place", F.explode(F.array(candidate)).alias("x"))
+        .select("row", "block", "place", "x.grams", "x.g3")
+        .filter("size(grams) > 0 or size(g3) > 0")
+    )
+    likely = materialize(likely.dropDuplicates(["row", "block", "place"]), "likely")
+    whole = (
+        likely.groupBy("row", "block")
+        .agg(F.count("*").alias("n"), *[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("grams", "g3")])
+        .filter("n > 1")
+        .select("row", "block", F.lit(-1).alias("place"), "grams", "g3")
     )
-    likely = materialize(likely.dropDuplicates(["row", "place"]), "likely")
-    scored = score(likely.select("row", "place", "grams"), fitted)
+    units = materialize(likely.unionByName(whole), "units")
+    scored = score(units.select("row", "block", "place", "grams"), fitted)
     best = F.array_position("p", F.array_max("p")).cast("int")
-    chosen = scored.select("row", "place", best.alias("c"), F.array_max("p").alias("probability")).filter(
+    chosen = scored.select("row", "block", "place", best.alias("c"), F.array_max("p").alias("probability")).filter(
         (F.col("c") > 1) & (F.col("probability") > F.element_at(F.array(*[F.lit(float(x)) for x in fitted["least"]]), F.col("c")))
     )
-    names = F.array(*[F.lit(x) for x in fitted["names"]])
-    chosen = chosen.withColumn("family", F.element_at(names, F.col("c")))
-    templates = notices(spark).select("family", _grams(F.col("w"), 3).alias("t"))
-    templates = templates.groupBy("family").agg(F.collect_list("t").alias("ts"))
-    met = F.exists("ts", lambda t: F.size(F.array_intersect(t, F.col("g3"))) >= COVER * F.size(F.array_distinct(t)))
+    families = F.array(*[F.lit(x) for x in NOTICES])
+    cover = chosen.join(units, ["row", "block", "place"]).withColumn("cover", F.explode(F.array(coverage(F.col("g3")))))
+    own = F.element_at("cover", F.array_position(families, F.col("family")).cast("int"))
     checked = (
-        chosen.join(likely, ["row", "place"])
-        .join(F.broadcast(templates), "family")  # a row for each family above
-        .withColumn("confirmed", met)
+        cover.withColumn("family", F.element_at(F.array(*[F.lit(x) for x in fitted["names"]]), F.col("c")))
+        .withColumn("confirmed", (own >= COVER) & (own >= F.array_max("cover")))
+        .groupBy("row", "block")
+        .agg(
+            F.count_if(F.col("confirmed") & (F.col("place") >= 0)).alias("lines"),
+            F.count_if(~F.col("confirmed")).alias("others"),
+            F.collect_set(F.when(F.col("confirmed") & (F.col("place") >= 0), F.col("family"))).alias("of_lines"),
+            F.max(F.when(F.col("confirmed") & (F.col("place") < 0), F.col("family"))).alias("of_block"),
+            F.min(F.when(F.col("confirmed"), F.col("probability"))).alias("probability"),
+        )
     )
+    more = F.col("of_block").isNotNull() & ~F.array_contains("of_lines", F.col("of_block"))
+    named = F.array_compact(F.array_append("of_lines", F.col("of_block")))
     found = checked.groupBy("row").agg(
-        F.count_if("confirmed").alias("n_licensed"),
-        F.count_if(~F.col("confirmed")).alias("n_unconfirmed"),
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("families"),
-        F.min(F.when(F.col("confirmed"), F.col("probability"))).alias("least_probability"),
+        F.sum(F.col("lines") + more.cast("int")).alias("n_licensed"),
+        F.sum("others").alias("n_unconfirmed"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(named)))), ",").alias("families"),
+        F.min("probability").alias("least_probability"),
     )
     lines_of = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.length(F.trim(x)) > 0))
     return (
