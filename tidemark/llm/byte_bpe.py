@@ -4,10 +4,12 @@ A rank file gives each token's bytes and its rank. Its bytes are written in the
 byte-level BPE, and every way to cut a token into two tokens becomes a merge, ordered by the rank of what
 it makes; so the library merges as the ranks say. A piece that is a token as a whole is that token.
 
-Decoding reverses the byte table. A token may hold part of a character's bytes: offsets then name the
-whole character for each of its tokens, and ``decode`` joins the bytes before it reads them as UTF-8.
+Decoding joins the printable characters of the tokens and reverses the byte table over all of them at once. A token
+may begin or end inside a character: offsets then name the whole character for each of its tokens, ``n_split``
+counts the tokens that begin inside one, and decoding joins the bytes before anything reads them as UTF-8.
 
-Defined results: null text is empty; empty text has no tokens; no special tokens are added or recognised.
+Defined results: null text is empty; empty text has no tokens; no special tokens are added or recognised; a text of
+any length is encoded whole; repeated rows have equal results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -55,9 +57,14 @@ class ByteBpe:
             [pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
         size = max(ranks.values()) + 1
-        self.bytes = [b""] * size
+        self.tokens = [""] * size
+        self.inside = np.zeros(size, bool)
         for token, rank in ranks.items():
-            self.bytes[rank] = token
+            self.tokens[rank] = shown(token)
+            self.inside[rank] = 0x80 <= token[0] < 0xC0
+        self.byte_of = np.zeros(256 + 256, np.uint8)
+        for byte, character in enumerate(alphabet):
+            self.byte_of[ord(character)] = byte
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
@@ -69,13 +76,19 @@ class ByteBpe:
         return [x.offsets for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids.tolist()))
+        """Bytes of the tokens: their printable characters, through the byte table backwards."""
+        characters = "".join(map(self.tokens.__getitem__, ids.tolist()))
+        return self.byte_of[np.frombuffer(characters.encode("utf-16-le"), np.uint16)].tobytes()
+
+    def split(self, ids: np.ndarray) -> int:
+        """How many tokens begin inside a character."""
+        return int(np.count_nonzero(self.inside[ids]))
 
     def decode_stream(self, ids: Iterator[int]) -> Iterator[str]:
         """Text piece by piece; a character whose bytes lie in several tokens comes with its last one."""
         held = b""
         for i in ids:
-            held += self.bytes[i]
+            held += self.decode(np.array([i]))
             cut = len(held)
             for back in range(1, min(4, len(held)) + 1):
                 lead = held[-back]
@@ -105,7 +118,7 @@ def coder(path: str, pattern: str) -> ByteBpe:
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encode and decode the texts of ``docs(doc_id, text)``.
 
-    ``path`` names a rank file that every executor has. Returns ``(doc_id, ids binary, decoded binary)``;
+    ``path`` names a rank file that every executor has. Returns ``(doc_id, ids binary, decoded binary, n_split)``;
     ids are little-endian unsigned 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,11 +130,12 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     b.column("doc_id"),
                     pa.array([x.tobytes() for x in ids], pa.binary()),
                     pa.array([bpe.decode(x) for x in ids], pa.binary()),
+                    pa.array([bpe.split(x) for x in ids], pa.int64()),
                 ],
-                ["doc_id", "ids", "decoded"],
+                ["doc_id", "ids", "decoded", "n_split"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids binary, decoded binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids binary, decoded binary, n_split bigint")
 
 
 def token_offsets(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -146,12 +160,13 @@ def token_offsets(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def digests(encoded: DataFrame) -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of what ``encode`` returns."""
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256, n_split)`` of what ``encode`` returns."""
     return encoded.select(
         "doc_id",
         (F.length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        "n_split",
     )
 
 
