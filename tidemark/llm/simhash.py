@@ -12,10 +12,13 @@ one row from the start, so copies cost nothing.
 
 Rows with the same key come to one task as a sorted stream of 8-byte fingerprints, where each pair's
 distance is verified in blocks; what leaves is a forest of links (at most one row for each
-fingerprint of a key), never the pairs. Components of the forest's union equal those of all links.
+fingerprint of a key), never the pairs. A key with more than ``HOT`` fingerprints leaves that task as blocks of so
+many, and each pair of blocks is a task's work of its own: a fingerprint moves once for each block of its key.
+Components of the forest's union equal those of all links.
 
 Defined results: null text is empty; a text of one to three words has one shingle; no words: fingerprint
-zero; equal fingerprints of different rows are linked; a null doc_id takes part and is the largest.
+zero; a text of any length is read whole; equal fingerprints of different rows are linked, repeated rows too; a null
+doc_id takes part and is the largest; an empty table has no components; other columns are not read.
 """
 
 from __future__ import annotations
@@ -42,6 +45,8 @@ GENERATOR = 0b101011100011
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _PART = 2048
+#: Most fingerprints of a key that one task compares with each other.
+HOT = 1 << 14
 
 
 def text_fingerprint(text: bytes) -> int:
@@ -194,51 +199,98 @@ def forest(fp: np.ndarray) -> np.ndarray:
     return fp[np.array(links, np.int64).reshape(-1, 2)]
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups of equal keys of a stream sorted by key."""
-    key_left, fp_left = np.zeros(0, np.int64), [np.zeros(0, np.int64)]
-
-    def out(found: list[np.ndarray]) -> pa.RecordBatch:
-        links = np.concatenate([np.zeros((0, 2), np.int64), *found])
-        return pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["src", "dst"])
-
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, bool]]:
+    """``(key, fingerprints, whole)`` of a stream sorted by key: a key with more than one fingerprint at once, or in
+    blocks of ``HOT`` where it has more (``whole`` is false then)."""
+    key_left, held, count, cut = None, [], 0, False
     for b in batches:
         key, fp = b.column("key").to_numpy(), b.column("fp").to_numpy()
         if not len(key):
             continue
-        found = []
-        if len(key_left) and key[0] != key_left[0]:
-            group = np.unique(np.concatenate(fp_left))
-            if len(group) > 1:
-                found.append(forest(group))
-            fp_left = []
-        elif not len(key_left):
-            fp_left = []
         ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
         starts = np.append(0, ends[:-1])
-        many = np.flatnonzero((ends - starts > 1) | (np.arange(len(ends)) == 0))
-        for g in many:
-            if g == len(ends) - 1:
-                continue
-            group = fp[starts[g] : ends[g]]
-            if g == 0 and fp_left:
-                group, fp_left = np.concatenate([*fp_left, group]), []
-            if len(group) > 1 and len(group := np.unique(group)) > 1:
-                found.append(forest(group))
-        tail = fp[starts[-1] :]
-        fp_left = [*fp_left, tail] if len(ends) == 1 else [tail]
-        key_left = key[-1:]
-        yield out(found)
-    group = np.unique(np.concatenate(fp_left)) if fp_left else np.zeros(0, np.int64)
-    if len(group) > 1:
-        yield out([forest(group)])
+        if key_left is not None and key[0] != key_left:
+            if held and (cut or count > 1):
+                yield key_left, np.concatenate(held), not cut
+            held, count, cut = [], 0, False
+        for g in np.flatnonzero((ends - starts > 1) | (np.arange(len(ends)) == 0) | (np.arange(len(ends)) == len(ends) - 1)):
+            if g:
+                held, count, cut = [], 0, False
+            held.append(fp[starts[g] : ends[g]])
+            count += int(ends[g] - starts[g])
+            while count > HOT:
+                whole = np.concatenate(held)
+                yield key[starts[g]], whole[:HOT], False
+                held, count, cut = [whole[HOT:]], count - HOT, True
+            if g < len(ends) - 1 and (cut or count > 1):
+                yield key[starts[g]], np.concatenate(held), not cut
+        key_left = key[-1]
+    if held and (cut or count > 1):
+        yield key_left, np.concatenate(held), not cut
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links ``(src, dst)`` of keys that are whole; else rows of ``(src = fingerprint, key, block)``."""
+    key_before, block = None, 0
+    for key, fp, whole in _groups(batches):
+        if whole:
+            fp = np.unique(fp)
+            links = forest(fp) if len(fp) > 1 else np.zeros((0, 2), np.int64)
+            if len(links):
+                yield _rows(links[:, 0], links[:, 1], None, None)
+        else:
+            block = block + 1 if key == key_before else 0
+            key_before = key
+            yield _rows(fp, None, key, block)
+
+
+def _rows(src: np.ndarray, dst: np.ndarray | None, key: int | None, block: int | None) -> pa.RecordBatch:
+    n = len(src)
+
+    def repeated(value: int | None) -> pa.Array:
+        return pa.nulls(n, pa.int64()) if value is None else pa.array(np.full(n, value, np.int64))
+
+    return pa.RecordBatch.from_arrays(
+        [pa.array(src), repeated(None) if dst is None else pa.array(dst), repeated(key), repeated(block)], ["src", "dst", "key", "block"]
+    )
+
+
+def _linked_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of the pairs of blocks of a stream sorted by key, each pair of which has a key of its own."""
+    held, key_left = [], None
+
+    def out() -> Iterator[pa.RecordBatch]:
+        fp = np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64)
+        links = forest(fp)
+        yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["src", "dst"])
+
+    for b in batches:
+        key, fp = b.column("key").to_numpy(), b.column("fp").to_numpy()
+        edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        for low, high in zip(edges, edges[1:], strict=False):
+            if low < high:
+                if key[low] != key_left:
+                    yield from out()
+                    held, key_left = [], key[low]
+                held.append(fp[low:high])
+    yield from out()
 
 
 def link_forest(distinct: DataFrame) -> DataFrame:
     """Links ``(src, dst)`` with the components of all pairs of ``distinct(fp)`` within ``DISTANCE`` bits."""
     keyed = distinct.mapInArrow(_keyed, "key bigint, fp bigint")
     dealt = keyed.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(_linked, "src bigint, dst bigint").distinct()
+    found = materialize(dealt.mapInArrow(_linked, "src bigint, dst bigint, key bigint, block bigint"), "linked")
+    links = found.filter("dst is not null").select("src", "dst")
+    hot = found.filter("dst is null").select("key", "block", F.col("src").alias("fp"))
+    if not hot.isEmpty():
+        blocks = hot.groupBy("key").agg(F.max("block").alias("last"))
+        pairs = hot.join(blocks, "key").select("key", "block", "fp", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("other"))
+        own = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))  # a key that two pairs share costs time only
+        n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        work = pairs.select(own.alias("key"), "fp").repartition(n, "key").sortWithinPartitions("key")
+        links = links.unionByName(work.mapInArrow(_linked_blocks, "src bigint, dst bigint"))
+    return links.distinct()
 
 
 def _named(prints: DataFrame, least: Column) -> DataFrame:
@@ -264,7 +316,8 @@ _ROW, _TEXT, _ALL = (f"__tidemark_{x}" for x in ("row", "text", "all"))
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each component: the first by doc_id (null last), hash of the text and hash of the row.
 
-    Rows have a key of their own, so that those without a doc_id, or with the same one, stay apart.
+    Rows have a key of their own, so that those without a doc_id, or with the same one, stay apart. Equal rows are
+    one group; a null text is an empty one; an empty table stays empty; all columns are kept.
     """
     whole = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
     rows = materialize(docs.withColumn(_ROW, F.monotonically_increasing_id()), "rows")
