@@ -3,8 +3,10 @@ and written as NPY tiles with difference hashes.
 
 The query stores each text's bytes as the samples of a 24-bit picture 64 pixels wide and reads them back.
 
-Defined results: null text is empty; a payload has at least one row of pixels; bytes that are neither
-format raise ``ValueError`` in ``decode_media`` and give null columns in ``media_columns``.
+Defined results: null text is empty; a payload has at least one row of pixels; a text of any length is one picture;
+equal texts have equal values; bytes that are neither format, end early, or have a size or depth of nothing or beyond
+the format raise ``ValueError`` in ``decode_media`` and give null columns in ``media_columns``; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.llm.words import slices
 
@@ -26,7 +29,7 @@ WIDTH = 64
 ROW = WIDTH * 3
 TILE = (16, 16)
 
-_FIELD = re.compile(rb"(?:\s|#[^\n]*\n)*(\d+)")
+_FIELD = re.compile(rb"(?:\s|#[^\n]*\n)*(\d{1,18})(?!\d)")
 
 
 def encode_netpbm(pixels: np.ndarray) -> bytes:
@@ -56,10 +59,12 @@ def _decode_netpbm(data: bytes) -> np.ndarray:
     w, h = fields[:2]
     depth = fields[2] if len(fields) > 2 else 1
     planes = 3 if kind in (3, 6) else 1
+    if w * h == 0 or w * h * planes > 8 * len(data) or not 0 < depth < 1 << 16:
+        raise ValueError("a Netpbm header whose size or depth can't be")
     if kind == 1:
         flat = np.frombuffer(re.sub(rb"[^01]", b"", data[at:]), np.uint8) - ord("0")
     elif kind in (2, 3):
-        flat = np.array(data[at:].split(), np.int64)
+        flat = np.clip([int(x) for x in data[at:].split()[: w * h * planes]], 0, depth)
     elif kind == 4:
         raw = np.frombuffer(data, np.uint8, h * ((w + 7) // 8), at + 1).reshape(h, -1)
         flat = np.unpackbits(raw, axis=1)[:, :w].reshape(-1)
@@ -147,20 +152,21 @@ def media_columns(df: DataFrame, column: str, key: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 64):
             rows = []
-            for data in b.column(column).to_pylist():
+            for data in b.column("data").to_pylist():
                 try:
                     gray = luminance(decode_media(data or b""))
                     rows.append((*gray.shape, npy_tile(gray), difference_hash(gray)))
-                except (ValueError, IndexError, struct.error):
+                except (ValueError, IndexError, OverflowError, struct.error):
                     rows.append((None,) * 4)
             kinds = (pa.int32(), pa.int32(), pa.binary(), pa.string())
             yield pa.RecordBatch.from_arrays(
-                [b.column(key), *[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]],
-                [key, "height", "width", "tile", "dhash"],
+                [b.column("key"), *[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]],
+                ["key", "height", "width", "tile", "dhash"],
             )
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, column).mapInArrow(run, f"{key} {kind}, height int, width int, tile binary, dhash string")
+    fields = StructType.fromDDL("height int, width int, tile binary, dhash string").fields
+    plain = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{column}`").alias("data"))
+    return plain.mapInArrow(run, StructType([plain.schema["key"], *fields])).withColumnRenamed("key", key)
 
 
 def text_media(docs: DataFrame) -> DataFrame:
