@@ -8,19 +8,22 @@ disclosure of e by t is
     log2(n(t, e) N / (n(e) n(t))) / log2(N / n(e)),
 
 the share of the entity's information that the term gives away: 1 if all documents with the term name the
-entity. Terms seen with an entity in ``SUPPORT`` different texts that disclose ``GENERALISE`` of it are
+entity. A term stands near a match if at most ``NEAR - 1`` other terms are between them, whatever else is. Terms are
+runs of three letters or more, or of two that are not ASCII. Terms seen with an entity in ``SUPPORT`` different texts that disclose ``GENERALISE`` of it are
 generalised wherever they stand, from ``REMOVE`` on they are removed.
 
 Counting n(t) reads every document, but moves only terms that may stand near an entity often enough; these are
 told by a bitmap of a fixed size (a full bitmap costs speed, not results, as an exact join follows).
 
-Defined results: null text has no spans; matches of different kinds may overlap, terms never overlap base
-matches; ``sanitise`` replaces overlapping spans as one.
+Defined results: null and empty texts have no spans; the work of a text is in proportion to its length, of any length;
+matches of different kinds may overlap, terms never overlap base matches; ``sanitise`` replaces overlapping spans as
+one, and rows that repeat are each rewritten; an empty table has no terms; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -37,7 +40,7 @@ BASE = 4
 SUPPORT = 2
 GENERALISE = 0.8
 REMOVE = 0.95
-#: Words on each side of a match that stand near it.
+#: Terms on each side of a match that stand near it.
 NEAR = 6
 #: Bits of the bitmap of terms: 2 MiB, whatever the corpus.
 BITMAP = 1 << 24
@@ -48,7 +51,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TERM = re.compile(r"[^\W\d_]{3,}")
+_TERM = re.compile(r"[^\W\d_]{3,}|[^\W\d_A-Za-z]{2}")
 
 
 def _luhn(digits: str) -> bool:
@@ -99,8 +102,16 @@ def _hash(value: str) -> int:
     return xxhash.xxh64_intdigest(value) - (1 << 63)
 
 
-def _outside(spans: list[tuple[int, int, int]], start: int, end: int) -> bool:
-    return not any(s < end and start < e for s, _, e in spans)
+def terms_outside(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """``(start, end)`` of the terms that overlap none of the sorted spans."""
+    found = [m.span() for m in _TERM.finditer(text)]
+    if not spans or not found:
+        return found
+    at = np.array(found)
+    upto = np.maximum.accumulate([e for _, _, e in spans])  # the last end of the spans up to each
+    before = np.searchsorted([s for s, _, _ in spans], at[:, 1], side="left")  # spans that start before the term's end
+    free = np.append(0, upto)[before] <= at[:, 0]
+    return [found[i] for i in np.flatnonzero(free).tolist()]
 
 
 def _near_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,15 +122,14 @@ def _near_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans = base_spans(text or "")
             if not spans:
                 continue
+            terms = terms_outside(text, spans)
+            starts, ends = [s for s, _ in terms], [e for _, e in terms]
             found = set()
             for start, kind, end in spans:
                 e = _hash(entity(kind, text[start:end]))
                 found.add((e, None))
-                width = 24 * NEAR
-                low, high = max(0, start - width), min(len(text), end + width)
-                before = [m for m in _TERM.finditer(text, low, start) if low == 0 or m.start() > low][-NEAR:]
-                after = [m for m in _TERM.finditer(text, end, high) if high == len(text) or m.end() < high][:NEAR]
-                found |= {(e, _hash(m[0].lower())) for m in [*before, *after] if _outside(spans, *m.span())}
+                before, after = bisect_right(ends, start), bisect_left(starts, end)
+                found |= {(e, _hash(text[s:t].lower())) for s, t in [*terms[max(0, before - NEAR) : before], *terms[after : after + NEAR]]}
             mark = _hash(text)
             rows += [(e, t, mark) for e, t in found]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["e", "t", "mark"])
@@ -198,12 +208,9 @@ def _found(shared):
                 text = text or ""
                 spans = base_spans(text)
                 base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
-                found = []
-                for m in _TERM.finditer(text):
-                    h = terms[m[0]]
-                    if h is not None and (not spans or _outside(spans, *m.span())):
-                        found.append({"t": h, "start": m.start(), "end": m.end()})
-                more.append(found)
+                likely_terms = {w for w in set(_TERM.findall(text)) if terms[w] is not None}
+                found = terms_outside(text, spans) if likely_terms else []
+                more.append([{"t": terms[w], "start": s, "end": e} for s, e in found if (w := text[s:e]) in likely_terms])
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("at"), pa.array(base, pa.list_(kinds)), pa.array(more, pa.list_(likely))],
                 ["doc_id", "at", "base", "likely"],
@@ -272,23 +279,19 @@ _ID, _AT, _HASH, _SPANS = (f"__tidemark_{x}" for x in ("id", "at", "hash", "span
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with its ``text`` rewritten, and ``n_chars`` with it where there is such a column."""
     found = find_spans(docs).filter(F.size("spans") > 0).select("doc_id", F.col("at").alias("_at"), "spans").distinct()
-    marked = _joined(docs, found)
     names = docs.columns
+    marked = _joined(docs, found).select(*[F.col(f"`{c}`") for c in names], _SPANS).toDF(*map(str, range(len(names))), _SPANS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            new = [replaced(t, s) for t, s in zip(b.column("text").to_pylist(), b.column(_SPANS).to_pylist(), strict=True)]
-            columns = []
-            for name in names:
-                if name == "text":
-                    columns.append(pa.array(new, pa.string()))
-                elif name == "n_chars":
-                    columns.append(pa.array([None if t is None else len(t) for t in new], pa.int64()))
-                else:
-                    columns.append(b.column(name))
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    return marked.mapInArrow(run, docs.schema)
+            new = [replaced(t, s) for t, s in zip(b.column(names.index("text")).to_pylist(), b.column(_SPANS).to_pylist(), strict=True)]
+            columns = list(b.columns[: len(names)])
+            columns[names.index("text")] = pa.array(new, pa.string())
+            if "n_chars" in names:
+                columns[names.index("n_chars")] = pa.array([None if t is None else len(t) for t in new], pa.int64())
+            yield pa.RecordBatch.from_arrays(columns, list(map(str, range(len(names)))))
+
+    return marked.mapInArrow(run, marked.drop(_SPANS).schema).toDF(*names)
 
 
 def _joined(docs: DataFrame, found: DataFrame) -> DataFrame:
