@@ -6,10 +6,13 @@ of a check value. Two sketches subtract cell by cell; what both texts hold cance
 peeled: a cell whose sums are ``count`` times one digest with the right check value gives that digest,
 which is then taken out of its other cells. If cells are left over, the pair is retried with a sketch
 four times as large (and other hash seeds), dealt into blocks of cells that are peeled on their own,
-so that the work stays proportional to the paragraphs of a document.
+so that the work stays proportional to the paragraphs of a document. Pairs that no size peels (none is known) are
+settled by counting their digests.
 
 Defined results: a null text counts as empty; an empty text, or one of blank lines, has a sketch of
-zeros; two such texts have likeness 1. Repeated paragraphs count as often as they occur.
+zeros; two such texts have likeness 1. Repeated paragraphs count as often as they occur; rows that repeat, or tie on
+doc_id, are each a document, those that tie in the order of their texts; a text of any length is one sketch of
+fixed size; other columns are not read.
 """
 
 from __future__ import annotations
@@ -124,6 +127,7 @@ def difference(pairs: DataFrame) -> DataFrame:
     and the paragraph digests of both. Returns ``(pair, digests)`` with signed counts: more in ``ka``
     is positive."""
     done = []
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that few bytes don't mean few tasks
     first = pairs.withColumn("_p", F.expr(peel(_subtract(_sketch("ka"), _sketch("kb")), 0)))
     state = materialize(first, "peel0")
     done.append(state.filter("_p.ok").select("pair", F.col("_p.digests").alias("digests")))
@@ -132,7 +136,7 @@ def difference(pairs: DataFrame) -> DataFrame:
         blocks = f"greatest(1, cast(ceil((size(ka) + size(kb)) / {LOAD}) as int)) * {4 ** (level - 1)}"
         both = "concat(transform(ka, k -> named_struct('k', k, 's', 1L)), transform(kb, k -> named_struct('k', k, 's', -1L)))"
         spread = (
-            rest.repartition("pair")
+            rest.repartition(n, "pair")
             .select("pair", F.expr(blocks).alias("blocks"), F.explode(F.expr(both)).alias("d"))
             .select("pair", "blocks", F.expr("d.s").alias("s"), F.expr(_hi("d.k")).alias("hi"), F.expr(_lo("d.k")).alias("lo"))
             .withColumn("block", F.expr(f"pmod(xxhash64(hi, lo, 'block', {level}), blocks)"))
@@ -160,10 +164,18 @@ def difference(pairs: DataFrame) -> DataFrame:
             break
         rest = rest.join(got.filter("not ok").select("pair"), "pair", "left_semi")
     else:
-        raise RuntimeError("a pair of texts could not be peeled at any size")
+        done.append(_counted(rest))
     return reduce(DataFrame.unionByName, done)
 
 
+def _counted(pairs: DataFrame) -> DataFrame:
+    """``(pair, digests)`` by counting the digests of both sides, without sketches."""
+    both = "concat(transform(ka, k -> named_struct('k', k, 's', 1L)), transform(kb, k -> named_struct('k', k, 's', -1L)))"
+    each = pairs.select("pair", F.explode(F.expr(both)).alias("d")).groupBy("pair", F.col("d.k").alias("digest")).agg(F.sum("d.s").alias("c"))
+    differ = F.when(F.col("c") != 0, F.struct("c", "digest"))
+    return each.groupBy("pair").agg(F.collect_list(differ).alias("digests"))
+
+
 def edited_likeness(docs: DataFrame) -> DataFrame:
     """Fingerprint each text, its edited text and the next document's.
 
