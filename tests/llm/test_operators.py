@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -132,6 +133,25 @@ def test_op1_difference_gives_the_digests(spark):
     assert got == {(left[x] - right[x], digest[x]) for x in digest if left[x] != right[x]}
 
 
+def test_op1_counting_gives_the_same_digests(spark):
+    a, b = [f"line {i}" for i in range(30)], [f"line {i}" for i in range(9, 40)] + ["line 12"] * 3
+    df = spark.createDataFrame([(1, "\n".join(a), "\n".join(b)), (2, "x", "x"), (3, "x", "y")], "pair long, a string, b string")
+    keyed = df.select("pair", fingerprints.paragraphs(F.col("a")).alias("ka"), fingerprints.paragraphs(F.col("b")).alias("kb"))
+    one, other = ({r.pair: sorted(map(tuple, r.digests)) for r in f(keyed).collect()} for f in (fingerprints.difference, fingerprints._counted))
+    assert one == other and not one[2]
+
+
+def test_op1_ties_on_one_id(spark):
+    df = spark.createDataFrame([(5, f"text {i}") for i in range(40)] + [(None, "none")] * 3, SCHEMA.split(", lang")[0])
+    got = sorted((r.doc_id or 0, r.edited_sha256) for r in fingerprints.edited_likeness(df.repartition(7)).collect())
+    rows = sorted(((5, f"text {i}") for i in range(40)), key=lambda r: r[1]) + [(0, "none")] * 3
+    want = []
+    for i, (k, t) in enumerate(rows):
+        nxt = rows[(i + 1) % len(rows)][1]
+        want.append((k, hashlib.sha256((t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]).encode()).hexdigest()))
+    assert got == sorted(want)
+
+
 def test_op2(docs, rows):
     got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_words, r.n_removed, r.kept_sha256) for r in OPERATORS["op2"](docs).collect())
     seen, want = set(), []
@@ -153,6 +173,30 @@ def test_op2_in_many_batches_is_the_same(docs):
     assert one == many
 
 
+def test_op2_words_are_compared_not_their_hashes(spark):
+    x = "a"  # two words of 1,024 letters that polynomial hashes modulo 2^64 don't tell apart
+    for _ in range(10):
+        x += x.translate(str.maketrans("ab", "ba"))
+    first = [f"w{i}" for i in range(19)]
+    df = spark.createDataFrame([(1, " ".join([*first, x])), (2, " ".join([*first, x.translate(str.maketrans("ab", "ba"))])), (3, " ".join([*first, x]))], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring_index.remove_repeats(df).collect()} == {1: 0, 2: 0, 3: 20}
+
+
+def test_op2_without_ids(spark):
+    texts_ = [" ".join(f"t{i % 7}x{k}" for k in range(30)) for i in range(21)]
+    df = spark.createDataFrame([(None, t) for t in texts_] + [(-9, texts_[0]), (-(2**63), "short")], "doc_id long, text string")
+    got = substring_index.remove_repeats(df).collect()
+    assert sorted(r.n_removed for r in got) == [0] * 8 + [30] * 15
+    assert [(r.n_removed, r.n_words) for r in got if r.doc_id in (-9, -(2**63))] in ([(30, 30), (0, 1)], [(0, 1), (30, 30)]) and sum(r.doc_id is None for r in got) == 21
+
+
+def test_op3_learns_every_language(spark, monkeypatch):
+    monkeypatch.setattr(language, "HELD", 2)
+    data = [(i, chr(0x4E00 + 40 * k) + " " + chr(0x4E01 + 40 * k) * 5, f"l{k:03}") for i, k in enumerate([*range(300), *range(300)])]
+    model = language.fit(spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3))
+    assert len(model.languages) == 300 and [x for x, _ in model.predict([t for _, t, _ in data[:300]])] == [x for _, _, x in data[:300]]
+
+
 def test_op3_learns(docs, spark):
     rnd = random.Random(5)
     kinds = {"aa": ["lorem", "ipsum", "dolor", "amet"], "bb": ["schön", "über", "straße", "nicht"], "cc": ["привет", "мир", "это", "нет"]}
@@ -169,16 +213,37 @@ def test_op4_finds_families(spark):
     plain = [(100 + i, t, "") for i, t in enumerate(texts()) if t and "MIT" not in t]
     both = [(999, "x y z\n" + licences.NOTICES["MIT"][0] + "\nfoo\n" + licences.NOTICES["GPL"][0], "GPL,MIT"), (998, None, "")]
     both.append(both[0])  # a repeated row
-    df = spark.createDataFrame([*notices, *plain, *both], "doc_id long, text string, want string")
-    got = {r.doc_id: r for r in licences.scan(df).collect()}
-    assert {i: got[i].families for i, _, _ in [*notices, *plain, *both]} == {i: f for i, _, f in [*notices, *plain, *both]}
-    assert got[998].n_paragraphs == 0 and got[999].n_licensed == 2
+
+    def wrapped(family, i, before="# "):
+        return "\n".join(before + x for x in textwrap.wrap(licences.NOTICES[family][i], 60))
+
+    # wording that the classifier was not trained on
+    other = [
+        ("This software is distributed under the MIT License.", "MIT"),
+        ("This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License, as the Free Software Foundation published it.", "LGPL"),
+        ("This text is licensed under CC BY-SA 4.0.", "CC-BY-SA"),
+        ("The images are licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "CC-BY-NC"),
+        ("Code: licensed under the Apache License, Version 2.0 (the License); don't use it except in compliance with the License.", "Apache-2.0"),
+        ("This work is licensed under CC BY-ND 4.0.", ""),
+        ("This work is licensed under the European Union Public Licence, version 1.2.", ""),
+        ("The committee licensed the bar until two; copyright and warranty were not discussed.", ""),
+        ("All rights reserved. The software is licensed, not sold, under the terms of the agreement.", ""),
+        ("first lines\n\n" + wrapped("GPL", 2) + "\n\nint main() {}", "GPL"),
+        ("x = 1\n\n" + wrapped("MIT", 3, "// ") + "\n" + wrapped("MIT", 4, "// "), "MIT"),
+        (wrapped("BSD", 2, " * ") + "\n \n" + wrapped("LGPL", 2), "BSD,LGPL"),
+        (wrapped("Apache-2.0", 3), "Apache-2.0"),
+    ]
+    other = [(2000 + i, t, f) for i, (t, f) in enumerate(other)]
+    every = [*notices, *plain, *both, *other]
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(every, "doc_id long, text string, want string")).collect()}
+    assert {(i, t[:60] if t else t): got[i].families for i, t, _ in every} == {(i, t[:60] if t else t): f for i, t, f in every}
+    assert got[998].n_paragraphs == 0 and got[999].n_licensed == 2 and got[2009].n_licensed == 1
 
 
 def test_op5_equals_tiktoken(docs, rows):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})
-    got = sorted(map(repr, map(tuple, OPERATORS["op5"](docs).collect())))
+    got = sorted(map(repr, map(tuple, OPERATORS["op5"](docs).drop("n_split").collect())))
     want = []
     for r in rows:
         ids = np.array(own.encode_ordinary(r[1] or ""), "<u4")
@@ -191,7 +256,11 @@ def test_op5_offsets_and_stream(spark):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     r = byte_bpe.token_offsets(df, path, P.PATTERN).first()
     assert (r.starts[0], r.ends[-1]) == (0, len(text)) and all(a <= b for a, b in zip(r.starts, r.starts[1:]))
-    assert "".join(byte_bpe.coder(path, P.PATTERN).decode_stream(iter(r.ids))) == text
+    own = byte_bpe.coder(path, P.PATTERN)
+    assert "".join(own.decode_stream(iter(r.ids))) == text
+    ranks = {i: t for t, i in byte_bpe.read_ranks(path).items()}
+    inside = [(own.decode(np.array([i]))[0] & 0xC0) == 0x80 for i in r.ids]
+    assert own.split(np.array(r.ids)) == sum(inside) > 0 and all(own.decode(np.array([i])) == ranks[i] for i in [*r.ids, *range(0, len(ranks), 97)])
 
 
 def test_op6(spark):
@@ -328,10 +397,46 @@ def test_op8_forest_and_stream_over_batches():
     assert sorted(map(tuple, simhash.forest(fp).tolist())) and len(simhash.forest(fp)) == 4
     key = np.repeat(np.arange(5), 6)
     data = [pa.RecordBatch.from_arrays([pa.array(key[i : i + 4]), pa.array(np.tile(fp, 5)[i : i + 4])], ["key", "fp"]) for i in range(0, 30, 4)]
-    links = [tuple(x.values()) for b in simhash._linked(iter(data)) for x in b.to_pylist()]
+    links = [(x["src"], x["dst"]) for b in simhash._linked(iter(data)) for x in b.to_pylist()]
     assert len(links) == 20 and len(set(links)) == 4
 
 
+def test_op8_hot_keys_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    seeds = rng.integers(0, 2**63, 30, dtype=np.int64)
+    fps = np.unique([int(s) ^ (1 << int(b)) for s in seeds for b in rng.integers(0, 40, 8)])
+    df = spark.createDataFrame([(int(x),) for x in fps], "fp bigint")
+
+    def parts(links):
+        parent = {int(x): int(x) for x in fps}
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in links:
+            parent[root(a)] = root(b)
+        return {frozenset(y for y in parent if root(y) == root(x)) for x in parent}
+
+    want = parts((int(a), int(b)) for i, a in enumerate(fps) for b in fps[:i] if (int(a) ^ int(b)).bit_count() <= 4)
+    monkeypatch.setattr(simhash, "HOT", 3)
+    import pyarrow as pa
+
+    rows = [(k, x) for k in (1, 2, 3) for x in fps.tolist()]  # three keys that all fingerprints have
+    data = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[lo : lo + 50]]) for i in (0, 1)], ["key", "fp"]) for lo in range(0, len(rows), 50)]
+    out = [x for b in simhash._linked(iter(data)) for x in b.to_pylist()]
+    assert sorted((x["key"], x["src"]) for x in out) == rows and all(x["dst"] is None for x in out)
+    blocks = collections.defaultdict(list)
+    for x in out:
+        blocks[x["key"], x["block"]].append(x["src"])
+    pairs = [(blocks[k, i] + blocks[k, j]) for k, i in blocks for k2, j in blocks if k == k2 and i <= j]
+    data = [pa.RecordBatch.from_arrays([pa.array([n] * len(p)), pa.array(p)], ["key", "fp"]) for n, p in enumerate(pairs)]
+    assert parts((x["src"], x["dst"]) for b in simhash._linked_blocks(iter(data)) for x in b.to_pylist()) == want
+    monkeypatch.undo()
+    assert parts((r.src, r.dst) for r in simhash.link_forest(df).collect()) == want
+
+
 def test_op9(docs, rows):
     got = by_id(media.text_media(docs))
     for r in rows:
@@ -358,6 +463,11 @@ def test_op9_formats(spark):
     df = spark.createDataFrame([(1, bytearray(media.encode_bmp(pixels))), (2, bytearray(b"GIF89a")), (3, None)], "id long, data binary")
     out = {r.id: r for r in media.media_columns(df, "data", "id").collect()}
     assert (out[1].height, out[1].width, len(out[1].dhash)) == (5, 7, 16) and out[2].dhash is None and out[3].tile is None
+    broken = [b"", b"P", b"P5", b"P5 0 4 255\n", b"P6 4 0 255\n", b"P5 2 2 0\nabcd", b"P5 2 2 99999\nabcd", b"P5 9999999999999999999999 2 255\nab", b"P4 99999999 99999999\na"]
+    broken += [b"P2 2 1 9 a b", b"P2 2 1 9 99999999999999999999999 -5", b"P5 3 3 255\nab", b"BM", bytes(encoded[:60]), b"BM" + b"\xff" * 60, b"BM" + bytes(60)]
+    odd = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(broken)], "`the key` long, `a.b` binary")
+    found = {r["the key"]: r.height for r in media.media_columns(odd, "a.b", "the key").collect()}
+    assert {i for i, h in found.items() if h is not None} == {broken.index(b"P2 2 1 9 99999999999999999999999 -5")}
 
 
 BASE = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
@@ -392,6 +502,24 @@ def test_op10_base(docs, rows):
     assert got == sorted(want) and any(x[1] for x in want)
 
 
+def test_op10_terms_outside():
+    rnd = random.Random(8)
+    for _ in range(3000):
+        t = "".join(rnd.choice("abé李 @.x1+") for _ in range(rnd.randrange(60)))
+        spans = sorted((a, 0, a + rnd.randrange(1, 9)) for a in (rnd.randrange(60) for _ in range(rnd.randrange(4))))
+        want = [m.span() for m in disclosure._TERM.finditer(t) if not any(a < m.end() and m.start() < b for a, _, b in spans)]
+        assert disclosure.terms_outside(t, spans) == want
+
+
+def test_op10_near_terms_are_counted_in_words(spark):
+    far = " 1234567890" * 60
+    data = [(i, f"number {i} from Quixley{far} to bob@corp.example{far} 李明 end") for i in range(4)] + [(9 + i, f"another text{i}") for i in range(60)]
+    terms = {r.t for r in disclosure.disclosing_terms(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert {disclosure._hash("quixley"), disclosure._hash("李明")} <= terms
+    long_text = "mail bob@corp.example and name. " * 20_000  # many spans and many terms
+    assert len(disclosure.terms_outside(long_text, disclosure.base_spans(long_text))) == 60_000
+
+
 def test_op10_disclosing_terms(spark):
     data = [(i, f"filler{i} words here then Zorblax writes to bob@corp.example daily and more {i}") for i in range(5)]
     data += [(100 + i, f"nothing in this text{i} and then words") for i in range(60)] + [(300, "Zorblax alone"), (301, None)]
