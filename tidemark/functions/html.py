@@ -10,67 +10,84 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
-_SILENT = {"script", "style", "noscript", "template", "svg", "nav", "header", "footer", "aside", "form", "iframe"}
+from tidemark.functions.text import SOCIAL_HOSTS, URL
+
+_SILENT = {"script", "style", "nav", "header", "footer", "aside"}
 _TEXT = {"p", "li", "blockquote", "h2", "h3"}
-_VOID = {"br", "img", "hr", "input", "meta", "link", "source", "wbr", "area", "base", "col", "embed", "param", "track"}
-TEXT_LIMIT, SUMMARY_LIMIT = 20_000, 500
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements that end an open paragraph when they begin.
+_BLOCK = _HEADINGS | {"p", "li", "ul", "ol", "blockquote", "div", "table", "section", "article", "pre"}
+TEXT_LIMIT, SUMMARY_LIMIT, DESCRIPTION_LEAST, DESCRIPTION_LIMIT, MOST_LINKS = 20_000, 500, 50, 300, 10
 
 
 class _Page(HTMLParser):
-    """One pass that gathers everything the functions below need."""
+    """One pass that gathers everything the functions below need. An element's text is that of all elements in it."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.silent, self.open = 0, []
-        self.blocks: list[tuple[str, str]] = []  # tag, text
+        self.blocks: list[tuple[str, list[str]]] = []  # tag and pieces of text, in the order in which they begin
         self.links: list[tuple[str, str]] = []
         self.meta: dict[str, str] = {}
-        self.title, self.lang, self.heading = "", "", ""
+        self.title: list[str] | None = None
         self._link: list | None = None
 
+    def _begin(self, tag: str) -> None:
+        if tag in _BLOCK:
+            self._end("p")
+        if tag == "li":
+            self._end("li", {"ul", "ol"})
+        block = (tag, [])
+        self.open.append(block)
+        if tag in _TEXT or tag in _HEADINGS:
+            self.blocks.append(block)
+        elif tag == "title" and self.title is None:
+            self.title = block[1]
+
+    def _end(self, tag: str, within: frozenset | set = frozenset()) -> None:
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] == tag:
+                del self.open[i:]
+                return
+            if self.open[i][0] in within:
+                return
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = {k: v or "" for k, v in attrs}
-        if tag == "html":
-            self.lang = a.get("lang", "")
-        if tag == "meta" and "content" in a:
+        if tag == "meta" and a.get("content"):
             self.meta.setdefault((a.get("property") or a.get("name") or "").lower(), a["content"])
-        if tag in _VOID:
-            if tag == "br" and self.open:
-                self.open[-1][1].append("\n")
-            return
         if tag in _SILENT:
             self.silent += 1
-        elif tag in _TEXT or tag in ("h1", "title", "pre", "td", "th"):
-            self.open.append((tag, []))
-        elif tag == "a" and a.get("href") and not self.silent:
-            self._link = [a["href"], []]
+        elif self.silent:
+            return
+        elif tag in _BLOCK or tag == "title":
+            self._begin(tag)
+        elif tag == "a" and a.get("href"):
+            self._link = [a["href"].strip(), []]
+            self.links.append(self._link)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in _SILENT:
             self.silent = max(0, self.silent - 1)
-        elif tag == "a" and self._link:
-            self.links.append((self._link[0], _squeeze("".join(self._link[1]))))
+        elif self.silent:
+            return
+        elif tag == "a":
             self._link = None
-        elif any(t == tag for t, _ in self.open):
-            while self.open:
-                name, parts = self.open.pop()
-                text = _squeeze("".join(parts))
-                if text and name == "title":
-                    self.title = self.title or text
-                elif text:
-                    if name == "h1":
-                        self.heading = self.heading or text
-                    self.blocks.append((name, text))
-                if name == tag:
-                    break
+        elif tag in _BLOCK or tag == "title":
+            self._end(tag)
 
     def handle_data(self, data: str) -> None:
-        if self.silent:
+        piece = data.strip()
+        if self.silent or not piece:
             return
-        if self.open:
-            self.open[-1][1].append(data)
+        for _, parts in self.open:
+            parts.append(piece)
         if self._link:
-            self._link[1].append(data)
+            self._link[1].append(piece)
+
+    def first(self, tag: str, between: str = "") -> str:
+        """Text of the first element that has any."""
+        return next((x for t, parts in self.blocks if t == tag and (x := between.join(parts))), "")
 
 
 def _squeeze(text: str) -> str:
@@ -84,11 +101,28 @@ def parse(html: str | None) -> _Page:
     return page
 
 
+def followed(urls: list[str]) -> list[str]:
+    """The first different http(s) URLs whose hosts are followed."""
+    out: dict[str, None] = {}
+    for url in map(str.strip, urls):
+        host = re.match(r"https?://(?:[^/?#@]*@)?(?:www\.)?([^/?#:]*)", url, re.IGNORECASE)
+        if url.startswith(("http://", "https://")) and host and host[1].lower() not in SOCIAL_HOSTS and len(out) < MOST_LINKS:
+            out.setdefault(url)
+    return list(out)
+
+
 def text_of(html: str | None) -> dict:
-    """Title (first h1, else title), text of the text blocks, its start, and the links."""
+    """Title (first h1, else title), text of the text blocks, the first of them, and the links followed."""
     page = parse(html)
-    text = "\n".join(t for tag, t in page.blocks if tag in _TEXT)[:TEXT_LIMIT]
-    return {"title": page.heading or page.title, "text": text, "summary": text[:SUMMARY_LIMIT], "links": list(dict.fromkeys(h for h, _ in page.links))}
+    blocks = [x for tag, parts in page.blocks if tag in _TEXT and (x := " ".join(parts))]
+    text = "\n\n".join(blocks)
+    found = [re.sub(r"[.,;:!?]+$", "", u) for u in re.findall(URL, text)]
+    return {
+        "title": page.first("h1") or "".join(page.title or []),
+        "text": text[:TEXT_LIMIT],
+        "summary": blocks[0][:SUMMARY_LIMIT] if blocks else "",
+        "links": followed([h for h, _ in page.links] + found),
+    }
 
 
 def fragment_text(html: str | None) -> str:
@@ -98,26 +132,30 @@ def fragment_text(html: str | None) -> str:
 
 def markdown_of(html: str | None) -> str:
     """Headings, list items, quotes and paragraphs as Markdown."""
-    marks = {"h1": "# ", "h2": "## ", "h3": "### ", "li": "- ", "blockquote": "> "}
-    return "\n\n".join(marks.get(tag, "") + t for tag, t in parse(html).blocks)
+    marks = {"h1": "# ", "h2": "## ", "h3": "### ", "h4": "#### ", "li": "- ", "blockquote": "> ", "p": ""}
+    return "\n\n".join(marks[tag] + x for tag, parts in parse(html).blocks if tag in marks and (x := "".join(parts)))
 
 
 def meta_of(html: str | None) -> dict:
-    """Title, description, image and language: OpenGraph first, then Twitter cards, then plain tags."""
+    """Title, description and language of a page, and its card: OpenGraph, else Twitter."""
     page = parse(html)
     m = page.meta
 
     def first(*names: str) -> str | None:
         return next((m[n] for n in names if m.get(n)), None)
 
+    start = page.first("p")
     return {
-        "title": first("og:title", "twitter:title") or page.title or None,
-        "description": first("og:description", "twitter:description", "description"),
-        "image": first("og:image", "twitter:image"),
-        "lang": page.lang or None,
+        "title": first("og:title") or "".join(page.title or []) or page.first("h1") or None,
+        "description": first("og:description", "description") or (start[:DESCRIPTION_LIMIT] if len(start) > DESCRIPTION_LEAST else None),
+        "lang": "ru" if any(ord(c) > 127 for c in (html or "")[:200]) else "en",
+        **{f"og_{k}": first(f"og:{k}", *([f"twitter:{k}"] if k in ("title", "description", "image") else [])) for k in _CARD},
     }
 
 
+_CARD = ("title", "description", "image", "url", "type", "site_name")
+
+
 def _column(function: Callable, kind: str, html: Column) -> Column:
     if kind == "string":
 
@@ -148,4 +186,4 @@ def fragment_column(html: Column) -> Column:
 
 
 def meta_column(html: Column) -> Column:
-    return _column(meta_of, "struct<title:string,description:string,image:string,lang:string>", html)
+    return _column(meta_of, "struct<" + ",".join(f"{x}:string" for x in ("title", "description", "lang", *[f"og_{k}" for k in _CARD])) + ">", html)

@@ -73,11 +73,22 @@ def category_column(value: Column) -> Column:
 
 def valence(value: Column) -> Column:
     low = F.lower(F.trim(value))
-    return F.when(low.isin("positive", "negative", "neutral"), low).when(low.startswith("pos"), "positive").when(low.startswith("neg"), "negative").otherwise("neutral")
+    return F.when(low.isin("positive", "negative", "neutral"), low).otherwise("neutral")
+
+
+#: Kinds of signals.
+SIGNAL_TYPES = (
+    "growth", "failure", "launch", "closure", "regulation", "adoption", "rejection", "delay", "recall", "lawsuit", "partnership", "investment", "policy", "other",
+)
+
+
+def signal_type(value: Column) -> Column:
+    low = F.lower(F.trim(value))
+    return F.when(low.isin(*SIGNAL_TYPES), low).otherwise("other")
 
 
 def confidence(value: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(value.try_cast("double"), F.lit(0.5))))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(value.try_cast("double"), F.lit(0.0))))
 
 
 def valid_concepts(concepts: Column, most: int = 10) -> Column:

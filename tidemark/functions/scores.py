@@ -32,7 +32,7 @@ def freshness_boost(hours: Column) -> Column:
 
 def source_freshness(hours: Column) -> Column:
     """Of a source by its newest post."""
-    return steps(hours, [(24, 1.0), (72, 0.8), (168, 0.55), (336, 0.3)], 0.15, 0.2)
+    return steps(hours, [(24, 1.0), (72, 0.8), (168, 0.55), (720, 0.3)], 0.15, 0.2)
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -129,15 +129,21 @@ def alert_reason(docs: Column, sources: Column, score: Column, recent_change: Co
     return F.when(enough & (score >= 0.8), "high_score").when(enough & recent_change & (score >= 0.74) & (strength >= 0.7), "change_point")
 
 
-def lifecycle(last_seen_hours: Column, age_hours: Column, cooling: float = 48, archived: float = 336) -> Column:
+def lifecycle(state: Column, touched: Column, idle_hours: Column, cooling: float = 48, archived: float = 336) -> Column:
+    """The state of a cluster after a run: those that the run didn't touch cool down, then are archived."""
     return (
-        F.when(last_seen_hours >= archived, "archived").when(last_seen_hours >= cooling, "cooling").when(age_hours < 24, "new").otherwise("active")
+        F.when(touched, state).when(idle_hours > archived, "archived").when((idle_hours > cooling) & (state != "archived"), "cooling").otherwise(state)
     )
 
 
+def fading(stage: Column, touched: Column, idle_hours: Column) -> Column:
+    """The stage of a signal after a run: those that it didn't touch fade after seven days."""
+    return F.when(~touched & (idle_hours > 168), "fading").otherwise(stage)
+
+
 def external_strength(results: Column, most: int, hosts: Column, mean_score: Column) -> Column:
-    """Coverage of a topic elsewhere."""
-    return F.least(F.lit(1.0), 0.55 * results / max(most, 1) + 0.30 * ratio(hosts, results) + 0.15 * F.least(mean_score / 3, F.lit(1.0)))
+    """Coverage of a topic elsewhere: ``results`` of ``most`` asked for, from so many different hosts."""
+    return F.least(F.lit(1.0), 0.55 * results / max(most, 1) + 0.30 * hosts / max(most, 1) + 0.15 * F.least(mean_score / 3, F.lit(1.0)))
 
 
 def gap(external: Column, frequency: Column) -> Column:
@@ -146,7 +152,10 @@ def gap(external: Column, frequency: Column) -> Column:
 
 
 #: Cues of first-of-April posts.
-APRIL_CUES = ("april fool", "april 1st joke", "первоапрельск", "1 апреля", "розыгрыш")
+APRIL_CUES = (
+    "april fool", "april fools", "1 april", "1st april", "first of april", "prank", "joke", "gotcha", "satire", "satirical", "hoax",
+    "шутка", "розыгрыш", "первоапрель", "1 апреля", "первое апреля", "сатира",
+)
 
 
 def april_joke(published: Column, title: Column, content: Column) -> Column:

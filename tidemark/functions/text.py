@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 #: Query parameters that only track, by prefix.
-TRACKED_PREFIXES = ("utm_", "ref", "fbclid", "gclid", "mc_", "spm")
-#: Hosts of social networks and messengers, which are not followed.
-SOCIAL_HOSTS = (
-    "t.me", "telegram.me", "twitter.com", "x.com", "facebook.com", "instagram.com", "vk.com", "youtube.com", "youtu.be",
-    "linkedin.com", "tiktok.com",
+TRACKED_PREFIXES = ("utm_", "rss", "ref", "source", "fbclid", "gclid")
+#: Hosts whose links are not followed, with or without ``www.``.
+SOCIAL_HOSTS = ("t.me", "telegram.me", "telegram.dog", "twitter.com", "x.com")
+#: Query parameters, parts of hosts and hosts that results of a search may not have.
+TRACKING_KEYS = ("fbclid", "gclid", "mc_cid", "mc_eid", "ref", "ref_src", "source", "spm", "yclid", "_ga")
+BLOCKED_PARTS = ("1337x", "casino", "porn", "torrent", "xvideos", "xnxx")
+PRIVATE_HOSTS = (
+    "127.0.0.1", "0.0.0.0", "admin", "crawl4ai", "localhost", "neo4j", "postgres", "qdrant", "redis", "searxng", "worker", "xray",
 )
+#: Addresses of private, local or reserved networks.
+PRIVATE_ADDRESS = (
+    r"^((0|10|127|2[4-9]\d)\.\d+|192\.168|169\.254|172\.(1[6-9]|2\d|3[01])|198\.1[89])\.\d+\.\d+$"
+    r"|^(192\.0\.[02]|198\.51\.100|203\.0\.113)\.\d+$"
+)
 TERM = r"[A-Za-zА-Яа-я0-9][A-Za-zА-Яа-я0-9\-_]{2,}"
 URL = r"https?://[^\s<>\"'\)\]]+"
 _NAMESPACE_URL = "6ba7b8119dad11d180b400c04fd430c8"
@@ -49,7 +57,7 @@ def preview(text: Column, n: int) -> Column:
 def urls(text: Column, limit: int | None = 10) -> Column:
     """The first different URLs whose hosts are not social ones, trailing punctuation removed; all without a limit."""
     found = F.transform(F.regexp_extract_all(text, F.lit(URL), F.lit(0)), lambda u: F.regexp_replace(u, r"[.,;:!?]+$", ""))
-    kept = F.filter(found, lambda u: ~_host(u).isin(*SOCIAL_HOSTS))
+    kept = F.filter(found, lambda u: ~host(u).isin(*SOCIAL_HOSTS))
     every = F.array_distinct(kept)
     return every if limit is None else F.slice(every, 1, limit)
 
@@ -63,6 +71,11 @@ def host(url: Column) -> Column:
     return F.regexp_replace(_host(url), r"^www\.", "")
 
 
+def netloc(url: Column) -> Column:
+    """Host in lower case with its ``www.`` and port; empty if there is none."""
+    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1))
+
+
 def _query(url: Column) -> Column:
     return F.regexp_extract(url, r"\?([^#]*)", 1)
 
@@ -96,11 +109,21 @@ def crawl_url(url: Column) -> Column:
 
 
 def safe_url(url: Column) -> Column:
-    """The URL without tracking and trailing slash, or null if it isn't public http(s)."""
-    h = _host(url)
-    private = h.rlike(r"^(localhost|127\.|10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.|169\.254\.|0\.0\.0\.0$)|\.local$|\.internal$")
-    clean = F.regexp_replace(canonical_url(url), r"/(\?|$)", "$1")
-    return F.when(F.lower(url).rlike("^https?://[^/]") & ~private, clean)
+    """A search result's URL without tracking, empty parameters, fragment and trailing slash; null if it isn't
+    http(s), or its host is private or blocked."""
+    raw, h = F.trim(url), _host(F.trim(url))
+    blocked = h.isin(*PRIVATE_HOSTS) | h.rlike(PRIVATE_ADDRESS)
+    for part in BLOCKED_PARTS:
+        blocked = blocked | h.contains(part)
+    scheme = F.lower(F.regexp_extract(raw, r"^([A-Za-z]+)://", 1))
+    path = F.regexp_replace(F.regexp_extract(raw, r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1), "/+$", "")
+    base = F.concat(scheme, F.lit("://"), F.regexp_extract(raw, r"^[A-Za-z]+://([^/?#]*)", 1), F.when(path == "", "/").otherwise(path))
+
+    def kept(pair: Column) -> Column:
+        name = F.lower(F.split_part(pair, F.lit("="), F.lit(1)))
+        return pair.rlike("^[^=]+=.") & ~name.startswith("utm_") & ~name.isin(*TRACKING_KEYS)
+
+    return F.when(scheme.isin("http", "https") & (h != "") & ~blocked, _rebuilt(base, F.filter(F.split(_query(raw), "&"), kept)))
 
 
 def external_id(guid: Column, url: Column, title: Column, published: Column) -> Column:
@@ -110,8 +133,9 @@ def external_id(guid: Column, url: Column, title: Column, published: Column) ->
 
 
 def detected_language(text: Column) -> Column:
-    """``ru`` if the first 300 characters hold a Cyrillic letter, else ``en``."""
-    return F.when(F.left(text, F.lit(300)).rlike("[А-Яа-яЁё]"), F.lit("ru")).otherwise(F.lit("en"))
+    """``ru`` if the first 300 characters hold a Cyrillic letter, else ``en``; ``unknown`` if there is no text."""
+    body = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    return F.when(body == "", "unknown").when(F.left(body, F.lit(300)).rlike("[\u0400-\u04FF]"), "ru").otherwise("en")
 
 
 def passes_keywords(text: Column, include: list[str], exclude: list[str]) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark import views as V
-from tidemark.functions import scores as S, text as tx
+from tidemark.functions import intents, scores as S, text as tx
 from tidemark.operators import ranking
 
 
@@ -52,10 +52,11 @@ def member_update(spark, d):
 
 
 def fading_update(spark, d):
-    """Trends unseen for a year become fading unless they already ended."""
-    old = F.col("detected_at") < F.lit("2000-01-01").cast("timestamp_ntz")
-    t = V.trends(spark, d).withColumn("stage", F.when(old & F.col("stage").isin("emerging", "weak"), "fading").otherwise(F.col("stage")))
-    return t.groupBy("workspace", "stage").agg(F.count("*").alias("n"))
+    """Trends after a run: those that it didn't touch (here of even key) and that were last seen over a week ago fade."""
+    now = F.lit("1998-08-01").cast("timestamp_ntz")
+    t = V.trends(spark, d)
+    stage = S.fading(F.col("stage"), F.col("cluster_key") % 2 == 1, V.hours_before(F.col("detected_at"), now))
+    return t.groupBy("workspace", stage.alias("stage")).agg(F.count("*").alias("n"))
 
 
 def retry_increment(spark, d):
@@ -87,10 +88,10 @@ def relevance_gate(spark, d):
 
 
 def topic_overlap(spark, d):
-    """Posts that share a third of a topic's words; topics are the benchmark's items, a list that doesn't grow."""
+    """Posts that share a third of a topic's words, of all words of both; topics are the benchmark's items."""
 
     def words(df: DataFrame, key: str, text: str) -> DataFrame:
-        return df.select(key, F.explode(F.array_distinct(F.slice(tx.terms(F.col(text)), 1, 12))).alias("w"))
+        return df.select(key, F.explode(F.array_distinct(tx.terms(F.col(text)))).alias("w"))
 
     topics = words(V.table(spark, d, "benchmark").select(F.col("item_id").alias("topic"), "text"), "topic", "text")
     sizes = topics.groupBy("topic").agg(F.count("*").alias("size"))
@@ -99,11 +100,11 @@ def topic_overlap(spark, d):
 
 
 def query_intents(spark, d):
-    """Days back and time range that users' questions imply: the first number in them, else thirty days."""
+    """What users' questions ask for: region, days back, kinds of signals, counter-signals and how sure that is."""
     u = V.table(spark, d, "conversations").filter("role = 'user'")
-    n = F.coalesce(F.regexp_extract("text", r"(\d{1,3})", 1).try_cast("int"), F.lit(30))
-    days = F.greatest(F.lit(1), F.least(F.lit(365), n))
-    return u.groupBy(S.days_to_range(days).alias("time_range")).agg(F.count("*").alias("questions"), F.max(days).alias("most_days"))
+    asked = intents.parse(F.col("text"), F.lit(30))
+    rows = u.select("conv_id", "turn", *[c.alias(n) for n, c in asked.items()])
+    return rows.select("conv_id", "turn", "source_region", "days_back", S.days_to_range(F.col("days_back")).alias("time_range"), F.array_join("signal_types", ",").alias("signal_types"), "wants_counter", "confidence")
 
 
 def document_concepts(spark, d):
@@ -139,6 +140,16 @@ QUERIES = {
 }
 _TITLE = "nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '')"
 _HOST = r"regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)), '^www\.', '')"
+
+
+def _any(words: tuple[str, ...]) -> str:
+    return "(" + " or ".join(f"contains(t, '{w}')" for w in words) + ")"
+
+
+OVERLAP = f"""{V.POSTS}, tw as (select item_id as topic, unnest(list_distinct(regexp_extract_all(lower(text), '{tx.TERM}'))) as w from benchmark),
+    pw as (select post_id, unnest(list_distinct(regexp_extract_all(lower(content), '{tx.TERM}'))) as w from posts), ts as (select topic, count(*) as size from tw group by 1),
+    os as (select topic, post_id, count(*) as shared from pw join tw using (w) group by all),
+    shares as (select topic, post_id, round(shared / size, 6) as overlap from os join ts using (topic) where round(shared / size, 6) >= 0.34)"""
 ORACLES = {
     "vision_search": r"""with c as (select *, '{"role":"' || role || '","turn":' || turn || '}' as data from conversations)
         select conv_id, turn, data, left(trim(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), 120) as preview from c
@@ -149,25 +160,31 @@ ORACLES = {
     "label_union": f"with {V.CONCEPTS} select name, array_to_string(list_sort(list(distinct category)), ',') as categories, max(weight) as weight from concepts group by name",
     "null_safe_match": """with e as (select event_id, case when user_id % 5 <> 0 then event_type end as workspace from events) select workspace, count(*) as running, count(*) as jobs from e group by 1""",
     "member_update": f"""with {V.POSTS} select post_id, case when post_id in (select l_suppkey from lineitem) then 'clustered' else status end as status from posts""",
-    "fading_update": f"""with {V.TRENDS} select workspace, case when detected_at < timestamp '2000-01-01' and stage in ('emerging', 'weak') then 'fading' else stage end as stage, count(*) as n from trends group by all""",
+    "fading_update": f"""with {V.TRENDS} select workspace, case when cluster_key % 2 = 0 and detected_at < timestamp '1998-08-01' - interval 7 day and stage <> 'fading' then 'fading' else stage end as stage, count(*) as n
+        from trends group by all""",
     "retry_increment": """with e as (select event_type = 'error' as f, cast(event_id % 6 as int) + case when event_type = 'error' then 1 else 0 end as retries from events)
         select case when f and retries >= 5 then 'failed' when f then 'pending' else 'done' end as status, retries, count(*) as n from e group by all""",
     "safe_urls": rf"""with p as (select page_id, case when page_id % 9 = 0 then 'http://192.168.0.1/' || page_id else url end as url from pages),
-        c as (select page_id, url, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)) || regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) as base,
-            list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda q: q <> '' and not regexp_matches(lower(split_part(q, '=', 1)), '^(utm_|ref|fbclid|gclid|mc_|spm)')) as pairs from p)
-        select page_id, case when page_id % 9 <> 0 then regexp_replace(case when len(pairs) = 0 then base else base || '?' || array_to_string(pairs, '&') end, '/(\?|$)', '\1') end as safe,
+        c as (select page_id, url, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)
+            || coalesce(nullif(rtrim(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/'), ''), '/') as base,
+            list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda q: regexp_matches(q, '^[^=]+=.') and not starts_with(lower(q), 'utm_')
+                and lower(split_part(q, '=', 1)) not in ({", ".join(f"'{x}'" for x in tx.TRACKING_KEYS)})) as pairs from p)
+        select page_id, case when page_id % 9 <> 0 and not regexp_matches({_HOST}, '{"|".join(tx.BLOCKED_PARTS)}') then case when len(pairs) = 0 then base else base || '?' || array_to_string(pairs, '&') end end as safe,
             {_HOST} in ({", ".join(f"'{x}'" for x in tx.SOCIAL_HOSTS)}) as social from c""",
     "vision_routing": """select case when page_id % 11 = 0 then 'mode off' when not contains(html, '<article>') then 'no picture' when length(html) > 4000 then 'too large' when length(html) < 1500 then 'too small'
         else 'look' end as decision, count(*) as pages from pages group by 1""",
     "relevance_gate": f"""with {V.POSTS}, p as (select case when post_id % 4 = 0 then 'other' else 'technology' end as category, relevance - post_id % 3 * 0.04::double as score from posts)
         select category, count(*) filter (where score >= 0.6 or (category <> 'other' and score >= 0.6::double - 0.1::double)) as kept, count(*) filter (where abs(round(score, 6) - 0.6::double) <= 0.1::double) as reviewed,
         count(*) as n from p group by 1""",
-    "topic_overlap": f"""with {V.POSTS}, t as (select item_id as topic, unnest(list_distinct(list_slice(regexp_extract_all(lower(text), '{tx.TERM}'), 1, 12))) as w from benchmark),
-        p as (select post_id, unnest(list_distinct(list_slice(regexp_extract_all(lower(content), '{tx.TERM}'), 1, 12))) as w from posts), s as (select topic, count(*) as size from t group by 1),
-        o as (select topic, post_id, count(*) as shared from p join t using (w) group by all)
-        select topic, post_id, round(shared / size, 6) as overlap from o join s using (topic) where round(shared / size, 6) >= 0.34""",
-    "query_intents": r"""with q as (select greatest(1, least(365, coalesce(try_cast(regexp_extract(text, '(\d{1,3})', 1) as int), 30))) as n from conversations where role = 'user')
-        select case when n <= 1 then 'day' when n <= 7 then 'week' when n <= 31 then 'month' else 'year' end as time_range, count(*) as questions, max(n) as most_days from q group by 1""",
+    "topic_overlap": f"with {OVERLAP} select * from shares",
+    "query_intents": f"""with q as (select conv_id, turn, lower(text) as t, try_cast(regexp_extract(lower(text), '{intents.DAYS}', 1) as int) as n from conversations where role = 'user'),
+        r as (select *, {_any(intents.RUSSIA)} as ru, {_any(intents.WORLD)} as gl, {_any(intents.COUNTER)} as wants_counter,
+            list_slice(list_filter([{", ".join(f"case when {_any(words)} then '{kind}' end" for kind, words in intents.SIGNAL_TYPES.items())}], lambda x: x is not null), 1, 3) as kinds,
+            case when n is not null then greatest(1, least(365, n)) {" ".join(f"when {_any(words)} then {days}" for words, days in intents.SPANS)} else 30 end as days_back from q)
+        select conv_id, turn, case when ru then 'ru' when gl then 'global' end as source_region, cast(days_back as int) as days_back,
+            case when days_back <= 1 then 'day' when days_back <= 7 then 'week' when days_back <= 31 then 'month' else 'year' end as time_range, array_to_string(kinds, ',') as signal_types, wants_counter,
+            round(cast(least(0.95, 0.35 + case when ru or gl then 0.15 else 0 end + case when len(kinds) > 0 then 0.2 else 0 end + case when wants_counter then 0.15 else 0 end
+                + case when days_back <> 30 then 0.05 else 0 end) as double), 2) as confidence from r""",
     "document_concepts": f"""with {V.CONCEPTS}, c as (select doc_id, name, max(weight) as weight from concepts group by all), r as (select *, row_number() over (partition by doc_id order by weight desc, name) as r from c)
         select doc_id, string_agg(name, ',' order by r) as concepts, count(*) filter (where weight >= 3) as tags from r where r <= 10 group by doc_id""",
     "workspace_brief": f"""with {V.TRENDS}, k as (select workspace, count(*) filter (where stage = 'stable') as stable, count(*) filter (where stage in ('weak', 'emerging')) as emerging from trends group by 1),

@@ -98,7 +98,7 @@ def backfill_window(spark, d):
 
 
 _CANON = r"""c as (select page_id, url, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)) || regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) as base,
-    list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda p: p <> '' and not regexp_matches(lower(split_part(p, '=', 1)), '^(utm_|ref|fbclid|gclid|mc_|spm)')) as pairs,
+    list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda p: p <> '' and not regexp_matches(lower(split_part(p, '=', 1)), '^(utm_|rss|ref|source|fbclid|gclid)')) as pairs,
     list_sort(list_filter(string_split(regexp_extract(lower(trim(url)), '\?([^#]*)', 1), '&'), lambda p: p <> '')) as sorted from pages)"""
 _CANONICAL = "case when len(pairs) = 0 then base else base || '?' || array_to_string(pairs, '&') end"
 
@@ -117,7 +117,7 @@ ORACLES = {
         regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)), '^www\.', '') as host from c""",
     "url_extract": rf"""with raw as (select page_id, unnest(regexp_extract_all(url || ' ' || html, '{tx.URL.replace("'", "''")}')) as u, generate_subscripts(regexp_extract_all(url || ' ' || html, '{tx.URL.replace("'", "''")}'), 1) as i from pages),
         f as (select page_id, regexp_replace(u, '[.,;:!?]+$', '') as url, min(i) as i from raw group by all),
-        k as (select * from f where lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)) not in ({", ".join(f"'{x}'" for x in tx.SOCIAL_HOSTS)})),
+        k as (select * from f where regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)), '^www[.]', '') not in ({", ".join(f"'{x}'" for x in tx.SOCIAL_HOSTS)})),
         r as (select page_id, url, row_number() over (partition by page_id order by i) as r from k)
         select page_id, url from r where r <= 10""",
     "digest_ids": f"""with {V.POSTS}, k as (select post_id, concat_ws('|', source_id, cast(post_id as varchar)) as k from posts)
@@ -131,7 +131,7 @@ ORACLES = {
         n as (select workspace, term, count(*) as n from w group by all), r as (select *, cast(row_number() over (partition by workspace order by n desc, term) as int) as rank from n)
         select * from r where rank <= 8""",
     "plaintext_candidates": "select page_id, regexp_matches(html, '<[^>]+>') as has_tags, contains(html, '&amp;') or contains(html, '&#') as has_entities from pages",
-    "detected_languages": f"""with {V.POSTS} select workspace, case when regexp_matches(left(content, 300), '[А-Яа-яЁё]') then 'ru' else 'en' end as detected, count(*) as n from posts group by all""",
+    "detected_languages": f"""with {V.POSTS} select workspace, case when coalesce(trim(content), '') = '' then 'unknown' when regexp_matches(left(ltrim(content), 300), '[Ѐ-ӿ]') then 'ru' else 'en' end as detected, count(*) as n from posts group by all""",
     "json_paths": "select cast(try_cast(json_extract_string(props, '$.k') as int) % 10 as int) as k, count(*) as n, round(avg(value), 6) as avg_value from events group by 1",
     "ordered_dedupe": f"with {V.POSTS} select md5(content) as digest, min(post_id) as post_id, count(*) as copies from posts group by 1",
     "seen_ids_window": f"""with {V.POSTS}, r as (select *, row_number() over (partition by source_id order by published_at desc, post_id desc) as r from posts where source_id is not null)

@@ -82,7 +82,7 @@ SOURCE_HEALTH = f"""with {V.SOURCES}, {V.POSTS}, {V.CRAWLS}, {V.SOURCE_RUNS}, {_
         from sources s left join run_counts using (source_id) left join latest_run l using (source_id) left join yields using (source_id)),
     q as (select *, greatest(0, least(1, 0.7 * success / greatest(success + errors, 1) + 0.3 * e / greatest(f, 1))) as health,
         greatest(0, least(1, 0.6 * relevant + 0.2 * least(tags / 5, 1) + 0.2 * linked)) as yield_,
-        case when h is null then 0.2 when h <= 24 then 1 when h <= 72 then 0.8 when h <= 168 then 0.55 when h <= 336 then 0.3 else 0.15 end as fresh,
+        case when h is null then 0.2 when h <= 24 then 1 when h <= 72 then 0.8 when h <= 168 then 0.55 when h <= 720 then 0.3 else 0.15 end as fresh,
         errors / greatest(success + errors, 1) as share from j)
     select source_id, kind, cast(success as bigint) as success, cast(errors as bigint) as errors, last_status, round(cast(health as double), 5) as runtime_health,
         round(cast(yield_ as double), 5) as yield_score, round(cast(fresh as double), 5) as freshness,
@@ -237,7 +237,7 @@ ORACLES = {
     "media_unnest_counts": rf"""with {V.POSTS}, {V.CRAWLS}, raw as (select post_id, workspace, unnest(regexp_extract_all(content, '{tx.URL.replace("'", "''")}')) as u from posts),
         f as (select distinct post_id, workspace, regexp_replace(u, '[.,;:!?]+$', '') as url from raw),
         h as (select post_id, workspace, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)) as host from f
-              where lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)) not in ({", ".join(f"'{x}'" for x in tx.SOCIAL_HOSTS)})
+              where regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)), '^www[.]', '') not in ({", ".join(f"'{x}'" for x in tx.SOCIAL_HOSTS)})
               union all select post_id, 'page', lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)) from crawls),
         g as (select post_id, workspace, regexp_replace(host, '^www\.', '') as host from h)
         select host, count(distinct post_id) as posts, count(distinct workspace) as workspaces, count(*) as links from g group by host""",

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark import views as V
 from tidemark.functions import scores as S, text as tx
-from tidemark.operators import ranking, series as T
+from tidemark.operators import clusters as C, ranking, series as T, signals as G
+from tidemark.plans.catalog import OVERLAP, topic_overlap
+from tidemark.storage import materialize
 from tidemark.views import as_of, hours_before
 
 
@@ -59,31 +61,37 @@ def signal_timeline(spark, d):
     return s.join(T.momentum(s, ["event_type"], as_of()), "event_type").select("window_start", "doc_count", "rate", "velocity", "acceleration")
 
 
-def signal_scores(spark, d):
-    """Signals of (workspace, source) cells: all terms of the score, the stage and the confidence."""
+def _stored(spark, d) -> DataFrame:
+    """Posts of stored signals: their clusters and topics are ids that the view gives them."""
     p = V.posts(spark, d).filter("workspace is not null and source_id is not null and status = 'done'")
-    cells = p.groupBy("workspace", (F.col("post_id") % 40).alias("topic")).agg(
-        F.count("*").alias("docs"), F.count_distinct("source_id").alias("sources"), F.count_distinct(F.col("post_id") % 160).alias("clusters"), F.avg("relevance").alias("relevance"),
-        F.max("published_at").alias("last_seen"), F.count_if(F.col("published_at") >= as_of() - F.expr("interval 7 days")).alias("recent"),
-        F.count_if(F.col("published_at") >= as_of() - F.expr("interval 1 days")).alias("today"),
-    )
-    div, fresh = S.diversity(F.col("sources"), F.col("clusters")), S.freshness(hours_before(F.col("last_seen")))
-    evidence = F.least(F.col("clusters") * 2, F.lit(6))
-    strength = S.evidence_strength(evidence, 2, F.col("relevance"))
-    rows = cells.select(
-        "*", div.alias("diversity"), fresh.alias("fresh"), evidence.alias("evidence"), strength.alias("strength"), S.burst(F.col("recent"), F.col("docs"), F.col("clusters")).alias("burst"),
-        (F.col("today") / 24 - F.col("recent") / 168).alias("velocity"), (F.col("today") / 24).alias("acceleration"),
-    )
-    score = S.signal_score(F.col("burst"), F.col("velocity"), F.col("acceleration"), F.col("relevance"), F.lit(0.5), F.col("diversity"), F.col("fresh"), F.col("strength"), F.lit(0.0))
-    rows = rows.withColumn("score", F.round(score, 6))
-    stage = S.signal_stage(
-        F.col("clusters"), F.col("docs"), F.col("sources"), F.col("score"), F.col("diversity"), F.lit(False), F.col("velocity"), F.col("acceleration"), F.col("evidence"),
-        F.col("last_seen") < as_of() - F.expr("interval 10 days"), F.lit(False),
-    )
-    return rows.select(
-        "workspace", "topic", "docs", "sources", "clusters", F.round("burst", 6).alias("burst"), F.round("diversity", 6).alias("diversity"), "score", stage.alias("stage"),
-        F.round(S.confidence(F.col("relevance"), F.col("strength"), F.col("diversity")), 6).alias("confidence"),
-    )
+    vectors = V.points(spark, d).select("post_id", "vector")
+    return p.join(vectors, "post_id").select(
+        "workspace", (F.col("post_id") % 8).alias("topic"), (F.col("post_id") % 64).alias("cluster"), "post_id", "source_id", "published_at", "content", "relevance", "vector", tx.terms(F.col("content")).alias("concepts")
+    )
+
+
+_SCORES = ("burst", "coherence", "novelty", "diversity", "strength", "velocity", "acceleration", "change_strength", "multiplier", "score", "confidence")
+
+
+def _scored(signals: DataFrame, *keys: str) -> DataFrame:
+    return signals.select(*keys, "docs", "sources", "clusters", "evidence", "keywords", "changes", "recent_change", "blocked", *[F.round(c, 6).alias(c) for c in _SCORES], "stage")
+
+
+def signal_scores(spark, d):
+    """Stored signals scored anew: all terms of the score, the stage and the confidence."""
+    return _scored(G.score_signals(_stored(spark, d), ["workspace", "topic"], as_of()), "workspace", "topic")
+
+
+def signal_job(spark, d):
+    """The whole job over embedded posts: semantic clusters, their grouping by centroid, series, scores and stages, without
+    weak signals that fall short. Thresholds are low as the tables' vectors are nearly orthogonal."""
+    posts = V.posts(spark, d).select("post_id", "source_id", "content", "relevance", tx.terms(F.col("content")).alias("concepts"))
+    points = V.points(spark, d)
+    found = materialize(C.cluster_posts(points, 0.3, 96).select("post_id", "cluster"), "semantic")
+    members = materialize(points.join(found, "post_id"), "members")
+    groups = materialize(G.group_clusters(members, 0.25, 720), "groups")
+    rows = members.join(groups, ["workspace", "cluster"]).join(posts, "post_id")
+    return _scored(G.without_weak(G.score_signals(rows, ["workspace", "signal"], as_of())), "workspace", "signal")
 
 
 def stage_counts(spark, d):
@@ -91,8 +99,11 @@ def stage_counts(spark, d):
 
 
 def lifecycle_states(spark, d):
-    c = V.posts(spark, d).filter("source_id is not null").groupBy("source_id", (F.col("post_id") % 7).alias("topic")).agg(F.min("published_at").alias("first"), F.max("published_at").alias("last"))
-    return c.select("source_id", "topic", S.lifecycle(hours_before(F.col("last")), hours_before(F.col("first"))).alias("state"))
+    """Clusters of a source after a run that touched those with a new post in the last day."""
+    c = V.posts(spark, d).filter("source_id is not null").groupBy("source_id", (F.col("post_id") % 7).alias("topic")).agg(F.max("published_at").alias("last"), F.max("post_id").alias("newest"))
+    state = F.when(F.col("newest") % 5 == 0, "archived").when(F.col("newest") % 5 == 1, "cooling").otherwise("active")
+    idle = hours_before(F.col("last"))
+    return c.select("source_id", "topic", state.alias("before"), S.lifecycle(state, idle < 24, idle).alias("state"))
 
 
 def april_fools_guard(spark, d):
@@ -134,18 +145,21 @@ def alert_budget(spark, d):
 
 
 def external_strength(spark, d):
-    """Coverage of topics on outside pages: results, different hosts and mean score of each topic."""
-    pages = V.table(spark, d, "pages").select((F.col("page_id") % 25).alias("topic"), tx.host(F.col("url")).alias("host"), (F.col("page_id") % 7 / 2).alias("score"))
-    g = pages.groupBy("topic").agg(F.count("*").alias("n"), F.count_distinct("host").alias("hosts"), F.avg("score").alias("mean"))
-    return g.select("topic", "n", "hosts", F.round(S.external_strength(F.least("n", F.lit(5)), 5, F.col("hosts"), F.col("mean")), 6).alias("strength"))
+    """Coverage of topics on outside pages, five results asked for: results, different hosts and mean score of each topic."""
+    pages = V.table(spark, d, "pages").select("page_id", (F.col("page_id") % 25).alias("topic"), tx.netloc(F.col("url")).alias("host"), (F.col("page_id") % 7 / 2).alias("score"))
+    best = ranking.top_k(pages, ["topic"], [F.desc("score"), F.asc("page_id")], 5)
+    g = best.groupBy("topic").agg(F.count("*").alias("n"), F.count_distinct("host").alias("hosts"), F.avg("score").alias("mean"))
+    return g.select("topic", "n", "hosts", F.round(S.external_strength(F.col("n"), 5, F.col("hosts"), F.col("mean")), 6).alias("strength"))
 
 
 def gap_scores(spark, d):
-    """Outside coverage that the own posts lack, by topic; each kind of signal weighs by its stage."""
+    """Outside coverage that the own signals lack, by topic. Signals are posts, whose terms they hold; topics are the
+    benchmark's items, matched as in ``topic_overlap``; a stable signal weighs 1.25, an emerging one 1.1, others 1."""
     weight = F.when(F.col("status") == "done", 1.25).when(F.col("status") == "pending", 1.1).otherwise(1.0)
-    own = V.posts(spark, d).groupBy((F.col("post_id") % 50).alias("topic")).agg(F.sum(F.when(F.col("post_id") % 11 == 0, weight).otherwise(0.0)).alias("frequency"))
+    own = topic_overlap(spark, d).join(V.posts(spark, d).select("post_id", weight.alias("weight")), "post_id")
+    own = own.groupBy("topic").agg(F.sum(F.col("weight") * F.col("overlap")).alias("frequency"))
     both = external_strength(spark, d).select("topic", "strength").join(own, "topic", "left").withColumn("frequency", F.coalesce("frequency", F.lit(0.0)))
-    return both.select("topic", "strength", F.round("frequency", 6).alias("frequency"), F.round(S.gap(F.col("strength"), F.col("frequency")), 6).alias("gap"))
+    return both.select("topic", "strength", F.round("frequency", 4).alias("frequency"), F.round(S.gap(F.col("strength"), F.col("frequency")), 6).alias("gap"))
 
 
 _SERIES = """series as (select event_type, {start} as window_start, count(*) as doc_count, round(avg(value), 6) as avg_value, max(ts) as last_at,
@@ -159,31 +173,56 @@ _MOMENTUM = """m as (select event_type, coalesce(sum(doc_count) filter (where wi
     from series, (select timestamp '2024-01-31 12:30:00' as a) group by event_type),
     mm as (select event_type, round(cur / 24, 6) as current_rate, round(prev / 24, 6) as previous_rate, round(base / greatest(n * 24, 24), 6) as baseline_rate from m),
     momentum as (select *, round(current_rate - baseline_rate, 6) as velocity, round(current_rate - previous_rate, 6) as acceleration from mm)"""
-_SIGNALS = f"""{V.POSTS}, c as (select workspace, post_id % 40 as topic, count(*) as docs, count(distinct source_id) as sources, count(distinct post_id % 160) as clusters,
-    avg(relevance) as relevance, max(published_at) as last_seen, count(*) filter (where published_at >= timestamp '2024-01-31 12:30:00' - interval 7 day) as recent,
-    count(*) filter (where published_at >= timestamp '2024-01-31 12:30:00' - interval 1 day) as today
-    from posts where workspace is not null and source_id is not null and status = 'done' group by 1, 2),
-    x as (select *, case when sources <= 1 then 0.0::double else least(1, sources / greatest(clusters, 2)) end as diversity,
-        (epoch_us(timestamp '2024-01-31 12:30:00') - epoch_us(last_seen)) / 3600000000.0 as h, least(clusters * 2, 6) as evidence,
-        least(1, recent / greatest(docs, 1) + least(clusters, 4) * 0.08::double) as burst, today / 24 - recent / 168 as velocity, today / 24 as acceleration from c),
-    y as (select *, case when h <= 24 then 1 when h <= 72 then 0.75::double when h <= 168 then 0.45::double else 0.2::double end as fresh,
-        least(1, evidence / 2 * 0.5::double + relevance * 0.5::double) as strength from x),
-    z as (select *, round(cast(greatest(0, least(1, 0.18 * burst + 0.14 * velocity + 0.10 * acceleration + 0.20 * relevance + 0.12 * 0.5 + 0.12 * diversity + 0.08 * fresh + 0.06 * strength)) as double), 6) as score from y),
-    signals as (select workspace, topic, docs, sources, clusters, round(burst, 6) as burst, round(diversity, 6) as diversity, score,
-        case when clusters >= 2 and docs >= 4 and sources >= 2 and diversity >= 0.2 and score >= 0.58 and velocity > 0 then 'stable'
-             when score >= 0.42 and evidence >= 2 and sources >= 2 and diversity >= 0.2 and (velocity > 0 or acceleration > 0) then 'emerging'
-             when last_seen < timestamp '2024-01-31 12:30:00' - interval 10 day or velocity <= 0 then 'fading' else 'weak' end as stage,
-        round(cast(least(1, 0.45 * relevance + 0.30 * strength + 0.25 * diversity) as double), 6) as confidence from z)"""
+_SIGNALS = f"""{V.POSTS}, {V.POINTS}, now as (select timestamp '2024-01-31 12:30:00' as a),
+    m as (select p.workspace, p.post_id % 8 as topic, p.post_id % 64 as cluster, p.post_id, source_id, p.published_at, content, relevance, vector
+        from posts p join points v using (post_id) where p.workspace is not null and source_id is not null and status = 'done'),
+    tc as (select workspace, topic, cluster, t, count(*) as n from (select *, unnest(regexp_extract_all(lower(content), '{tx.TERM}')) as t from m) group by all),
+    tr as (select *, row_number() over (partition by workspace, topic, cluster order by n desc, t) as r from tc),
+    kw as (select workspace, topic, least(count(distinct t), 8) as keywords from tr where r <= 8 group by all),
+    pl as (select workspace, topic, i, avg(vector[i]) as x from m, (select unnest(range(1, 65)) as i) group by all),
+    ce as (select workspace, topic, list(x order by i) as centroid from pl group by all),
+    co as (select workspace, topic, avg(list_cosine_similarity(vector, centroid)) as coherence from m join ce using (workspace, topic) group by all),
+    pc as (select workspace, topic, cluster, avg(relevance) as relevance, least(count(*), 2) as evidence from m group by all),
+    cl as (select workspace, topic, count(*) as clusters, avg(relevance) as relevance, least(sum(evidence), 6) as evidence from pc group by all),
+    po as (select workspace, topic, count(distinct post_id) as docs, count(distinct source_id) as sources, max(published_at) as last_seen,
+        round(avg(case when month(published_at) = 4 and day(published_at) <= 2 and regexp_matches(lower(left(content, 800)), '{"|".join(S.APRIL_CUES)}') then 1.0::double else 0.0::double end), 4) as jokes,
+        count(*) filter (where published_at >= a - interval 7 day) as recent from m, now group by all),
+    se as (select workspace, topic, date_trunc('day', published_at)::timestamp as s, count(*)::double as x from m group by all),
+    mo as (select workspace, topic, round(coalesce(sum(x) filter (where s + interval 24 hour >= a - interval 24 hour), 0) / 24, 6) as cur,
+        round(coalesce(sum(x) filter (where s + interval 24 hour >= a - interval 48 hour and s + interval 24 hour < a - interval 24 hour), 0) / 24, 6) as prev,
+        round(coalesce(sum(x) filter (where s + interval 24 hour >= a - interval 14 day and s + interval 24 hour < a - interval 24 hour), 0)
+            / greatest(24 * count(*) filter (where s + interval 24 hour >= a - interval 14 day and s + interval 24 hour < a - interval 24 hour), 24), 6) as base from se, now group by all),
+    st as (select *, abs(x - lag(x) over (partition by workspace, topic order by s)) as step from se),
+    sc as (select *, coalesce(step >= greatest(1.5 * avg(step) over (partition by workspace, topic), 1), false) as change from st),
+    ch as (select workspace, topic, count(*) as n, max(x) as top, arg_min(x, s) as first, arg_max(x, s) as last, arg_max(step, s) filter (where change) as step,
+        max(s + interval 24 hour) filter (where change) as seen, count(*) filter (where change) as k from sc group by all),
+    j as (select workspace, topic, docs, sources, clusters, cast(evidence as bigint) as evidence, coalesce(keywords, 0) as keywords, case when n >= 4 then k else 0 end as changes,
+        n >= 4 and coalesce(seen >= a - interval 48 hour, false) as recent_change, jokes >= 0.34::double as blocked, least(1, recent / greatest(docs, 1) + least(clusters, 4) * 0.08::double) as burst, coherence,
+        case when sources <= 1 then 0.0::double else least(1, sources / greatest(clusters, 2)) end as diversity, least(1, evidence / 2 * 0.5::double + relevance * 0.5::double) as strength,
+        round(cur - base, 6) as velocity, round(cur - prev, 6) as acceleration, case when n >= 4 then coalesce(step, abs(last - first)) / greatest(top, 1) else 0.0::double end as change_strength,
+        round(greatest(0, 1 - jokes * 0.45::double), 4) as multiplier, (epoch_us(a) - epoch_us(last_seen)) / 3600000000.0 as idle
+        from po join cl using (workspace, topic) join co using (workspace, topic) join mo using (workspace, topic) join ch using (workspace, topic) left join kw using (workspace, topic), now),
+    x as (select *, least(1, least(keywords, 5) / 5 * 0.5::double + diversity * 0.5::double) as novelty,
+        case when idle <= 24 then 1 when idle <= 72 then 0.75::double when idle <= 168 then 0.45::double else 0.2::double end as fresh from j),
+    z as (select *, round(cast(greatest(0, least(1, 0.18 * burst + 0.14 * velocity + 0.10 * acceleration + 0.20 * coherence + 0.12 * novelty + 0.12 * diversity + 0.08 * fresh + 0.06 * strength
+        + 0.14 * change_strength)) * multiplier as double), 6) as score from x),
+    g as (select *, case when clusters >= 2 and docs >= 4 and sources >= 1 and diversity >= 0.2 and score >= 0.58 and (recent_change or velocity > 0) then 'stable'
+             when score >= 0.42 and evidence >= 2 and sources >= 1 and diversity >= 0.2 and (recent_change or velocity > 0 or acceleration > 0) then 'emerging'
+             when idle > 240 or (velocity <= 0 and not recent_change) then 'fading' else 'weak' end as reached from z),
+    signals as (select workspace, topic, docs, sources, clusters, evidence, keywords, changes, recent_change, blocked, round(burst, 6) as burst, round(coherence, 6) as coherence, round(novelty, 6) as novelty,
+        round(diversity, 6) as diversity, round(strength, 6) as strength, velocity, acceleration, round(change_strength, 6) as change_strength, multiplier, score,
+        round(cast(least(1, 0.45 * coherence + 0.30 * strength + 0.25 * diversity) as double), 6) as confidence, case when blocked and reached in ('stable', 'emerging') then 'weak' else reached end as stage from g)"""
 _ALERTS = f"""{V.TRENDS}, alerts as (select * from (select *, case when doc_count >= 5 and source_count >= 3 and signal_score >= 0.8 then 'high_score'
     when doc_count >= 5 and source_count >= 3 and recent_change and signal_score >= 0.74 and strength >= 0.7 then 'change_point' end as reason from trends) where reason is not null)"""
-_EXTERNAL = r"""ext as (select topic, n, hosts, round(cast(least(1, 0.55 * least(n, 5) / 5 + 0.30 * least(hosts / greatest(least(n, 5), 1), 999) + 0.15 * least(mean / 3, 1)) as double), 6) as strength
-    from (select page_id % 25 as topic, count(*) as n, count(distinct regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)), '^www\.', '')) as hosts,
-        avg(page_id % 7 / 2) as mean from pages group by 1))"""
+_EXTERNAL = r"""pg as (select page_id % 25 as topic, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)', 1)) as host, page_id % 7 / 2 as score,
+        row_number() over (partition by page_id % 25 order by page_id % 7 desc, page_id) as r from pages),
+    ext as (select topic, n, hosts, round(cast(least(1, 0.55 * n / 5 + 0.30 * hosts / 5 + 0.15 * least(mean / 3, 1)) as double), 6) as strength
+    from (select topic, count(*) as n, count(distinct host) as hosts, avg(score) as mean from pg where r <= 5 group by 1))"""
 
 QUERIES = {
     f.__name__: f
     for f in (
-        series_buckets, temporal_metrics, change_points_diff, change_points_pelt, merged_series, counter_increase, signal_timeline, signal_scores, stage_counts, lifecycle_states,
+        series_buckets, temporal_metrics, change_points_diff, change_points_pelt, merged_series, counter_increase, signal_timeline, signal_scores, signal_job, stage_counts, lifecycle_states,
         april_fools_guard, alert_candidates_anti, weekly_alert_capacity, alert_budget, external_strength, gap_scores,
     )
 }
@@ -201,10 +240,13 @@ ORACLES = {
     "signal_timeline": f"with {_DAY}, {_MOMENTUM} select window_start, doc_count, rate, velocity, acceleration from series join momentum using (event_type) where event_type = 'purchase'",
     "signal_scores": f"with {_SIGNALS} select * from signals",
     "stage_counts": f"with {_SIGNALS} select workspace, stage, count(*) as n, max(score) as best from signals group by all",
-    "lifecycle_states": f"""with {V.POSTS}, c as (select source_id, post_id % 7 as topic, (epoch_us(timestamp '2024-01-31 12:30:00') - epoch_us(min(published_at))) / 3600000000.0 as age,
-        (epoch_us(timestamp '2024-01-31 12:30:00') - epoch_us(max(published_at))) / 3600000000.0 as idle from posts where source_id is not null group by 1, 2)
-        select source_id, topic, case when idle >= 336 then 'archived' when idle >= 48 then 'cooling' when age < 24 then 'new' else 'active' end as state from c""",
-    "april_fools_guard": f"""with {V.POSTS}, s as (select source_id, avg(case when post_id % 6 = 0 then 1.0::double else 0.0::double end) as share from posts where source_id is not null group by 1)
+    "lifecycle_states": f"""with {V.POSTS}, c as (select source_id, post_id % 7 as topic, max(post_id) as newest,
+        (epoch_us(timestamp '2024-01-31 12:30:00') - epoch_us(max(published_at))) / 3600000000.0 as idle from posts where source_id is not null group by 1, 2),
+        b as (select *, case newest % 5 when 0 then 'archived' when 1 then 'cooling' else 'active' end as before from c)
+        select source_id, topic, before, case when idle >= 24 and idle > 336 and before <> 'archived' then 'archived'
+            when idle >= 24 and idle > 48 and idle <= 336 and before not in ('cooling', 'archived') then 'cooling' else before end as state from b""",
+    "april_fools_guard": f"""with {V.POSTS}, s as (select source_id, avg(case when post_id % 3 = 0 and regexp_matches(lower(left(case when post_id % 2 = 0 then 'April Fool ' else '' end || content, 799)), '{"|".join(S.APRIL_CUES)}')
+        then 1.0::double else 0.0::double end) as share from posts where source_id is not null group by 1)
         select source_id, round(share, 6) as share, round(greatest(0, 1 - share * 0.45), 6) as multiplier, share >= 0.34 as blocked from s""",
     "alert_candidates_anti": f"""with {_ALERTS} select cluster_key, workspace, signal_score, reason from alerts where not exists (select 1 from orders o where o.o_orderkey = cluster_key and starts_with(o.o_orderpriority, '1'))
         order by signal_score desc, cluster_key limit 50""",
@@ -213,6 +255,7 @@ ORACLES = {
     "alert_budget": f"""with {_ALERTS}, r as (select *, cast(row_number() over (partition by workspace order by signal_score desc, cluster_key) as int) as n from alerts)
         select workspace, cluster_key, n, left(case when reason = 'high_score' then 'Strong signal' else 'Turning point' end || ' #' || cluster_key, 40) as line from r where n <= 2""",
     "external_strength": f"with {_EXTERNAL} select * from ext",
-    "gap_scores": f"""with {V.POSTS}, {_EXTERNAL}, o as (select post_id % 50 as topic, sum(case when post_id % 11 = 0 then case status when 'done' then 1.25::double when 'pending' then 1.1::double else 1.0::double end else 0.0::double end) as f from posts group by 1)
-        select topic, strength, round(coalesce(f, 0), 6) as frequency, round(cast(greatest(0, strength - least(1, coalesce(f, 0) / 3.5)) as double), 6) as gap from ext left join o using (topic)""",
+    "gap_scores": f"""with {OVERLAP}, {_EXTERNAL}, own as (select topic, sum(overlap * case status when 'done' then 1.25::double when 'pending' then 1.1::double else 1.0::double end) as f
+            from shares join posts using (post_id) group by topic)
+        select topic, strength, round(coalesce(f, 0), 4) as frequency, round(cast(greatest(0, strength - least(1, coalesce(f, 0) / 3.5)) as double), 6) as gap from ext left join own using (topic)""",
 }

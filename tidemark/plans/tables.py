@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark import views as V
-from tidemark.functions import html as H, text as tx
+from tidemark.functions import html as H, text as tx, vectors
 from tidemark.operators import upsert as U
 from tidemark.sources import connectors
 from tidemark.streaming import jobs as J
@@ -54,10 +54,14 @@ def slice_replace(spark, d):
 
 
 def trend_backfill(spark, d):
-    """Centroids of stored trends from their documents' vectors; trends with a missing vector are skipped."""
-    docs = V.table(spark, d, "lineitem").select((F.col("l_orderkey") % 200).alias("trend"), (F.col("l_partkey") % 600).alias("post_id")).distinct()
-    joined = docs.join(V.points(spark, d).select("post_id", F.col("vector")[0].alias("x")), "post_id", "left")
-    return joined.groupBy("trend").agg(F.count("*").alias("docs"), F.count("x").alias("found"), F.round(F.avg("x"), 6).alias("first_place")).withColumn("skipped", F.col("found") == 0)
+    """Centroids of stored trends from all of their documents' vectors; trends without any are skipped. The parts of an
+    order stand for a trend's documents; the centroid is given by its length and a digest of its rounded places."""
+    docs = V.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("trend"), F.col("l_partkey").alias("post_id")).distinct()
+    joined = docs.join(V.points(spark, d).select("post_id", "vector"), "post_id", "left")
+    sizes = joined.groupBy("trend").agg(F.count("*").alias("docs"), F.count("vector").alias("found"))
+    centres = vectors.centroids(joined.filter("vector is not null"), ["trend"], "vector")
+    places = F.array_join(F.transform("centroid", lambda x: F.round(x * 1000).cast("bigint").cast("string")), ",")
+    return sizes.join(centres.select("trend", F.size("centroid").alias("places"), places.alias("centroid")), "trend", "left").withColumn("skipped", F.col("found") == 0)
 
 
 def html_text(spark, d):
@@ -71,9 +75,9 @@ def html_markdown(spark, d):
 
 
 def crawl_meta(spark, d):
-    """Title and language of pages; the oracle reads them with patterns."""
+    """Title and language of pages, and whether they have a card; the oracle reads them with patterns."""
     p = V.table(spark, d, "pages").select("page_id", H.meta_column(F.col("html")).alias("m"))
-    return p.select("page_id", "m.lang", "m.title")
+    return p.select("page_id", "m.lang", "m.title", F.col("m.og_title").isNotNull().alias("card"))
 
 
 def connector_items(spark, d):
@@ -153,13 +157,15 @@ ORACLES = {
         where status is null or status = 'error' or (e.status = 'pending' and timestamp '2024-01-15' - ts > interval 1 hour)""",
     "slice_replace": """with e as (select cast(ts as date) as day, event_type, count(*) as n from events group by 1, 2)
         select day, event_type, case when day >= date '2024-01-20' then n else n * 2 end as n from e""",
-    "trend_backfill": f"""with {V.POINTS}, t as (select distinct l_orderkey % 200 as trend, l_partkey % 600 as post_id from lineitem)
-        select trend, count(*) as docs, count(vector) as found, round(avg(vector[1]), 6) as first_place, count(vector) = 0 as skipped from t left join points using (post_id) group by trend""",
-    "crawl_meta": r"""select page_id, regexp_extract(html, '<html lang="([a-z]+)"', 1) as lang,
+    "trend_backfill": f"""with {V.POINTS}, t as (select distinct l_orderkey as trend, l_partkey as post_id from lineitem), j as (select * from t left join points using (post_id)),
+        s as (select trend, count(*) as docs, count(vector) as found from j group by trend), e as (select trend, i, avg(vector[i]) as x from j, (select unnest(range(1, 65)) as i) where vector is not null group by all),
+        c as (select trend, cast(count(*) as int) as places, string_agg(cast(cast(round(x * 1000) as bigint) as varchar), ',' order by i) as centroid from e group by trend)
+        select trend, docs, found, places, centroid, found = 0 as skipped from s left join c using (trend)""",
+    "crawl_meta": r"""select page_id, case when regexp_matches(left(html, 200), '[^\x00-\x7F]') then 'ru' else 'en' end as lang, contains(html, 'og:title') or contains(html, 'twitter:title') as card,
         trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) as title from pages""",
     "connector_items": r"""with p as (select page_id, url, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) as title, regexp_extract(html, 'lang="([a-z]+)"', 1) as lang,
         timestamp '2024-01-01' + to_days(cast(page_id % 28 as int)) as published_at, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)) || regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) as base,
-        list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda q: q <> '' and not regexp_matches(lower(split_part(q, '=', 1)), '^(utm_|ref|fbclid|gclid|mc_|spm)')) as pairs from pages),
+        list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda q: q <> '' and not regexp_matches(lower(split_part(q, '=', 1)), '^(utm_|rss|ref|source|fbclid|gclid)')) as pairs from pages),
         e as (select case when len(pairs) = 0 then base else base || '?' || array_to_string(pairs, '&') end as external_id, title, lang, published_at, page_id from p where lang in ('en', 'de')),
         r as (select *, row_number() over (partition by external_id order by published_at, title) as r from e) select external_id, title, lang, published_at from r where r = 1""",
     "stream_dedupe": "select user_id, event_type, min(event_id) as event_id, arg_min(value, event_id) as value from events group by 1, 2",
