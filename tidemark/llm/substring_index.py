@@ -9,7 +9,7 @@ that isn't twice as large as the next newer one is merged with it, so each finge
 logarithmic number of times.
 
 Candidates are verified on all of their words. A stretch is what the windows of one fingerprint
-cover; a stretch whose digest (and fingerprint) occurs earlier is removed as a whole, and the first
+cover; a stretch whose digest occurs earlier is removed as a whole, and the first
 stretches of a fingerprint that has several are compared window by window. Both digests are 128 bits of BLAKE2b
 over the bytes of all words, so equal hashes of different words never count. No pairs are made: every step is a
 grouping with partial sums, or a join with one row per key on one side that adaptive execution can split.
@@ -131,6 +131,11 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
+def _position(b: pa.RecordBatch, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The copy of a document and a place in it as one number, which sorts as they do."""
+    return (b.column("copy").to_numpy()[doc].astype(np.int64) << 32) + start
+
+
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
         texts = _texts(b.column("blob"))
@@ -150,11 +155,10 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(d),
                 pa.array(d2),
                 pa.array(b.column("k").to_numpy()[doc]),
-                pa.array(b.column("copy").to_numpy()[doc].astype(np.int32)),
-                pa.array(begin.astype(np.int32)),
+                pa.array(_position(b, doc, begin)),
                 pa.array(n.astype(np.int32)),
             ],
-            ["h", "d", "d2", "k", "copy", "start", "n"],
+            ["h", "d", "d2", "k", "pos", "n"],
         )
 
 
@@ -164,7 +168,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = b.column("asked")
         doc = np.repeat(np.arange(len(texts)), asked.value_lengths().to_numpy())
         part = asked.flatten()
-        h, start, n = (part.field(i).to_numpy() for i in range(3))
+        start, n = (part.field(i).to_numpy() for i in range(2))
         n = n.astype(np.int64)
         each = np.repeat(np.arange(len(n)), n)
         local = start[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
@@ -172,14 +176,12 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d, d2 = _digests(texts, doc, local, local + WINDOW)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(h[each]),
                 pa.array(d),
                 pa.array(d2),
                 pa.array(b.column("k").to_numpy()[doc]),
-                pa.array(b.column("copy").to_numpy()[doc].astype(np.int32)),
-                pa.array(local.astype(np.int32)),
+                pa.array(_position(b, doc, local)),
             ],
-            ["h", "d", "d2", "k", "copy", "start"],
+            ["d", "d2", "k", "pos"],
         )
 
 
@@ -252,17 +254,19 @@ class FingerprintIndex:
             discard(run)
 
 
-def _first(rows: DataFrame, extra: list[str]) -> DataFrame:
-    """The earliest row of each ``(h, d, d2)``."""
-    return materialize(
-        rows.groupBy("h", "d", "d2").agg(F.min(F.struct("k", "copy", "start", *extra)).alias("first")), "first"
-    )
+def _first(rows: DataFrame, *more: str) -> DataFrame:
+    """The earliest row of each digest."""
+    return materialize(rows.groupBy("d", "d2").agg(F.min(F.struct("k", "pos", *more)).alias("first")), "first")
+
+
+def _later(rows: DataFrame, firsts: DataFrame, n: Column) -> DataFrame:
+    """``(k, copy, start, n)`` of the rows that are not the earliest of their digest."""
+    one = firsts.select("d", "d2", *[F.col(f"first.{x}").alias(f"_{x}") for x in ("k", "pos")])
+    return rows.join(one, ["d", "d2"]).filter("not (k = _k and pos = _pos)").select("k", *_place("pos"), n.cast("int").alias("n"))
 
 
-def _later(rows: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Rows that are not the earliest of their ``(h, d, d2)``."""
-    one = firsts.select("h", "d", "d2", *[F.col(f"first.{x}").alias(f"_{x}") for x in ("k", "copy", "start")])
-    return rows.join(one, ["h", "d", "d2"]).filter("not (k = _k and copy = _copy and start = _start)").drop("_k", "_copy", "_start")
+def _place(pos: str) -> tuple[Column, Column]:
+    return F.shiftright(pos, 32).cast("int").alias("copy"), F.col(pos).bitwiseAND(0xFFFFFFFF).cast("int").alias("start")
 
 
 def _beside(texts: DataFrame, rows: DataFrame, name: str, fields: list[str], how: str = "inner") -> DataFrame:
@@ -303,22 +307,22 @@ def remove_repeats(docs: DataFrame, batches: tuple[float, ...] = BATCHES) -> Dat
         discard(x)
     asked = prints.join(known, "h").select("k", "copy", "at")
     stretches = materialize(
-        _beside(texts, asked, "at", ["at"]).mapInArrow(_stretches, "h bigint, d bigint, d2 bigint, k bigint, copy int, start int, n int"),
+        _beside(texts, asked, "at", ["at"]).mapInArrow(_stretches, "h bigint, d bigint, d2 bigint, k bigint, pos bigint, n int"),
         "stretches",
     )
-    firsts = _first(stretches, ["n"])
-    several = materialize(firsts.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h"), "several")
+    firsts = _first(stretches, "n", "h")
+    several = materialize(firsts.groupBy("first.h").agg(F.count("*").alias("m")).filter("m > 1").select("h"), "several")
     discard(prints)
-    shared = firsts.join(several, "h").select("first.k", "first.copy", "h", "first.start", "first.n")
+    shared = firsts.select("first.*").join(several, "h").select("k", *_place("pos"), "n")
     windows = materialize(
-        _beside(texts, shared, "asked", ["h", "start", "n"]).mapInArrow(_windows, "h bigint, d bigint, d2 bigint, k bigint, copy int, start int"), "windows"
+        _beside(texts, shared, "asked", ["start", "n"]).mapInArrow(_windows, "d bigint, d2 bigint, k bigint, pos bigint"), "windows"
     )
-    spans = materialize(_later(stretches, firsts).select("k", "copy", "start", "n"), "stretch-spans")
+    spans = materialize(_later(stretches, firsts, F.col("n")), "stretch-spans")
     for x in (stretches, firsts, several, known):
         discard(x)
     index.discard()
-    first_windows = _first(windows, [])
-    more = materialize(_later(windows, first_windows).select("k", "copy", "start", F.lit(1).alias("n")), "window-spans")
+    first_windows = _first(windows)
+    more = materialize(_later(windows, first_windows, F.lit(1)), "window-spans")
     for x in (windows, first_windows):
         discard(x)
     spans = spans.unionByName(more)
