@@ -1,14 +1,16 @@
 """Operators on small tables."""
 
+import collections
 import datetime as dt
 import itertools
+import math
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import clusters as C, ranking, series as T, upsert as U
+from tidemark.operators import clusters as C, ranking, series as T, signals as G2, upsert as U
 from tidemark.operators.components import connected_components
 from tidemark.operators.similarity import similarity_edges
 from tidemark.plans import clustering, observability, signals
@@ -122,11 +124,136 @@ def test_signal_merge_equals_brute_force(spark):
     assert {tuple(r) for r in C.merge_signals(spark.createDataFrame(rows, kind)).collect()} == want and branches == {0, 1, 2}
 
 
+_CLUSTER = "workspace string, cluster string, doc_ids array<string>, title_terms array<string>, concepts array<string>, centroid array<double>, coherence double, first_seen timestamp_ntz, last_seen timestamp_ntz"
+
+
 def test_cluster_merge(spark):
+    t, late = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 20)
+    rows = [
+        ("w", "a", ["a1", "a2"], ["x", "y"], ["c"], [1.0, 0.0], 0.9, t, t), ("w", "b", ["b1", "b2"], ["x", "y"], ["c"], [0.9, 0.1], 0.8, t, t), ("w", "c", ["c1"], ["q"], ["r"], [0.0, 1.0], 0.7, t, t),
+        ("w", "d", ["d1"], ["x", "y"], ["c"], [1.0, 0.0], 0.9, t, late), ("v", "a", ["a1"], ["x"], ["c"], [1.0, 0.0], 0.9, t, t),
+    ]
+    got = sorted((r.workspace, r.cluster, r.merged) for r in C.merge_clusters(spark.createDataFrame(rows, _CLUSTER)).collect())
+    assert got == [("v", "a", "a"), ("w", "a", "a"), ("w", "b", "a"), ("w", "c", "c"), ("w", "d", "d")]
+
+
+def test_cluster_merge_equals_brute_force(spark):
+    rnd = random.Random(12)
+    rows = []
+    for i in range(80):
+        at = dt.datetime(2024, 1, 1) + dt.timedelta(hours=rnd.choice([0, 700]) + rnd.randrange(240))
+        docs = [f"d{rnd.randrange(60)}" for _ in range(rnd.randrange(1, 5))]
+        rows.append((f"w{i % 2}", f"c{i:02}", sorted(set(docs)), rnd.sample("pqrstuv", 3), rnd.sample("klmn", 2), [rnd.random(), rnd.random(), rnd.random() - 0.5], rnd.random(), at, at))
+
+    def ratio(x, y):
+        return len(set(x) & set(y)) / len(set(x) | set(y))
+
+    want, text_branch = set(), 0
+    for w in ("w0", "w1"):
+        left = sorted((list(r) for r in rows if r[0] == w), key=lambda r: (r[8], r[6]), reverse=True)
+        while left:
+            top, rest = left[0], []
+            want.add((w, top[1], top[1]))
+            weight = len(top[2])
+            for r in left[1:]:
+                gap = (top[8] - r[8]).total_seconds() / 3600
+                cos = sum(x * y for x, y in zip(top[5], r[5])) / math.sqrt(sum(x * x for x in top[5]) * sum(x * x for x in r[5]))
+                t, c = ratio(top[3], r[3]), ratio(top[4], r[4])
+                like = 0.45 * cos + 0.25 * c + 0.15 * t + 0.10 * max(0, 1 - gap / 168) + 0.05 * ratio(top[2], r[2])
+                if gap <= 168 and (like >= 0.78 or (t >= 0.4 and c >= 0.5)):
+                    text_branch += like < 0.78
+                    want.add((w, r[1], top[1]))
+                    n = len(r[2])
+                    top[5] = [(x * weight + y * n) / (weight + n) for x, y in zip(top[5], r[5])]
+                    weight += n
+                    top[2] = sorted({*top[2], *r[2]})
+                    for k in (3, 4):
+                        top[k] = [x for x, _ in collections.Counter(top[k] + r[k]).most_common(8)]
+                else:
+                    rest.append(r)
+            left = rest
+    assert {tuple(r) for r in C.merge_clusters(spark.createDataFrame(rows, _CLUSTER)).collect()} == want and text_branch and len(want) > len({x[2] for x in want})
+
+
+def test_signals_equal_brute_force(spark):
+    rnd, now = random.Random(6), dt.datetime(2024, 4, 9, 12, 30)
+    rows = []
+    for i in range(400):
+        signal = rnd.randrange(14)
+        at = now - dt.timedelta(hours=rnd.choice([rnd.randrange(40), rnd.randrange(500), 200 + signal]))
+        text = "a prank today" if signal % 3 == 0 and rnd.random() < 0.8 else "plain words"
+        rows.append((f"w{signal % 2}", signal, signal * 10 + rnd.randrange(4), i, f"s{rnd.randrange(1 + signal % 5)}", at, text, rnd.choice([0.9, 0.7, 0.8]), [1 + rnd.random() / 4, rnd.random() / 4], rnd.sample("abcdefghijkl", 3)))
+    names = "workspace string, signal int, cluster int, post_id int, source_id string, published_at timestamp_ntz, content string, relevance double, vector array<double>, concepts array<string>"
+    df = spark.createDataFrame(rows, names)
+    got = {r.signal: r for r in G2.score_signals(df, ["workspace", "signal"], F.lit(str(now)).cast("timestamp_ntz")).collect()}
+    assert len(got) == 14
+    stages = set()
+    for signal in range(14):
+        mine = [r for r in rows if r[1] == signal]
+        clusters = collections.defaultdict(list)
+        for r in mine:
+            clusters[r[2]].append(r)
+        n, sources = len(mine), len({r[4] for r in mine})
+        centre = [sum(r[8][k] for r in mine) / n for k in (0, 1)]
+        close = sum((r[8][0] * centre[0] + r[8][1] * centre[1]) / math.hypot(*r[8]) / math.hypot(*centre) for r in mine) / n
+        div = 0 if sources <= 1 else min(1, sources / max(len(clusters), 2))
+        evidence = min(6, sum(min(2, len(c)) for c in clusters.values()))
+        rel = sum(sum(r[7] for r in c) / len(c) for c in clusters.values()) / len(clusters)
+        strength = min(1, evidence / 2 * 0.5 + rel * 0.5)
+        last = max(r[5] for r in mine)
+        burst = min(1, sum(r[5] >= now - dt.timedelta(days=7) for r in mine) / n + min(len(clusters), 4) * 0.08)
+        words = collections.Counter()
+        for c in clusters.values():
+            top = collections.Counter(x for r in c for x in r[9])
+            words.update(x for x, _ in sorted(top.items(), key=lambda x: (-x[1], x[0]))[:8])
+        novelty = min(1, min(len(words), 5) / 5 * 0.5 + div * 0.5)
+        days = collections.Counter(r[5].date() for r in mine)
+        series = [(dt.datetime.combine(d, dt.time()) + dt.timedelta(days=1), days[d]) for d in sorted(days)]
+
+        def total(low, high):
+            return [x for end, x in series if now - dt.timedelta(hours=low) <= end and (high is None or end < now - dt.timedelta(hours=high))]
+
+        base = total(336, 24)
+        current, before = round(sum(total(24, None)) / 24, 6), round(sum(total(48, 24)) / 24, 6)
+        velocity = current - round(sum(base) / max(len(base) * 24, 24), 6)
+        steps = [abs(b[1] - a[1]) for a, b in zip(series, series[1:])]
+        change, recent = 0.0, False
+        if len(series) >= 4:
+            hit = [i for i, x in enumerate(steps, 1) if x >= max(1.5 * sum(steps) / len(steps), 1)]
+            change = (steps[hit[-1] - 1] if hit else abs(series[-1][1] - series[0][1])) / max(x for _, x in series)
+            recent = bool(hit) and series[hit[-1]][0] >= now - dt.timedelta(hours=48)
+        idle = (now - last).total_seconds() / 3600
+        fresh = 1 if idle <= 24 else 0.75 if idle <= 72 else 0.45 if idle <= 168 else 0.2
+        jokes = round(sum((r[5].month, r[5].day) in ((4, 1), (4, 2)) and "prank" in r[6] for r in mine) / n, 4)
+        raw = 0.18 * burst + 0.14 * velocity + 0.1 * (current - before) + 0.2 * close + 0.12 * novelty + 0.12 * div + 0.08 * fresh + 0.06 * strength + 0.14 * change
+        score = round(max(0, min(1, raw)) * round(1 - 0.45 * jokes, 4), 6)
+        stage = "weak"
+        if len(clusters) >= 2 and n >= 4 and score >= 0.58 and div >= 0.2 and (recent or velocity > 0):
+            stage = "stable"
+        elif score >= 0.42 and evidence >= 2 and div >= 0.2 and (recent or velocity > 0 or current - before > 0):
+            stage = "emerging"
+        elif idle > 240 or (velocity <= 0 and not recent):
+            stage = "fading"
+        if jokes >= 0.34 and stage in ("stable", "emerging"):
+            stage = "weak"
+        r = got[signal]
+        assert (r.docs, r.sources, r.clusters, r.evidence, r.recent_change, r.stage) == (n, sources, len(clusters), evidence, recent, stage)
+        for value, want in ((r.coherence, close), (r.novelty, novelty), (r.velocity, velocity), (r.change_strength, change), (r.score, score), (r.confidence, min(1, 0.45 * close + 0.3 * strength + 0.25 * div))):
+            assert value == pytest.approx(want, abs=2e-6)
+        stages.add(stage)
+    assert len(stages) > 1
+
+
+def test_weak_signals_that_fall_short_go(spark):
+    df = spark.createDataFrame([(1, "weak", 0.5, 0.6, 0.3, 1), (2, "weak", 0.4, 0.6, 0.3, 1), (3, "fading", 0.1, 0.1, 0.0, 1), (4, "weak", 0.5, 0.6, 0.1, 1)], "id int, stage string, score double, confidence double, diversity double, sources int")
+    assert sorted(r.id for r in G2.without_weak(df).collect()) == [1, 3]
+
+
+def test_groups_of_clusters(spark):
     t = dt.datetime(2024, 1, 1)
-    kind = "workspace string, cluster string, doc_ids array<string>, title_terms array<string>, concepts array<string>, centroid array<double>, coherence double, first_seen timestamp_ntz, last_seen timestamp_ntz"
-    rows = [("w", "a", ["a1", "a2"], ["x", "y"], ["c"], [1.0, 0.0], 0.9, t, t), ("w", "b", ["b1", "b2"], ["x", "y"], ["c"], [0.9, 0.1], 0.8, t, t), ("w", "c", ["c1"], ["q"], ["r"], [0.0, 1.0], 0.7, t, t)]
-    assert sorted((r.cluster, r.merged) for r in C.merge_clusters(spark.createDataFrame(rows, kind)).collect()) == [("a", "a"), ("b", "a"), ("c", "c")]
+    rows = [("w", 1, t, [1.0, 0.0]), ("w", 1, t, [1.0, 0.2]), ("w", 2, t, [1.0, 0.1]), ("w", 3, t, [0.0, 1.0]), ("w", 4, t + dt.timedelta(days=40), [1.0, 0.1]), ("v", 5, t, [1.0, 0.1])]
+    df = spark.createDataFrame(rows, "workspace string, cluster long, published_at timestamp_ntz, vector array<double>")
+    assert sorted((r.workspace, r.cluster, r.signal) for r in G2.group_clusters(df, 0.9, 720).collect()) == [("v", 5, 5), ("w", 1, 1), ("w", 2, 1), ("w", 3, 3), ("w", 4, 4)]
 
 
 def test_queries_read_whole_texts(spark, tmp_path):

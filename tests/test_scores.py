@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import events, model_output, scores as S, text as tx, vectors as v
+from tidemark.functions import events, intents, model_output, scores as S, text as tx, vectors as v
 from tidemark.functions import html as H
 
 
@@ -24,17 +24,24 @@ def test_freshness_of_nothing(spark):
 
 
 def test_source_quality(spark):
-    q = S.source_quality(*[F.lit(x) for x in (0.9, 12, 1, 100, 70, 0.65, 3.4, 0.55, 10.0)])
+    q = S.source_quality(*[F.lit(x) for x in (0.5, 6, 2, 40, 10, 0.25, 2.0, 0.5, 400.0)])
     row = spark.range(1).select(*[c.alias(n) for n, c in q.items()]).first()
-    assert row["runtime_health"] == pytest.approx(0.856154, abs=1e-6)
-    assert row["yield_score"] == pytest.approx(0.636)
-    assert row["source_score"] == pytest.approx(0.849046, abs=1e-6)
+    assert row["runtime_health"] == pytest.approx(0.7 * 0.75 + 0.3 * 0.25)  # .6
+    assert row["yield_score"] == pytest.approx(0.6 * 0.25 + 0.2 * 0.4 + 0.2 * 0.5)  # .33
+    assert row["freshness"] == 0.3  # 400 hours: within thirty days
+    assert row["source_score"] == pytest.approx(0.35 * 0.5 + 0.30 * 0.6 + 0.20 * 0.33 + 0.15 * 0.3)
+
+
+@pytest.mark.parametrize("hours,want", [(24.0, 1.0), (25.0, 0.8), (168.0, 0.55), (169.0, 0.3), (720.0, 0.3), (721.0, 0.15)])
+def test_source_freshness(spark, hours, want):
+    assert one(spark, S.source_freshness(F.lit(hours))) == want
 
 
 @pytest.mark.parametrize(
     "kind,full,status,errors,text,fetched,emitted,want",
     [
-        ("rss", True, "error", 0.2, "HTTP 403", 10, 5, "summary-only"),
+        ("rss", True, "success", 0.1, "got 429 once", 8, 8, "summary-only"),
+        ("rss", True, "success", 0.1, None, 8, 8, "full-content"),
         ("web", False, "success", 0.0, None, 10, 5, "listing-only"),
         ("web", True, "success", 0.1, None, 10, 5, "full-content"),
         ("telegram", True, "success", 0.0, None, 1, 1, "native"),
@@ -60,9 +67,24 @@ def test_ranks(spark):
 
 
 def test_gap(spark):
-    strength = S.external_strength(F.lit(3), 5, F.lit(3), F.lit((2.4 + 1.8 + 2.0) / 3))
-    assert one(spark, strength) == pytest.approx(0.7333333, abs=1e-6)
-    assert one(spark, S.gap(F.lit(0.6133), F.lit(0.2))) == pytest.approx(0.5562, abs=1e-4)
+    strength = S.external_strength(F.lit(4), 8, F.lit(2), F.lit(1.2))
+    assert one(spark, strength) == pytest.approx(0.55 * 0.5 + 0.30 * 0.25 + 0.15 * 0.4)  # .41: hosts of the results asked for
+    assert one(spark, S.external_strength(F.lit(8), 8, F.lit(8), F.lit(9.0))) == 1.0
+    assert one(spark, S.gap(F.lit(0.41), F.lit(0.7))) == pytest.approx(0.21)
+    assert one(spark, S.gap(F.lit(0.41), F.lit(7.0))) == 0.0
+
+
+@pytest.mark.parametrize(
+    "state,touched,idle,want",
+    [("active", False, 49.0, "cooling"), ("active", False, 48.0, "active"), ("active", True, 900.0, "active"), ("cooling", False, 337.0, "archived"), ("archived", False, 60.0, "archived"), ("cooling", False, 60.0, "cooling")],
+)
+def test_lifecycle(spark, state, touched, idle, want):
+    assert one(spark, S.lifecycle(F.lit(state), F.lit(touched), F.lit(idle))) == want
+
+
+def test_fading(spark):
+    assert one(spark, S.fading(F.lit("stable"), F.lit(False), F.lit(169.0))) == "fading"
+    assert one(spark, S.fading(F.lit("stable"), F.lit(True), F.lit(169.0))) == one(spark, S.fading(F.lit("stable"), F.lit(False), F.lit(168.0))) == "stable"
 
 
 def test_april(spark):
@@ -78,11 +100,44 @@ def test_relevance_gates(spark):
 
 
 def test_urls(spark):
-    u = "https://example.com/path/?utm_source=rss&fbclid=abc&id=42#frag"
-    assert one(spark, tx.safe_url(F.lit(u))) == "https://example.com/path?id=42"
-    assert one(spark, tx.safe_url(F.lit("http://127.0.0.1/x"))) is None
-    text = "see https://a.com/x, https://t.me/y and https://EXAMPLE.com/b https://a.com/x"
-    assert one(spark, tx.urls(F.lit(text))) == ["https://a.com/x", "https://EXAMPLE.com/b"]
+    def safe(u):
+        return one(spark, tx.safe_url(F.lit(u)))
+
+    assert safe("HTTPS://Host.net/a//?q=&UTM_x=1&k=v&yclid=9&Ref=z&w=a=b#top") == "https://Host.net/a?k=v&w=a=b"
+    assert safe("http://host.net?x=1") == "http://host.net/?x=1"
+    for u in ("ftp://host.net/x", "host.net/x", "http://172.20.3.4/x", "http://198.51.100.7:80/", "http://redis:6379/", "https://my-casino.net/", "https://"):
+        assert safe(u) is None
+    text = "look: https://b.net/1; http://www.telegram.dog/c, https://t.me/y (https://Y.net/2) https://b.net/1 https://youtube.com/w."
+    assert one(spark, tx.urls(F.lit(text))) == ["https://b.net/1", "https://Y.net/2", "https://youtube.com/w"]
+    assert one(spark, tx.canonical_url(F.lit("HTTP://A.net/P?rss_id=1&spm=2&Source=3&id=4#f"))) == "http://a.net/P?spm=2&id=4"
+    assert one(spark, tx.netloc(F.lit("https://WWW.a.net:8080/x"))) == "www.a.net:8080"
+
+
+@pytest.mark.parametrize("text,want", [(None, "unknown"), (" \n", "unknown"), ("plain", "en"), ("Їжак", "ru"), ("x" * 300 + "ж", "en"), ("  " + "x" * 299 + "ж", "ru")])
+def test_detected_language(spark, text, want):
+    assert one(spark, tx.detected_language(F.lit(text).cast("string"))) == want
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("Which drone LAWS came in the last 45 days?", (None, 45, ["regulation"], False, 0.6)),
+        ("funding and failed launches worldwide this quarter", ("global", 90, ["investment", "launch"], True, 0.9)),
+        ("Рост и запрет за 3 дня, Россия", ("ru", 3, ["growth"], True, 0.9)),
+        ("nothing much", (None, 30, [], False, 0.35)),
+        ("999 days", (None, 365, [], False, 0.4)),
+    ],
+)
+def test_intents(spark, text, want):
+    found = intents.parse(F.lit(text), F.lit(30))
+    row = spark.range(1).select(*[c.alias(n) for n, c in found.items()]).first()
+    assert (row["source_region"], row["days_back"], row["signal_types"], row["wants_counter"], row["confidence"]) == want
+
+
+def test_intents_of_a_full_request(spark):
+    found = intents.parse(F.lit("policy risk in the world today"), F.lit(1), F.lit("de"), F.array(F.lit("x")))
+    row = spark.range(1).select(*[c.alias(n) for n, c in found.items()]).first()
+    assert (row["source_region"], row["region_reason"], row["confidence"]) == ("de", "explicit_request", 0.95)
 
 
 def test_uuid5(spark):
@@ -126,11 +181,24 @@ def test_concepts(spark):
     assert [tuple(x) for x in one(spark, model_output.valid_concepts(c))] == [("b", "other", 5), ("a", "x", 2)]
 
 
+def test_valence(spark):
+    assert [one(spark, model_output.valence(F.lit(x))) for x in (" Negative", "pos", "neutral")] == ["negative", "neutral", "neutral"]
+    assert [one(spark, model_output.confidence(F.lit(x).cast("string"))) for x in ("1.5", None, "high", "0.25")] == [1.0, 0.0, 0.0, 0.25]
+    assert [one(spark, model_output.signal_type(F.lit(x))) for x in ("Launch ", "scandal")] == ["launch", "other"]
+
+
 def test_html():
-    html = '<html lang="en"><head><title>T &amp; x</title><meta property="og:title" content="OG"></head><body><nav><p>menu</p></nav><h1>Head</h1><p>One <b>two</b> , three</p><ul><li>item</li></ul><a href="/l">go</a><script>p("x")</script></body></html>'
+    html = (
+        '<html lang="en"><head><title>T &amp; x</title><meta property="og:image" content="I"><meta name="twitter:title" content="TW"></head><body><nav><p>menu</p></nav><h1> Head <i>on</i></h1>'
+        '<p>One <b>two</b>, three<p>Four<ul><li>item <p>inner</p></li><li>last</ul><h4>Small</h4><form><p>asked</p></form><td>cell</td><a href="/l">go</a> <a href=" https://a.net/1 ">x</a>'
+        '<a href="https://x.com/u">y</a><p>see http://b.net/2.</p><script>p("<p>x</p>")</script></body></html>'
+    )
+    blocks = ["One two , three", "Four", "item inner", "inner", "last", "asked", "see http://b.net/2."]
     t = H.text_of(html)
-    assert t == {"title": "Head", "text": "One two , three\nitem", "summary": "One two , three\nitem", "links": ["/l"]}
-    assert H.markdown_of(html) == "# Head\n\nOne two , three\n\n- item"
-    assert H.meta_of(html) == {"title": "OG", "description": None, "image": None, "lang": "en"}
+    assert t == {"title": "Headon", "text": "\n\n".join(blocks), "summary": blocks[0], "links": ["https://a.net/1", "http://b.net/2"]}
+    assert H.markdown_of(html).split("\n\n") == ["# Headon", "Onetwo, three", "Four", "- iteminner", "inner", "- last", "#### Small", "asked", "see http://b.net/2."]
+    m = H.meta_of(html)
+    assert (m["title"], m["description"], m["lang"], m["og_title"], m["og_image"], m["og_url"]) == ("T & x", None, "en", "TW", "I", None)
+    assert H.meta_of("<p>" + "long words " * 40)["description"] == ("long words " * 40)[:300] and H.meta_of("<h1>é</h1>")["lang"] == "ru"
     assert H.fragment_text("<p>Hello world</p> <b>Continue</b> !") == "Hello world Continue!"
-    assert H.text_of(None)["text"] == ""
+    assert H.text_of(None) == {"title": "", "text": "", "summary": "", "links": []}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -55,44 +57,60 @@ def _jaccard(a: set, b: set) -> float:
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
+def _most_common(values: list, n: int = 8) -> list:
+    return [x for x, _ in Counter(values).most_common(n)]
+
+
 def _merged(pdf: pd.DataFrame, least: float, title: float, concept: float, gap_hours: float) -> pd.DataFrame:
-    """Fold clusters, newest first, into the best of those kept so far; what absorbs another grows."""
-    kept: list[dict] = []
-    for row in pdf.sort_values(["last_seen", "coherence", "cluster"], ascending=[False, False, True]).itertuples():
-        mine = {
-            "cluster": row.cluster, "members": [row.cluster], "docs": set(row.doc_ids), "terms": set(row.title_terms), "concepts": set(row.concepts),
-            "sum": np.asarray(row.centroid, float) * len(row.doc_ids), "n": len(row.doc_ids), "first": row.first_seen, "last": row.last_seen,
-        }
-        best, best_score = None, -1.0
-        for other in kept:
-            gap = max(0.0, (max(mine["first"], other["first"]) - min(mine["last"], other["last"])).total_seconds() / 3600)
+    """Each cluster, newest first, takes in those after it that are like what it has become so far."""
+    rows = []
+    waiting = [
+        {
+            "cluster": r.cluster, "docs": set(r.doc_ids), "terms": list(r.title_terms), "concepts": list(r.concepts), "last": r.last_seen, "n": len(r.doc_ids),
+            "centre": np.asarray(r.centroid, float),
+        }
+        for r in pdf.sort_values(["last_seen", "coherence", "cluster"], ascending=[False, False, True]).itertuples()
+    ]
+    while waiting:
+        mine, rest = waiting[0], []
+        rows.append((mine["cluster"], mine["cluster"]))
+        for other in waiting[1:]:
+            gap = abs((mine["last"] - other["last"]).total_seconds()) / 3600
             if gap > gap_hours:
+                rest.append(other)
                 continue
-            length = np.linalg.norm(mine["sum"]) * np.linalg.norm(other["sum"])
-            cos = float(mine["sum"] @ other["sum"] / length) if length else 0.0
-            t, c, d = (_jaccard(mine[k], other[k]) for k in ("terms", "concepts", "docs"))
+            length = np.linalg.norm(mine["centre"]) * np.linalg.norm(other["centre"])
+            cos = float(mine["centre"] @ other["centre"] / length) if length else 0.0
+            t, c = (_jaccard(set(mine[k]), set(other[k])) for k in ("terms", "concepts"))
+            d = len(mine["docs"] & other["docs"]) / max(len(mine["docs"] | other["docs"]), 1)
             score = 0.45 * cos + 0.25 * c + 0.15 * t + 0.10 * max(0.0, 1 - gap / max(gap_hours, 1)) + 0.05 * d
-            if (score >= least or (t >= title and c >= concept)) and score > best_score:
-                best, best_score = other, score
-        if best is None:
-            kept.append(mine)
-            continue
-        best["members"] += mine["members"]
-        for k in ("docs", "terms", "concepts"):
-            best[k] |= mine[k]
-        best["sum"], best["n"] = best["sum"] + mine["sum"], best["n"] + mine["n"]
-        best["first"], best["last"] = min(best["first"], mine["first"]), max(best["last"], mine["last"])
-    rows = [(pdf["workspace"].iloc[0], m, k["cluster"]) for k in kept for m in k["members"]]
-    return pd.DataFrame(rows, columns=["workspace", "cluster", "merged"])
-
-
-def merge_clusters(clusters: DataFrame, least: float = 0.68, title: float = 0.34, concept: float = 0.45, gap_hours: float = 240) -> DataFrame:
+            if score < least and not (t >= title and c >= concept):
+                rest.append(other)
+                continue
+            rows.append((other["cluster"], mine["cluster"]))
+            mine["docs"] |= other["docs"]
+            mine["centre"] = (mine["centre"] * mine["n"] + other["centre"] * other["n"]) / max(mine["n"] + other["n"], 1)
+            mine["n"] += other["n"]
+            for k in ("terms", "concepts"):
+                mine[k] = _most_common(mine[k] + other[k])
+        waiting = rest
+    return pd.DataFrame([(pdf["workspace"].iloc[0], *r) for r in rows], columns=["workspace", "cluster", "merged"])
+
+
+def merge_clusters(clusters: DataFrame, least: float = 0.78, title: float = 0.4, concept: float = 0.5, gap_hours: float = 168) -> DataFrame:
     """``(workspace, cluster, merged)``: a fold in order inside each workspace, whose every step depends on the one before.
 
-    ``clusters(workspace, cluster, doc_ids, title_terms, concepts, centroid, coherence, first_seen, last_seen)``. Groups
-    are clusters of one workspace's window, not posts; their number is what the window holds."""
+    ``clusters(workspace, cluster, doc_ids, title_terms, concepts, centroid, coherence, last_seen)``. What takes in another
+    has the mean of both centroids by their documents, and the eight most common terms and concepts of both lists.
+    Clusters that were last seen more than the gap apart never meet, as the newest keeps its time; so each run of
+    clusters without such a gap is folded by itself. Groups are clusters of one workspace's window, not posts."""
     w, c = (clusters.schema[x].dataType.simpleString() for x in ("workspace", "cluster"))
-    return clusters.groupBy("workspace").applyInPandas(
+    order = Window.partitionBy("workspace").orderBy("last_seen")
+    seen = F.unix_micros(F.col("last_seen").cast("timestamp"))
+    apart = F.coalesce((seen - F.lag(seen).over(order)) > gap_hours * 3_600_000_000, F.lit(False))
+    times = clusters.select("workspace", "last_seen").distinct().withColumn("_apart", apart.cast("int"))
+    runs = times.withColumn("_run", F.sum("_apart").over(order)).drop("_apart")
+    return clusters.join(runs, ["workspace", "last_seen"]).groupBy("workspace", "_run").applyInPandas(
         lambda pdf: _merged(pdf, least, title, concept, gap_hours), f"workspace {w}, cluster {c}, merged {c}"
     )
 
