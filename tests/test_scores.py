@@ -1,10 +1,12 @@
 """Formulas on literal rows."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import events, intents, model_output, scores as S, text as tx, vectors as v
-from tidemark.functions import html as H
+from tidemark.functions import html as H, requests as R
 
 
 def one(spark, column, **values):
@@ -202,3 +204,39 @@ def test_html():
     assert H.meta_of("<p>" + "long words " * 40)["description"] == ("long words " * 40)[:300] and H.meta_of("<h1>é</h1>")["lang"] == "ru"
     assert H.fragment_text("<p>Hello world</p> <b>Continue</b> !") == "Hello world Continue!"
     assert H.text_of(None) == {"title": "", "text": "", "summary": "", "links": []}
+
+
+def test_request_arguments(spark):
+    assert R.stages([" WEAK", "odd", ""], ("stable",)) == ["weak"] and R.stages(["odd"], ("stable",)) == R.stages(None, ("stable",)) == ["stable"]
+    s = R.Search("  solid state ", lang=" DE ", entities="a, ,b", limit=50, days_back=365)
+    assert (s.query, s.lang, s.entities) == ("solid state", "de", ["a", "b"]) and R.entities([str(i) for i in range(30)])[-1] == "19" and R.entities(7) is None
+    for bad in ({"query": " "}, {"query": "x", "limit": 51}, {"query": "x", "days_back": 0}, {"query": "x", "lang": "d"}):
+        with pytest.raises(ValueError):
+            R.Search(**bad)
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, kind string")
+    assert [R.matching(df, id=i, kind=k).count() for i, k in ((None, ""), (2, None), (2, "a"))] == [3, 1, 0]
+
+
+def test_request_functions(spark):
+    def joint(w, s, *allowed):
+        return one(spark, R.joint_mode(F.lit(w).cast("string"), F.lit(s).cast("string"), *allowed))
+
+    assert [joint("w", "s", False, "w"), joint("w", "s", True), joint("w", "s", True, "v, w"), joint(None, "s", True, "v"), joint("x", "s", True, "v", "s")] == [False, True, True, False, True]
+    weights = F.create_map(F.lit("a"), F.lit(1.0), F.lit("threshold"), F.lit(0.2))
+    assert one(spark, R.with_threshold(weights, F.lit(0.7))) == {"a": 1.0, "threshold": 0.7} and one(spark, R.with_threshold(F.lit(None).cast("map<string,double>"), F.lit(None).cast("double"))) == {}
+    marks = F.array(F.lit(" b "), F.lit(""), F.lit("a10"))
+    want = "admin:alertmanager:delivery:" + hashlib.sha256(b"firing|Lag||crawl|a10,b").hexdigest()
+    assert one(spark, R.delivery_key(F.lit(""), F.lit(" "), [F.lit("Lag"), F.lit(None).cast("string"), F.lit("crawl")], marks)) == want
+    assert one(spark, R.delivery_key(F.lit("Resolved"), F.lit("g"), [], marks)) == "admin:alertmanager:delivery:" + hashlib.sha256(b"resolved|g").hexdigest()
+    assert [one(spark, R.fit_budget(F.lit(t), n)) for t, n in (("  some words here ", 2), ("ab", 9), ("ab", 0))] == ["some wor", "ab", ""]
+    links = ["/@me/story-1", "https://m.net/tag/x/y", "https://m.net/a", "/@me/story-1", "https://other.net/a/b", "/p/about-us", "/x/followers", "/pub/story-2", "/pub/story-3"]
+    assert one(spark, R.archive_links(F.array(*map(F.lit, links)), "https://m.net/", 2)) == ["https://m.net/@me/story-1", "https://m.net/pub/story-2"]
+
+
+def test_published_of():
+    def page(body):
+        return f'<html><script type="application/ld+json">{body}</script><script>var x = "datePublished";</script></html>'
+
+    assert H.published_of(page('[{"@graph": [{"name": "x"}, {"mainEntity": {"dateCreated": "2024-03-01"}}]}]')) == "2024-03-01"
+    assert H.published_of(page('{"datePublished": "2023-01-02T03:04:05Z", "@graph": [{"datePublished": "2020-01-01"}]}')) == "2023-01-02T03:04:05Z"
+    assert H.published_of(page("{broken")) is None and H.published_of(page('{"other": {"datePublished": "2020"}}')) is None and H.published_of(None) is None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 from html import unescape
@@ -156,6 +157,28 @@ def meta_of(html: str | None) -> dict:
 _CARD = ("title", "description", "image", "url", "type", "site_name")
 
 
+def _dated(value: object) -> str | None:
+    """The first date of a JSON-LD value: its own, else one of what it holds by the keys that pages use."""
+    if isinstance(value, list):
+        return next((x for x in map(_dated, value) if x), None)
+    if not isinstance(value, dict):
+        return None
+    own = value.get("datePublished") or value.get("dateCreated")
+    return str(own) if own else next((x for x in (_dated(value.get(k)) for k in ("@graph", "mainEntity", "itemListElement")) if x), None)
+
+
+def published_of(html: str | None) -> str | None:
+    """When a page says in JSON-LD that it was published, as it is written there."""
+    for body in re.findall(r"""<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>""", html or "", re.DOTALL | re.IGNORECASE):
+        try:
+            found = _dated(json.loads(body))
+        except ValueError:
+            continue
+        if found:
+            return found
+    return None
+
+
 def _column(function: Callable, kind: str, html: Column) -> Column:
     if kind == "string":
 
@@ -187,3 +210,7 @@ def fragment_column(html: Column) -> Column:
 
 def meta_column(html: Column) -> Column:
     return _column(meta_of, "struct<" + ",".join(f"{x}:string" for x in ("title", "description", "lang", *[f"og_{k}" for k in _CARD])) + ">", html)
+
+
+def published_column(html: Column) -> Column:
+    return _column(published_of, "string", html)

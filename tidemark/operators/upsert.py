@@ -52,3 +52,56 @@ def claim(old: DataFrame, new: DataFrame, keys: list[str], now: Column, stale_ho
 def replace_slice(old: DataFrame, new: DataFrame, slice_keys: list[str]) -> DataFrame:
     """Delete all rows of the slices that ``new`` has rows of, then insert ``new``."""
     return old.join(new.select(*slice_keys).distinct(), slice_keys, "left_anti").unionByName(new.select(old.columns))
+
+
+def index_outcomes(old: DataFrame, done: DataFrame, failed: DataFrame) -> DataFrame:
+    """Index states after a run: ``old(post_id, embedding_status, graph_status, retry_count, error_message)``,
+    ``done(post_id, graph_done)``, ``failed(post_id, error)``, with a post in one of the two at most.
+
+    A success clears retries and error, and keeps the graph's status unless that was written too; a failure counts one
+    more retry and keeps the rest."""
+    found = done.select("post_id", "graph_done", F.lit(None).cast("string").alias("error")).unionByName(
+        failed.select("post_id", F.lit(None).cast("boolean").alias("graph_done"), F.left("error", F.lit(500)).alias("error"))
+    )
+    both = old.join(found.withColumn("_new", F.lit(True)), "post_id", "full")
+    new, ok, known = F.col("_new").isNotNull(), F.col("error").isNull(), F.col("embedding_status").isNotNull()
+    graph = F.when(new & ok, F.when(F.col("graph_done"), "done").otherwise(F.when(known, F.col("graph_status")).otherwise("skipped"))).otherwise(F.col("graph_status"))
+    return both.select(
+        "post_id", F.when(new, F.when(ok, "done").otherwise("error")).otherwise(F.col("embedding_status")).alias("embedding_status"), graph.alias("graph_status"),
+        F.when(new, F.when(ok, 0).otherwise(F.coalesce("retry_count", F.lit(0)) + 1)).otherwise(F.col("retry_count")).alias("retry_count"),
+        F.when(new, F.when(ok, "").otherwise(F.col("error"))).otherwise(F.col("error_message")).alias("error_message"),
+    )
+
+
+def patch(old: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """Update the columns that ``changes`` has values for; rows of unknown keys are ignored."""
+    fields = [c for c in changes.columns if c not in keys]
+    new = changes.select(*keys, *[F.col(c).alias(f"_n_{c}") for c in fields])
+    return old.join(new, keys, "left").select(*[F.coalesce(f"_n_{c}", c).alias(c) if c in fields else F.col(c) for c in old.columns])
+
+
+def checkpoints(old: DataFrame, new: DataFrame) -> DataFrame:
+    """State of sources after a run: what the run doesn't say stays, but for the error, which is the run's own.
+
+    Tables of ``(source_id, cursor, etag, last_modified, last_seen, last_success, last_error)``."""
+    kept = ["cursor", "etag", "last_modified", "last_seen", "last_success"]
+    n = new.select("source_id", *[F.col(c).alias(f"_n_{c}") for c in (*kept, "last_error")], F.lit(True).alias("_new"))
+    both = old.join(n, "source_id", "full")
+    error = F.when(F.col("_new"), F.col("_n_last_error")).otherwise(F.col("last_error"))
+    return both.select("source_id", *[F.coalesce(f"_n_{c}", c).alias(c) for c in kept], error.alias("last_error"))
+
+
+def toggled(rows: DataFrame, keys: list[str], flips: DataFrame, deletes: DataFrame, flag: str) -> DataFrame:
+    """Turn a flag over for each key in ``flips``, and leave out those in ``deletes``."""
+    on = rows.join(flips.select(*keys).distinct().withColumn("_flip", F.lit(True)), keys, "left").join(deletes.select(*keys), keys, "left_anti")
+    return on.withColumn(flag, F.when(F.col("_flip"), ~F.col(flag)).otherwise(F.col(flag))).drop("_flip")
+
+
+def compensated(written: DataFrame, failed: DataFrame, keys: list[str]) -> DataFrame:
+    """What stays of a first write when the second failed for some rows."""
+    return written.join(failed.select(*keys), keys, "left_anti")
+
+
+def storable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """Rows that a vector index takes: those with an id and a vector that isn't empty."""
+    return vectors.filter(F.col(key).isNotNull() & (F.length(F.col(key).cast("string")) > 0) & (F.size(vector) > 0))
