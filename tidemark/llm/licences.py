@@ -185,6 +185,10 @@ def _quoted(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _phrases() -> list[str]:
+    return sorted({g for texts in NOTICES.values() for t in texts for g in _own_grams(t, 3)})
+
+
 def coverage(g3: Column) -> Column:
     """For each family the largest share of a notice's 3-grams that occur; 0 if under ``COVER`` of those of its own do."""
     grams = {f: [_own_grams(t, 3) for t in texts] for f, texts in NOTICES.items()}
@@ -215,8 +219,9 @@ def negatives(lines: DataFrame) -> DataFrame:
     rows = lines.select("line", F.xxhash64("line").alias("h"))
     least = materialize(rows.select("h").groupBy("h").agg(F.count("*").alias("n")).orderBy("h").limit(SAMPLE).select("h"), "sample")
     chosen = rows.join(F.broadcast(least), "h").groupBy("h").agg(F.first("line").alias("line"))  # at most SAMPLE rows
-    found = materialize(chosen.select(words(F.col("line")).alias("w")).filter(F.size("w") > 0), "lines")
-    found = found.filter(F.array_max(coverage(_grams(F.col("w"), 3))) < COVER)
+    found = chosen.select(words(F.col("line")).alias("w")).filter(F.size("w") > 0)
+    found = materialize(found.withColumn("g3", _among(_grams(F.col("w"), 3), _phrases())), "lines")
+    found = found.filter((F.size("g3") == 0) | (F.array_max(coverage(F.col("g3"))) < COVER)).select("w")
     talk = lines.sparkSession.sql(f"select inline(array({', '.join(f'struct({_quoted(x)} as line)' for x in TALK)}))")
     return found.unionByName(talk.select(words(F.col("line")).alias("w")))
 
@@ -292,9 +297,8 @@ def scan(docs: DataFrame) -> DataFrame:
     lines = paragraphs(keyed.select("row", "text"))
     fitted = fit(spark, negatives(lines))
     active = sorted({w for g in fitted["weights"] for w in g.split(" ")})
-    phrases = sorted({g for texts in NOTICES.values() for t in texts for g in _own_grams(t, 3)})
     w = F.col("w")
-    candidate = F.struct(_among(F.concat(w, _grams(w, 2)), sorted(fitted["weights"])).alias("grams"), _among(_grams(w, 3), phrases).alias("g3"))
+    candidate = F.struct(_among(F.concat(w, _grams(w, 2)), sorted(fitted["weights"])).alias("grams"), _among(_grams(w, 3), _phrases()).alias("g3"))
     # exploding one value keeps the optimizer from writing an expression out at each place that uses it
     likely = (
         lines.select("row", "block", "place", F.explode(F.array(words(F.col("line")))).alias("w"))
