@@ -189,17 +189,21 @@ def _phrases() -> list[str]:
     return sorted({g for texts in NOTICES.values() for t in texts for g in _own_grams(t, 3)})
 
 
-def coverage(g3: Column) -> Column:
-    """For each family the largest share of a notice's 3-grams that occur; 0 if under ``COVER`` of those of its own do."""
+def coverage(g3: str) -> Column:
+    """For each family the largest share of a notice's 3-grams that are in a column; 0 if under ``COVER`` of those of its own
+    are. As text, since a column object for each 3-gram takes seconds to make."""
     grams = {f: [_own_grams(t, 3) for t in texts] for f, texts in NOTICES.items()}
 
-    def share(family: str, t: list[str]) -> Column:
+    def met(known: list[str]) -> str:
+        return f"size(filter({g3}, x -> x in ({', '.join(map(_quoted, known))})))"
+
+    def share(family: str, t: list[str]) -> str:
         other = {g for f, ts in grams.items() if f != family for x in ts for g in x}
         own = [g for g in t if g not in other]
-        n, m = (F.size(_among(g3, k)) for k in (t, own))
-        return F.when(m >= COVER * len(own), n / len(t)).otherwise(F.lit(0.0))
+        whole = f"{met(t)} / {len(t)}D"
+        return f"if({met(own)} >= {COVER * len(own)}D, {whole}, 0D)" if own else whole
 
-    return F.array(*[F.array_max(F.array(*[share(f, t) for t in ts])) for f, ts in grams.items()])
+    return F.expr("array(" + ", ".join(f"array_max(array({', '.join(share(f, t) for t in ts)}))" for f, ts in grams.items()) + ")")
 
 
 def notices(spark: SparkSession) -> DataFrame:
@@ -221,7 +225,7 @@ def negatives(lines: DataFrame) -> DataFrame:
     chosen = rows.join(F.broadcast(least), "h").groupBy("h").agg(F.first("line").alias("line"))  # at most SAMPLE rows
     found = chosen.select(words(F.col("line")).alias("w")).filter(F.size("w") > 0)
     found = materialize(found.withColumn("g3", _among(_grams(F.col("w"), 3), _phrases())), "lines")
-    found = found.filter((F.size("g3") == 0) | (F.array_max(coverage(F.col("g3"))) < COVER)).select("w")
+    found = found.filter((F.size("g3") == 0) | (F.array_max(coverage("g3")) < COVER)).select("w")
     talk = lines.sparkSession.sql(f"select inline(array({', '.join(f'struct({_quoted(x)} as line)' for x in TALK)}))")
     return found.unionByName(talk.select(words(F.col("line")).alias("w")))
 
@@ -321,7 +325,7 @@ def scan(docs: DataFrame) -> DataFrame:
         (F.col("c") > 1) & (F.col("probability") > F.element_at(F.array(*[F.lit(float(x)) for x in fitted["least"]]), F.col("c")))
     )
     families = F.array(*[F.lit(x) for x in NOTICES])
-    cover = chosen.join(units, ["row", "block", "place"]).withColumn("cover", F.explode(F.array(coverage(F.col("g3")))))
+    cover = chosen.join(units, ["row", "block", "place"]).withColumn("cover", F.explode(F.array(coverage("g3"))))
     own = F.element_at("cover", F.array_position(families, F.col("family")).cast("int"))
     checked = (
         cover.withColumn("family", F.element_at(F.array(*[F.lit(x) for x in fitted["names"]]), F.col("c")))
