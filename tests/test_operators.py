@@ -62,6 +62,13 @@ def test_identity(spark):
     assert [(r.new, r.old, r.score) for r in C.match_identity(new, old).collect()] == [("n", "o", 1.0)]
 
 
+def test_identity_by_equal_terms_and_concepts(spark):
+    kind = "cluster string, doc_ids array<string>, title_terms array<string>, concepts array<string>"
+    new = spark.createDataFrame([("n", ["p1"], ["x", "y"], ["c"]), ("m", ["p2"], [], [])], kind)
+    old = spark.createDataFrame([("o", ["q1"], ["y", "x", "x"], ["c"]), ("o2", ["q2"], ["y", "x"], ["d"]), ("o3", ["q3"], [], [])], kind)
+    assert [(r.new, r.old, r.score) for r in C.match_identity(new, old).collect()] == [("n", "o", 0.35)]
+
+
 def test_unrelated_new_signals_survive_a_merge(spark):
     rows = [("w", "s1", ["p1", "p2", "p3"], ["k"], ["t"], 0.9), ("w", "s2", ["p2", "p3", "p4"], ["k"], ["t"], 0.8), ("w", "s3", ["q"], ["z"], ["y"], 0.7)]
     df = spark.createDataFrame(rows, "workspace string, signal string, doc_ids array<string>, keywords array<string>, title_terms array<string>, score double")

@@ -40,11 +40,18 @@ def representatives(members: DataFrame, keys: list[str]) -> DataFrame:
 def match_identity(new: DataFrame, old: DataFrame, least: float = 0.35) -> DataFrame:
     """The existing cluster that a new one continues: tables of ``(cluster, doc_ids, title_terms, concepts)``.
 
-    Candidates share a document, so this is an equi-join on documents and not a comparison of all with all.
-    Score: .65 for each shared document, .20 and .15 of the overlap of title terms and concepts."""
+    Score: .65 for each shared document, .20 and .15 of the overlap of title terms and concepts. Without a shared document
+    only equal terms and equal concepts reach .35, so candidates are equi-joins on documents and on these sets,
+    not a comparison of all with all."""
     a = new.select(F.col("cluster").alias("new"), F.explode("doc_ids").alias("doc"))
     b = old.select(F.col("cluster").alias("old"), F.explode("doc_ids").alias("doc"))
     shared = a.join(b, "doc").groupBy("new", "old").agg(F.count_distinct("doc").alias("shared"))
+    if least <= 0.35:
+        sets = [F.array_sort(F.array_distinct(c)).alias(c) for c in ("title_terms", "concepts")]
+        some = (F.size("title_terms") > 0) & (F.size("concepts") > 0)
+        x, y = (side.filter(some).select(F.col("cluster").alias(name), *sets) for side, name in ((new, "new"), (old, "old")))
+        equal = x.join(y, ["title_terms", "concepts"]).select("new", "old").join(shared, ["new", "old"], "left_anti")
+        shared = shared.unionByName(equal.withColumn("shared", F.lit(0).cast("bigint")))
     rows = shared.join(new.select(F.col("cluster").alias("new"), F.col("title_terms").alias("t1"), F.col("concepts").alias("c1")), "new").join(
         old.select(F.col("cluster").alias("old"), F.col("title_terms").alias("t2"), F.col("concepts").alias("c2")), "old"
     )

@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.storage import materialize
+
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str | None = None) -> DataFrame:
     """The first ``k`` rows of each group. Spark keeps only ``k`` rows of a group before the shuffle."""
@@ -52,9 +54,10 @@ def nearest(points: DataFrame, query: list[float], k: int, key: str = "post_id",
 def bm25(docs: DataFrame, key: str, tokens: str, query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """``(key, score)`` of documents that hold some word of ``query`` (Robertson's weights).
 
-    Document frequencies and the mean length are one pass; postings of query words only are shuffled."""
+    Documents are tokenised once, into a table of their lengths and the query's words in them, which document
+    frequencies, the mean length and the weights are read from; only postings of query words are shuffled."""
     words = sorted(set(query))
-    lengths = docs.select(key, F.size(tokens).alias("n"), F.filter(tokens, lambda w: w.isin(*words)).alias("hits"))
+    lengths = materialize(docs.select(key, F.size(tokens).alias("n"), F.filter(tokens, lambda w: w.isin(*words)).alias("hits")), "lengths")
     whole = lengths.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
     postings = lengths.filter(F.size("hits") > 0).select(key, "n", F.explode("hits").alias("word")).groupBy(key, "n", "word").agg(F.count("*").alias("tf"))
     df = postings.groupBy("word").agg(F.count("*").alias("df"))  # a row for each query word
