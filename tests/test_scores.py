@@ -5,7 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import events, intents, model_output, scores as S, text as tx, vectors as v
+from tidemark.functions import events, intents, model_output, scores as S, text as tx, vectors as v, vision
 from tidemark.functions import html as H, requests as R
 
 
@@ -240,3 +240,15 @@ def test_published_of():
     assert H.published_of(page('[{"@graph": [{"name": "x"}, {"mainEntity": {"dateCreated": "2024-03-01"}}]}]')) == "2024-03-01"
     assert H.published_of(page('{"datePublished": "2023-01-02T03:04:05Z", "@graph": [{"datePublished": "2020-01-01"}]}')) == "2023-01-02T03:04:05Z"
     assert H.published_of(page("{broken")) is None and H.published_of(page('{"other": {"datePublished": "2020"}}')) is None and H.published_of(None) is None
+
+
+def test_vision_messages(spark):
+    m = {"post_id": "p", "media_s3_keys": '["a", 7]', "grouped_id": " None ", "album_item_index": " 3 ", "album_total_items": "x", "vision_mode": " OCR_only ", "max_media_bytes": ""}
+    fields = vision.vision_event(F.create_map(*[F.lit(x) for pair in m.items() for x in pair]))
+    row = spark.range(1).select(*[c.alias(n) for n, c in fields.items()]).first()
+    assert (row["media_s3_keys"], row["grouped_id"], row["album_item_index"], row["album_total_items"], row["vision_mode"], row["max_media_bytes"]) == (["a", "7"], "", 3, 1, "ocr_only", 9_000_000)
+    mode, most = vision.policy(F.lit("none"), F.lit("-5"))
+    assert (one(spark, mode), one(spark, most)) == ("full", 0)
+    labels = F.array(F.lit(" cat "), F.lit(""), F.lit("sofa"))
+    assert one(spark, vision.summary(labels, F.lit("two \n lines"), F.lit(None).cast("string"))) == "cat, sofa; two lines"
+    assert one(spark, vision.mime(F.lit("x.MOV"), F.lit(b""))) == "video/quicktime" and one(spark, vision.mime(F.lit(None).cast("string"), F.lit(b"GIF89a"))) == "image/gif"

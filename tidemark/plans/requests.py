@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark import views as V
-from tidemark.functions import requests as R, scores as S
+from tidemark.functions import model_output, requests as R, scores as S, vectors, vision
 from tidemark.operators import ranking, upsert as U
 from tidemark.views import as_of, hours_before
 
@@ -217,11 +219,93 @@ def index_compensation(spark, d) -> DataFrame:
     return kept.groupBy("workspace").agg(F.count("*").alias("vectors"), F.min("post_id").alias("first"))
 
 
+def vision_decisions(spark, d) -> DataFrame:
+    """Pages as stored media, whose type is read from their first bytes or key: whether a model or text recognition takes them."""
+    n = F.col("page_id")
+    key = F.concat(n.cast("string"), F.element_at(F.array(*map(F.lit, (".jpg", ".MP4", ".webm", ".png"))), (n % 4 + 1).cast("int")))
+    head = F.when(n % 5 == 0, F.unhex(F.lit("89504E470D0A1A0A"))).when(n % 5 == 1, F.unhex(F.lit("524946460000000057454250"))).when(n % 5 == 2, F.unhex(F.lit("0000001866747970"))).otherwise(F.encode(F.lit(""), "utf-8"))
+    mode, most = vision.policy(F.element_at(F.array(*map(F.lit, ("Full", "ocr_only", "skip", "odd"))), (n % 7 % 4 + 1).cast("int")), F.when(n % 2 == 0, "2500"))
+    p = V.table(spark, d, "pages").select(key.alias("key"), F.concat(head, F.encode("html", "utf-8")).alias("data"), mode.alias("mode"), most.alias("most"))
+    p = p.withColumn("mime", vision.mime(F.col("key"), F.col("data")))
+    reason = vision.skip_reason(F.col("mode"), F.col("key"), F.col("mime"), F.octet_length("data"), F.col("most"))
+    return p.select("key", "mime", "mode", reason.alias("reason"), vision.runs_ocr(F.col("mode"), F.col("mime")).alias("ocr"))
+
+
+#: Signals that speak against a trend.
+COUNTER_TYPES = ("failure", "closure", "rejection", "delay", "recall", "lawsuit", "ban")
+
+
+def _payload(spark, d) -> DataFrame:
+    """Embedded posts with what a search filters by."""
+    n = F.col("post_id")
+
+    def one(values: tuple[str, ...], step: int):
+        return F.element_at(F.array(*map(F.lit, values)), (F.floor(n / step) % len(values) + 1).cast("int"))
+
+    return V.points(spark, d).select("post_id", "vector", "published_at", one(("positive", "neutral", "negative"), 1).alias("valence"), one(model_output.SIGNAL_TYPES, 3).alias("signal_type"), one(("global", "ru", "eu"), 2).alias("source_region"))
+
+
+def search(spark, d, asked: R.Search, query: DataFrame, now=None, valence: tuple[str, ...] = (), types: tuple[str, ...] = ()) -> DataFrame:
+    """The posts nearest to ``query(q)``, one row, that pass the filters of the request: ``(post_id, similarity, rank)``."""
+    rows = R.matching(_payload(spark, d), source_region=asked.source_region)
+    types = (asked.signal_type,) if asked.signal_type else types
+    for column, values in (("valence", valence), ("signal_type", types)):
+        rows = rows.filter(F.col(column).isin(*values)) if values else rows
+    if asked.days_back:
+        rows = rows.filter(F.col("published_at") >= (as_of() if now is None else now) - F.make_dt_interval(F.lit(asked.days_back)))
+    scored = rows.crossJoin(F.broadcast(query)).withColumn("similarity", F.round(vectors.cosine(F.col("vector"), F.col("q")), 6))  # one row
+    best = scored.orderBy(F.desc("similarity"), "post_id").limit(asked.limit).select("post_id", "similarity")
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), "post_id")))  # a request's limit of rows
+
+
+def _balanced(spark, d, asked: R.Search, kinds: tuple[str, ...]) -> DataFrame:
+    """Three lanes: what speaks for a trend, what speaks against it, and what one region says; the last two look at thirty
+    days at least."""
+    query = V.points(spark, d).filter("post_id = 7").select(F.col("vector").alias("q"))
+    wide = max(asked.days_back or 7, 30)
+    lanes = {
+        "main": search(spark, d, asked, query, valence=("positive", "neutral"), types=kinds),
+        "counter": search(spark, d, replace(asked, days_back=wide), query, valence=("negative",), types=COUNTER_TYPES),
+        "region": search(spark, d, replace(asked, days_back=wide, source_region="ru"), query),
+    }
+    named = [rows.select(F.lit(name).alias("lane"), "rank", "post_id", "similarity") for name, rows in lanes.items()]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
+_ASKED = R.Search("growth of funding", limit=5, days_back=20)
+
+
+def search_request(spark, d, valence: tuple[str, ...] = ("negative", "neutral")) -> DataFrame:
+    """One search of a region, kind and time."""
+    query = V.points(spark, d).filter("post_id = 7").select(F.col("vector").alias("q"))
+    return search(spark, d, R.Search("any", limit=15, days_back=25, source_region=" EU "), query, valence=valence)
+
+
+def search_balanced(spark, d) -> DataFrame:
+    return _balanced(spark, d, _ASKED, ("growth", "investment"))
+
+
+def search_blind_spots(spark, d, confidence: float = 0.4, players: tuple[str, ...] = ("acme", "the")) -> DataFrame:
+    """What a balanced search lacks: which lanes are empty, and whether any player asked for is named in what was found."""
+    lanes = _balanced(spark, d, R.Search("x", limit=5, days_back=1), ("growth", "investment"))
+    found = lanes.join(V.posts(spark, d).select("post_id", F.lower("content").alias("low")), "post_id", "left")
+    named = F.max(F.when(F.col("low").rlike("|".join(players)), 1).otherwise(0))
+    g = found.agg(F.count_if(F.col("lane") == "region").alias("region"), F.count_if(F.col("lane") == "counter").alias("counter"), F.coalesce(named, F.lit(0)).alias("named"))
+    gaps = F.array_compact(
+        F.array(
+            F.when(F.lit(confidence) < 0.45, "low_intent_confidence"), F.when(F.col("region") == 0, "no_ru_verification_evidence"), F.when(F.col("counter") == 0, "no_counter_signals_found"),
+            F.when(F.lit(len(players) > 0) & (F.col("named") == 0), "no_competitor_evidence"),
+        )
+    )
+    return g.select("region", "counter", F.array_join(gaps, ",").alias("gaps"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         list_workspaces, list_posts, list_emerging_signals, cluster_details, missing_signal, alert_rows, album_posts, post_details, job_totals, source_distribution, stream_snapshot, source_checkpoints,
         index_run, workspace_patch, source_switches, enabled_sources, url_queue, stale_objects, budget_texts, alert_digests, merged_weights, joint_routing, index_compensation,
+        vision_decisions, search_request, search_balanced, search_blind_spots,
     )
 }
 _REASON = """doc_count >= 5 and source_count >= 3 and (signal_score >= 0.8 or (recent_change and signal_score >= 0.74 and strength >= 0.7))"""
@@ -231,6 +315,13 @@ _ALBUMS = f"""{V.POSTS}, p as (select *, post_id % 50 as grouped_id from posts),
 _CLEAN = r"regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')"
 _RUN_STATE = """select source_id, case when status = 'success' then cast(run_id as varchar) end as cursor, case when fetched % 2 = 0 then 'e' || fetched end as etag,
     case when status = 'success' then started_at end as last_seen, error_text as last_error from (select *, row_number() over (partition by source_id order by started_at desc, run_id desc) as r from source_runs where {}) where r = 1"""
+_PAYLOAD = f"""{V.POINTS}, q as (select vector as q from points where post_id = 7), pay as (select post_id, published_at, (['positive', 'neutral', 'negative'])[post_id % 3 + 1] as valence,
+    ([{", ".join(f"'{x}'" for x in model_output.SIGNAL_TYPES)}])[post_id // 3 % 14 + 1] as signal_type, (['global', 'ru', 'eu'])[post_id // 2 % 3 + 1] as source_region,
+    round(list_cosine_similarity(vector, q), 6) as similarity from points, q)"""
+_LANES = f"""lanes as (select *, cast(row_number() over (partition by lane order by similarity desc, post_id) as int) as rank from (
+    select 'main' as lane, post_id, similarity from pay where valence in ('positive', 'neutral') and signal_type in ('growth', 'investment') and published_at >= timestamp '2024-01-31 12:30:00' - interval {{main}} day
+    union all select 'counter', post_id, similarity from pay where valence = 'negative' and signal_type in ({", ".join(f"'{x}'" for x in COUNTER_TYPES)}) and published_at >= timestamp '2024-01-31 12:30:00' - interval 30 day
+    union all select 'region', post_id, similarity from pay where source_region = 'ru' and published_at >= timestamp '2024-01-31 12:30:00' - interval 30 day))"""
 ORACLES = {
     "list_workspaces": f"with {_WORKSPACES} select * from workspaces",
     "list_posts": f"with {V.POSTS} select post_id, source_id, published_at, relevance from posts where workspace = 'de' and status = 'pending' order by published_at desc nulls last, post_id limit 50",
@@ -279,4 +370,16 @@ ORACLES = {
     "merged_weights": f"""with {_WORKSPACES} select id, case when is_active then 0.55::double when length(id) > 8 then 0.6::double end as threshold, case when length(id) > 8 then round(members / 100, 6) end as recency from workspaces""",
     "joint_routing": f"with {V.POSTS} select workspace, coalesce(workspace in ('en', 'fr'), false) or coalesce(source_id in ('src1', 'src2'), false) as joint, count(*) as n from posts group by all",
     "index_compensation": f"""with {V.POSTS} select label as workspace, count(*) as vectors, min(vec_id) as first from embeddings where vec_id not in (select post_id from posts where status = 'error') group by 1""",
+    "vision_decisions": """with p as (select page_id as n, page_id || (['.jpg', '.MP4', '.webm', '.png'])[page_id % 4 + 1] as key, html, (['full', 'ocr_only', 'skip', 'full'])[page_id % 7 % 4 + 1] as mode from pages),
+        m as (select *, case n % 5 when 0 then 'image/png' when 1 then 'image/webp' when 2 then 'video/mp4' else case n % 4 when 1 then 'video/mp4' when 2 then 'video/webm' else 'image/jpeg' end end as mime,
+            strlen(html) + case n % 5 when 0 then 8 when 1 then 12 when 2 then 8 else 0 end as size, case when n % 2 = 0 then 2500 else 9000000 end as most from p)
+        select key, mime, mode, case when mode = 'ocr_only' then 'source_vision_mode_ocr_only' when starts_with(mime, 'video/') or n % 4 in (1, 2) then 'video_media_not_sent_to_gigachat'
+            when size > most then 'media_too_large>' || most end as reason, mode <> 'skip' and starts_with(mime, 'image/') as ocr from m""",
+    "search_request": f"""with {_PAYLOAD} select post_id, similarity, cast(row_number() over (order by similarity desc, post_id) as int) as rank from pay
+        where source_region = 'eu' and valence in ('negative', 'neutral') and published_at >= timestamp '2024-01-31 12:30:00' - interval 25 day order by similarity desc, post_id limit 15""",
+    "search_balanced": f"""with {_PAYLOAD}, {_LANES.format(main=20)} select lane, rank, post_id, similarity from lanes where rank <= 5""",
+    "search_blind_spots": f"""with {_PAYLOAD}, {V.POSTS}, {_LANES.format(main=1)}, f as (select lane, regexp_matches(lower(content), 'acme|the') as named from lanes left join posts using (post_id) where rank <= 5),
+        g as (select count(*) filter (where lane = 'region') as region, count(*) filter (where lane = 'counter') as counter, coalesce(bool_or(named), false) as named from f)
+        select region, counter, concat_ws(',', 'low_intent_confidence', case when region = 0 then 'no_ru_verification_evidence' end, case when counter = 0 then 'no_counter_signals_found' end,
+            case when not named then 'no_competitor_evidence' end) as gaps from g""",
 }
