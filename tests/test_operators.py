@@ -341,6 +341,13 @@ def test_connectors(spark, tmp_path):
     assert [r.external_id for r in once.collect()] == ["7"]
 
 
+def test_web_listing(spark):
+    page = '<nav><a href="/menu">m</a></nav><a href="/One?utm_x=1#a">1</a><a href="https://b.net/2">2</a><a href="/One">1</a><a href="mail">x</a>' + "".join(f'<a href="/p{i}">p</a>' for i in range(20))
+    df = spark.createDataFrame([("https://A.net/list", page)], "url string, html string")
+    got = {r.link for r in connectors.web_listing(df).collect()}
+    assert got == {"https://a.net/One", "https://b.net/2", *(f"https://a.net/p{i}" for i in range(20))}
+
+
 def test_rate_limit_equals_a_log(spark):
     sf = "/root/testdata/sf0.001"
     s = jobs.read_table(spark, f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))

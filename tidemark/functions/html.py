@@ -112,6 +112,11 @@ def followed(urls: list[str]) -> list[str]:
     return list(out)
 
 
+def links_of(html: str | None) -> list[str]:
+    """All different links of a page as they stand in it."""
+    return list(dict.fromkeys(h for h, _ in parse(html).links))
+
+
 def text_of(html: str | None) -> dict:
     """Title (first h1, else title), text of the text blocks, the first of them, and the links followed."""
     page = parse(html)
@@ -180,7 +185,7 @@ def published_of(html: str | None) -> str | None:
 
 
 def _column(function: Callable, kind: str, html: Column) -> Column:
-    if kind == "string":
+    if not kind.startswith("struct"):
 
         def run(batch: pd.Series) -> pd.Series:
             return pd.Series([function(x) for x in batch], dtype=object)
@@ -212,5 +217,9 @@ def meta_column(html: Column) -> Column:
     return _column(meta_of, "struct<" + ",".join(f"{x}:string" for x in ("title", "description", "lang", *[f"og_{k}" for k in _CARD])) + ">", html)
 
 
+def links_column(html: Column) -> Column:
+    return _column(links_of, "array<string>", html)
+
+
 def published_column(html: Column) -> Column:
     return _column(published_of, "string", html)

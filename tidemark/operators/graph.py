@@ -39,6 +39,22 @@ def edges(found: DataFrame, kept: DataFrame | None = None) -> DataFrame:
     return a.join(b, "doc_id").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("mentions"), F.sum(F.least("wa", "wb")).alias("weight"))
 
 
+def examples(found: DataFrame, kept: DataFrame, most: int = 5) -> DataFrame:
+    """``(concept, posts)``: the first documents that mention each kept concept, ``most`` of them."""
+    rows = top_k(found.join(kept.select("concept"), "concept", "left_semi").select("concept", "doc_id"), ["concept"], [F.asc("doc_id")], most)
+    return rows.groupBy("concept").agg(F.array_sort(F.collect_list("doc_id")).alias("posts"))
+
+
+def edge_categories(found: DataFrame, kept: DataFrame, documents: DataFrame) -> DataFrame:
+    """``(a, b, mentions, weight, category)`` of links between kept concepts; the category is that of most of the documents
+    ``(doc_id, category)`` that mention both (ties: the first; none: uncategorized)."""
+    rows = found.join(kept.select("concept"), "concept", "left_semi").select("doc_id", "concept", "weight").join(documents.select("doc_id", "category"), "doc_id", "left")
+    a = rows.select("doc_id", F.coalesce("category", F.lit("uncategorized")).alias("category"), F.col("concept").alias("a"), F.col("weight").alias("wa"))
+    b = rows.select("doc_id", F.col("concept").alias("b"), F.col("weight").alias("wb"))
+    parts = a.join(b, "doc_id").filter("a < b").groupBy("a", "b", "category").agg(F.count("*").alias("n"), F.sum(F.least("wa", "wb")).alias("w"))
+    return parts.groupBy("a", "b").agg(F.sum("n").alias("mentions"), F.sum("w").alias("weight"), F.min_by("category", F.struct(-F.col("n"), "category")).alias("category"))
+
+
 def neighbourhood(links: DataFrame, start: str, depth: int) -> DataFrame:
     """``(concept, hops)`` of what can be reached from ``start`` over ``links(a, b)`` in at most ``depth`` steps."""
     both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")

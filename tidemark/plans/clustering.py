@@ -131,6 +131,22 @@ def graph_edges(spark, d):
     return G.edges(G.mentions(V.concepts(spark, d)))
 
 
+def graph_view_nodes(spark, d):
+    """The concepts that a graph shows, with the first five documents of each."""
+    found = materialize(G.mentions(V.concepts(spark, d)), "mentions")
+    kept = materialize(G.nodes(found, 15, 2), "nodes")
+    shown = kept.join(G.examples(found, kept), "concept", "left")
+    return shown.select("concept", "mentions", "category", F.round(F.col("total_weight") / F.greatest("mentions", F.lit(1)), 2).alias("avg_weight"), F.size("posts").alias("posts_count"), F.array_join(F.transform("posts", lambda x: x.cast("string")), ",").alias("posts"))
+
+
+def graph_view_edges(spark, d):
+    """The links between those concepts, with the category of most documents that make them: an order's priority."""
+    found = materialize(G.mentions(V.concepts(spark, d)), "mentions")
+    kept = materialize(G.nodes(found, 15, 2), "nodes")
+    documents = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderpriority")).alias("category"))
+    return G.edge_categories(found, kept, documents)
+
+
 def graph_khop(spark, d):
     """What the strongest three links of each concept reach from one concept in three steps."""
     links = G.strongest(G.edges(G.mentions(V.concepts(spark, d))), 3)
@@ -168,9 +184,12 @@ QUERIES = {
     f.__name__: f
     for f in (
         similarity_edges_, components, centroid_by_label, coherence_by_label, representative, newest_evidence, identity_match, jaccard_pairs, greedy_merge, greedy_signal_merge,
-        quality_metrics, golden_accuracy, concept_top_k, graph_nodes, graph_edges, graph_khop, graph_components,
+        quality_metrics, golden_accuracy, concept_top_k, graph_nodes, graph_edges, graph_view_nodes, graph_view_edges, graph_khop, graph_components,
     )
 }
+_KEPT = """s as (select concept, count(*) as mentions, cast(sum(weight) as bigint) as total_weight from mentions group by concept), bc as (select concept, category, count(*) as n from mentions group by all),
+    md as (select concept, category, row_number() over (partition by concept order by n desc, category) as r from bc),
+    kept as (select s.*, category from s join md using (concept) where r = 1 and mentions >= 2 order by mentions desc, total_weight desc, concept limit 15)"""
 ORACLES = {
     "similarity_edges": f"with {_EDGES} select src, dst, workspace, round(similarity, 6) as similarity from edges",
     "components": f"with recursive {_COMPONENTS} select post_id, workspace, cluster from points join parts using (post_id)",
@@ -206,6 +225,13 @@ ORACLES = {
         bc as (select concept, category, count(*) as n from mentions group by all), md as (select concept, category, row_number() over (partition by concept order by n desc, category) as r from bc)
         select s.*, category from s join md using (concept) where r = 1 and mentions >= 2 order by mentions desc, total_weight desc, concept limit 15""",
     "graph_edges": f"with {_GEDGES} select * from gedges",
+    "graph_view_nodes": f"""with {_MENTIONS}, {_KEPT}, r as (select concept, doc_id, row_number() over (partition by concept order by doc_id) as r from mentions where concept in (select concept from kept)),
+        e as (select concept, cast(count(*) as int) as posts_count, string_agg(cast(doc_id as varchar), ',' order by doc_id) as posts from r where r <= 5 group by concept)
+        select concept, mentions, category, round(total_weight / mentions, 2) as avg_weight, posts_count, posts from kept left join e using (concept)""",
+    "graph_view_edges": f"""with {_MENTIONS}, {_KEPT}, m as (select doc_id, concept, weight, coalesce(case when o_orderkey % 5 > 0 then o_orderpriority end, 'uncategorized') as c from mentions left join orders on o_orderkey = doc_id
+            where concept in (select concept from kept)),
+        p as (select x.concept as a, y.concept as b, x.c as category, count(*) as n, sum(least(x.weight, y.weight)) as w from m x join m y on x.doc_id = y.doc_id and x.concept < y.concept group by all)
+        select a, b, cast(sum(n) as bigint) as mentions, cast(sum(w) as bigint) as weight, first(category order by n desc, category) as category from p group by a, b""",
     "graph_khop": f"""with recursive {_STRONGEST}, l as (select concept as a, other as b from ranked where r <= 3 union select other, concept from ranked where r <= 3),
         walk(concept, hops) as (select 'brand#1', 0 union select b, hops + 1 from walk join l on l.a = walk.concept where hops < 3) select concept, cast(min(hops) as int) as hops from walk group by concept""",
     "graph_components": f"""with recursive {_STRONGEST}, l as (select concept as a, other as b from ranked where r <= 1 union select other, concept from ranked where r <= 1),

@@ -103,7 +103,7 @@ def mailbox(spark: SparkSession, path: str) -> DataFrame:
 def web_listing(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``(page, link, title)``: links of listing pages, relative ones completed, each once for a page."""
     base = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    links = pages.select(F.col(url).alias("page"), base.alias("base"), F.explode(H.text_column(F.col(html))["links"]).alias("href"))
+    links = pages.select(F.col(url).alias("page"), base.alias("base"), F.explode(H.links_column(F.col(html))).alias("href"))
     full = F.when(F.col("href").rlike("^https?://"), F.col("href")).when(F.col("href").startswith("/"), F.concat("base", "href"))
     return links.select("page", tx.canonical_url(full).alias("link")).filter("link is not null").distinct()
 
