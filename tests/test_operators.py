@@ -272,7 +272,7 @@ def test_queries_read_whole_texts(spark, tmp_path):
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     assert observability.media_unnest_counts(spark, str(tmp_path)).count() == 120
     assert signals.april_fools_guard(spark, str(tmp_path)).first()["share"] == 0.75  # ids 0 and 6 have a cue before the text, 3 inside it
-    terms = {tuple(r.title_terms) for r in clustering._clusters(spark, str(tmp_path), 1, None).collect()}
+    terms = {tuple(r.title_terms) for r in clustering._clusters(spark, str(tmp_path), 1).collect()}
     assert tuple(words.split()) in terms
 
 

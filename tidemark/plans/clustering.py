@@ -53,11 +53,11 @@ def newest_evidence(spark, d):
     return ranking.top_k(p, ["workspace"], [F.desc("published_at"), F.desc("post_id")], 5, "rank")
 
 
-def _clusters(spark, d, step: int, limit: int | None = 12) -> DataFrame:
-    """Clusters of posts by source and a slice of ids, with their title terms (``limit`` of them, or all) and concepts."""
+def _clusters(spark, d, step: int) -> DataFrame:
+    """Clusters of posts by source and a slice of ids, with their title terms and concepts; texts have no titles, so the first
+    180 characters stand for one."""
     p = V.posts(spark, d).filter("source_id is not null").withColumn("cluster", F.concat_ws("-", "source_id", (F.floor(F.col("post_id") / step)).cast("string")))
-    every = tx.terms(F.left("content", F.lit(180)))
-    first = F.array_distinct(every if limit is None else F.slice(every, 1, limit))
+    first = F.array_distinct(tx.terms(F.left("content", F.lit(180))))
     g = p.groupBy("cluster").agg(F.array_sort(F.collect_set("post_id")).alias("doc_ids"), F.min("post_id").alias("post_id"), F.max("published_at").alias("last_seen"), F.min("published_at").alias("first_seen"), F.first("source_id").alias("source_id"))
     titles = p.select("post_id", first.alias("title_terms"))
     return g.join(titles, "post_id").withColumn("concepts", F.array(F.concat(F.lit("c"), (F.col("post_id") % 9).cast("string"))))
@@ -81,7 +81,7 @@ def jaccard_pairs(spark, d):
 
 def greedy_merge(spark, d):
     """Clusters of each source folded in order; thresholds are low as texts are invented."""
-    c = _clusters(spark, d, 100, None)
+    c = _clusters(spark, d, 100)
     vectors = V.points(spark, d).select("post_id", "vector")
     rows = c.join(vectors, "post_id", "left").select(
         F.col("source_id").alias("workspace"), "cluster", "doc_ids", "title_terms", "concepts", F.coalesce("vector", F.array_repeat(F.lit(0.0), 64)).alias("centroid"),
@@ -92,7 +92,7 @@ def greedy_merge(spark, d):
 
 def greedy_signal_merge(spark, d):
     """Signals folded by score; their semantic clusters are those that their posts' vectors fall into."""
-    c = materialize(_clusters(spark, d, 100, None), "signals")
+    c = materialize(_clusters(spark, d, 100), "signals")
     parts = components(spark, d).select("post_id", F.col("cluster").alias("part"))
     members = c.select("cluster", F.explode("doc_ids").alias("post_id")).join(parts, "post_id")
     semantic = members.groupBy("cluster").agg(F.collect_set("part").alias("semantic_cluster_ids"))
@@ -172,7 +172,7 @@ _GEDGES = f"""{_MENTIONS}, gedges as (select a.concept as a, b.concept as b, cou
 _STRONGEST = f"""{_GEDGES}, sides as (select a as concept, b as other, weight from gedges union all select b, a, weight from gedges),
     ranked as (select concept, other, row_number() over (partition by concept order by weight desc, other) as r from sides)"""
 _CLUSTERS = """{name} as (select *, ['c' || (post_id % 9)] as concepts from (select source_id || '-' || cast(post_id // {step} as varchar) as cluster, source_id, list(post_id) as doc_ids, min(post_id) as post_id from posts
-    where source_id is not null group by 1, 2) join (select post_id, list_distinct(list_slice(regexp_extract_all(lower(left(content, 180)), '{term}'), 1, 12)) as title_terms from posts) using (post_id))"""
+    where source_id is not null group by 1, 2) join (select post_id, list_distinct(regexp_extract_all(lower(left(content, 180)), '{term}')) as title_terms from posts) using (post_id))"""
 
 
 def _cluster_sql(name: str, step: int) -> str:
