@@ -17,6 +17,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again.
 
@@ -24,7 +28,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     when it chooses between a broadcast and a shuffle.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     spark._jvm.System.gc()  # Spark deletes the shuffle files of a finished write once its plan is collected
     out = spark.read.schema(df.schema).parquet(path)
@@ -36,6 +40,26 @@ def discard(df: DataFrame) -> None:
     """Delete a table of ``materialize`` that nothing reads any more."""
     path = getattr(df, "_tidemark_path", None)
     if path:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+_named: set[str] = set()
+
+
+def named_table(label: str) -> str:
+    """A new name for a table of the catalog, which ``clear`` drops."""
+    name = f"tidemark_{label}_{uuid.uuid4().hex}"
+    _named.add(name)
+    return name
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application made, once their results have been read or written elsewhere."""
+    _delete(spark, _own_dir(spark))
+    while _named:
+        spark.sql(f"drop table if exists {_named.pop()}")
