@@ -197,6 +197,12 @@ def test_op3_learns_every_language(spark, monkeypatch):
     assert len(model.languages) == 300 and [x for x, _ in model.predict([t for _, t, _ in data[:300]])] == [x for _, _, x in data[:300]]
 
 
+def test_op3_accuracy_on_held_out_rows(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = language.identify(table).join(table.select("doc_id", "lang", "text"), "doc_id").filter("held_out and lang is not null and lang_pred <> 'und' and length(text) >= 20").collect()
+    assert len(found) > 30 and sum(r.lang == r.lang_pred for r in found) >= 0.9 * len(found)
+
+
 def test_op3_learns(docs, spark):
     rnd = random.Random(5)
     kinds = {"aa": ["lorem", "ipsum", "dolor", "amet"], "bb": ["schön", "über", "straße", "nicht"], "cc": ["привет", "мир", "это", "нет"]}
@@ -520,6 +526,12 @@ def test_op10_near_terms_are_counted_in_words(spark):
     assert len(disclosure.terms_outside(long_text, disclosure.base_spans(long_text))) == 60_000
 
 
+def test_op10_bitmap_holds_every_term(spark):
+    values = [disclosure._hash(f"term{i}") for i in range(5000)]
+    terms = disclosure._Terms(disclosure._bits(spark.createDataFrame([(v,) for v in values], "t long")))
+    assert all(terms[f"TERM{i}"] == v for i, v in enumerate(values)) and sum(terms[f"other{i}"] is not None for i in range(5000)) < 50
+
+
 def test_op10_disclosing_terms(spark):
     data = [(i, f"filler{i} words here then Zorblax writes to bob@corp.example daily and more {i}") for i in range(5)]
     data += [(100 + i, f"nothing in this text{i} and then words") for i in range(60)] + [(300, "Zorblax alone"), (301, None)]
@@ -546,3 +558,16 @@ def test_bytes_words_equal_split():
     assert len(set(seen.values())) == len(seen)
     x = np.array([5, 3, 3, 8, 1, 9, 1, 1], np.uint64)
     assert words.window_argmin(x, 3).tolist() == [1, 1, 4, 4, 4, 6]
+
+
+def test_tables_are_cleared(spark):
+    from tidemark import storage
+
+    table = storage.materialize(spark.range(3), "three")
+    name = storage.named_table("texts")
+    spark.range(2).write.saveAsTable(name)
+    assert table.count() == 3 and spark.catalog.tableExists(name)
+    storage.clear(spark)
+    assert not spark.catalog.tableExists(name)
+    with pytest.raises(Exception):
+        spark.read.parquet(table._tidemark_path)

@@ -13,7 +13,7 @@ runs of three letters or more, or of two that are not ASCII. Terms seen with an
 generalised wherever they stand, from ``REMOVE`` on they are removed.
 
 Counting n(t) reads every document, but moves only terms that may stand near an entity often enough; these are
-told by a bitmap of a fixed size (a full bitmap costs speed, not results, as an exact join follows).
+told by a bitmap of a bounded size (a full bitmap costs speed, not results, as an exact join follows).
 
 Defined results: null and empty texts have no spans; the work of a text is in proportion to its length, of any length;
 matches of different kinds may overlap, terms never overlap base matches; ``sanitise`` replaces overlapping spans as
@@ -42,8 +42,8 @@ GENERALISE = 0.8
 REMOVE = 0.95
 #: Terms on each side of a match that stand near it.
 NEAR = 6
-#: Bits of the bitmap of terms: 2 MiB, whatever the corpus.
-BITMAP = 1 << 24
+#: Bits of the bitmap of terms: 2 MiB to 32 MiB, whatever the corpus.
+LEAST_BITS, MOST_BITS = 1 << 24, 1 << 28
 
 _DIGIT = re.compile(r"[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -136,11 +136,15 @@ def _near_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bits(df: DataFrame) -> np.ndarray:
-    """Which of ``BITMAP`` places the terms fall on; no more than that many small numbers reach the driver."""
-    places = df.select(F.pmod("t", F.lit(BITMAP)).cast("int").alias("p")).distinct().toPandas()["p"].to_numpy()
-    bits = np.zeros(BITMAP, bool)
-    bits[places.astype(np.int64)] = True
-    return np.packbits(bits)
+    """A bitmap of the terms' hashes, as bytes: 16 bits for each term and ``LEAST_BITS`` at least, ``MOST_BITS`` at most. The
+    driver gets a row for each 64 bits of it."""
+    n = df.select("t").distinct().count()
+    size = max(LEAST_BITS, min(MOST_BITS, 1 << (16 * n).bit_length()))
+    place = F.pmod("t", F.lit(size))
+    words = df.select(F.floor(place / 64).cast("int").alias("w"), place.alias("p")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b")).toPandas()
+    bits = np.zeros(size // 64, np.int64)
+    bits[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
+    return bits.view(np.uint8)
 
 
 class _Terms(dict):
@@ -149,13 +153,14 @@ class _Terms(dict):
     limit = 300_000
 
     def __init__(self, bits: np.ndarray) -> None:
-        self.bits = np.unpackbits(bits).astype(bool)
+        self.bits = bits
 
     def __missing__(self, term: str) -> int | None:
         if len(self) >= self.limit:
             self.clear()
         h = _hash(term.lower())
-        self[term] = h = h if self.bits[h % BITMAP] else None
+        place = h % (8 * len(self.bits))
+        self[term] = h = h if self.bits[place >> 3] >> (place & 7) & 1 else None
         return h
 
 

@@ -7,8 +7,9 @@ lines are grouped by host and line, with partial sums in each task, so neither a
 meets in one task. A host has fewer than (lines a page) / ``RATIO`` such lines, and these lists, not the lines,
 are joined to the documents; Spark broadcasts them if they are small and splits a hot host if not.
 
-Defined results: blank lines are never dropped nor counted; a null text has no lines and stays null; a null
-host is one host; a page of boilerplate only ends up empty.
+Defined results: blank lines (of spaces only) are never dropped nor counted; a null text has no lines and stays null; a
+null host and an empty one are the same host; a page of boilerplate only ends up empty; a line at just the ratio
+stays; a text of any length is read whole; repeated rows are each rewritten; an empty table has no rows; other columns stay.
 """
 
 from __future__ import annotations

@@ -23,7 +23,6 @@ read.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 from itertools import compress
 
@@ -33,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.llm.words import rolling, slices, window_argmin, word_hashes
-from tidemark.storage import discard, materialize
+from tidemark.storage import discard, materialize, named_table
 
 WINDOW = 20
 GRAM = 4
@@ -69,7 +68,7 @@ def stored_documents(docs: DataFrame) -> DataFrame:
     numbered = packed.repartition(n, "k").withColumn(
         "copy", F.row_number().over(Window.partitionBy("k").orderBy("doc_id", "blob")) - 1
     )
-    name = f"tidemark_texts_{uuid.uuid4().hex}"
+    name = named_table("texts")
     numbered.write.bucketBy(n, "k").saveAsTable(name, format="parquet")
     spark._jvm.System.gc()  # the shuffle files of the write go
     return spark.table(name)
