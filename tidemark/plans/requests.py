@@ -7,8 +7,9 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark import views as V
-from tidemark.functions import model_output, requests as R, scores as S, vectors, vision
+from tidemark.functions import events, model_output, requests as R, scores as S, vectors, vision
 from tidemark.operators import ranking, upsert as U
+from tidemark.plans.signals import ORACLES as SIGNALS, external_strength, gap_scores
 from tidemark.views import as_of, hours_before
 
 
@@ -219,6 +220,40 @@ def index_compensation(spark, d) -> DataFrame:
     return kept.groupBy("workspace").agg(F.count("*").alias("vectors"), F.min("post_id").alias("first"))
 
 
+def urgent_alerts(spark, d, most_a_run: int = 2, most_a_week: int = 4) -> DataFrame:
+    """The alerts that a run may still send: the best candidates, as many as the run and the week leave. Trends of even key
+    that were found in the last week stand for those that were sent."""
+    now = F.lit("1998-08-01").cast("timestamp_ntz")
+    sent = V.trends(spark, d).filter((F.col("cluster_key") % 1000 == 0) & (F.col("detected_at") >= now - F.expr("interval 7 days")) & (F.col("detected_at") < now))
+    left = sent.agg(F.greatest(F.lit(0), F.least(F.lit(most_a_run), most_a_week - F.count("*"))).alias("left"))
+    best = alert_rows(spark, d).orderBy(F.desc("signal_score"), "cluster_key").limit(most_a_run)
+    ranked = best.withColumn("n", F.row_number().over(Window.orderBy(F.desc("signal_score"), "cluster_key")))  # a run's limit of rows
+    return ranked.crossJoin(F.broadcast(left)).filter(F.col("n") <= F.col("left")).drop("left")  # one row
+
+
+def missing_signal_run(spark, d, most: int = 10) -> DataFrame:
+    """Stored gaps after an analysis: the greatest gaps of the run replace all that was stored of their categories."""
+    new = gap_scores(spark, d).filter("gap > 0").orderBy(F.desc("gap"), "topic").limit(most)
+    new = new.select((F.col("topic") % 5).alias("category"), "topic", "gap")
+    old = external_strength(spark, d).select((F.col("topic") % 5).alias("category"), (F.col("topic") + 100).alias("topic"), F.col("strength").alias("gap"))
+    return U.replace_slice(old, new, ["category"])
+
+
+def event_intake(spark, d) -> DataFrame:
+    """Raw messages, typed, and why some can't be used: by kind and problem."""
+    e = V.table(spark, d, "events")
+    n = F.col("event_id")
+    fields = {
+        "event_id": F.when(n % 10 > 0, n.cast("string")).otherwise(" None "), "post_id": n.cast("string"), "workspace_id": F.when(n % 7 > 0, F.col("event_type")).otherwise(""), "source_id": F.lit("s"),
+        "external_id": F.when(n % 11 > 0, "x"), "content": F.when(n % 3 > 0, F.col("props")).otherwise("  "), "has_media": F.when(n % 2 == 0, "True").otherwise("False"),
+        "media_urls": F.when(n % 4 == 0, F.lit('["a", "b"]')).when(n % 4 == 1, F.lit("[broken")).when(n % 4 == 2, F.lit("one")), "published_at": F.col("ts").cast("string"), "extra": F.col("props"),
+    }
+    message = F.map_from_entries(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in fields.items()]))
+    typed = events.post_event(F.col("m"))
+    rows = e.select("event_type", message.alias("m")).select("event_type", events.problem(typed).alias("problem"), F.size(typed["media_urls"]).alias("media"))
+    return rows.groupBy("event_type", "problem").agg(F.count("*").alias("n"), F.sum("media").alias("media"))
+
+
 def vision_decisions(spark, d) -> DataFrame:
     """Pages as stored media, whose type is read from their first bytes or key: whether a model or text recognition takes them."""
     n = F.col("page_id")
@@ -305,7 +340,7 @@ QUERIES = {
     for f in (
         list_workspaces, list_posts, list_emerging_signals, cluster_details, missing_signal, alert_rows, album_posts, post_details, job_totals, source_distribution, stream_snapshot, source_checkpoints,
         index_run, workspace_patch, source_switches, enabled_sources, url_queue, stale_objects, budget_texts, alert_digests, merged_weights, joint_routing, index_compensation,
-        vision_decisions, search_request, search_balanced, search_blind_spots,
+        urgent_alerts, missing_signal_run, event_intake, vision_decisions, search_request, search_balanced, search_blind_spots,
     )
 }
 _REASON = """doc_count >= 5 and source_count >= 3 and (signal_score >= 0.8 or (recent_change and signal_score >= 0.74 and strength >= 0.7))"""
@@ -336,6 +371,16 @@ ORACLES = {
     "alert_rows": f"""with {_WORKSPACES}, {V.TRENDS} select workspace, cluster_key, signal_score, case when signal_score >= 0.8 then 'high_score' else 'change_point' end as reason from trends
         where workspace in (select id from workspaces where is_active) and stage = 'stable' and detected_at >= timestamp '1998-08-01' - interval 20000 hour and {_REASON}
             and not (cluster_key % 3 <> 0 and cluster_key % 2 = 0)""",
+    "urgent_alerts": f"""with {_WORKSPACES}, {V.TRENDS}, c as (select workspace, cluster_key, signal_score, case when signal_score >= 0.8 then 'high_score' else 'change_point' end as reason,
+            cast(row_number() over (order by signal_score desc, cluster_key) as int) as n from trends
+            where workspace in (select id from workspaces where is_active) and stage = 'stable' and detected_at >= timestamp '1998-08-01' - interval 20000 hour and {_REASON} and not (cluster_key % 3 <> 0 and cluster_key % 2 = 0)),
+        s as (select count(*) as sent from trends where cluster_key % 1000 = 0 and detected_at >= timestamp '1998-07-25' and detected_at < timestamp '1998-08-01')
+        select workspace, cluster_key, signal_score, reason, n from c, s where n <= greatest(0, least(2, 4 - sent))""",
+    "missing_signal_run": f"""with g as ({SIGNALS["gap_scores"]}), e as ({SIGNALS["external_strength"]}), new as (select topic % 5 as category, topic, gap from g where gap > 0 order by gap desc, topic limit 10)
+        select topic % 5 as category, topic + 100 as topic, strength as gap from e where topic % 5 not in (select category from new) union all select * from new""",
+    "event_intake": """with m as (select event_type, case when event_id % 10 = 0 then 'missing event_id' when event_id % 7 = 0 then 'missing workspace_id' when event_id % 11 = 0 then 'missing external_id'
+            when event_id % 3 = 0 and event_id % 2 = 1 then 'empty post' end as problem, case event_id % 4 when 0 then 2 when 2 then 1 else 0 end as media from events)
+        select event_type, problem, count(*) as n, cast(sum(media) as bigint) as media from m group by all""",
     "album_posts": f"with {_ALBUMS} select * from albums",
     "post_details": f"""with {_ALBUMS}, k as (select page_id as post_id, 'crawl' as kind from pages union select doc_id, 'valence' from labels), f as (select post_id, string_agg(kind, ',' order by kind) as kinds from k group by 1)
         select p.post_id, a.posts as album, coalesce(kinds, '') as kinds from p left join albums a on a.workspace = p.workspace and a.source_id = p.source_id and a.grouped_id = p.grouped_id left join f on f.post_id = p.post_id""",
