@@ -10,8 +10,8 @@ probable than the 99.9th percentile of what it reaches on held-out lines, and th
 A prediction is confirmed by comparison with the notices: ``COVER`` of the 3-grams of one of the family's must occur,
 as large a share of those that no other family has, and no other family's notice may be covered better.
 
-A line without a word of a weighted n-gram has the probabilities of the intercepts, so only others are scored
-further; that is exact, not a prefilter. Features are the n-grams of
+A line that lacks the rarest word of each weighted n-gram and of each 3-gram of a notice has none of them, so its
+probabilities are those of the intercepts and it isn't looked at further; that is exact, not a prefilter. Features are the n-grams of
 the notices that other lines rarely have, so weights are some hundreds of rows whatever the corpus.
 
 Defined results: null and empty texts have no paragraphs; repeated paragraphs count each time; equal rows have equal
@@ -230,13 +230,12 @@ def negatives(lines: DataFrame) -> DataFrame:
     return found.unionByName(talk.select(words(F.col("line")).alias("w")))
 
 
-def _vocabulary(base: DataFrame, unknown: DataFrame) -> list[str]:
-    """N-grams of the notices but those that ``COMMON`` of the unknown paragraphs have."""
+def _frequencies(base: DataFrame, unknown: DataFrame) -> dict[str, float]:
+    """Of each n-gram of the notices the share of the unknown paragraphs that have it."""
     total = max(1, unknown.count())
     mine = base.select(F.explode(features(F.col("w"))).alias("g")).distinct()
     seen = unknown.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n"))
-    kept = mine.join(seen, "g", "left").filter(F.coalesce("n", F.lit(0)) <= COMMON * total)
-    return sorted(r["g"] for r in kept.collect())  # of the notices above
+    return {r["g"]: (r["n"] or 0) / total for r in mine.join(seen, "g", "left").collect()}  # of the notices above
 
 
 def fit(spark: SparkSession, sample: DataFrame) -> dict:
@@ -258,7 +257,8 @@ def fit(spark: SparkSession, sample: DataFrame) -> dict:
     )
     rows = materialize(rows.coalesce(1), "training")
     learn = rows.filter("not out")
-    vectors = CountVectorizerModel.from_vocabulary(_vocabulary(base, rows.filter("label = 0")), "grams", "features")
+    share = _frequencies(base, rows.filter("label = 0"))
+    vectors = CountVectorizerModel.from_vocabulary(sorted(g for g, x in share.items() if x <= COMMON), "grams", "features")
     model = LogisticRegression(
         family="multinomial", regParam=REGULARISATION, elasticNetParam=0.5, weightCol="weight", maxIter=50, tol=1e-4, standardization=False
     ).fit(vectors.transform(learn))
@@ -266,7 +266,8 @@ def fit(spark: SparkSession, sample: DataFrame) -> dict:
     present = sorted({int(x) for x in range(model.numClasses)})
     names = [names[i] for i in present]
     weights = {g: [float(x) for x in matrix[:, i]] for i, g in enumerate(vectors.vocabulary) if abs(matrix[:, i]).max() > 1e-6}
-    fitted = {"names": names, "weights": weights, "intercepts": intercepts}
+    rarest = {min(g.split(" "), key=lambda w: (share[w], w)) for g in [*weights, *_phrases()]}
+    fitted = {"names": names, "weights": weights, "intercepts": intercepts, "rarest": sorted(rarest)}
     one = F.lit(0)
     held = score(rows.filter("out").select(F.monotonically_increasing_id().alias("row"), one.alias("block"), one.alias("place"), "grams"), fitted)
     least = held.agg(*[F.percentile_approx(F.element_at("p", i + 1), 0.999, 1000).alias(f"p{i}") for i in range(len(names))]).first()
@@ -300,13 +301,12 @@ def scan(docs: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))  # equal rows have equal results
     lines = paragraphs(keyed.select("row", "text"))
     fitted = fit(spark, negatives(lines))
-    active = sorted({w for g in fitted["weights"] for w in g.split(" ")})
     w = F.col("w")
     candidate = F.struct(_among(F.concat(w, _grams(w, 2)), sorted(fitted["weights"])).alias("grams"), _among(_grams(w, 3), _phrases()).alias("g3"))
     # exploding one value keeps the optimizer from writing an expression out at each place that uses it
     likely = (
         lines.select("row", "block", "place", F.explode(F.array(words(F.col("line")))).alias("w"))
-        .filter(F.exists("w", lambda x: _in(x, active)))
+        .filter(F.exists("w", lambda x: _in(x, fitted["rarest"])))
         .select("row", "block", "place", F.explode(F.array(candidate)).alias("x"))
         .select("row", "block", "place", "x.grams", "x.g3")
         .filter("size(grams) > 0 or size(g3) > 0")
