@@ -310,20 +310,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 #: Names that documents don't have.
-_ROW, _TEXT, _ALL = (f"__tidemark_{x}" for x in ("row", "text", "all"))
+_ID, _TEXT, _ALL, _COPIES = (f"__tidemark_{x}" for x in ("id", "text", "all", "copies"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each component: the first by doc_id (null last), hash of the text and hash of the row.
 
-    Rows have a key of their own, so that those without a doc_id, or with the same one, stay apart. Equal rows are
-    one group; a null text is an empty one; an empty table stays empty; all columns are kept.
+    A row is known by these three, so rows without a doc_id, or with the same one, stay apart; rows that agree in all three
+    have one text, thus one component, and the first of them that Spark meets stays for all. Documents are read and not
+    copied: only keys are written. A null text is an empty one; an empty table stays empty; all columns are kept.
     """
     whole = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
-    rows = materialize(docs.withColumn(_ROW, F.monotonically_increasing_id()), "rows")
-    marked = rows.withColumns({_TEXT: F.xxhash64("text"), _ALL: F.xxhash64(*whole)})
-    prints = materialize(fingerprints(marked, _TEXT, _ALL, _ROW), "simhash")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", _TEXT, _ALL, _ROW))
-    best = _named(prints, first).groupBy("component").agg(F.min("least").alias("least"))
-    keep = materialize(best.select(F.col(f"least.{_ROW}").alias(_ROW)), "keep")
-    return rows.join(keep, _ROW, "left_semi").drop(_ROW)
+    marked = docs.withColumns({_ID: F.col("doc_id"), _TEXT: F.xxhash64("text"), _ALL: F.xxhash64(*whole)})
+    prints = materialize(fingerprints(marked, _TEXT, _ALL), "simhash")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", _TEXT, _ALL)
+    best = _named(prints, F.min(row)).groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("i"), F.col(f"least.{_TEXT}").alias("t"), F.col(f"least.{_ALL}").alias("a"))
+    sizes = prints.groupBy("doc_id", _TEXT, _ALL).agg(F.count("*").alias(_COPIES))
+    same = F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col(_TEXT)) & (F.col("a") == F.col(_ALL))
+    keep = materialize(sizes.join(best, same, "left_semi").select(F.col("doc_id").alias("i"), F.col(_TEXT).alias("t"), F.col(_ALL).alias("a"), _COPIES), "keep")
+    mine = F.col("i").eqNullSafe(F.col(_ID)) & (F.col("t") == F.col(_TEXT)) & (F.col("a") == F.col(_ALL))
+    out = marked.join(keep.filter(f"{_COPIES} = 1"), mine, "left_semi")
+    repeated = keep.filter(f"{_COPIES} > 1")
+    if not repeated.isEmpty():
+        out = out.unionByName(marked.join(repeated, mine, "left_semi").dropDuplicates([_ID, _TEXT, _ALL]))
+    return out.drop(_ID, _TEXT, _ALL)
