@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Odd multipliers of the polynomial hashes, wrapping at 64 bits.
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -79,6 +80,22 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.diff(upto, prepend=0)
 
 
+def hashed_runs(raw: np.ndarray, gap: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of each longest run of bytes that aren't in ``gap``; ``table`` has a value for each byte."""
+    hashes, starts, ends, low = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    while low < len(raw):
+        high = min(len(raw), low + _BLOCK)
+        while high < len(raw) and not gap[raw[high - 1]]:
+            blanks = np.flatnonzero(gap[raw[high : high + _BLOCK]])
+            high += int(blanks[0]) + 1 if len(blanks) else min(_BLOCK, len(raw) - high)
+        edges = np.flatnonzero(np.diff(gap[raw[low:high]], prepend=True, append=True))
+        hashes.append(Spans(table[raw[low:high]])(edges[::2], edges[1::2] - edges[::2]))
+        starts.append(edges[::2] + low)
+        ends.append(edges[1::2] + low)
+        low = high
+    return np.concatenate(hashes), np.concatenate(starts), np.concatenate(ends)
+
+
 def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of ``k`` consecutive words."""
     m = len(hashes) - k + 1
@@ -108,3 +125,15 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
     for batch in batches:
         for lo in range(0, batch.num_rows, rows):
             yield batch.slice(lo, rows)
+
+
+def sized(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, in each of which ``column`` takes about ``most`` bytes at most, or there is one row."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends, low = np.cumsum(sizes, dtype=np.int64), 0
+        while low < batch.num_rows:
+            before = int(ends[low - 1]) if low else 0
+            high = max(low + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield batch.slice(low, high - low)
+            low = high
