@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import byte_bpe, disclosure, fingerprints, language, licences, lines, media, packing, simhash, substring_index
+from tidemark.llm import byte_bpe, collocations, disclosure, fingerprints, infill, jaccard_groups, language, licences, lines, media, packing, simhash, substring_index
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside.
@@ -77,6 +77,9 @@ OPERATORS = {
     "op8": simhash.near_duplicates,
     "op9": lambda d: media.text_media(d).drop("media", "tile"),
     "op10": lambda d: disclosure.digests(disclosure.find_spans(d)),
+    "op11": jaccard_groups.similar_documents,
+    "op12": lambda d: collocations.collocations(d, least=6),
+    "op13": lambda d: infill.digests(infill.transform(d)),
 }
 
 

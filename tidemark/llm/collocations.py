@@ -83,8 +83,10 @@ class Words:
         #: The counter of each word and the next one.
         self.slots = (mix(mix(self.hashes ^ mine) + after) & np.uint64(PAIRS - 1)).astype(np.int64)
 
-    def __len__(self) -> int:
-        return len(self.hashes)
+    def other_hashes(self) -> np.ndarray:
+        """Second hashes of the words, by which words of one hash are told apart."""
+        raw = np.frombuffer(self.raw, np.uint8)
+        return hashed_runs(raw, _GAP, mix(np.arange(1, 257, dtype=np.uint64) ^ np.uint64(1 << 63)))[0]
 
     def texts_of(self, places: np.ndarray) -> list[bytes]:
         return [self.raw[a:b] for a, b in zip(self.starts[places].tolist(), self.ends[places].tolist(), strict=True)]
@@ -120,8 +122,9 @@ def _counted(seed: int, least: int) -> Callable:
             np.minimum(counters, least, out=counters)
             known, code = np.unique(np.array(langs, object).astype(str), return_inverse=True)
             code = code[words.doc]
-            order = np.lexsort((words.hashes, code))
-            first = _heads(words.hashes[order], code[order])
+            other = words.other_hashes()
+            order = np.lexsort((other, words.hashes, code))
+            first = _heads(other[order], words.hashes[order], code[order])
             place, n = order[first], np.diff(np.append(first, len(order)))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -234,7 +237,8 @@ class MultikeySort:
                 yield from self._small(pointers, d)
                 continue
             key = self.rows[pointers, d]
-            pivot = np.sort(key[:: len(key) // 64])[32]
+            sample = np.sort(key[:: max(1, len(key) // 64)])
+            pivot = sample[len(sample) // 2]
             low, high = key < pivot, key > pivot
             stack += [(part, d) for part in (pointers[low], pointers[high]) if len(part)]
             if pivot == 0 and d:
