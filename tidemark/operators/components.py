@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.storage import discard, materialize
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Label every node of ``edges(src, dst)`` with the smallest node it can reach.
 
     Alternating large-star and small-star contraction: each round is two aggregations by node whose
     partial sums keep a hub from meeting in one task, followed by a join that adaptive execution can
-    split. Rounds are logarithmic in the longest chain. Self loops and null ends are ignored, so a
+    split. Rounds are logarithmic in the longest chain and go on until none changes anything. Self loops and null ends are ignored, so a
     node without another neighbour is absent from the result. Returns ``(node, component)``.
     """
     und = edges.filter("src is not null and dst is not null and src <> dst")
@@ -20,7 +20,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         und.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct(), "edges"
     )
     before = None
-    for _ in range(max_rounds):
+    while True:
         larger = materialize(_star(current, large=True), "large")
         smaller = materialize(_star(larger, large=False), "small")
         state = smaller.agg(
@@ -32,8 +32,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if (state["n"], state["h"]) == before:
             break
         before = (state["n"], state["h"])
-    else:
-        raise RuntimeError("components did not settle; raise max_rounds")
     roots = current.select("b").distinct()
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         roots.select(F.col("b").alias("node"), F.col("b").alias("component"))
@@ -45,7 +43,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     neighbour; small: neighbours below a node, and the node itself, do."""
     down = edges.select(F.col("a").alias("node"), F.col("b").alias("nb"))
     both = down.unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("nb"))) if large else down
-    least = materialize(both.groupBy("node").agg(F.min("nb").alias("m")), "least")
+    least = both.groupBy("node").agg(F.min("nb").alias("m"))
     m = F.least("m", "node")
     joined = both.join(least, "node")
     if large:

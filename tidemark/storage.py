@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import defaultdict
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset, a temporary one of a local session (tests)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -21,6 +27,38 @@ def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}"
 
 
+class Scratch:
+    """The tables that were made while it was open."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+        self.kept: set[str] = set()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Leave a table of ``materialize`` to whoever reads the result."""
+        self.kept.add(df._tidemark_path)
+        return df
+
+
+_open: list[Scratch] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Delete the tables that are made inside at its end, but for those that it is told to keep."""
+    mine = Scratch()
+    _open.append(mine)
+    try:
+        yield mine
+    finally:
+        _open.remove(mine)
+        for path in mine.paths:
+            if path not in mine.kept:
+                _delete(spark, path)
+            elif _open:
+                _open[-1].paths.append(path)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again.
 
@@ -33,6 +71,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark._jvm.System.gc()  # Spark deletes the shuffle files of a finished write once its plan is collected
     out = spark.read.schema(df.schema).parquet(path)
     out._tidemark_path = path
+    if _open:
+        _open[-1].paths.append(path)
     return out
 
 
@@ -48,18 +88,25 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-_named: set[str] = set()
+_named: dict[str, set[str]] = defaultdict(set)
 
 
-def named_table(label: str) -> str:
-    """A new name for a table of the catalog, which ``clear`` drops."""
+def named_table(spark: SparkSession, label: str) -> tuple[str, str]:
+    """A new name for a table of the catalog, and its place in the shared folder; ``clear`` drops it."""
     name = f"tidemark_{label}_{uuid.uuid4().hex}"
-    _named.add(name)
-    return name
+    _named[spark.sparkContext.applicationId].add(name)
+    return name, f"{_own_dir(spark)}/{name}"
+
+
+def drop(spark: SparkSession, name: str) -> None:
+    """Drop a table of ``named_table`` with its files."""
+    _named[spark.sparkContext.applicationId].discard(name)
+    spark.sql(f"drop table if exists {name}")
+    _delete(spark, f"{_own_dir(spark)}/{name}")
 
 
 def clear(spark: SparkSession) -> None:
     """Delete all tables that this application made, once their results have been read or written elsewhere."""
+    for name in list(_named[spark.sparkContext.applicationId]):
+        drop(spark, name)
     _delete(spark, _own_dir(spark))
-    while _named:
-        spark.sql(f"drop table if exists {_named.pop()}")
