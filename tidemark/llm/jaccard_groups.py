@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -43,8 +44,10 @@ SHINGLE = 3
 PERCENT = 90
 #: Most sets of a group, and most tokens of all its sets together (a larger set is alone).
 GROUP, TOKENS = 128, 1 << 16
-#: Counters of the sketch that orders tokens.
-COUNTERS = 1 << 18
+#: Counters of the sketch that orders tokens, and slices in which tasks send them.
+COUNTERS, SLICES = 1 << 22, 64
+#: Bits of the bitmap that tells which texts are opened: 16 for each, within these.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 28
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _OTHER = np.uint64(0x9E3779B97F4A7C15)
@@ -60,7 +63,7 @@ def shingle_lists(texts: list[bytes | None], size: int = SHINGLE) -> Iterator[np
 
 
 def _slot(tokens: np.ndarray) -> np.ndarray:
-    return (mix(tokens) >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
+    return (mix(tokens) & np.uint64(COUNTERS - 1)).astype(np.int64)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,16 +71,32 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in sized(batches, "text"):
         tokens = np.concatenate(list(shingle_lists(b.column("text").cast(pa.binary()).to_pylist())))
         counts += np.bincount(_slot(tokens), minlength=COUNTERS)
-    at = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["slot", "n"])
+    yield _slices(dict(enumerate(counts.reshape(SLICES, -1))))
 
 
-def token_counts(docs: DataFrame) -> np.ndarray:
-    """How many shingles of all documents fall on each of ``COUNTERS`` counters."""
-    sums = docs.select("text").mapInArrow(_counted, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(COUNTERS, np.int64)
-    out[sums.column("slot").to_numpy()] = sums.column("n").to_numpy()
-    return out
+def _slices(counts: dict[int, np.ndarray]) -> pa.RecordBatch:
+    pack = zstandard.ZstdCompressor(level=1).compress
+    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array([pack(x.tobytes()) for x in counts.values()], pa.binary())], ["slice", "counts"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the slices of counters, on a scale of quarters of powers of two."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    sums: dict[int, np.ndarray] = {}
+    for b in batches:
+        for i, counts in zip(b.column("slice").to_pylist(), b.column("counts").to_pylist(), strict=True):
+            sums[i] = sums.get(i, 0) + np.frombuffer(unpack(counts), np.int64)
+    yield _slices({i: (4 * np.log2(x + 1.0)).astype(np.uint8) for i, x in sums.items()})
+
+
+def token_ranks(docs: DataFrame) -> np.ndarray:
+    """How frequent the shingles on each of ``COUNTERS`` counters are, in a byte for each."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    slices_ = docs.select("text").mapInArrow(_counted, "slice bigint, counts binary").repartition(SLICES, "slice")
+    out = np.zeros((SLICES, COUNTERS // SLICES), np.uint8)
+    for r in slices_.mapInArrow(_summed, "slice bigint, counts binary").collect():  # COUNTERS bytes
+        out[r.slice] = np.frombuffer(unpack(r.counts), np.uint8)
+    return out.reshape(-1)
 
 
 def needed(n: int, percent: int = PERCENT) -> int:
@@ -188,31 +207,54 @@ def candidate_groups(groups: DataFrame, percent: int = PERCENT) -> DataFrame:
     return a.join(b, "token").filter(fits).select(F.col("gid_a").alias("a"), F.col("gid_b").alias("b")).distinct()
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in sized(batches, "text"):
-        found = [np.unique(x).tobytes() for x in shingle_lists(b.column("text").cast(pa.binary()).to_pylist())]
-        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("gid", "node", "copies")], pa.array(found, pa.binary())], ["gid", "node", "copies", "tokens"])
+def _asked(bits, size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows whose text may be asked for, each once in a task."""
+        asked, seen = np.unpackbits(np.frombuffer(bits.value, np.uint8)), set()
+        for b in sized(batches, "text"):
+            keep = []
+            for i, key in enumerate(zip(b.column("doc_id").to_pylist(), b.column("th").to_pylist(), strict=True)):
+                if asked[key[1] % size] and key not in seen:
+                    seen.add(key)
+                    keep.append(i)
+            yield b.take(pa.array(keep, pa.int64()))
+
+    return run
+
+
+def _bitmap(wanted: DataFrame) -> tuple[bytes, int]:
+    """Hashes of the wanted texts as bits; the driver gets a row for each byte that isn't zero. More texts
+    than ``MOST_BITS`` has room for make it less sharp, no more."""
+    size = max(LEAST_BITS, min(MOST_BITS, 1 << (16 * wanted.count()).bit_length()))
+    place = F.pmod("t", F.lit(size))
+    found = wanted.select(F.floor(place / 8).cast("int").alias("at"), F.expr(f"shiftright(128, cast(pmod(t, {size}) % 8 as int))").alias("bit"))
+    rows = found.groupBy("at").agg(F.bit_or("bit").cast("int").alias("byte")).toArrow()
+    out = np.zeros(size // 8, np.uint8)
+    out[rows.column("at").to_numpy()] = rows.column("byte").to_numpy()
+    return out.tobytes(), size
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a stream sorted by group and set: each group's token union and the bits of its sets."""
-    gid, held = None, []
+    """Of a stream of texts sorted by group and set: each group's token union and the bits of its sets."""
+    gid, held = None, {}
 
     def out() -> pa.RecordBatch:
-        sets = [np.frombuffer(x[2], np.uint64) for x in held]
+        sets = [tokens for _, tokens in held.values()]
         union, where = np.unique(np.concatenate(sets), return_inverse=True)
         bits = np.zeros((len(sets), len(union)), bool)
         bits[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), where] = True
-        row = {"gid": gid, "node": [x[0] for x in held], "copies": [x[1] for x in held], "tokens": union.tobytes(), "bits": np.packbits(bits, axis=1).tobytes()}
+        row = {"gid": gid, "node": list(held), "copies": [n for n, _ in held.values()], "tokens": union.tobytes(), "bits": np.packbits(bits, axis=1).tobytes()}
         return pa.RecordBatch.from_pylist([row], _BLOCKS)
 
-    for b in batches:
-        for g, *one in zip(*[b.column(c).to_pylist() for c in ("gid", "node", "copies", "tokens")], strict=True):
+    for b in sized(batches, "text"):
+        texts = b.column("text").cast(pa.binary()).to_pylist()
+        for g, node, copies, text in zip(*[b.column(c).to_pylist() for c in ("gid", "node", "copies")], texts, strict=True):
             if held and g != gid:
                 yield out()
-                held = []
+                held = {}
             gid = g
-            held.append(one)
+            if node not in held:  # a row that the table repeats
+                held[node] = copies, np.unique(next(shingle_lists([text])))
     if held:
         yield out()
 
@@ -317,19 +359,24 @@ def similar_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     spark = docs.sparkSession
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    counts = spark.sparkContext.broadcast(token_counts(docs))
+    ranks = spark.sparkContext.broadcast(token_ranks(docs))
     kinds = "doc_id bigint, th bigint, n bigint, s1 bigint, s2 bigint, m1 bigint, m2 bigint, first array<bigint>, rest array<int>"
-    sets = materialize(keyed.mapInArrow(_sets(counts, percent), kinds), "sets")
-    groups = materialize(token_groups(sets), "groups")
-    pairs = materialize(candidate_groups(groups, percent), "pairs")
+    wide = materialize(keyed.mapInArrow(_sets(ranks, percent), kinds), "wide")
+    sets = materialize(wide.select("doc_id", "n", "s1", "s2"), "sets")
+    groups = materialize(token_groups(wide), "groups")
+    discard(wide)
     members = groups.select("gid", F.size("members").alias("size"), F.explode("members").alias("m")).select("gid", "size", "m.*")
+    members = materialize(members, "members")
+    pairs = materialize(candidate_groups(groups, percent), "pairs")
+    discard(groups)
     asked = pairs.select(F.explode(F.array("a", "b")).alias("gid")).distinct()
     wanted = members.filter("size > 1").unionByName(members.filter("size = 1").join(asked, "gid", "left_semi"))
     wanted = materialize(wanted.select("gid", "node", "copies", F.col("doc_id").alias("i"), F.col("th").alias("t")), "wanted")
-    same = (keyed["th"] == wanted["t"]) & keyed["doc_id"].eqNullSafe(wanted["i"])
-    texts = keyed.join(wanted, same).select("gid", "node", "copies", "text").dropDuplicates(["gid", "node"])
-    opened = texts.mapInArrow(_tokens, "gid bigint, node bigint, copies bigint, tokens binary")
-    blocks = materialize(opened.repartition("gid").sortWithinPartitions("gid", "node").mapInArrow(_blocks, _BLOCKS_SQL), "blocks")
+    bits, size = _bitmap(wanted)
+    likely = keyed.mapInArrow(_asked(spark.sparkContext.broadcast(bits), size), "doc_id bigint, text string, th bigint")
+    same = (likely["th"] == wanted["t"]) & likely["doc_id"].eqNullSafe(wanted["i"])
+    opened = likely.join(wanted, same).select("gid", "node", "copies", "text").repartition("gid").sortWithinPartitions("gid", "node")
+    blocks = materialize(opened.mapInArrow(_blocks, _BLOCKS_SQL), "blocks")
     discard(wanted)
     inside = blocks.filter(F.size("node") > 1).mapInArrow(_within(percent), _FOUND)
     side = {s: blocks.select(*[F.col(c).alias(f"{c}_{s}") for c in blocks.columns]) for s in "ab"}
@@ -346,7 +393,7 @@ def similar_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # a set of a larger group has met itself already
     n_links = F.coalesce("more", F.lit(0)) + F.when(F.col("size") > 1, 0).otherwise(F.col("copies")) - 1
     classes = materialize(named.join(names, "component").select("s1", "s2", "component_id", n_links.alias("n_links")), "classes")
-    for x in (found, groups):
+    for x in (found, members):
         discard(x)
     empty = sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("bigint").alias("n_links"))
     filled = sets.filter("n > 0").join(classes, ["s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
