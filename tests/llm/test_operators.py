@@ -193,6 +193,32 @@ def test_op2_without_ids(spark):
     assert [(r.n_removed, r.n_words) for r in got if r.doc_id in (-9, -(2**63))] in ([(30, 30), (0, 1)], [(0, 1), (30, 30)]) and sum(r.doc_id is None for r in got) == 21
 
 
+def test_op2_one_id_many_times(spark):
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    passage = [rnd.choice(words) for _ in range(30)]
+    texts_ = [" ".join(rnd.choice(words) for _ in range(25)) for _ in range(3000)]
+    texts_ += [" ".join([f"own{i}", *passage]) for i in range(500)] + [" ".join(passage)] * 3000 + ["too short for a window"] * 100
+    df = spark.createDataFrame([(7, t) for t in texts_], "doc_id long, text string").repartition(6)
+    got = collections.Counter((r.n_words, r.n_removed) for r in substring_index.remove_repeats(df).collect())
+    beside, alone = got.pop((31, 0), 0), got.pop((30, 0), 0)  # the passage stays once: after an own word, or alone
+    assert beside + alone == 1
+    assert got == {(25, 0): 3000, (31, 30): 500 - beside, (30, 30): 3000 - alone, (5, 0): 100}
+
+
+def test_op2_leaves_only_its_result(spark):
+    from pathlib import Path
+
+    from tidemark import storage
+
+    docs = spark.createDataFrame([(i, " ".join(f"a{k % 50}" for k in range(60))) for i in range(9)], "doc_id long, text string")
+    storage.clear(spark)
+    out = substring_index.remove_repeats(docs, texts_too=False)
+    left = [p.name for p in Path(storage._own_dir(spark)).iterdir()]
+    assert len(left) == 1 and out.count() == 9 and out.filter("n_removed < n_words").count() == 1
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("tidemark_texts")]
+
+
 def test_op3_learns_every_language(spark, monkeypatch):
     monkeypatch.setattr(language, "HELD", 2)
     data = [(i, chr(0x4E00 + 40 * k) + " " + chr(0x4E01 + 40 * k) * 5, f"l{k:03}") for i, k in enumerate([*range(300), *range(300)])]
@@ -567,8 +593,8 @@ def test_tables_are_cleared(spark):
     from tidemark import storage
 
     table = storage.materialize(spark.range(3), "three")
-    name = storage.named_table("texts")
-    spark.range(2).write.saveAsTable(name)
+    name, path = storage.named_table(spark, "texts")
+    spark.range(2).write.option("path", path).saveAsTable(name)
     assert table.count() == 3 and spark.catalog.tableExists(name)
     storage.clear(spark)
     assert not spark.catalog.tableExists(name)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.words import slices
-from tidemark.storage import materialize
+from tidemark.storage import materialize, scratch
 
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
 BASE = 4
@@ -230,7 +230,8 @@ _SPAN = "array<struct<start:int,kind:int,end:int>>"
 def find_spans(docs: DataFrame) -> DataFrame:
     """``(doc_id, at, base, spans)`` for each row of ``docs(doc_id, text)``: arrays of (start, kind, end),
     ends exclusive, in code points; ``kind`` is a place in ``KINDS``; ``at`` is the hash of the text."""
-    terms = materialize(disclosing_terms(docs), "disclosing")
+    with scratch(docs.sparkSession) as made:
+        terms = made.keep(materialize(disclosing_terms(docs), "disclosing"))
     shared = docs.sparkSession.sparkContext.broadcast(_bits(terms))
     rows = docs.select("doc_id", F.xxhash64("text").alias("at"), "text").mapInArrow(
         _found(shared), f"doc_id bigint, at bigint, base {_SPAN}, likely array<struct<t:bigint,start:int,end:int>>"

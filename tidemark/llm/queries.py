@@ -18,7 +18,7 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_index.remove_repeats(_documents(spark, sf_dir)).drop("kept")
+    return substring_index.remove_repeats(_documents(spark, sf_dir), texts_too=False)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

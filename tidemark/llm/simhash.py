@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.words import slices
 from tidemark.operators.components import connected_components
-from tidemark.storage import materialize
+from tidemark.storage import discard, materialize, scratch
 
 SHINGLE = 4
 SEED = 42
@@ -302,10 +302,11 @@ def _named(prints: DataFrame, least: Column) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``; the component is named by its smallest doc_id."""
-    prints = materialize(fingerprints(docs), "simhash")
-    named = _named(prints, F.min("doc_id"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    members = materialize(named.select("fp", "component").join(least, "component").select("fp", "component_id"), "members")
+    with scratch(docs.sparkSession) as made:
+        prints = made.keep(materialize(fingerprints(docs), "simhash"))
+        named = _named(prints, F.min("doc_id"))
+        least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+        members = made.keep(materialize(named.select("fp", "component").join(least, "component").select("fp", "component_id"), "members"))
     return prints.join(members, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -322,12 +323,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     whole = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
     marked = docs.withColumns({_ID: F.col("doc_id"), _TEXT: F.xxhash64("text"), _ALL: F.xxhash64(*whole)})
-    prints = materialize(fingerprints(marked, _TEXT, _ALL), "simhash")
-    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", _TEXT, _ALL)
-    best = _named(prints, F.min(row)).groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("i"), F.col(f"least.{_TEXT}").alias("t"), F.col(f"least.{_ALL}").alias("a"))
-    sizes = prints.groupBy("doc_id", _TEXT, _ALL).agg(F.count("*").alias(_COPIES))
-    same = F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col(_TEXT)) & (F.col("a") == F.col(_ALL))
-    keep = materialize(sizes.join(best, same, "left_semi").select(F.col("doc_id").alias("i"), F.col(_TEXT).alias("t"), F.col(_ALL).alias("a"), _COPIES), "keep")
+    with scratch(docs.sparkSession) as made:
+        prints = materialize(fingerprints(marked, _TEXT, _ALL), "simhash")
+        row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", _TEXT, _ALL)
+        best = _named(prints, F.min(row)).groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("i"), F.col(f"least.{_TEXT}").alias("t"), F.col(f"least.{_ALL}").alias("a"))
+        sizes = prints.groupBy("doc_id", _TEXT, _ALL).agg(F.count("*").alias(_COPIES))
+        same = F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col(_TEXT)) & (F.col("a") == F.col(_ALL))
+        keep = made.keep(materialize(sizes.join(best, same, "left_semi").select(F.col("doc_id").alias("i"), F.col(_TEXT).alias("t"), F.col(_ALL).alias("a"), _COPIES), "keep"))
     mine = F.col("i").eqNullSafe(F.col(_ID)) & (F.col("t") == F.col(_TEXT)) & (F.col("a") == F.col(_ALL))
     out = marked.join(keep.filter(f"{_COPIES} = 1"), mine, "left_semi")
     repeated = keep.filter(f"{_COPIES} > 1")

@@ -15,9 +15,9 @@ over the bytes of all words, so equal hashes of different words never count. No
 grouping with partial sums, or a join with one row per key on one side that adaptive execution can split.
 
 Defined results: null text has no words; documents with fewer than ``WINDOW`` words keep all; a text of any length
-is read whole; rows that repeat a doc_id are separate documents, in the order of their texts; rows without a doc_id
-come first (among ids within 2^40 of the least there is), in the order of a hash of their texts; other columns are not
-read.
+is read whole; rows that repeat a doc_id are separate documents, in the order of a hash of their texts, each a document of its own
+wherever texts are gathered; rows that agree in id and text are stored once, and all but the first lose every word of a window; rows without a
+doc_id come first (among ids within 2^40 of the least there is), in the order of such a hash; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,10 +29,10 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.words import rolling, slices, window_argmin, word_hashes
-from tidemark.storage import discard, materialize, named_table
+from tidemark.storage import discard, drop, materialize, named_table
 
 WINDOW = 20
 GRAM = 4
@@ -48,9 +48,9 @@ _NULL_ID = -(2**63)
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=3)
     for b in batches:
-        texts = b.column(2).cast(pa.binary())
+        texts = b.column("text").cast(pa.binary())
         blobs = [None if x is None else pack.compress(x) for x in texts.to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(blobs, pa.binary())], ["k", "doc_id", "blob"])
+        yield pa.RecordBatch.from_arrays([*[b.column(x) for x in ("k", "c", "doc_id")], pa.array(blobs, pa.binary())], ["k", "c", "doc_id", "blob"])
 
 
 def _texts(column: pa.Array) -> list[bytes]:
@@ -58,20 +58,24 @@ def _texts(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else unpack.decompress(x) for x in column.to_pylist()]
 
 
-def stored_documents(docs: DataFrame) -> DataFrame:
-    """``(k, copy, doc_id, blob)``: compressed texts in a table bucketed by ``k``, which is the doc_id or stands for
-    it, so later steps move lists of positions to the texts and never the texts again."""
+def stored_documents(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``(k, c, doc_id, blob, m)`` and the table's name: compressed texts in a table of the shared folder, bucketed by ``k``, which is the
+    doc_id or stands for it, and ``c``, a hash of the text where texts share their ``k`` (else 0). So later steps move lists of positions
+    to the texts and never the texts again. Rows that agree in both are one, and ``m`` is how many they are."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     k = F.coalesce("doc_id", F.lit(_NULL_ID) + F.shiftrightunsigned(F.xxhash64("text"), 24))
-    packed = docs.select(k.alias("k"), "doc_id", "text").mapInArrow(_packed, "k bigint, doc_id bigint, blob binary")
-    numbered = packed.repartition(n, "k").withColumn(
-        "copy", F.row_number().over(Window.partitionBy("k").orderBy("doc_id", "blob")) - 1
-    )
-    name = named_table("texts")
-    numbered.write.bucketBy(n, "k").saveAsTable(name, format="parquet")
+    keyed = docs.select(k.alias("k"), F.xxhash64("text", F.col("doc_id").isNull()).alias("c"), "doc_id", "text")
+    several = keyed.groupBy("k").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b").select("k", F.lit(True).alias("several"))
+    several = materialize(several, "several-texts")
+    marked = keyed.join(several, "k", "left").withColumn("c", F.when(F.col("several"), F.col("c")).otherwise(F.lit(0).cast("bigint")))
+    packed = marked.select("k", "c", "doc_id", "text").mapInArrow(_packed, "k bigint, c bigint, doc_id bigint, blob binary")
+    one = packed.groupBy("k", "c").agg(F.first("doc_id").alias("doc_id"), F.first("blob").alias("blob"), F.count("*").alias("m"))
+    name, path = named_table(spark, "texts")
+    one.write.bucketBy(n, "k", "c").option("path", path).saveAsTable(name, format="parquet")
+    discard(several)
     spark._jvm.System.gc()  # the shuffle files of the write go
-    return spark.table(name)
+    return spark.table(name), name
 
 
 def _digests(texts: list[bytes], doc: np.ndarray, first: np.ndarray, last: np.ndarray, shape: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -123,18 +127,13 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             [
                 pa.array(h.view(np.int64)),
                 pa.array(b.column("k").to_numpy()[doc]),
-                pa.array(b.column("copy").to_numpy()[doc].astype(np.int32)),
+                pa.array(b.column("c").to_numpy()[doc]),
                 pa.array((at - starts[doc]).astype(np.int32)),
             ],
-            ["h", "k", "copy", "at"],
+            ["h", "k", "c", "at"],
         )
 
 
-def _position(b: pa.RecordBatch, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """The copy of a document and a place in it as one number, which sorts as they do."""
-    return (b.column("copy").to_numpy()[doc].astype(np.int64) << 32) + start
-
-
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
         texts = _texts(b.column("blob"))
@@ -154,10 +153,11 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(d),
                 pa.array(d2),
                 pa.array(b.column("k").to_numpy()[doc]),
-                pa.array(_position(b, doc, begin)),
+                pa.array(b.column("c").to_numpy()[doc]),
+                pa.array(begin.astype(np.int32)),
                 pa.array(n.astype(np.int32)),
             ],
-            ["h", "d", "d2", "k", "pos", "n"],
+            ["h", "d", "d2", "k", "c", "start", "n"],
         )
 
 
@@ -178,33 +178,45 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(d),
                 pa.array(d2),
                 pa.array(b.column("k").to_numpy()[doc]),
-                pa.array(_position(b, doc, local)),
+                pa.array(b.column("c").to_numpy()[doc]),
+                pa.array(local.astype(np.int32)),
             ],
-            ["d", "d2", "k", "pos"],
+            ["d", "d2", "k", "c", "start"],
         )
 
 
+#: Copies of a row that are sent at once.
+_ROWS = 4096
+
+
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
         out = []
-        for text, spans in zip(_texts(b.column("blob")), b.column("removed").to_pylist(), strict=True):
+        for doc_id, m, text, spans in zip(b.column("doc_id").to_pylist(), b.column("m").to_pylist(), _texts(b.column("blob")), b.column("removed").to_pylist(), strict=True):
             words = kept = text.split()
             if spans:
                 change = np.zeros(len(words) + 1, np.int64)
                 np.add.at(change, [x["start"] for x in spans], 1)
                 np.add.at(change, [x["start"] + x["n"] + WINDOW - 1 for x in spans], -1)
                 kept = list(compress(words, (np.cumsum(change)[:-1] == 0).tolist()))
-            out.append((len(words), len(words) - len(kept), b" ".join(kept)))
-        yield pa.RecordBatch.from_arrays(
-            [
-                b.column("doc_id"),
-                pa.array([x[0] for x in out], pa.int64()),
-                pa.array([x[1] for x in out], pa.int64()),
-                pa.array([hashlib.sha256(x[2]).hexdigest() for x in out], pa.string()),
-                pa.array([x[2].decode() for x in out], pa.string()),
-            ],
-            ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
-        )
+            out.append(_result(doc_id, words, kept))
+            if m > 1:  # each window of the others starts earlier, in the first
+                again = _result(doc_id, words, words if len(words) < WINDOW else [])
+                for low in range(0, m - 1, _ROWS):
+                    yield _results([*out, *[again] * min(_ROWS, m - 1 - low)])
+                    out = []
+        if out:
+            yield _results(out)
+
+
+def _result(doc_id: int | None, words: list[bytes], kept: list[bytes]) -> tuple:
+    joined = b" ".join(kept)
+    return doc_id, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode()
+
+
+def _results(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept": pa.string()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())], list(kinds))
 
 
 class FingerprintIndex:
@@ -253,41 +265,42 @@ class FingerprintIndex:
             discard(run)
 
 
+#: Where a window starts: documents come in the order of the first two.
+_PLACE = ("k", "c", "start")
+
+
 def _first(rows: DataFrame, *more: str) -> DataFrame:
     """The earliest row of each digest."""
-    return materialize(rows.groupBy("d", "d2").agg(F.min(F.struct("k", "pos", *more)).alias("first")), "first")
+    return materialize(rows.groupBy("d", "d2").agg(F.min(F.struct(*_PLACE, *more)).alias("first")), "first")
 
 
 def _later(rows: DataFrame, firsts: DataFrame, n: Column) -> DataFrame:
-    """``(k, copy, start, n)`` of the rows that are not the earliest of their digest."""
-    one = firsts.select("d", "d2", *[F.col(f"first.{x}").alias(f"_{x}") for x in ("k", "pos")])
-    return rows.join(one, ["d", "d2"]).filter("not (k = _k and pos = _pos)").select("k", *_place("pos"), n.cast("int").alias("n"))
-
-
-def _place(pos: str) -> tuple[Column, Column]:
-    return F.shiftright(pos, 32).cast("int").alias("copy"), F.col(pos).bitwiseAND(0xFFFFFFFF).cast("int").alias("start")
+    """``(k, c, start, n)`` of the rows that are not the earliest of their digest."""
+    one = firsts.select("d", "d2", *[F.col(f"first.{x}").alias(f"_{x}") for x in _PLACE])
+    return rows.join(one, ["d", "d2"]).filter("not (k = _k and c = _c and start = _start)").select(*_PLACE, n.cast("int").alias("n"))
 
 
 def _beside(texts: DataFrame, rows: DataFrame, name: str, fields: list[str], how: str = "inner") -> DataFrame:
     """Texts with the values of their document as a list, as long as the document at most. Rows move before
     they are gathered: lists of a part of a document would take more room on the way than its rows.
-    The join is by ``k`` alone, by which the texts are bucketed, so they stay where they are."""
+    The join is by what the texts are bucketed by, so they stay where they are."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lists = rows.repartition(n, "k").groupBy("k").agg(F.collect_list(F.struct("copy", *fields)).alias("_all"))
-    own = F.filter("_all", lambda x: x["copy"] == F.col("copy"))
-    value = (lambda x: x[fields[0]]) if len(fields) == 1 else (lambda x: F.struct(*[x[f].alias(f) for f in fields]))
-    return texts.join(lists, "k", how).withColumn(name, F.transform(own, value)).drop("_all")
+    value = F.col(fields[0]) if len(fields) == 1 else F.struct(*fields)
+    lists = rows.repartition(n, "k", "c").groupBy("k", "c").agg(F.collect_list(value).alias(name))
+    return texts.join(lists, ["k", "c"], how)
 
 
-def remove_repeats(docs: DataFrame, batches: tuple[float, ...] = BATCHES) -> DataFrame:
+def remove_repeats(docs: DataFrame, batches: tuple[float, ...] = BATCHES, texts_too: bool = True) -> DataFrame:
     """Remove each word covered by a window whose word sequence also starts earlier.
 
     Returns ``(doc_id, n_words, n_removed, kept_sha256, kept)`` for each row of ``docs(doc_id, text)``.
     ``batches`` are the shares of the documents, by doc_id, that earlier additions to the index hold.
+    The result reads the stored texts until ``storage.clear``; without ``texts_too`` there is no ``kept``, and nothing but
+    the written result stays.
     """
-    texts = stored_documents(docs)
+    texts, name = stored_documents(docs)
     cuts = sorted(set(texts.approxQuantile("k", list(batches), 0.01))) if batches else []
-    prints = materialize(texts.mapInArrow(_fingerprints, "h bigint, k bigint, copy int, at int"), "prints")
+    prints = materialize(texts.mapInArrow(_fingerprints, "h bigint, k bigint, c bigint, at int"), "prints")
     index, repeated = FingerprintIndex(), []
     for i in range(len(cuts) + 1):
         batch = prints
@@ -304,17 +317,17 @@ def remove_repeats(docs: DataFrame, batches: tuple[float, ...] = BATCHES) -> Dat
     known = materialize(known.distinct(), "repeated")
     for x in repeated:
         discard(x)
-    asked = prints.join(known, "h").select("k", "copy", "at")
+    asked = prints.join(known, "h").select("k", "c", "at")
     stretches = materialize(
-        _beside(texts, asked, "at", ["at"]).mapInArrow(_stretches, "h bigint, d bigint, d2 bigint, k bigint, pos bigint, n int"),
+        _beside(texts, asked, "at", ["at"]).mapInArrow(_stretches, "h bigint, d bigint, d2 bigint, k bigint, c bigint, start int, n int"),
         "stretches",
     )
     firsts = _first(stretches, "n", "h")
     several = materialize(firsts.groupBy("first.h").agg(F.count("*").alias("m")).filter("m > 1").select("h"), "several")
     discard(prints)
-    shared = firsts.select("first.*").join(several, "h").select("k", *_place("pos"), "n")
+    shared = firsts.select("first.*").join(several, "h").select(*_PLACE, "n")
     windows = materialize(
-        _beside(texts, shared, "asked", ["start", "n"]).mapInArrow(_windows, "d bigint, d2 bigint, k bigint, pos bigint"), "windows"
+        _beside(texts, shared, "asked", ["start", "n"]).mapInArrow(_windows, "d bigint, d2 bigint, k bigint, c bigint, start int"), "windows"
     )
     spans = materialize(_later(stretches, firsts, F.col("n")), "stretch-spans")
     for x in (stretches, firsts, several, known):
@@ -324,6 +337,14 @@ def remove_repeats(docs: DataFrame, batches: tuple[float, ...] = BATCHES) -> Dat
     more = materialize(_later(windows, first_windows, F.lit(1)), "window-spans")
     for x in (windows, first_windows):
         discard(x)
+    spans_of = (spans, more)
     spans = spans.unionByName(more)
     out = _beside(texts, spans, "removed", ["start", "n"], "left")
-    return out.mapInArrow(_kept, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
+    out = out.mapInArrow(_kept, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
+    if texts_too:
+        return out
+    out = materialize(out.drop("kept"), "kept")
+    drop(docs.sparkSession, name)
+    for x in spans_of:
+        discard(x)
+    return out
