@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import disclosure, language, lines, packing, simhash
-from tidemark.storage import materialize
+from tidemark.storage import discard, materialize, scratch
 
 #: Least score of a language that is kept.
 LEAST_SCORE = 0.5
@@ -83,7 +83,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of sequences of ``documents``. A stage's documents and tables are deleted once the next stage's are written, so the
+    result is the only table that stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with scratch(spark) as tables:
+        for name, stage in STAGES:
+            with scratch(spark) as made:
+                after = made.keep(materialize(stage(spark, docs, sf_dir), name))
+            discard(docs)
+            docs = after
+        return tables.keep(docs)
