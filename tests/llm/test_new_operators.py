@@ -166,7 +166,7 @@ def test_op12_a_shared_hash_starts_anew(spark, monkeypatch):
     df = spark.createDataFrame([("en", "one two three. one two three")] * 9, "lang string, text string")
     tried = []
     original = collocations._seeded
-    monkeypatch.setattr(collocations, "_seeded", lambda d, seed, least: tried.append(seed) or (None if seed < 2 else original(d, seed, least)))
+    monkeypatch.setattr(collocations, "_seeded", lambda d, seed, *more: tried.append(seed) or (None if seed < 2 else original(d, seed, *more)))
     assert [tuple(r)[2:4] for r in collocations.collocations(df, 9).collect()] == [("one two three", 18)] and tried == [0, 1, 2]
 
 
@@ -180,12 +180,12 @@ def test_op12_finds_words_that_share_a_hash(spark, monkeypatch):
 
     monkeypatch.setattr(collocations, "Words", Alike)
     batch = pa.RecordBatch.from_pydict({"lang": ["en", "en"], "text": ["one", "two one"]})
-    words = next(collocations._counted(0, 9)(iter([batch]))).to_pylist()
+    words = next(collocations._counted(0, 9, 1 << 16)(iter([batch]))).to_pylist()
     assert sorted((x["h"], x["word"], x["n"]) for x in words) == [(7, "one", 2), (7, "two", 1)]
     monkeypatch.undo()
-    clash = spark.createDataFrame([("en", 7, "one", 2, None), ("en", 7, "two", 1, None)], "lang string, h long, word string, n long, counts binary")
+    clash = spark.createDataFrame([("en", 7, "one", 2, None), ("en", 7, "two", 1, None)], "lang string, h long, word string, n long, counts binary").select("lang", "h", "n", "word", "counts")
     monkeypatch.setattr(collocations, "materialize", lambda df, label: clash if label == "words" else df)
-    assert collocations._seeded(spark.createDataFrame([("en", "x")], "lang string, text string"), 0, 9) is None
+    assert collocations._seeded(spark.createDataFrame([("en", "x")], "lang string, text string"), 0, 9, 1 << 16) is None
 
 
 def test_op12_sort_counts_every_prefix(monkeypatch):

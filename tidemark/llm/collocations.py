@@ -9,8 +9,9 @@ On a cluster the suffixes are first routed by their leading words. Each task mer
 weighted row (a phrase that a third of all rows repeat is one row of each block), and these rows are range-partitioned by all of
 their words, so that a frequent leading word is spread over as many partitions as it fills. Only the first and the last
 prefixes of a partition can go on in the next one; they aren't abandoned, and a sum over all partitions completes their counts.
-Suffixes whose leading pair can't be frequent aren't routed: a sketch of all pairs, ``PAIRS`` counters that stop at
-``least``, gives upper bounds; it saves work and can't change a result.
+Suffixes end where a pair or triple of words can't be frequent, and aren't routed if it is their first pair: a sketch of all pairs and
+triples gives upper bounds by counters that stop at ``least``, one for about 64 bytes of text within fixed bounds; it saves work
+and can't change a result.
 
 Words are known by 64-bit hashes. All words of all texts are held against their hashes, and two of a language that share one start the
 work anew with another seed, so counts are exact; scores are exact in decimals of 38 digits (``1000 * a * n`` stays below 10^38).
@@ -26,6 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.llm.words import hashed_runs, mix, sized
@@ -38,16 +40,16 @@ WITHIN = 100
 TOP = 2000
 UNKNOWN = "und"
 
-#: Counters of the sketch of pairs, and slices in which tasks send them.
-PAIRS, SLICES = 1 << 22, 64
+#: Counters of the sketch: one for so many bytes of text, and how many there are at least and at most; slices in which tasks send them.
+BYTES, FEWEST, MOST, SLICES = 64, 1 << 16, 1 << 26, 64
 #: Suffixes that a task merges at once before they are routed, and rows of a partition afterwards, about.
 BLOCK, ROUTED = 1 << 19, 1 << 20
 #: Parts of so few rows are sorted at once.
 SMALL = 1 << 12
 #: A longer word is digested instead of hashed as a polynomial.
 LONG = 64
-#: Bytes of text that a task takes at once.
-TEXT = 4 << 20
+#: Bytes of text that a task takes at once, and words that it holds before it sends them.
+TEXT, HELD = 4 << 20, 1 << 18
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _STOP = np.zeros(256, bool)
@@ -77,11 +79,11 @@ class Words:
         stops = np.concatenate([[0], np.cumsum(_STOP[raw], dtype=np.int32)])
         self.goes_on[:-1] = stops[self.starts[1:]] == stops[self.ends[:-1]]
         tags = [int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in langs]
-        after = np.zeros(len(self.hashes), np.uint64)
-        after[:-1] = self.hashes[1:]
         mine = np.array(tags, np.uint64)[self.doc]
-        #: The counter of each word and the next one.
-        self.slots = (mix(mix(self.hashes ^ mine) + after) & np.uint64(PAIRS - 1)).astype(np.int64)
+        one, two = (np.append(self.hashes, np.zeros(2, np.uint64))[i : i + len(mine)] for i in (1, 2))
+        pair = mix(mix(self.hashes ^ mine) + one)
+        #: Hashes of each word and the next one or two, and whether they are of one piece.
+        self.grams = [(pair, self.goes_on), (mix(pair + two), self.goes_on & np.append(self.goes_on[1:], self.goes_on[:0] if not len(mine) else [False]))]
 
     def other_hashes(self) -> np.ndarray:
         """Second hashes of the words, by which words of one hash are told apart."""
@@ -108,37 +110,66 @@ def _heads(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _counter_type(least: int) -> type:
-    return np.uint8 if least < 256 else np.int64
+class _Held:
+    """Words of a task with their counts, until there are many."""
 
+    def __init__(self) -> None:
+        self.languages: dict[str, int] = {}
+        self.columns: list[np.ndarray] = []
+        self.texts: list[bytes] = []
 
-def _counted(seed: int, least: int) -> Callable:
+    def add(self, words: Words, langs: list[str]) -> None:
+        code = np.array([self.languages.setdefault(x, len(self.languages)) for x in langs], np.uint64)[words.doc]
+        rows = np.column_stack([code, words.hashes, words.other_hashes(), np.ones(len(code), np.uint64)])
+        rows, place = self._once(rows)
+        self.columns.append(rows)
+        self.texts += words.texts_of(place)
+
+    @staticmethod
+    def _once(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort(rows[:, 2::-1].T)
+        if not len(order):
+            return rows, order
+        first = _heads(*rows[order, :3].T)
+        sums = np.add.reduceat(rows[order, 3], first)
+        return np.column_stack([rows[order[first], :3], sums]), order[first]
+
+    def merge(self) -> None:
+        rows, place = self._once(np.concatenate(self.columns))
+        self.columns, self.texts = [rows], [self.texts[i] for i in place.tolist()]
+
+    def out(self) -> pa.RecordBatch:
+        rows = np.concatenate(self.columns) if self.columns else np.zeros((0, 4), np.uint64)
+        langs = pa.array(list(self.languages), pa.string()).take(pa.array(rows[:, 0]))
+        columns = [langs, *[pa.array(np.ascontiguousarray(rows[:, i]).view(np.int64)) for i in (1, 3)], pa.array(self.texts, pa.binary()).cast(pa.string()), pa.nulls(len(rows), pa.binary())]
+        self.__init__()
+        return pa.RecordBatch.from_arrays(columns, _COUNTED)
+
+
+_COUNTED = ["lang", "h", "n", "word", "counts"]
+
+
+def _counted(seed: int, least: int, counters: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Words with their counts, and at the end the counters of pairs (rows without a language)."""
-        names = ["lang", "h", "word", "n", "counts"]
-        counters = np.zeros(PAIRS, np.int64)
+        """Words with their counts, and at the end the counters of pairs and triples (rows without a language)."""
+        counts = np.zeros(counters, np.uint8 if least < 256 else np.uint32)
+        held = _Held()
         for words, langs in _words(batches, seed):
-            counters += np.bincount(words.slots[words.goes_on], minlength=PAIRS)
-            np.minimum(counters, least, out=counters)
-            known, code = np.unique(np.array(langs, object).astype(str), return_inverse=True)
-            code = code[words.doc]
-            other = words.other_hashes()
-            order = np.lexsort((other, words.hashes, code))
-            first = _heads(other[order], words.hashes[order], code[order])
-            place, n = order[first], np.diff(np.append(first, len(order)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(known[code[place]].tolist(), pa.string()),
-                    pa.array(words.hashes[place].view(np.int64)),
-                    pa.array(words.texts_of(place), pa.binary()).cast(pa.string()),
-                    pa.array(n.astype(np.int64)),
-                    pa.nulls(len(n), pa.binary()),
-                ],
-                names,
-            )
-        parts = [x.tobytes() for x in counters.astype(_counter_type(least)).reshape(SLICES, -1)]
-        none = [pa.nulls(SLICES, kind) for kind in (pa.string(), pa.string(), pa.int64())]
-        yield pa.RecordBatch.from_arrays([none[0], pa.array(np.arange(SLICES)), none[1], none[2], pa.array(parts, pa.binary())], names)
+            for gram, whole in words.grams:
+                at, n = np.unique(gram[whole] & np.uint64(counters - 1), return_counts=True)
+                counts[at] = np.minimum(counts[at] + n, least)
+            held.add(words, langs)
+            if len(held.texts) > HELD:
+                held.merge()
+                if len(held.texts) > HELD // 2:
+                    yield held.out()
+        if held.columns:
+            held.merge()
+            yield held.out()
+        pack = zstandard.ZstdCompressor(level=1).compress
+        parts = [pack(x.tobytes()) for x in counts.reshape(SLICES, -1)]
+        none = [pa.nulls(SLICES, kind) for kind in (pa.string(), pa.int64(), pa.string())]
+        yield pa.RecordBatch.from_arrays([none[0], pa.array(np.arange(SLICES)), none[1], none[2], pa.array(parts, pa.binary())], _COUNTED)
 
     return run
 
@@ -146,10 +177,11 @@ def _counted(seed: int, least: int) -> Callable:
 def _frequent(least: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Which counters reach ``least``, as bits of each slice."""
+        unpack = zstandard.ZstdDecompressor().decompress
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for part, counts in zip(b.column("h").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                more = np.frombuffer(counts, _counter_type(least)).astype(np.int64)
+                more = np.frombuffer(unpack(counts), np.uint8 if least < 256 else np.uint32).astype(np.uint32)
                 sums[part] = np.minimum(sums[part] + more, least) if part in sums else more
         bits = [np.packbits(x >= least).tobytes() for x in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(bits, pa.binary())], ["h", "bits"])
@@ -169,8 +201,8 @@ def _merged(rows: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _suffixes(bits, seed: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Suffixes whose leading pair may be frequent, up to their first pair that can't be; equal ones of a block once."""
-        frequent = np.unpackbits(np.frombuffer(bits.value, np.uint8)).astype(bool)
+        """Suffixes whose leading pair may be frequent, up to their first pair or triple that can't be; equal ones of a block once."""
+        frequent = np.frombuffer(bits.value, np.uint8)
         names: dict[str, int] = {}
         held: list[np.ndarray] = []
         count = 0
@@ -181,17 +213,17 @@ def _suffixes(bits, seed: int) -> Callable:
             return pa.RecordBatch.from_arrays([langs, *[pa.array(np.ascontiguousarray(rows[:, i + 1])) for i in range(DEPTH)], pa.array(n)], ["lang", *_WORDS, "n"])
 
         for words, langs in _words(batches, seed):
-            good = np.append(words.goes_on & frequent[words.slots], np.zeros(DEPTH, bool))
+            (pair, triple) = (np.append(whole & _is_set(frequent, gram), np.zeros(DEPTH, bool)) for gram, whole in words.grams)
             code = np.array([names.setdefault(x, len(names)) for x in langs], np.int64)
             hashes = words.hashes.view(np.int64)
-            at = np.flatnonzero(good)
+            at = np.flatnonzero(pair)
             for low in range(0, len(at), BLOCK):
                 s = at[low : low + BLOCK]
                 rows = np.zeros((len(s), DEPTH + 1), np.int64)
                 rows[:, 0], rows[:, 1] = code[words.doc[s]], hashes[s]
                 going = np.ones(len(s), bool)
                 for d in range(1, DEPTH):
-                    going &= good[s + d - 1]
+                    going &= pair[s + d - 1] & (triple[s + d - 2] if d > 1 else True)
                     rows[going, d + 1] = hashes[s[going] + d]
                 held.append(rows)
                 count += len(s)
@@ -205,6 +237,11 @@ def _suffixes(bits, seed: int) -> Callable:
     return run
 
 
+def _is_set(bits: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    place = (gram & np.uint64(8 * len(bits) - 1)).astype(np.int64)
+    return (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 class MultikeySort:
     """Three-way quicksort of pointers to the rows of ``rows`` (values by row; after the first, a zero ends a row).
 
@@ -308,9 +345,9 @@ def _sorted_parts(least: int) -> Callable:
     return run
 
 
-def _seeded(docs: DataFrame, seed: int, least: int) -> tuple[DataFrame, DataFrame] | None:
+def _seeded(docs: DataFrame, seed: int, least: int, counters: int) -> tuple[DataFrame, DataFrame] | None:
     """``(words, counts)``; None if two words of a language share a hash."""
-    words = materialize(docs.mapInArrow(_counted(seed, least), "lang string, h bigint, word string, n bigint, counts binary"), "words")
+    words = materialize(docs.mapInArrow(_counted(seed, least, counters), "lang string, h bigint, n bigint, word string, counts binary"), "words")
     check = F.xxhash64("word")
     counts = words.filter("lang is not null").groupBy("lang", "h").agg(F.sum("n").alias("n"), F.min(check).alias("least"), F.max(check).alias("most"))
     counts = materialize(counts, "word-counts")
@@ -326,13 +363,15 @@ def phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame,
     their hashes."""
     spark = docs.sparkSession
     docs = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    counters = max(FEWEST, min(MOST, 1 << (size // BYTES).bit_length()))
     seed = 0
-    while (found := _seeded(docs, seed, least)) is None:
+    while (found := _seeded(docs, seed, least, counters)) is None:
         seed += 1
     words, counts = found
     slices = words.filter("lang is null").select("h", "counts").repartition(SLICES, "h").mapInArrow(_frequent(least), "h bigint, bits binary")
-    bits = {r.h: r.bits for r in slices.collect()}  # PAIRS bits
-    sketch = spark.sparkContext.broadcast(b"".join(bits.get(i, bytes(PAIRS // SLICES // 8)) for i in range(SLICES)))
+    bits = {r.h: r.bits for r in slices.collect()}  # at most MOST bits
+    sketch = spark.sparkContext.broadcast(b"".join(bits.get(i, bytes(counters // SLICES // 8)) for i in range(SLICES)))
     suffixes = materialize(docs.mapInArrow(_suffixes(sketch, seed), f"{_SUFFIX}, n bigint"), "suffixes")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-suffixes.count() // ROUTED))
     routed = suffixes.repartitionByRange(n, "lang", *_WORDS)
