@@ -79,7 +79,7 @@ def test_op11_groups_are_small_and_partition_the_sets(spark):
     from pyspark.sql import functions as F
 
     counts = spark.sparkContext.broadcast(jaccard_groups.token_ranks(df))
-    kinds = "doc_id bigint, th bigint, n bigint, s1 bigint, s2 bigint, m1 bigint, m2 bigint, first array<bigint>, rest array<int>"
+    kinds = "doc_id bigint, th bigint, n bigint, s1 bigint, s2 bigint, m1 bigint, m2 bigint, end_rank bigint, end_token bigint, first array<bigint>, rest array<int>"
     sets = df.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(jaccard_groups._sets(counts, 90), kinds)
     groups = jaccard_groups.token_groups(sets).collect()
     members = [m for g in groups for m in g.members]

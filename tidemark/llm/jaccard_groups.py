@@ -9,7 +9,8 @@ Which groups can hold a partner of a query set is answered by the matrix of toke
 seldom to frequent by a count sketch over all documents (only consistency of that order matters for the result, not
 its counts). Sets that link share one of the first n - ceil(0.9 n) + 1 tokens of both, so the matrix keeps these of each
 union; a row also says how many tokens a set of the group has from there on, and the sizes of the group's sets. Two groups meet
-only where a shared token leaves room for the overlap that their sizes ask for. Then, for each query set of the one group,
+only where a shared token leaves room for the overlap that their sizes ask for; two groups of one set each only where the kept tokens that
+they share, and what both have left behind the end of the kept ones, reach it. Then, for each query set of the one group,
 the overlap with the other's union bounds that with each of its sets: only sets whose bound reaches the threshold
 are opened, and the overlaps of those are a product of two bit matrices.
 
@@ -44,13 +45,14 @@ SHINGLE = 3
 PERCENT = 90
 #: Most sets of a group, and most tokens of all its sets together (a larger set is alone).
 GROUP, TOKENS = 128, 1 << 16
-#: Counters of the sketch that orders tokens, and slices in which tasks send them.
-COUNTERS, SLICES = 1 << 22, 64
+#: Counters of the sketch that orders tokens: one for so many bytes of text, and how many there are at least and at most; slices in which tasks send them.
+BYTES, FEWEST, MOST, SLICES = 64, 1 << 16, 1 << 24, 64
 #: Bits of the bitmap that tells which texts are opened: 16 for each, within these.
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 28
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _OTHER = np.uint64(0x9E3779B97F4A7C15)
+_TOP = np.uint64(1 << 63)
 
 
 def shingle_lists(texts: list[bytes | None], size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -62,16 +64,20 @@ def shingle_lists(texts: list[bytes | None], size: int = SHINGLE) -> Iterator[np
         yield rolling(hashes[low:high], min(size, n)) if n else hashes[:0]
 
 
-def _slot(tokens: np.ndarray) -> np.ndarray:
-    return (mix(tokens) & np.uint64(COUNTERS - 1)).astype(np.int64)
+def _slot(tokens: np.ndarray, counters: int) -> np.ndarray:
+    return (mix(tokens) & np.uint64(counters - 1)).astype(np.int64)
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(COUNTERS, np.int64)
-    for b in sized(batches, "text"):
-        tokens = np.concatenate(list(shingle_lists(b.column("text").cast(pa.binary()).to_pylist())))
-        counts += np.bincount(_slot(tokens), minlength=COUNTERS)
-    yield _slices(dict(enumerate(counts.reshape(SLICES, -1))))
+def _counted(counters: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(counters, np.uint32)
+        for b in sized(batches, "text"):
+            tokens = np.concatenate(list(shingle_lists(b.column("text").cast(pa.binary()).to_pylist())))
+            at, n = np.unique(_slot(tokens, counters), return_counts=True)
+            counts[at] += n.astype(np.uint32)
+        yield _slices(dict(enumerate(counts.reshape(SLICES, -1))))
+
+    return run
 
 
 def _slices(counts: dict[int, np.ndarray]) -> pa.RecordBatch:
@@ -85,16 +91,18 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for b in batches:
         for i, counts in zip(b.column("slice").to_pylist(), b.column("counts").to_pylist(), strict=True):
-            sums[i] = sums.get(i, 0) + np.frombuffer(unpack(counts), np.int64)
+            sums[i] = sums.get(i, 0) + np.frombuffer(unpack(counts), np.uint32).astype(np.int64)
     yield _slices({i: (4 * np.log2(x + 1.0)).astype(np.uint8) for i, x in sums.items()})
 
 
 def token_ranks(docs: DataFrame) -> np.ndarray:
-    """How frequent the shingles on each of ``COUNTERS`` counters are, in a byte for each."""
+    """How frequent the shingles on each of the counters are, in a byte for each."""
     unpack = zstandard.ZstdDecompressor().decompress
-    slices_ = docs.select("text").mapInArrow(_counted, "slice bigint, counts binary").repartition(SLICES, "slice")
-    out = np.zeros((SLICES, COUNTERS // SLICES), np.uint8)
-    for r in slices_.mapInArrow(_summed, "slice bigint, counts binary").collect():  # COUNTERS bytes
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    counters = max(FEWEST, min(MOST, 1 << (size // BYTES).bit_length()))
+    slices_ = docs.select("text").mapInArrow(_counted(counters), "slice bigint, counts binary").repartition(SLICES, "slice")
+    out = np.zeros((SLICES, counters // SLICES), np.uint8)
+    for r in slices_.mapInArrow(_summed, "slice bigint, counts binary").toLocalIterator():  # a byte for each counter
         out[r.slice] = np.frombuffer(unpack(r.counts), np.uint8)
     return out.reshape(-1)
 
@@ -108,27 +116,29 @@ def _sets(counts, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value
         for b in sized(batches, "text"):
-            heads, firsts, rests = [], [], []
+            heads, firsts, rests, ends = [], [], [], []
             for shingles in shingle_lists(b.column("text").cast(pa.binary()).to_pylist()):
                 tokens = np.unique(shingles)
                 n = len(tokens)
                 digest = np.frombuffer(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest(), np.int64).tolist()
                 least = [int(x.view(np.int64)) for x in (mix(tokens).min(), mix(tokens ^ _OTHER).min())] if n else [0, 0]
                 heads.append((n, *digest, *least))
-                order = np.argsort(table[_slot(tokens)], kind="stable")[: n - needed(n, percent) + 1 if n else 0]
+                ranks = table[_slot(tokens, len(table))]
+                order = np.argsort(ranks, kind="stable")[: n - needed(n, percent) + 1 if n else 0]
                 firsts.append(tokens[order].view(np.int64))
+                ends.append((int(ranks[order[-1]]), int((tokens[order[-1]] ^ _TOP).view(np.int64))) if n else (0, 0))
                 rests.append(np.arange(n, n - len(order), -1, dtype=np.int32))
             lengths = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
-            columns = np.array(heads, np.int64).reshape(-1, 5)
+            columns = np.column_stack([np.array(heads, np.int64).reshape(-1, 5), np.array(ends, np.int64).reshape(-1, 2)])
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("doc_id"),
                     b.column("th"),
-                    *[pa.array(columns[:, i]) for i in range(5)],
+                    *[pa.array(np.ascontiguousarray(columns[:, i])) for i in range(7)],
                     pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(firsts))),
                     pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(rests))),
                 ],
-                ["doc_id", "th", "n", "s1", "s2", "m1", "m2", "first", "rest"],
+                ["doc_id", "th", "n", "s1", "s2", "m1", "m2", "end_rank", "end_token", "first", "rest"],
             )
 
     return run
@@ -150,7 +160,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
         sizes = [r["n"] for r in held]
         members = [{"node": task + done + i, **{c: r[c] for c in _MEMBER}} for i, r in enumerate(held)]
-        return {"gid": task + done, "lo": min(sizes), "hi": max(sizes), "members": members, "token": ids[first].tolist(), "rest": rest[first].tolist()}
+        return {"gid": task + done, "lo": min(sizes), "hi": max(sizes), "end_rank": held[0]["end_rank"], "end_token": held[0]["end_token"], "members": members, "token": ids[first].tolist(), "rest": rest[first].tolist()}
 
     rows = []
     for b in slices(batches):
@@ -170,11 +180,11 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _GROUPS = pa.schema(
-    [("gid", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())]
+    [(c, pa.int64()) for c in ("gid", "lo", "hi", "end_rank", "end_token")]
     + [("members", pa.list_(pa.struct([(c, pa.int64()) for c in ("node", *_MEMBER)])))]
     + [("token", pa.list_(pa.int64())), ("rest", pa.list_(pa.int64()))]
 )
-_GROUPS_SQL = f"gid bigint, lo bigint, hi bigint, members array<struct<{', '.join(f'{c}: bigint' for c in ('node', *_MEMBER))}>>, token array<bigint>, rest array<bigint>"
+_GROUPS_SQL = f"gid bigint, lo bigint, hi bigint, end_rank bigint, end_token bigint, members array<struct<{', '.join(f'{c}: bigint' for c in ('node', *_MEMBER))}>>, token array<bigint>, rest array<bigint>"
 
 
 def token_groups(sets: DataFrame) -> DataFrame:
@@ -186,9 +196,9 @@ def token_groups(sets: DataFrame) -> DataFrame:
     distinct = (
         sets.filter("n > 0")
         .groupBy("s1", "s2")
-        .agg(one.alias("one"), F.count("*").alias("copies"), F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "m1", "m2", "first", "rest")])
+        .agg(one.alias("one"), F.count("*").alias("copies"), F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "m1", "m2", "end_rank", "end_token", "first", "rest")])
         .withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / PERCENT))))
-        .select("m1", "m2", "band", "s1", "s2", "n", "copies", "least", "one.doc_id", "one.th", "first", "rest")
+        .select("m1", "m2", "band", "s1", "s2", "n", "copies", "least", "one.doc_id", "one.th", "end_rank", "end_token", "first", "rest")
     )
     by = ["m1", "m2", "band", "s1", "s2"]
     return distinct.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_grouped, _GROUPS_SQL)
@@ -196,15 +206,25 @@ def token_groups(sets: DataFrame) -> DataFrame:
 
 def candidate_groups(groups: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs ``(a, b)``, a < b, of groups of which a query set of one may link with a set of the other."""
-    rows = groups.select("gid", "lo", "hi", F.explode(F.arrays_zip("token", "rest")).alias("x")).select("gid", "lo", "hi", "x.token", "x.rest")
-    a, b = (rows.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("gid", "lo", "hi", "rest")]) for side in "ab")
-    fits = (
-        (F.col("gid_a") < F.col("gid_b"))
-        & (100 * F.col("hi_a") >= percent * F.col("lo_b"))
-        & (100 * F.col("hi_b") >= percent * F.col("lo_a"))
-        & ((100 + percent) * F.least("rest_a", "rest_b") >= percent * (F.col("lo_a") + F.col("lo_b")))
-    )
-    return a.join(b, "token").filter(fits).select(F.col("gid_a").alias("a"), F.col("gid_b").alias("b")).distinct()
+    names = ("gid", "lo", "hi", "single", "end")
+    rows = groups.select("gid", "lo", "hi", (F.size("members") == 1).alias("single"), F.struct("end_rank", "end_token").alias("end"), F.explode(F.arrays_zip("token", "rest")).alias("x"))
+    rows = rows.select(*names, "x.token", "x.rest")
+    a, b = (rows.select("token", *[F.col(c).alias(f"{c}_{side}") for c in (*names, "rest")]) for side in "ab")
+    met = a.join(b, "token").filter((F.col("gid_a") < F.col("gid_b")) & (100 * F.col("hi_a") >= percent * F.col("lo_b")) & (100 * F.col("hi_b") >= percent * F.col("lo_a")))
+    both = F.col("single_a") & F.col("single_b")
+
+    def reaches(overlap):
+        return (100 + percent) * overlap >= percent * (F.col("lo_a") + F.col("lo_b"))
+
+    met = met.filter(both | reaches(F.least("rest_a", "rest_b")))
+    pairs = met.groupBy(F.col("gid_a").alias("a"), F.col("gid_b").alias("b")).agg(
+        F.count("*").alias("shared"), F.min("rest_a").alias("rest_a"), F.min("rest_b").alias("rest_b"), *[F.first(c).alias(c) for c in ("lo_a", "lo_b")],
+        F.first(both).alias("both"), F.first(F.col("end_a") <= F.col("end_b")).alias("a_ends"),
+    )
+    # what both share up to the nearer end is counted; one has so many tokens behind its end, the other so many behind the last shared one
+    behind = {x: F.floor((percent * F.col(f"lo_{x}") + 99) / 100).cast("bigint") - 1 for x in "ab"}
+    left = F.when(F.col("a_ends"), F.least(behind["a"], F.col("rest_b") - 1)).otherwise(F.least(behind["b"], F.col("rest_a") - 1))
+    return pairs.filter(~F.col("both") | reaches(F.col("shared") + left)).select("a", "b")
 
 
 def _asked(bits, size: int):
@@ -360,7 +380,7 @@ def similar_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     spark = docs.sparkSession
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     ranks = spark.sparkContext.broadcast(token_ranks(docs))
-    kinds = "doc_id bigint, th bigint, n bigint, s1 bigint, s2 bigint, m1 bigint, m2 bigint, first array<bigint>, rest array<int>"
+    kinds = "doc_id bigint, th bigint, n bigint, s1 bigint, s2 bigint, m1 bigint, m2 bigint, end_rank bigint, end_token bigint, first array<bigint>, rest array<int>"
     wide = materialize(keyed.mapInArrow(_sets(ranks, percent), kinds), "wide")
     sets = materialize(wide.select("doc_id", "n", "s1", "s2"), "sets")
     groups = materialize(token_groups(wide), "groups")
