@@ -7,6 +7,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -359,3 +360,96 @@ def test_rate_limit_equals_a_log(spark):
         logs[r.user_id] = log + [r.ts] * ok
         want.append((r.user_id, r.ts, ok))
     assert got == sorted(want) and not all(x[2] for x in got)
+
+
+def _folds(rows, fold):
+    """Each workspace folded as a whole."""
+    out = set()
+    for w in {r["workspace"] for r in rows}:
+        out |= {tuple(x) for x in fold(pd.DataFrame([r for r in rows if r["workspace"] == w])).itertuples(index=False)}
+    return out
+
+
+def test_cluster_merges_by_components_equal_folds_of_whole_workspaces(spark):
+    rnd = random.Random(21)
+    rows = []
+    for w in range(1000):  # a workspace is an input of its own
+        for i in range(rnd.randrange(2, 7)):
+            at = dt.datetime(2024, 1, 1) + dt.timedelta(hours=rnd.randrange(400))
+            rows.append({
+                "workspace": w, "cluster": i, "doc_ids": sorted({rnd.randrange(12) for _ in range(rnd.randrange(1, 4))}), "title_terms": rnd.sample("pqrst", rnd.randrange(0, 4)),
+                "concepts": rnd.sample("klmn", rnd.randrange(0, 3)), "centroid": [rnd.random(), rnd.random()], "coherence": rnd.random(), "last_seen": at,
+            })
+    kind = "workspace long, cluster long, doc_ids array<long>, title_terms array<string>, concepts array<string>, centroid array<double>, coherence double, last_seen timestamp_ntz"
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], kind)
+    for least in (0.78, 0.7):
+        want = _folds(rows, lambda pdf: C._merged(pdf, least, 0.4, 0.5, 168))
+        got = C.merge_clusters(df, least=least)
+        assert {tuple(r) for r in got.collect()} == want and len(want) == len(rows) and len({(w, m) for w, _, m in want}) < len(rows)
+
+
+def test_signal_merges_by_components_equal_folds_of_whole_workspaces(spark):
+    rnd = random.Random(22)
+    rows = []
+    for w in range(1000):
+        for i in range(rnd.randrange(2, 7)):
+            at = dt.datetime(2024, 1, 1) + dt.timedelta(days=rnd.randrange(60))
+            rows.append({
+                "workspace": w, "signal": i, "doc_ids": sorted({rnd.randrange(30) for _ in range(rnd.randrange(0, 4))}), "semantic_cluster_ids": sorted({rnd.randrange(4) for _ in range(rnd.randrange(0, 3))}),
+                "keywords": rnd.sample("klmnopq", rnd.randrange(0, 4)), "title_terms": rnd.sample("stuvwxyz", rnd.randrange(0, 4)), "score": rnd.random(), "first_seen": at, "last_seen": at,
+            })
+    kind = (
+        "workspace long, signal long, doc_ids array<long>, semantic_cluster_ids array<long>, keywords array<string>, title_terms array<string>, score double, "
+        "first_seen timestamp_ntz, last_seen timestamp_ntz"
+    )
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], kind)
+    whole = {tuple(r) for r in C.merge_signals(df, parts=False).collect()}
+    assert {tuple(r) for r in C.merge_signals(df).collect()} == whole and len({(w, m) for w, _, m in whole}) < len(rows)
+
+
+def test_merges_spread_over_components(spark):
+    rows = [(1, i, [i], [f"t{i // 5}"], [f"c{i // 5}"], [1.0, 0.0], 0.5, dt.datetime(2024, 1, 1)) for i in range(200)]
+    df = spark.createDataFrame(rows, "workspace long, cluster long, doc_ids array<long>, title_terms array<string>, concepts array<string>, centroid array<double>, coherence double, last_seen timestamp_ntz")
+    none = F.lit(False)
+    assert C._sharing(df, "cluster", ["doc_ids", "title_terms", "concepts"], none, "part").select("part").distinct().count() == 40
+    assert C.merge_clusters(df).select("merged").distinct().count() == 40
+
+
+def test_window_changes(spark):
+    rows = [(k, i, float(x)) for k, values in {"step": [1] * 10 + [9] * 10, "flat": [4] * 20, "short": [1, 9, 1], "spike": [0] * 8 + [50] + [0] * 8}.items() for i, x in enumerate(values)]
+    df = spark.createDataFrame(rows, "k string, window_start int, doc_count double")
+    got = {(r.k, r.window_start): r.discrepancy for r in T.window_changes(df, ["k"], half=3, apart=2).collect()}
+    assert got[("step", 10)] == 1.5 * 64 and {k for k, _ in got} <= {"step", "spike"}
+    brute = {}
+    for k in ("step", "flat", "short", "spike"):
+        x = [v for key, _, v in rows if key == k]
+
+        def error(a, b, x=x):
+            part = x[a:b]
+            return sum((v - sum(part) / len(part)) ** 2 for v in part)
+
+        gains = {i: error(i - 3, i + 3) - error(i - 3, i) - error(i, i + 3) for i in range(3, len(x) - 2)}
+        brute |= {(k, i): g for i, g in gains.items() if g > max(len(x) ** 0.5, 2) and all(g > gains[j] for j in range(i - 2, i + 3) if j != i and j in gains)}
+    assert set(got) == set(brute) and all(got[k] == pytest.approx(v) for k, v in brute.items())
+
+
+def test_album_frames_lose_nothing(spark):
+    rnd = random.Random(3)
+    rows = []
+    for g in range(40):
+        at = 0
+        for _ in range(rnd.randrange(1, 60)):
+            at += rnd.choice([1, 1, 1, 2, 9, 70])
+            rows.append((at, g, "x"))
+    rows += [(5, None, "alone"), (None, 3, "no id")]
+    df = spark.createDataFrame(rows, "id long, group long, text string").repartition(4)
+    got = sorted(tuple(r) for r in connectors.albums(df).collect())
+    want = []
+    for g in range(40):
+        frames = []
+        for x in sorted(i for i, h, _ in rows if h == g and i is not None):
+            if not frames or len(frames[-1]) == 10 or x - frames[-1][0] > 48:
+                frames.append([])
+            frames[-1].append(x)
+        want += [(g, k, f[0], f[-1], len(f)) for k, f in enumerate(frames)]
+    assert got == sorted(want) and sum(r[4] for r in got) == len(rows) - 2

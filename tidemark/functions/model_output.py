@@ -9,10 +9,31 @@ import re
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
-#: Names of categories that models use for the known ones.
+#: Other names of categories.
 ALIASES = {
-    "business": "business_models", "tech": "technology", "дизайн": "design", "бизнес": "business_models", "технологии": "technology", "другое": "other", "none": "other",
-}
+    "tech": "technology",
+    "it": "technology",
+    "technologies": "technology",
+    "технологии": "technology",
+    "техника": "technology",
+    "информационные_технологии": "technology",
+    "business": "business_models",
+    "бизнес": "business_models",
+    "biz": "business_models",
+    "стартап": "business_models",
+    "стартапы": "business_models",
+    "модель": "business_models",
+    "дизайн": "design",
+    "ux": "design",
+    "ui": "design",
+    "наука": "science",
+    "исследования": "science",
+    "общество": "society",
+    "социум": "society",
+    "social": "society",
+}
+#: Words for no known category.
+OTHER = ("other", "другое", "прочее", "misc", "none", "неизвестно", "не_определено", "иное")
 CATEGORIES = ("technology", "business_models", "design", "regulation", "market", "science", "other")
 
 
@@ -46,13 +67,23 @@ def extract_json(text: str | None) -> str | None:
     return None
 
 
-def category(value: str | None, cutoff: float = 0.76) -> str:
-    """A known category for what a model wrote: as a slug, by alias, or by likeness; else ``other``."""
-    slug = re.sub(r"[^\w]+", "_", (value or "").strip().lower()).strip("_")
-    slug = ALIASES.get(slug, slug)
-    if slug in CATEGORIES:
-        return slug
-    return (difflib.get_close_matches(slug, CATEGORIES, 1, cutoff) or ["other"])[0]
+def slug(value: str) -> str:
+    """Lower case, blanks and hyphens as underscores, nothing but letters of two scripts, digits and underscores."""
+    joined = re.sub(r"[\s\-]+", "_", value.strip().lower())
+    return re.sub(r"[^a-z0-9а-яё_]", "", joined).strip("_")
+
+
+def category(value: str | None, cutoff: float = 0.76, known: tuple[str, ...] = CATEGORIES) -> str:
+    """One of the ``known`` categories for what a model wrote: by its slug, another name, or likeness; else ``other``."""
+    named = {slug(k): k for k in known if k.strip()}
+    wanted = slug(value or "")
+    if not wanted or wanted in OTHER:
+        return "other"
+    for key in (wanted, ALIASES.get(wanted)):
+        if key in named:
+            return named[key]
+    near = difflib.get_close_matches(wanted, list(named), 1, cutoff)
+    return named[near[0]] if near else "other"
 
 
 def _series(function):

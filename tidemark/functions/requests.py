@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Stages that a signal may have.
@@ -89,12 +92,41 @@ def delivery_key(status: Column, group_key: Column, labels: list[Column], finger
     return F.concat(F.lit("admin:alertmanager:delivery:"), F.sha2(F.when(group != "", F.concat_ws("|", state, group)).otherwise(whole), 256))
 
 
-def fit_budget(text: Column, tokens: int, characters: int = 4) -> Column:
-    """A text cut to a number of tokens by an estimate of characters each, where no counter is at hand."""
+def fit_budget(text: Column, tokens: int, characters: int = 4, counter: Callable[[list[str]], list[int]] | None = None) -> Column:
+    """A text cut to a number of tokens: by a counter of the tokens of some texts, or else by an estimate of characters each.
+
+    With a counter it is the longest of the prefixes that bisection meets within the budget, which is the longest of all if no prefix of a
+    shorter one has more tokens. All texts of an Arrow batch are bisected side by side, so the counter sees one list a round."""
+    if counter is not None:
+        return _counted_budget(counter, tokens)(text)
     clean = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
     return F.lit("") if tokens <= 0 else F.regexp_replace(F.left(clean, F.lit(max(1, tokens * characters))), r"\s+$", "")
 
 
+def longest_prefixes(texts: list[str], tokens: int, counter: Callable[[list[str]], list[int]]) -> list[str]:
+    """Of each text without outer blanks its longest prefix (blanks at the end off) of at most ``tokens`` tokens, by bisection."""
+    clean = [t.strip() for t in texts]
+    whole = counter(clean)
+    low = [len(t) if tokens > 0 and n <= tokens else 0 for t, n in zip(clean, whole, strict=True)]
+    high = [len(t) if tokens > 0 else 0 for t in clean]
+    while left := [i for i in range(len(clean)) if low[i] < high[i]]:
+        middle = {i: (low[i] + high[i] + 1) // 2 for i in left}
+        for i, n in zip(left, counter([clean[i][: middle[i]].rstrip() for i in left]), strict=True):
+            if n <= tokens:
+                low[i] = middle[i]
+            else:
+                high[i] = middle[i] - 1
+    return [t[:n].rstrip() for t, n in zip(clean, low, strict=True)]
+
+
+def _counted_budget(counter: Callable[[list[str]], list[int]], tokens: int) -> Callable[[Column], Column]:
+    @F.pandas_udf("string")
+    def run(batch: pd.Series) -> pd.Series:
+        return pd.Series(longest_prefixes(["" if t is None else t for t in batch], tokens, counter), dtype=object)
+
+    return run
+
+
 def archive_links(links: Column, base: str, most: int) -> Column:
     """The first different links of articles on a tag's archive page: of the base's host, two path segments or more, no tags,
     archives, followers, members or help."""

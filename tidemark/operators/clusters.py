@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions import scores as S, vectors as v
 from tidemark.operators.components import connected_components
@@ -104,20 +105,51 @@ def _merged(pdf: pd.DataFrame, least: float, title: float, concept: float, gap_h
     return pd.DataFrame([(pdf["workspace"].iloc[0], *r) for r in rows], columns=["workspace", "cluster", "merged"])
 
 
+def _tagged(column: str) -> Column:
+    """The values of an array column, marked with its name."""
+    known = F.filter(column, lambda x: x.isNotNull())
+    return F.transform(known, lambda x: F.concat(F.lit(f"{column}:"), x.cast("string")))
+
+
+def _node(kind: str, *parts: str) -> Column:
+    """128 bits for a row or a value of a workspace; nulls are told apart from empty strings."""
+    text = F.to_json(F.array(F.lit(kind), *[F.col(p).cast("string") for p in parts]))
+    return F.left(F.sha2(text, 256), F.lit(32))
+
+
+def _sharing(rows: DataFrame, key: str, columns: list[str], none: Column, part: str) -> DataFrame:
+    """Add ``part``: which component of a workspace's rows a row belongs to, where rows that share a value of one of the array
+    columns are linked; rows where ``none`` holds share one more. Edges go from rows to values, so a value
+    of many rows makes as many edges and no pairs."""
+    values = [rows.select("workspace", key, F.explode(_tagged(c)).alias("_v")) for c in columns]
+    pairs = reduce(DataFrame.unionByName, [*values, rows.filter(none).select("workspace", key, F.lit("none").alias("_v"))])
+    found = connected_components(materialize(pairs.select(_node("row", "workspace", key).alias("src"), _node("value", "workspace", "_v").alias("dst")), "sharing"))
+    own = rows.withColumn("_own", _node("row", "workspace", key))
+    return own.join(found.withColumnRenamed("node", "_own"), "_own", "left").withColumn(part, F.coalesce("component", "_own")).drop("_own", "component")
+
+
 def merge_clusters(clusters: DataFrame, least: float = 0.78, title: float = 0.4, concept: float = 0.5, gap_hours: float = 168) -> DataFrame:
     """``(workspace, cluster, merged)``: a fold in order inside each workspace, whose every step depends on the one before.
 
     ``clusters(workspace, cluster, doc_ids, title_terms, concepts, centroid, coherence, last_seen)``. What takes in another
     has the mean of both centroids by their documents, and the eight most common terms and concepts of both lists.
     Clusters that were last seen more than the gap apart never meet, as the newest keeps its time; so each run of
-    clusters without such a gap is folded by itself. Groups are clusters of one workspace's window, not posts."""
+    clusters without such a gap is folded by itself. Likeness of vectors and times alone gives 0.55: above that, merging takes a document,
+    term or concept that the other shares with some member; above 0.75, a concept. What a cluster has taken in is made of its members,
+    so nothing merges across components of rows that share such values, and each component of a run is a fold of its own."""
     w, c = (clusters.schema[x].dataType.simpleString() for x in ("workspace", "cluster"))
     order = Window.partitionBy("workspace").orderBy("last_seen")
     seen = F.unix_micros(F.col("last_seen").cast("timestamp"))
     apart = F.coalesce((seen - F.lag(seen).over(order)) > gap_hours * 3_600_000_000, F.lit(False))
     times = clusters.select("workspace", "last_seen").distinct().withColumn("_apart", apart.cast("int"))
     runs = times.withColumn("_run", F.sum("_apart").over(order)).drop("_apart")
-    return clusters.join(runs, ["workspace", "last_seen"]).groupBy("workspace", "_run").applyInPandas(
+    rows, parts = clusters.join(runs, ["workspace", "last_seen"]), []
+    empty = (F.size(F.coalesce("title_terms", F.array())) == 0) | (F.size(F.coalesce("concepts", F.array())) == 0)  # two empty lists count as alike
+    for bound, columns in ((0.55, ["doc_ids", "title_terms", "concepts"]), (0.75, ["concepts"])):
+        if round(least - bound, 9) > 0 and title > 0 and concept > 0:
+            parts.append(f"_part{len(parts)}")
+            rows = _sharing(rows, "cluster", columns, empty, parts[-1])
+    return rows.groupBy("workspace", "_run", *parts).applyInPandas(
         lambda pdf: _merged(pdf, least, title, concept, gap_hours), f"workspace {w}, cluster {c}, merged {c}"
     )
 
@@ -131,12 +163,14 @@ def _temporal(a: dict, b: dict, gap_hours: float) -> float:
     return 1.0 if gap <= gap_hours else max(0.0, 1 - gap / max(gap_hours, 1))
 
 
-def merge_signals(signals: DataFrame, least: float = 0.72, documents: float = 0.25, gap_hours: float = 720) -> DataFrame:
+def merge_signals(signals: DataFrame, least: float = 0.72, documents: float = 0.25, gap_hours: float = 720, parts: bool = True) -> DataFrame:
     """``(workspace, signal, merged)``: signals folded by falling score into those they overlap.
 
     ``signals(workspace, signal, doc_ids, keywords, title_terms, score)``, and ``semantic_cluster_ids``, ``first_seen``
     and ``last_seen`` where they are known. What absorbs another takes its documents and semantic clusters.
-    Signals are told apart by their own key, so one without an id in the store never swallows others."""
+    Signals are told apart by their own key, so one without an id in the store never swallows others. Merging takes a document that the
+    other shares with some member, or a keyword or title term of the one that absorbs (semantic clusters, documents and times alone give
+    0.60), so components of signals that share such values are folded each by itself; without ``parts`` a workspace is folded as a whole."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         kept: list[dict] = []
@@ -162,7 +196,12 @@ def merge_signals(signals: DataFrame, least: float = 0.72, documents: float = 0.
         return pd.DataFrame(rows, columns=["workspace", "signal", "merged"])
 
     w, s = (signals.schema[x].dataType.simpleString() for x in ("workspace", "signal"))
-    return signals.groupBy("workspace").applyInPandas(fold, f"workspace {w}, signal {s}, merged {s}")
+    by = ["workspace"]
+    if parts and round(least - 0.60, 9) > 0 and documents > 0:
+        empty = (F.size(F.coalesce("keywords", F.array())) == 0) | (F.size(F.coalesce("title_terms", F.array())) == 0)  # two empty lists count as alike
+        by.append("_part")
+        signals = _sharing(signals, "signal", ["doc_ids", "keywords", "title_terms"], empty, "_part")
+    return signals.groupBy(*by).applyInPandas(fold, f"workspace {w}, signal {s}, merged {s}")
 
 
 def quality(clusters: DataFrame, merge_threshold: float = 0.87) -> DataFrame:

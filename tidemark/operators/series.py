@@ -124,4 +124,22 @@ def change_points(series: DataFrame, key: str, value: str = "doc_count", order:
     return series.select(key, order, value).groupBy(key).applyInPandas(run, f"{key} {kind}, breakpoints array<int>, strength double")
 
 
-__all__ = ["bucket_start", "buckets", "change_points", "counter_increase", "jumps", "merge_series", "momentum", "pelt"]
+def window_changes(series: DataFrame, keys: list[str], value: str = "doc_count", order: str = "window_start", half: int = 2, apart: int = 1) -> DataFrame:
+    """``(keys, order, n, discrepancy)``: change points by two sliding windows, without Python.
+
+    The discrepancy at a bucket is what a split there saves of the squared errors of the ``half`` buckets before it and the ``half`` from it
+    on: half of ``half`` times the squared difference of their means. A change point is a peak of it, greater than all within
+    ``apart`` buckets to both sides, above the root of the series' length (2 at least). Buckets without so many to both sides
+    have none. An entity has one row for each bucket, so a window's partition is as long as the time it covers."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    before, after = F.avg(value).over(w.rowsBetween(-half, -1)), F.avg(value).over(w.rowsBetween(0, half - 1))
+    rows = series.select(*keys, order, F.col(value).cast("double").alias(value))
+    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy(*keys))).withColumn("_i", F.row_number().over(w) - 1)
+    inside = (F.col("_i") >= half) & (F.col("_i") <= F.col("n") - half)
+    rows = rows.withColumn("discrepancy", F.when(inside, half / 2 * F.pow(before - after, F.lit(2))))
+    around = [F.coalesce(F.max("discrepancy").over(w.rowsBetween(*span)), F.lit(-1.0)) for span in ((-apart, -1), (1, apart))]
+    peak = (F.col("discrepancy") > around[0]) & (F.col("discrepancy") > around[1]) & (F.col("discrepancy") > F.greatest(F.sqrt("n"), F.lit(2.0)))
+    return rows.withColumn("_peak", peak).filter("_peak").select(*keys, order, "n", "discrepancy")
+
+
+__all__ = ["bucket_start", "buckets", "change_points", "counter_increase", "jumps", "merge_series", "momentum", "pelt", "window_changes"]

@@ -124,7 +124,7 @@ def workspace_brief(spark, d):
 
 
 def group_albums(spark, d):
-    """Messages of a chat grouped by thread, albums of at most six within the thread."""
+    """Messages of a chat grouped by thread, in frames of at most six within 48 turns."""
     from tidemark.sources.connectors import albums
 
     m = V.table(spark, d, "conversations").select(F.col("turn").alias("id"), F.col("conv_id").alias("group"), "text")
@@ -190,5 +190,9 @@ ORACLES = {
     "workspace_brief": f"""with {V.TRENDS}, k as (select workspace, count(*) filter (where stage = 'stable') as stable, count(*) filter (where stage in ('weak', 'emerging')) as emerging from trends group by 1),
         r as (select workspace, cluster_key, signal_score, cast(row_number() over (partition by workspace order by signal_score desc, cluster_key) as int) as rank from trends where stage in ('stable', 'emerging'))
         select workspace, rank, cluster_key, signal_score, stable, emerging from r join k using (workspace) where rank <= 3""",
-    "group_albums": """select conv_id as "group", min(turn) as first_id, count(*) as items from conversations where conv_id is not null group by 1 having max(turn) - min(turn) <= 48 and count(*) <= 6""",
+    "group_albums": """with recursive m as (select conv_id, turn, row_number() over (partition by conv_id order by turn) as r from conversations where conv_id is not null and turn is not null),
+        f as (select conv_id, r, turn, turn as first, 1 as k, 0 as frame from m where r = 1
+            union all select m.conv_id, m.r, m.turn, case when k = 6 or m.turn - first > 48 then m.turn else first end, case when k = 6 or m.turn - first > 48 then 1 else k + 1 end,
+                case when k = 6 or m.turn - first > 48 then frame + 1 else frame end from f join m on m.conv_id = f.conv_id and m.r = f.r + 1)
+        select conv_id as "group", frame, min(turn) as first_id, max(turn) as last_id, count(*) as items from f group by conv_id, frame""",
 }

@@ -7,7 +7,7 @@ import email.policy
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions import html as H, text as tx
 
@@ -109,6 +109,30 @@ def web_listing(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
 
 
 def albums(messages: DataFrame, span: int = 48, most: int = 10) -> DataFrame:
-    """``(group, first_id, items)`` of ``messages(id, group, text)``: groups of at most ``most`` messages within ``span`` ids."""
-    g = messages.filter("group is not null").groupBy("group").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count("*").alias("items"))
-    return g.filter((F.col("last_id") - F.col("first_id") <= span) & (F.col("items") <= most)).drop("last_id")
+    """``(group, frame, first_id, last_id, items)`` of ``messages(id, group, text)``: a group's messages in order of their ids, cut into frames.
+
+    A frame has at most ``most`` messages and spans at most ``span`` ids; a message that fits no more begins the next
+    frame, so none is lost. Where neighbours are more than ``span`` ids apart a frame always ends (an island), which a window of
+    neighbours finds; frames of an island follow from the first one on, folded in Arrow batches of one island each."""
+    rows = messages.filter("`group` is not null and id is not null").select("group", "id")
+    w = Window.partitionBy("group").orderBy("id")
+    starts = F.coalesce(F.col("id") - F.lag("id").over(w) > span, F.lit(True)).cast("int")
+    islands = rows.withColumn("_start", starts).withColumn("island", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_start")
+    kind = {c: messages.schema[c].dataType.simpleString() for c in ("group", "id")}
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = pdf["id"].sort_values().tolist()
+        out, first, n = [], ids[0], 0
+        last = first
+        for x in ids:
+            if n == most or x - first > span:
+                out.append((first, last, n))
+                first, n = x, 0
+            last, n = x, n + 1
+        out.append((first, last, n))
+        frame = pd.DataFrame(out, columns=["first_id", "last_id", "items"])
+        return frame.assign(group=pdf["group"].iloc[0], island=pdf["island"].iloc[0])[["group", "island", "first_id", "last_id", "items"]]
+
+    found = islands.groupBy("group", "island").applyInPandas(cut, f"`group` {kind['group']}, island bigint, first_id {kind['id']}, last_id {kind['id']}, items bigint")
+    order = Window.partitionBy("group").orderBy("island", "first_id", "last_id")
+    return found.select("group", (F.row_number().over(order) - 1).alias("frame"), "first_id", "last_id", "items")

@@ -32,6 +32,13 @@ def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{place}/out")
 
 
+def keep(rows: DataFrame, label: str) -> DataFrame:
+    """Rows as a table of their own, so that what they were read from may change."""
+    place = _place(rows.sparkSession, label)
+    rows.write.parquet(place)
+    return rows.sparkSession.read.schema(rows.schema).parquet(place)
+
+
 def each_batch(stream: DataFrame, label: str, write: Callable[[DataFrame, int], None]) -> None:
     """Run a stream over what there is, one call a batch; a batch may come again after a failure."""
     place = _place(stream.sparkSession, label)
