@@ -50,7 +50,7 @@ _LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 class Words(dict):
     """Ids of words as little-endian unsigned 32-bit integers."""
 
-    limit = 600_000
+    limit = 300_000
 
     def __init__(self, tokenizer: Tokenizer) -> None:
         self.tokenizer = tokenizer

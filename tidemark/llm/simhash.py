@@ -44,7 +44,7 @@ BLOCKS = 6
 GENERATOR = 0b101011100011
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_PART = 2048
+_PART = 512
 #: Most fingerprints of a key that one task compares with each other.
 HOT = 1 << 14
 
