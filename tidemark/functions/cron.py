@@ -72,4 +72,4 @@ def interval_minutes(schedules: DataFrame, key: str, expression: str, now: Colum
     after = F.filter(at, lambda x: x > F.unix_micros(F.col("_now").cast("timestamp")))
     rows = sets.withColumn("times", F.array_sort(times)).withColumn("_next", F.slice(F.array_sort(after), 1, 2))
     gap = ((F.get("_next", F.lit(1)) - F.get("_next", F.lit(0))) / minute).cast("int")
-    return rows.select(key, F.coalesce(F.greatest(gap, F.lit(1)), F.lit(otherwise)).alias("interval"))
+    return rows.select(key, F.when(gap.isNull(), F.lit(otherwise)).otherwise(F.greatest(gap, F.lit(1))).alias("interval"))
