@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import catalog, clustering, content, frontier, ingest, observability, requests, search, signals, tables
+from tidemark.plans import catalog, clustering, content, frontier, hybrid, ingest, observability, requests, search, signals, tables
 
-_PLANS = (catalog, observability, content, signals, search, clustering, tables, requests, frontier, ingest)
+_PLANS = (catalog, observability, content, signals, search, clustering, tables, requests, frontier, ingest, hybrid)
 QUERIES = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
 ORACLES = {name: sql for plan in _PLANS for name, sql in plan.ORACLES.items()}
