@@ -244,8 +244,8 @@ def test_op3_learns(docs, spark):
 
 
 def test_op4_finds_families(spark):
-    notices = [(i, t, f) for i, (f, t) in enumerate((f, t) for f, ts in licences.NOTICES.items() for t in ts)]
-    plain = [(100 + i, t, "") for i, t in enumerate(texts()) if t and "MIT" not in t]
+    notices = [(i, t, ",".join(sorted(f for f, ts in licences.NOTICES.items() if t in ts))) for i, t in enumerate(sorted({t for ts in licences.NOTICES.values() for t in ts}))]
+    plain = [(300 + i, t, "") for i, t in enumerate(texts()) if t and "MIT" not in t]
     both = [(999, "x y z\n" + licences.NOTICES["MIT"][0] + "\nfoo\n" + licences.NOTICES["GPL"][0], "GPL,MIT"), (998, None, "")]
     both.append(both[0])  # a repeated row
 
@@ -267,6 +267,14 @@ def test_op4_finds_families(spark):
         ("x = 1\n\n" + wrapped("MIT", 3, "// ") + "\n" + wrapped("MIT", 4, "// "), "MIT"),
         (wrapped("BSD", 2, " * ") + "\n \n" + wrapped("LGPL", 2), "BSD,LGPL"),
         (wrapped("Apache-2.0", 3), "Apache-2.0"),
+        ("// SPDX-License-Identifier: GPL-2.0-only", "GPL"),
+        ("# SPDX-License-Identifier: BSD-3-Clause\nimport os", "BSD"),
+        ("# SPDX-License-Identifier: (MIT OR Apache-2.0)", "Apache-2.0,MIT"),
+        ("This crate is dual-licensed under MIT or Apache-2.0", "Apache-2.0,MIT"),
+        (textwrap.fill(licences.BODIES["MIT"][0].upper(), 70), "MIT"),
+        ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n", "GPL"),
+        ('1. Definitions.\n\n"License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.', "Apache-2.0"),
+        ("SPDX-License-Identifier: EUPL-1.2", ""),
     ]
     other = [(2000 + i, t, f) for i, (t, f) in enumerate(other)]
     every = [*notices, *plain, *both, *other]
@@ -600,3 +608,31 @@ def test_tables_are_cleared(spark):
     assert not spark.catalog.tableExists(name)
     with pytest.raises(Exception):
         spark.read.parquet(table._tidemark_path)
+
+
+def test_op4_scores_and_coverage_by_hand(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts()) if t], "doc_id long, text string")
+    fitted = licences.fit(spark, licences.negatives(licences.paragraphs(docs.select(F.col("doc_id").alias("row"), "text"))))
+    lines = [ts[0] for ts in licences.NOTICES.values()] + ["licensed under the terms of the bar", "permission is hereby granted", "SPDX-License-Identifier: MIT OR Apache-2.0"]
+    df = spark.createDataFrame(list(enumerate(lines)), "row long, line string").withColumn("w", licences.words(F.col("line")))
+    rows = df.select("row", F.lit(0).alias("block"), F.lit(0).alias("place"), licences.features(F.col("w")).alias("grams"))
+    got = {r.row: r.p for r in licences.score(rows, fitted).collect()}
+    for i, line in enumerate(lines):
+        w = re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", line.lower())
+        grams = {*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))}
+        margin = np.array(fitted["intercepts"], float) + sum((np.array(fitted["weights"][g]) for g in grams if g in fitted["weights"]), np.zeros(len(fitted["names"])))
+        p = np.exp(margin - margin.max())
+        if i in got:
+            assert np.allclose(got[i], p / p.sum(), atol=1e-9)
+        else:
+            assert not any(g in fitted["weights"] for g in grams)
+    covers = df.withColumn("g3", licences._met(F.col("w"))).select("row", licences.coverage("g3").alias("c")).collect()
+    parts = {f: [set(licences._phrases_of(t)) for t in ts] for f, ts in licences.NOTICES.items()}
+    for r in covers:
+        w = re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", lines[r.row].lower())
+        mine = {" ".join(w[i : i + n]) for n in (2, 3) for i in range(len(w) - n + 1)}
+        want = []
+        for f, ts in parts.items():
+            others = set().union(*(t for g, us in parts.items() if g != f for t in us))
+            want.append(max(len(t & mine) / len(t) if len((t - others) & mine) >= 0.5 * len(t - others) else 0.0 for t in ts))
+        assert list(r.c) == pytest.approx(want)

@@ -8,7 +8,9 @@ and a bounded sample of the documents' lines: the ``SAMPLE`` with the smallest h
 those that hold a notice. A fifth of the sample is held out and calibrates the class: a family must be more
 probable than the 99.9th percentile of what it reaches on held-out lines, and than a half.
 A prediction is confirmed by comparison with the notices: ``COVER`` of the 3-grams of one of the family's must occur,
-as large a share of those that no other family has, and no other family's notice may be covered better.
+as large a share of those that no other family has, and no other family's notice may be covered better; families whose notices are
+covered just as well (dual licences) are named too. Notices are the lines that files carry, SPDX identifiers of each family among them, titles, and
+the paragraphs of licence bodies that tell most.
 
 A line that lacks the rarest word of each weighted n-gram and of each 3-gram of a notice has none of them, so its
 probabilities are those of the intercepts and it isn't looked at further; that is exact, not a prefilter. Features are the n-grams of
@@ -122,6 +124,74 @@ NOTICES = {
     ],
 }
 
+#: Titles and telling paragraphs of licence bodies, and dual licences (with both).
+BODIES = {
+    "MIT": [
+        "The software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software.",
+        "Dual-licensed under MIT or Apache-2.0.",
+        "Licensed under either of Apache License, Version 2.0 or MIT license at your option.",
+    ],
+    "Apache-2.0": [
+        "Dual-licensed under MIT or Apache-2.0.",
+        "Licensed under either of Apache License, Version 2.0 or MIT license at your option.",
+        "Apache License Version 2.0, January 2004",
+        "\"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.",
+        "\"Licensor\" shall mean the copyright owner or entity authorized by the copyright owner that is granting the License.",
+        "\"Legal Entity\" shall mean the union of the acting entity and all other entities that control, are controlled by, or are under common control with that entity.",
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
+    ],
+    "GPL": [
+        "GNU General Public License Version 3, 29 June 2007",
+        "GNU General Public License Version 2, June 1991",
+        "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
+        "When we speak of free software, we are referring to freedom, not price. Our General Public Licenses are designed to make sure that you have the freedom to distribute copies of free software.",
+        "You may convey verbatim copies of the Program's source code as you receive it, in any medium, provided that you conspicuously and appropriately publish on each copy an appropriate copyright notice.",
+    ],
+    "LGPL": [
+        "GNU Lesser General Public License Version 3, 29 June 2007",
+        "GNU Lesser General Public License Version 2.1, February 1999",
+    ],
+    "AGPL": [
+        "GNU Affero General Public License Version 3, 19 November 2007",
+        "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software.",
+    ],
+    "BSD": [
+        "This software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ],
+    "ISC": [
+        "The software is provided \"as is\" and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness.",
+    ],
+    "MPL-2.0": [
+        "Mozilla Public License Version 2.0",
+    ],
+    "EPL-2.0": [
+        "Eclipse Public License - v 2.0",
+    ],
+}
+#: Short identifiers of each family, which files carry behind ``SPDX-License-Identifier:``.
+IDENTIFIERS = {
+    "MIT": ["MIT"],
+    "Apache-2.0": ["Apache-2.0"],
+    "GPL": ["GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later"],
+    "LGPL": ["LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later"],
+    "AGPL": ["AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later"],
+    "CC-BY": ["CC-BY-4.0"],
+    "CC-BY-NC": ["CC-BY-NC-4.0"],
+    "CC-BY-SA": ["CC-BY-SA-4.0"],
+    "CC0": ["CC0-1.0"],
+    "BSD": ["BSD-2-Clause", "BSD-3-Clause"],
+    "ISC": ["ISC"],
+    "MPL-2.0": ["MPL-2.0"],
+    "EPL-2.0": ["EPL-2.0"],
+    "BSL-1.0": ["BSL-1.0"],
+    "Unlicense": ["Unlicense"],
+}
+for _family, _names in IDENTIFIERS.items():
+    NOTICES[_family] += BODIES.get(_family, []) + [f"SPDX-License-Identifier: {x}" for x in _names]
+for _family in ("MIT", "Apache-2.0"):
+    NOTICES[_family].append("SPDX-License-Identifier: MIT OR Apache-2.0")
+
 #: Talk about licences that is none of these notices, for the unknown class.
 TALK = [
     "All rights reserved. No part of this publication may be reproduced without written permission of the publisher.",
@@ -163,6 +233,11 @@ def _own_grams(line: str, n: int) -> list[str]:
     return list(dict.fromkeys(" ".join(w[i : i + n]) for i in range(len(w) - n + 1)))
 
 
+def _phrases_of(line: str) -> list[str]:
+    """The 3-grams of a notice, the 2-grams of one of two words."""
+    return _own_grams(line, min(3, len(_own_words(line))))
+
+
 def _grams(w: Column, n: int) -> Column:
     parts = [F.slice(w, i + 1, F.greatest(F.size(w) - (n - 1), F.lit(0))) for i in range(n)]
     return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.concat_ws(" ", x, y)), parts)
@@ -186,13 +261,18 @@ def _quoted(value: str) -> str:
 
 
 def _phrases() -> list[str]:
-    return sorted({g for texts in NOTICES.values() for t in texts for g in _own_grams(t, 3)})
+    return sorted({g for texts in NOTICES.values() for t in texts for g in _phrases_of(t)})
+
+
+def _met(w: Column) -> Column:
+    """Which n-grams of the notices' comparison are in a paragraph."""
+    return _among(F.concat(_grams(w, 2), _grams(w, 3)), _phrases())
 
 
 def coverage(g3: str) -> Column:
     """For each family the largest share of a notice's 3-grams that are in a column; 0 if under ``COVER`` of those of its own
     are. As text, since a column object for each 3-gram takes seconds to make."""
-    grams = {f: [_own_grams(t, 3) for t in texts] for f, texts in NOTICES.items()}
+    grams = {f: [_phrases_of(t) for t in texts] for f, texts in NOTICES.items()}
 
     def met(known: list[str]) -> str:
         return f"size(filter({g3}, x -> x in ({', '.join(map(_quoted, known))})))"
@@ -224,7 +304,7 @@ def negatives(lines: DataFrame) -> DataFrame:
     least = materialize(rows.select("h").groupBy("h").agg(F.count("*").alias("n")).orderBy("h").limit(SAMPLE).select("h"), "sample")
     chosen = rows.join(F.broadcast(least), "h").groupBy("h").agg(F.first("line").alias("line"))  # at most SAMPLE rows
     found = chosen.select(words(F.col("line")).alias("w")).filter(F.size("w") > 0)
-    found = materialize(found.withColumn("g3", _among(_grams(F.col("w"), 3), _phrases())), "lines")
+    found = materialize(found.withColumn("g3", _met(F.col("w"))), "lines")
     found = found.filter((F.size("g3") == 0) | (F.array_max(coverage("g3")) < COVER)).select("w")
     talk = lines.sparkSession.sql(f"select inline(array({', '.join(f'struct({_quoted(x)} as line)' for x in TALK)}))")
     return found.unionByName(talk.select(words(F.col("line")).alias("w")))
@@ -298,11 +378,13 @@ def scan(docs: DataFrame) -> DataFrame:
     ``docs(doc_id, text)``: lines that are not blank; confirmed lines, and blocks with a family that none of their lines
     has by itself; lines and blocks whose prediction was not confirmed; families, sorted and joined by commas."""
     spark = docs.sparkSession
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))  # equal rows have equal results
+    # equal rows have equal results, so 128 bits of a row's hashes know it
+    row = F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit("row"), "text", "doc_id").alias("b"))
+    keyed = docs.select("doc_id", "text", row.alias("row"))
     lines = paragraphs(keyed.select("row", "text"))
     fitted = fit(spark, negatives(lines))
     w = F.col("w")
-    candidate = F.struct(_among(F.concat(w, _grams(w, 2)), sorted(fitted["weights"])).alias("grams"), _among(_grams(w, 3), _phrases()).alias("g3"))
+    candidate = F.struct(_among(F.concat(w, _grams(w, 2)), sorted(fitted["weights"])).alias("grams"), _met(w).alias("g3"))
     # exploding one value keeps the optimizer from writing an expression out at each place that uses it
     likely = (
         lines.select("row", "block", "place", F.explode(F.array(words(F.col("line")))).alias("w"))
@@ -330,11 +412,12 @@ def scan(docs: DataFrame) -> DataFrame:
     checked = (
         cover.withColumn("family", F.element_at(F.array(*[F.lit(x) for x in fitted["names"]]), F.col("c")))
         .withColumn("confirmed", (own >= COVER) & (own >= F.array_max("cover")))
+        .withColumn("named", F.filter(families, lambda f: F.element_at("cover", F.array_position(families, f).cast("int")) == F.array_max("cover")))
         .groupBy("row", "block")
         .agg(
             F.count_if(F.col("confirmed") & (F.col("place") >= 0)).alias("lines"),
             F.count_if(~F.col("confirmed")).alias("others"),
-            F.collect_set(F.when(F.col("confirmed") & (F.col("place") >= 0), F.col("family"))).alias("of_lines"),
+            F.array_distinct(F.flatten(F.collect_list(F.when(F.col("confirmed") & (F.col("place") >= 0), F.col("named"))))).alias("of_lines"),
             F.max(F.when(F.col("confirmed") & (F.col("place") < 0), F.col("family"))).alias("of_block"),
             F.min(F.when(F.col("confirmed"), F.col("probability"))).alias("probability"),
         )
