@@ -174,6 +174,11 @@ ORACLES = {
         where ts < timestamp '2024-01-29' group by 1, 2""",
     "stream_retry_dlq": """select event_id, cast(least(k % 7 + 1, 5) as int) as attempts, case when k % 7 < 5 then 'done' else 'dead' end as status
         from (select event_id, cast(json_extract_string(props, '$.k') as int) as k from events)""",
+    "stream_rate_limit": """with recursive e as (select user_id, ts, row_number() over (partition by user_id order by ts) as r from events),
+        f as (select user_id, r, ts as t1, cast(null as timestamp) as t2, 1 as accepted from e where r = 1
+            union all select e.user_id, e.r, case when t2 > e.ts - interval 1 hour then t1 else e.ts end, case when t2 > e.ts - interval 1 hour then t2 else t1 end,
+                case when t2 > e.ts - interval 1 hour then 0 else 1 end from f join e on e.user_id = f.user_id and e.r = f.r + 1)
+        select user_id, count(*) as n, cast(sum(accepted) as bigint) as accepted from f group by user_id""",
     "stream_routing": """with r as (select 'vision' as route, value from events where event_type = 'view' union all select 'crawl', value from events where value > 20
         union all select 'reindex', value from events where event_type in ('view', 'purchase')) select route, count(*) as n, round(sum(value), 4) as value from r group by route""",
 }
