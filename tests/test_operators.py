@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import clusters as C, ranking, series as T, signals as G2, upsert as U
+from tidemark.operators import cluster_job, clusters as C, ranking, series as T, signals as G2, upsert as U
 from tidemark.operators.components import connected_components
 from tidemark.operators.similarity import similarity_edges
 from tidemark.plans import clustering, observability, signals
@@ -453,3 +453,28 @@ def test_album_frames_lose_nothing(spark):
             frames[-1].append(x)
         want += [(g, k, f[0], f[-1], len(f)) for k, f in enumerate(frames)]
     assert got == sorted(want) and sum(r[4] for r in got) == len(rows) - 2
+
+
+def test_cluster_job_continues_adds_and_ages(spark):
+    t0 = dt.datetime(2024, 1, 1)
+
+    def table(posts):
+        rows = [(i, "w", v, t0 + dt.timedelta(hours=h), [term, "t"], [term]) for i, v, h, term in posts]
+        df = spark.createDataFrame(rows, "post_id long, workspace string, vector array<double>, published_at timestamp_ntz, title_terms array<string>, concepts array<string>")
+        return df.select("post_id", "workspace", "vector", "published_at"), df.select("post_id", "title_terms", "concepts")
+
+    x, y, z, near = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0], [0.99, 0.14, 0.0]
+    points, texts = table([(1, x, 0, "a"), (2, x, 5, "a"), (3, y, 1, "b"), (4, y, 2, "b"), (5, z, 3, "c")])
+    stored = cluster_job.run(points, texts, None, F.lit(t0 + dt.timedelta(hours=9)), 0.9, 48)
+    got = {r.cluster: (list(r.doc_ids), r.state, r.runs) for r in stored.collect()}
+    assert got == {"c-w-1": ([1, 2], "active", 1), "c-w-3": ([3, 4], "active", 1), "c-w-5": ([5], "active", 1)}
+    from tidemark.storage import materialize
+
+    stored = materialize(stored, "test-stored")
+    points, texts = table([(2, x, 5, "a"), (6, near, 40, "a"), (7, [0.0, 0.5, 0.5], 60, "d"), (4, y, 2, "b"), (8, y, 20, "b")])
+    after = cluster_job.run(points, texts, stored, F.lit(t0 + dt.timedelta(hours=70)), 0.9, 48)
+    rows = {r.cluster: r for r in after.collect()}
+    assert {k: (list(r.doc_ids), r.state, r.runs) for k, r in rows.items()} == {
+        "c-w-1": ([2, 6], "active", 2), "c-w-3": ([4, 8], "active", 2), "c-w-5": ([5], "cooling", 1), "c-w-7": ([7], "active", 1),
+    }
+    assert rows["c-w-1"].first_seen == t0 and rows["c-w-1"].last_seen == t0 + dt.timedelta(hours=40) and rows["c-w-1"].title_terms == ["a", "t"]

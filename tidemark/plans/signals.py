@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark import views as V
 from tidemark.functions import scores as S, text as tx
-from tidemark.operators import clusters as C, ranking, series as T, signals as G
+from tidemark.operators import cluster_job as cluster_run, clusters as C, ranking, series as T, signals as G
 from tidemark.plans.catalog import OVERLAP, topic_overlap
 from tidemark.storage import materialize
 from tidemark.views import as_of, hours_before
@@ -94,6 +94,17 @@ def signal_job(spark, d):
     return _scored(G.without_weak(G.score_signals(rows, ["workspace", "signal"], as_of())), "workspace", "signal")
 
 
+def cluster_job(spark, d):
+    """Two runs of the clustering job over embedded posts: one over the first half of the month, then one over the last ten days, which
+    continues, adds and ages clusters."""
+    posts = V.posts(spark, d).select("post_id", F.slice(F.array_distinct(tx.terms(F.col("content"))), 1, 5).alias("title_terms"), F.array(F.concat(F.lit("c"), (F.col("post_id") % 9).cast("string"))).alias("concepts"))
+    points = V.points(spark, d)
+    early, late = F.lit("2024-01-16").cast("timestamp_ntz"), F.lit("2024-01-12").cast("timestamp_ntz")
+    stored = materialize(cluster_run.run(points.filter(F.col("published_at") < early), posts, None, early, 0.3, 96), "stored-clusters")
+    out = cluster_run.run(points.filter(F.col("published_at") >= late), posts, stored, F.lit("2024-01-28").cast("timestamp_ntz"), 0.3, 96)
+    return out.select("workspace", "cluster", "state", F.size("doc_ids").alias("docs"), "first_seen", "last_seen", "runs")
+
+
 def stage_counts(spark, d):
     return signal_scores(spark, d).groupBy("workspace", "stage").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best"))
 
@@ -222,7 +233,7 @@ _EXTERNAL = r"""pg as (select page_id % 25 as topic, lower(regexp_extract(url, '
 QUERIES = {
     f.__name__: f
     for f in (
-        series_buckets, temporal_metrics, change_points_diff, change_points_pelt, merged_series, counter_increase, signal_timeline, signal_scores, signal_job, stage_counts, lifecycle_states,
+        series_buckets, temporal_metrics, change_points_diff, change_points_pelt, merged_series, counter_increase, signal_timeline, signal_scores, signal_job, cluster_job, stage_counts, lifecycle_states,
         april_fools_guard, alert_candidates_anti, weekly_alert_capacity, alert_budget, external_strength, gap_scores,
     )
 }
