@@ -8,7 +8,7 @@ from tidemark import views as V
 from tidemark.functions import html as H, text as tx, vectors
 from tidemark.operators import upsert as U
 from tidemark.sources import connectors
-from tidemark.streaming import jobs as J
+from tidemark.streaming import jobs as J, state
 from tidemark.views import as_of
 
 
@@ -97,9 +97,10 @@ def _event_stream(spark, d) -> DataFrame:
 
 
 def stream_dedupe(spark, d):
-    """The first event of each user and type, for good."""
+    """The first event of each user and type, for good, by marks in the state of the stream."""
     s = _event_stream(spark, d).select("user_id", "event_type", "event_id", "value")
-    return J.insert_new(s, ["user_id", "event_type"], "event_id", "dedupe")
+    with state.rocksdb(spark):
+        return J.drain(state.first_for_good(s, ["user_id", "event_type"], "event_id"), "dedupe")
 
 
 def stream_dedupe_watermark(spark, d):

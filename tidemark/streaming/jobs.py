@@ -51,24 +51,6 @@ def first_of_each(stream: DataFrame, keys: list[str], ts: str, delay: str) -> Da
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def insert_new(stream: DataFrame, keys: list[str], order: str, label: str) -> DataFrame:
-    """Keep the first row of each key for good: each batch is a table version of its own number, written over if
-    the batch comes again, and rows whose key is in an earlier one are left out."""
-    spark = stream.sparkSession
-    place = _place(spark, label)
-    columns = stream.columns
-
-    def write(batch: DataFrame, number: int) -> None:
-        first = batch.groupBy(*keys).agg(F.min(F.struct(order, *[c for c in columns if c not in keys and c != order])).alias("_m")).select(*keys, "_m.*").select(columns)
-        if number:
-            earlier = spark.read.schema(stream.schema).parquet(*[f"{place}/rows/n={i}" for i in range(number)])
-            first = first.join(earlier.select(*keys), keys, "left_anti")
-        first.write.mode("overwrite").parquet(f"{place}/rows/n={number}")
-
-    each_batch(stream, label, write)
-    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{place}/rows")
-
-
 def with_retries(stream: DataFrame, attempt: Callable[[DataFrame], DataFrame], most: int, label: str) -> DataFrame:
     """Process rows, retry those that fail, and end with status ``done`` or ``dead`` and the attempts taken.
 
