@@ -15,7 +15,7 @@ remembered (up to a fixed number), and those of the new words of a batch come fr
 end of a word, behind a letter or digit, are a word of their own, as the tokenizer parts them there. The tokenizer's special tokens are recognised in texts, as it does by itself.
 
 Defined results: null and empty texts have only the end id; repeated rows are packed as often as they occur;
-rows without a doc_id come first, those with the same one in an order of no meaning; a text of any length is
+rows without a doc_id come first, those with the same one in the order of a hash of their texts, also across tasks; a text of any length is
 cut where it must be; other columns are not read.
 """
 
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from tidemark.llm.words import slices
@@ -290,5 +290,7 @@ def pack(docs: DataFrame, path: str, keep_ids: bool = True) -> DataFrame:
         if rows:
             yield _batch(rows)
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return ordered.mapInArrow(run, SCHEMA)
+    # rows of one id, or without any, are ranges of their own by a hash of their texts
+    order = ["doc_id", "_tie"]
+    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("_tie")).repartitionByRange(*order).sortWithinPartitions(*order)
+    return ordered.select("doc_id", "text").mapInArrow(run, SCHEMA)
