@@ -23,13 +23,14 @@ they occur; ties on score and count are ordered by phrase; an empty table gives
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tidemark.llm.jaccard_groups import _bitmap
 from tidemark.llm.words import hashed_runs, mix, sized
 from tidemark.storage import discard, materialize
 
@@ -49,7 +50,7 @@ SMALL = 1 << 12
 #: A longer word is digested instead of hashed as a polynomial.
 LONG = 64
 #: Bytes of text that a task takes at once, and words that it holds before it sends them.
-TEXT, HELD = 4 << 20, 1 << 18
+TEXT, HELD = 2 << 20, 1 << 18
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _STOP = np.zeros(256, bool)
@@ -146,6 +147,12 @@ class _Held:
         return pa.RecordBatch.from_arrays(columns, _COUNTED)
 
 
+def _coded(counts: bytes) -> bytes:
+    """Counters are small numbers without a pattern, so only their frequencies make them shorter."""
+    code = zlib.compressobj(6, zlib.DEFLATED, 15, 9, zlib.Z_HUFFMAN_ONLY)
+    return code.compress(counts) + code.flush()
+
+
 _COUNTED = ["lang", "h", "n", "word", "counts"]
 
 
@@ -166,8 +173,7 @@ def _counted(seed: int, least: int, counters: int) -> Callable:
         if held.columns:
             held.merge()
             yield held.out()
-        pack = zstandard.ZstdCompressor(level=1).compress
-        parts = [pack(x.tobytes()) for x in counts.reshape(SLICES, -1)]
+        parts = [_coded(x.tobytes()) for x in counts.reshape(SLICES, -1)]
         none = [pa.nulls(SLICES, kind) for kind in (pa.string(), pa.int64(), pa.string())]
         yield pa.RecordBatch.from_arrays([none[0], pa.array(np.arange(SLICES)), none[1], none[2], pa.array(parts, pa.binary())], _COUNTED)
 
@@ -177,11 +183,10 @@ def _counted(seed: int, least: int, counters: int) -> Callable:
 def _frequent(least: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Which counters reach ``least``, as bits of each slice."""
-        unpack = zstandard.ZstdDecompressor().decompress
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for part, counts in zip(b.column("h").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                more = np.frombuffer(unpack(counts), np.uint8 if least < 256 else np.uint32).astype(np.uint32)
+                more = np.frombuffer(zlib.decompress(counts), np.uint8 if least < 256 else np.uint32).astype(np.uint32)
                 sums[part] = np.minimum(sums[part] + more, least) if part in sums else more
         bits = [np.packbits(x >= least).tobytes() for x in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(bits, pa.binary())], ["h", "bits"])
@@ -202,7 +207,6 @@ def _merged(rows: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _suffixes(bits, seed: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Suffixes whose leading pair may be frequent, up to their first pair or triple that can't be; equal ones of a block once."""
-        frequent = np.frombuffer(bits.value, np.uint8)
         names: dict[str, int] = {}
         held: list[np.ndarray] = []
         count = 0
@@ -213,7 +217,7 @@ def _suffixes(bits, seed: int) -> Callable:
             return pa.RecordBatch.from_arrays([langs, *[pa.array(np.ascontiguousarray(rows[:, i + 1])) for i in range(DEPTH)], pa.array(n)], ["lang", *_WORDS, "n"])
 
         for words, langs in _words(batches, seed):
-            (pair, triple) = (np.append(whole & _is_set(frequent, gram), np.zeros(DEPTH, bool)) for gram, whole in words.grams)
+            (pair, triple) = (np.append(whole & _in_bitmap(bits.value, gram), np.zeros(DEPTH, bool)) for gram, whole in words.grams)
             code = np.array([names.setdefault(x, len(names)) for x in langs], np.int64)
             hashes = words.hashes.view(np.int64)
             at = np.flatnonzero(pair)
@@ -237,9 +241,11 @@ def _suffixes(bits, seed: int) -> Callable:
     return run
 
 
-def _is_set(bits: np.ndarray, gram: np.ndarray) -> np.ndarray:
-    place = (gram & np.uint64(8 * len(bits) - 1)).astype(np.int64)
-    return (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
+def _in_bitmap(bits: bytes, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes may be in a bitmap, of as many bits as a power of two."""
+    table = np.frombuffer(bits, np.uint8)
+    place = (hashes.view(np.uint64) & np.uint64(8 * len(table) - 1)).astype(np.int64)
+    return (table[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
 
 
 class MultikeySort:
@@ -405,11 +411,22 @@ def _not_within(scored: DataFrame, within: int) -> DataFrame:
     return scored.join(most, ["lang", "w"], "left").filter(F.coalesce(100 * F.col("outer") < within * F.col("a"), F.lit(True))).drop("outer")
 
 
+def _maybe(bits) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words that may be asked for, so that the others don't move."""
+        for b in batches:
+            yield b.filter(pa.array(_in_bitmap(bits.value, b.column("h").to_numpy())))
+
+    return run
+
+
 def _spelled(found: DataFrame, words: DataFrame) -> DataFrame:
     """Add ``phrase``: the words of ``w``, space-joined."""
     each = found.select("lang", "w", F.posexplode("w").alias("i", "h"))
-    asked = each.select("lang", "h").distinct()
-    spelling = words.filter("lang is not null").select("lang", "h", "word").join(asked, ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])
+    asked = materialize(each.select("lang", "h").distinct(), "asked")
+    bits = words.sparkSession.sparkContext.broadcast(_bitmap(asked.select(F.col("h").alias("t")))[0])
+    likely = words.filter("lang is not null").select("lang", "h", "word").mapInArrow(_maybe(bits), "lang string, h bigint, word string")
+    spelling = likely.join(asked, ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])
     parts = each.join(spelling, ["lang", "h"]).groupBy("lang", "w").agg(F.sort_array(F.collect_list(F.struct("i", "word"))).alias("parts"))
     return found.join(parts.select("lang", "w", F.array_join("parts.word", " ").alias("phrase")), ["lang", "w"])
 
