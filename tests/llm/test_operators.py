@@ -636,3 +636,64 @@ def test_op4_scores_and_coverage_by_hand(spark):
             others = set().union(*(t for g, us in parts.items() if g != f for t in us))
             want.append(max(len(t & mine) / len(t) if len((t - others) & mine) >= 0.5 * len(t - others) else 0.0 for t in ts))
         assert list(r.c) == pytest.approx(want)
+
+
+def test_op3_posterior_by_hand(spark):
+    rnd = random.Random(7)
+    kinds = {"aa": "lorem ipsum dolor amet".split(), "bb": "schön über straße nicht".split(), "cc": "это мир привет нет".split()}
+    data = [(i, " ".join(rnd.choice(kinds[k]) for _ in range(rnd.randrange(1, 9))), k) for i, k in ((i, rnd.choice("aa bb cc".split())) for i in range(90))]
+    asked = ["lorem über", "это ipsum нет", "x", "dolor amet " * 40, "Straße"]
+    model = language.fit(spark.createDataFrame(data, "doc_id long, text string, lang string"))
+    totals, priors = {}, collections.Counter(k for _, _, k in data)
+    for k in kinds:
+        totals[k] = collections.Counter(b for _, t, x in data if x == k for b in language.buckets([t])[0].tolist())
+    for text, (got, score) in zip(asked, model.predict(asked), strict=True):
+        found = language.buckets([text])[0].tolist()
+        assert len(found) == 3 * (len(text) + 3)
+        logs = []
+        for k in sorted(kinds):
+            whole = sum(totals[k].values()) + language.SMOOTHING * 2**language.BITS
+            likelihood = sum(np.log((totals[k][b] + language.SMOOTHING) / whole) for b in found)
+            logs.append((likelihood, np.log(priors[k] / len(data))))
+        total = [a + b for a, b in logs]
+        scaled = np.array([a * min(1.0, language.EVIDENCE / len(found)) + b for a, b in logs])
+        odds = np.exp(scaled - scaled.max())
+        best = int(np.argmax(total))
+        assert got == sorted(kinds)[best] and score == pytest.approx(odds[best] / odds.sum(), rel=1e-4)
+
+
+def test_op9_tile_and_hash_by_hand():
+    rnd = np.random.default_rng(5)
+    for h, w in ((1, 64), (7, 64), (16, 16), (33, 65)):
+        gray = rnd.integers(0, 256, (h, w)).astype(np.uint8)
+
+        def mean(top, bottom, left, right):
+            total = 0.0
+            for y in range(int(top), min(h, int(np.ceil(bottom - 1e-12)))):
+                for x in range(int(left), min(w, int(np.ceil(right - 1e-12)))):
+                    total += gray[y, x] * max(0, min(y + 1, bottom) - max(y, top)) * max(0, min(x + 1, right) - max(x, left))
+            return total / ((bottom - top) * (right - left))
+
+        def resized(a, b):
+            return np.array([[mean(i * h / a, (i + 1) * h / a, j * w / b, (j + 1) * w / b) for j in range(b)] for i in range(a)])
+
+        assert np.allclose(media.area_resize(gray, 8, 9), resized(8, 9), atol=1e-6)
+        small = np.round(resized(8, 9), 6)
+        bits = "".join("1" if small[i, j + 1] > small[i, j] else "0" for i in range(8) for j in range(8))
+        assert media.difference_hash(gray) == f"{int(bits, 2):016x}"
+        tile = np.load(__import__("io").BytesIO(media.npy_tile(gray)))
+        assert tile.dtype == np.uint8 and np.abs(tile - resized(*media.TILE)).max() <= 0.5 + 1e-6
+
+
+def test_op9_long_text(spark):
+    text = "longé " * 200_000
+    got = media.text_media(spark.createDataFrame([(1, text)], "doc_id long, text string")).drop("media", "tile").first()
+    raw = text.encode()
+    whole = raw.ljust(-(-len(raw) // 192) * 192, b" ")
+    assert (got.n_bytes, got.payload_bytes, got.payload_sha256, got.tail_crc32) == (len(raw), len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-16:]))
+
+
+def test_op3_a_text_is_judged_by_itself():
+    texts_ = ["abc", "x", "über", "", "abc"]
+    together = language.buckets(texts_)[0].tolist()
+    assert together == [b for t in texts_ for b in language.buckets([t])[0].tolist()]

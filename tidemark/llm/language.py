@@ -52,12 +52,14 @@ def buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     padded = [f" {t.lower()}  " for t in texts]
     lengths = np.array([len(t) for t in padded], np.int64)
     codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
-    n = len(codes)
+    n, ends = len(codes), np.cumsum(lengths)
     out = np.empty((n, len(ORDERS)), np.uint32)
     value = np.zeros(n, np.uint32)
     for i, order in enumerate(ORDERS):
         shifted = np.zeros(n, np.uint32)
         shifted[: n - i] = codes[i:]
+        for j in range(i):
+            shifted[ends - 1 - j] = 0  # an n-gram ends with its text, whatever comes next
         value = (value + shifted) * np.uint32(_SEED[i])
         value ^= value >> np.uint32(15)
         out[:, i] = (value * np.uint32(0x27D4EB2F) + np.uint32(order)) >> np.uint32(32 - BITS)
