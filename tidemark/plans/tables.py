@@ -75,7 +75,9 @@ def html_markdown(spark, d):
 
 
 def crawl_meta(spark, d):
-    """Title and language of pages, and whether they have a card; the oracle reads them with patterns."""
+    """Title and language of pages, and whether they have a card; the oracle reads them with patterns.
+
+    Entities are read as HTML has it: ``&amp``, ``&lt``, ``&gt``, ``&quot`` and ``&#x27`` also where their semicolon is missing."""
     p = V.table(spark, d, "pages").select("page_id", H.meta_column(F.col("html")).alias("m"))
     return p.select("page_id", "m.lang", "m.title", F.col("m.og_title").isNotNull().alias("card"))
 
@@ -163,7 +165,8 @@ ORACLES = {
         c as (select trend, cast(count(*) as int) as places, string_agg(cast(cast(round(x * 1000) as bigint) as varchar), ',' order by i) as centroid from e group by trend)
         select trend, docs, found, places, centroid, found = 0 as skipped from s left join c using (trend)""",
     "crawl_meta": r"""select page_id, case when regexp_matches(left(html, 200), '[^\x00-\x7F]') then 'ru' else 'en' end as lang, contains(html, 'og:title') or contains(html, 'twitter:title') as card,
-        trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) as title from pages""",
+        trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'),
+            '&#x27(;|([^0-9A-Fa-f;])|$)', '''\2', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) as title from pages""",
     "connector_items": r"""with p as (select page_id, url, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) as title, regexp_extract(html, 'lang="([a-z]+)"', 1) as lang,
         timestamp '2024-01-01' + to_days(cast(page_id % 28 as int)) as published_at, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)) || regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) as base,
         list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda q: q <> '' and not regexp_matches(lower(split_part(q, '=', 1)), '^(utm_|rss|ref|source|fbclid|gclid)')) as pairs from pages),
