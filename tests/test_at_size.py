@@ -1,5 +1,7 @@
 """Inputs that larger tables have and the small ones lack, and results that must not change with the way they are reached."""
 
+import datetime as dt
+import random
 import time
 
 import duckdb
@@ -38,3 +40,30 @@ def test_equal_schedules_are_answered_once(spark):
     assert time.monotonic() - began < 40  # 1,500 days were looked at for each row
     empty = spark.createDataFrame([(1, None), (2, None), (3, "0 0 29 feb *")], "id long, cron string")
     assert {tuple(r) for r in cron.interval_minutes(empty, "id", "cron", F.lit("2024-01-31 12:30:00"), days=1400).collect()} == {(1, 60), (2, 60), (3, 60)}
+
+
+def test_edges_in_blocks_equal_all_pairs(spark, monkeypatch):
+    from tidemark.operators import similarity
+
+    monkeypatch.setattr(similarity.blocks, "__defaults__", (7,))
+    rnd = random.Random(8)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, rnd.choice("ab") if i % 19 else None, [rnd.gauss(0, 1) for _ in range(3 + (i % 5 == 0))], t0 + dt.timedelta(minutes=rnd.randrange(0, 3000))) for i in range(150)]
+    rows += [(200, "a", [0.0, 0.0, 0.0], t0), (201, "a", None, t0), (202, "a", [1.0, 0.0, 0.0], None), (203, "a", [], t0), *[(300 + i, "b", [1.0, 2.0, 3.0], t0) for i in range(20)]]
+    df = spark.createDataFrame(rows, "post_id long, workspace string, vector array<double>, published_at timestamp_ntz")
+    found = similarity.similarity_edges(df, 0.5, 5)
+    got = {(r.src, r.dst): r.similarity for r in found.collect()}
+    assert found.count() == len(got)
+
+    def cosine(a, b):
+        return sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+
+    want = {}
+    for i, x in enumerate(rows):
+        for y in rows[i + 1 :]:
+            if x[1] and x[1] == y[1] and x[2] and y[2] and any(x[2]) and any(y[2]) and x[3] and y[3] and len(x[2]) == len(y[2]) and abs(x[3] - y[3]) <= dt.timedelta(hours=5):
+                if (c := cosine(x[2], y[2])) >= 0.5:
+                    want[x[0], y[0]] = c
+    assert set(got) == set(want) and len(want) > 300 and all(abs(got[p] - want[p]) < 1e-12 for p in want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan  # rows meet in blocks, not pair by pair
