@@ -67,3 +67,21 @@ def test_edges_in_blocks_equal_all_pairs(spark, monkeypatch):
     assert set(got) == set(want) and len(want) > 300 and all(abs(got[p] - want[p]) < 1e-12 for p in want)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan  # rows meet in blocks, not pair by pair
+
+
+def test_index_with_copies_and_odd_vectors(spark):
+    from tidemark.functions import vectors as v
+    from tidemark.operators import ivf, ranking
+
+    rnd = random.Random(2)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(4)]) for i in range(80)]
+    rows += [(100 + i, rows[3][1]) for i in range(40)] + [(200, [0.0] * 4), (201, None), (202, [float("nan"), 1.0, 0.0, 0.0])]
+    points = spark.createDataFrame(rows, "post_id long, vector array<double>")
+    table = points.withColumn("cell", F.when(F.col("post_id") < 200, (F.col("post_id") % 2).cast("int")).otherwise(-1))
+    centres = spark.createDataFrame([(0, [1.0] * 4), (1, [-1.0] * 4), (-1, [0.0] * 4)], "cell int, centre array<double>")
+    queries = points.filter("post_id in (3, 5, 8, 200, 201)").select(F.col("post_id").alias("query_id"), F.col("vector").alias("q"))
+    found = ivf.InvertedFile("", centres, table).search(queries, 9, 3)
+    pairs = queries.crossJoin(points).withColumn("similarity", F.round(v.cosine(F.col("vector"), F.col("q")), 9))
+    want = ranking.top_k(pairs.select("query_id", "post_id", "similarity"), ["query_id"], [F.desc("similarity"), F.asc("post_id")], 9, "rank")
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, want.select(found.columns).collect()))
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
