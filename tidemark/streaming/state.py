@@ -6,9 +6,9 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
@@ -59,35 +59,50 @@ def first_for_good(stream: DataFrame, keys: list[str], order: str) -> DataFrame:
     return stream.groupBy(*keys).transformWithStateInPandas(_FirstRow(order, stream.columns), outputStructType=kind, outputMode="Append", timeMode="None")
 
 
+#: Groups of keys whose marks are kept together.
+BUCKETS = 512
+
+
 class _SendOnce(StatefulProcessor):
     def __init__(self, ts: str, order: str, seconds: float, emit: Callable[[tuple], bool], columns: list[str]) -> None:
         self.ts, self.order, self.span, self.emit, self.columns = ts, order, round(seconds * 1_000_000), emit, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.until = handle.getValueState("until", "until bigint")
+        self.marks = handle.getValueState("marks", "key array<string>, until array<bigint>")
+
+    def _read(self) -> dict[str, int]:
+        found = self.marks.get()
+        return dict(zip(*found, strict=True)) if found else {}
+
+    def _write(self, marks: dict[str, int], timerValues) -> dict[str, int]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        left = {k: u for k, u in marks.items() if u // 1000 >= passed}
+        if left:
+            self.marks.update((list(left), list(left.values())))
+        else:
+            self.marks.clear()
+        return left
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values([self.ts, self.order])
-        until = self.until.get()[0] if self.until.exists() else None
+        marks = self._read()
         times = frame[self.ts].astype("datetime64[us]").astype("int64").tolist()
         outcomes = []
-        for at, row in zip(times, frame[self.columns].itertuples(index=False), strict=True):
-            if until is not None and at < until:
+        for k, at, row in zip(frame["mark_key"].tolist(), times, frame[self.columns].itertuples(index=False), strict=True):
+            if k in marks and at < marks[k]:
                 outcomes.append("held")
             elif self.emit(row):
-                until = at + self.span
+                marks[k] = at + self.span
                 outcomes.append("sent")
             else:  # no mark: the next one is tried
                 outcomes.append("failed")
-        if until is not None:
-            self.until.update((until,))
-            self.handle.registerTimer(until // 1000 + 1)
+        if left := self._write(marks, timerValues):
+            self.handle.registerTimer(max(left.values()) // 1000 + 1)
         yield frame[self.columns].assign(outcome=outcomes)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.until.exists() and self.until.get()[0] // 1000 < timerValues.getCurrentWatermarkInMs():
-            self.until.clear()
+        self._write(self._read(), timerValues)
         return iter(())
 
     def close(self) -> None:
@@ -99,9 +114,12 @@ def send_once(stream: DataFrame, keys: list[str], ts: str, order: str, seconds:
 
     A mark is set only after ``emit`` has said that a row went out, so a failed one leaves the next free to try. Marks expire by event time
     and are given up once the watermark, ``delay`` behind the newest row, has passed them. ``emit`` may be called again for a row if its batch
-    comes again; rows of a key in a batch are taken in the order of ``ts`` and ``order``."""
+    comes again; rows of a key in a batch are taken in the order of ``ts`` and ``order``. Keys are dealt over ``BUCKETS`` groups, and a batch reads
+    and writes the marks of a group at once, as a call of Python for each key costs more than its rows."""
     kind = StructType([*stream.schema.fields, StructField("outcome", StringType())])
-    marked = stream.withWatermark(ts, delay)
-    return marked.groupBy(*keys).transformWithStateInPandas(
+    text = [F.hex(k) if isinstance(stream.schema[k].dataType, BinaryType) else F.col(k).cast("string") for k in keys]
+    named = stream.select("*", F.to_json(F.struct(*[c.alias(k) for c, k in zip(text, keys, strict=True)])).alias("mark_key"))
+    marked = named.withColumn("mark_bucket", F.pmod(F.xxhash64("mark_key"), F.lit(BUCKETS))).withWatermark(ts, delay)
+    return marked.groupBy("mark_bucket").transformWithStateInPandas(
         _SendOnce(ts, order, seconds, emit, stream.columns), outputStructType=kind, outputMode="Append", timeMode="EventTime"
     )
