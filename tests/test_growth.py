@@ -35,3 +35,22 @@ def test_sends_of_many_keys_share_calls(spark, tmp_path, monkeypatch):
                 until[u, k] = at + dt.timedelta(hours=1)
     assert got == want and set(want.values()) == {"held", "failed", "sent"}
     assert "mark_bucket" in plan
+
+
+def test_first_rows_of_many_keys_need_no_call_each(spark, tmp_path):
+    first = [(i % 900 if i % 900 else None, str(i % 2), 5000 - i, i) for i in range(3000)] + [(1000, "z", None, 1), (1001, "z", None, 2), (1001, "z", 7, 3)]
+    again = [(i, "0", 0, 9) for i in range(905)] + [(1000, "z", 1, 4), (None, "0", 1, 5)]
+    s = _stream(spark, str(tmp_path / "in"), [first, again], "u long, k string, at long, v long")
+    with state.rocksdb(spark):
+        found = state.first_for_good(s, ["u", "k"], "at")
+        plan = found._jdf.queryExecution().analyzed().toString()
+        got = sorted(map(repr, jobs.drain(found, "firsts").collect()))
+    best = {}
+    for batch in (first, again):
+        own = {}
+        for row in batch:
+            if row[:2] not in own or (row[2] is not None and (own[row[:2]][2] is None or row[2] < own[row[:2]][2])):
+                own[row[:2]] = row
+        best = own | best
+    assert got == sorted(f"Row(u={u}, k={k!r}, at={at}, v={v})" for u, k, at, v in best.values())
+    assert "TransformWithState" not in plan  # a call of Python for each key before

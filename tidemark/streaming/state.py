@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
@@ -27,36 +28,29 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_PROVIDER, before)
 
 
-class _FirstRow(StatefulProcessor):
-    def __init__(self, order: str, columns: list[str]) -> None:
-        self.order, self.columns = order, columns
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "seen boolean")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if self.seen.exists():
-            for _ in rows:
-                pass
-            return
-        best = None
-        for frame in rows:
-            least = frame.loc[[frame[self.order].idxmin()]]
-            if best is None or least[self.order].iloc[0] < best[self.order].iloc[0]:
-                best = least
-        self.seen.update((True,))
-        yield best[self.columns]
-
-    def close(self) -> None:
-        pass
-
-
 def first_for_good(stream: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The first row of each key (by ``order`` within a batch), for good: a mark for each key, and no row of an earlier batch is read again.
 
-    Marks and output are committed with the batch, so one that comes again after a failure gives the same rows."""
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
-    return stream.groupBy(*keys).transformWithStateInPandas(_FirstRow(order, stream.columns), outputStructType=kind, outputMode="Append", timeMode="None")
+    A task keeps the first row of each of its keys; those whose key is marked go, and the others are marked, in the state of Spark's own
+    deduplication. Marks and output are committed with the batch, so one that comes again after a failure gives the same rows."""
+
+    def least(tables: list[pa.Table]) -> pa.Table:
+        near = pa.concat_tables(tables).sort_by(order)
+        rows = near.select(keys).append_column("_row", pa.array(range(near.num_rows), pa.int64())).group_by(keys).aggregate([("_row", "min")])
+        return near.take(rows["_row_min"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        kept = 0
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            if sum(t.num_rows for t in held) > 2 * kept + 100_000:
+                held = [least(held)]
+                kept = held[0].num_rows
+        if held:
+            yield from least(held).combine_chunks().to_batches(10_000)
+
+    return stream.repartition(*keys).mapInArrow(run, stream.schema).dropDuplicates(keys)
 
 
 #: Groups of keys whose marks are kept together.
