@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import vectors
 from tidemark.streaming import jobs, state
 
 
@@ -54,3 +55,21 @@ def test_first_rows_of_many_keys_need_no_call_each(spark, tmp_path):
         best = own | best
     assert got == sorted(f"Row(u={u}, k={k!r}, at={at}, v={v})" for u, k, at, v in best.values())
     assert "TransformWithState" not in plan  # a call of Python for each key before
+
+
+def test_centroids_in_parts(spark):
+    rnd = random.Random(7)
+    rows = [(i % 5 if i % 7 else None, [rnd.choice((None, 1.5, -2.0, rnd.random())) for _ in range(rnd.choice((0, 1, 15, 16, 17, 40)))]) for i in range(60)]
+    rows += [(8, None), (9, []), (10, [None]), (11, [None] * 16 + [3.0])]
+    found = vectors.centroids(spark.createDataFrame(rows, "k long, v array<double>"), ["k"], "v")
+    got = {r.k: r.centroid for r in found.collect()}
+    want = {}
+    for key in {k for k, v in rows if v}:
+        of = [v for k, v in rows if k == key and v]
+        columns = [[v[j] for v in of if len(v) > j and v[j] is not None] for j in range(max(map(len, of)))]
+        want[key] = [sum(c) / len(c) if c else None for c in columns]
+    assert set(got) == set(want)
+    for k in want:
+        assert len(got[k]) == len(want[k])
+        assert all(a is b if b is None else abs(a - b) < 1e-12 for a, b in zip(got[k], want[k], strict=True))
+    assert "posexplode(transform(" in found._jdf.queryExecution().optimizedPlan().toString()  # a row for each place before

@@ -40,8 +40,17 @@ def jaccard(a: Column, b: Column, empty: float = 1.0) -> Column:
     return F.when(both == 0, F.lit(empty)).otherwise(F.size(F.array_intersect(a, b)) / both)
 
 
+#: Places of a vector that are summed in one row.
+PLACES = 16
+
+
 def centroids(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
-    """Mean of each place of the vectors of a group. Sums are partial, so a large group is not gathered."""
-    places = df.select(*keys, F.posexplode(vector).alias("i", "x")).groupBy(*keys, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    listed = places.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("c"))  # a row for each dimension
-    return listed.select(*keys, F.col("c.x").alias("centroid"))
+    """Mean of each place of the vectors of a group. Sums are partial, so a large group is not gathered; a row carries ``PLACES`` places."""
+    starts = F.sequence(F.lit(0), F.floor((F.size(vector) - 1) / PLACES).cast("int"))
+    parts = F.transform(starts, lambda k: F.slice(vector, k * PLACES + 1, PLACES))
+    rows = df.filter(F.size(vector) > 0).select(*keys, F.posexplode(parts).alias("i", "x"))
+    means = [F.avg(F.get("x", F.lit(j)).cast("double")).alias(f"x{j}") for j in range(PLACES)]
+    places = rows.groupBy(*keys, "i").agg(F.max(F.size("x")).alias("n"), *means)
+    part = F.slice(F.array(*[F.col(f"x{j}") for j in range(PLACES)]), F.lit(1), F.col("n"))
+    listed = places.select(*keys, "i", part.alias("x")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("c"))
+    return listed.select(*keys, F.flatten("c.x").alias("centroid"))
