@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from tidemark.functions import vectors
+from tidemark.operators import clusters
 from tidemark.streaming import jobs, state
 
 
@@ -73,3 +74,18 @@ def test_centroids_in_parts(spark):
         assert len(got[k]) == len(want[k])
         assert all(a is b if b is None else abs(a - b) < 1e-12 for a, b in zip(got[k], want[k], strict=True))
     assert "posexplode(transform(" in found._jdf.queryExecution().optimizedPlan().toString()  # a row for each place before
+
+
+def test_overlaps_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "BLOCK", 7)
+    monkeypatch.setattr(clusters, "WIDTH", 4)
+    rnd = random.Random(11)
+    rows = [(f"k{i}", rnd.choice(("x", "y", None)), [t for t in "abcdefghijklmn" if rnd.random() < 0.15]) for i in range(90)] + [("k9z", "x", None), ("only", "z", ["a"])]
+    rows += [(f"c{i}", "copies", ["a", "b"]) for i in range(30)]
+    found = clusters.overlaps(spark.createDataFrame(rows, "k string, g string, t array<string>"), "k", "g", "t")
+    got = sorted(map(tuple, found.collect()))
+    want = [
+        (a[0], b[0], n, len(a[2]), len(b[2]))
+        for a in rows for b in rows if a[0] < b[0] and a[1] and a[1] == b[1] and (n := len(set(a[2] or ()) & set(b[2] or ())))
+    ]
+    assert got == sorted(want) and len(want) > 600

@@ -71,12 +71,8 @@ def identity_match(spark, d):
 def jaccard_pairs(spark, d):
     """Overlap of title terms between the clusters of a source: pairs that share a term."""
     c = _clusters(spark, d, 200).select("cluster", "source_id", "title_terms")
-    words = c.select("source_id", "cluster", F.explode("title_terms").alias("w"))
-    a, b = words.withColumnRenamed("cluster", "a"), words.withColumnRenamed("cluster", "b")
-    pairs = a.join(b, ["source_id", "w"]).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    sizes = c.select("cluster", F.size("title_terms").alias("n"))
-    both = pairs.join(sizes.withColumnRenamed("cluster", "a").withColumnRenamed("n", "na"), "a").join(sizes.withColumnRenamed("cluster", "b").withColumnRenamed("n", "nb"), "b")
-    return both.select("a", "b", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 6).alias("jaccard"))
+    found = C.overlaps(c, "cluster", "source_id", "title_terms")
+    return found.select("a", "b", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 6).alias("jaccard"))
 
 
 def greedy_merge(spark, d):
