@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import vectors
 from tidemark.operators import clusters
+from tidemark.sources import connectors
 from tidemark.streaming import jobs, state
 
 
@@ -89,3 +90,20 @@ def test_overlaps_in_blocks(spark, monkeypatch):
         for a in rows for b in rows if a[0] < b[0] and a[1] and a[1] == b[1] and (n := len(set(a[2] or ()) & set(b[2] or ())))
     ]
     assert got == sorted(want) and len(want) > 600
+
+
+def test_frames_of_many_groups_in_one_batch(spark):
+    rnd = random.Random(13)
+    rows = [(f"g{rnd.randrange(400)}", rnd.randrange(300)) for _ in range(3000)] + [("copies", 5)] * 13 + [("long", i) for i in range(25_000)] + [("gaps", i * 49) for i in range(9)] + [(None, 1), ("g1", None)]
+    found = connectors.albums(spark.createDataFrame(rows, "`group` string, id long").withColumn("text", F.lit("")), span=48, most=6)
+    got = sorted(map(tuple, found.collect()))
+    want = []
+    for g in {g for g, _ in rows if g}:
+        frames = []
+        for x in sorted(i for h, i in rows if h == g and i is not None):
+            if not frames or len(frames[-1]) == 6 or x - frames[-1][0] > 48:
+                frames.append([])
+            frames[-1].append(x)
+        want += [(g, k, f[0], f[-1], len(f)) for k, f in enumerate(frames)]
+    assert got == sorted(want)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().optimizedPlan().toString()  # a call of Python for each island before

@@ -7,7 +7,10 @@ import email.policy
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from tidemark.functions import html as H, text as tx
 
@@ -112,27 +115,30 @@ def albums(messages: DataFrame, span: int = 48, most: int = 10) -> DataFrame:
     """``(group, frame, first_id, last_id, items)`` of ``messages(id, group, text)``: a group's messages in order of their ids, cut into frames.
 
     A frame has at most ``most`` messages and spans at most ``span`` ids; a message that fits no more begins the next
-    frame, so none is lost. Where neighbours are more than ``span`` ids apart a frame always ends (an island), which a window of
-    neighbours finds; frames of an island follow from the first one on, folded in Arrow batches of one island each."""
+    frame, so none is lost. A frame begins where the one before it ends, so a group is folded in order: sorted rows pass a
+    task as a stream of Arrow batches, many groups in one, of which only the open frame is held."""
     rows = messages.filter("`group` is not null and id is not null").select("group", "id")
-    w = Window.partitionBy("group").orderBy("id")
-    starts = F.coalesce(F.col("id") - F.lag("id").over(w) > span, F.lit(True)).cast("int")
-    islands = rows.withColumn("_start", starts).withColumn("island", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_start")
-    kind = {c: messages.schema[c].dataType.simpleString() for c in ("group", "id")}
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["id"].sort_values().tolist()
-        out, first, n = [], ids[0], 0
-        last = first
-        for x in ids:
-            if n == most or x - first > span:
-                out.append((first, last, n))
-                first, n = x, 0
-            last, n = x, n + 1
-        out.append((first, last, n))
-        frame = pd.DataFrame(out, columns=["first_id", "last_id", "items"])
-        return frame.assign(group=pdf["group"].iloc[0], island=pdf["island"].iloc[0])[["group", "island", "first_id", "last_id", "items"]]
-
-    found = islands.groupBy("group", "island").applyInPandas(cut, f"`group` {kind['group']}, island bigint, first_id {kind['id']}, last_id {kind['id']}, items bigint")
-    order = Window.partitionBy("group").orderBy("island", "first_id", "last_id")
-    return found.select("group", (F.row_number().over(order) - 1).alias("frame"), "first_id", "last_id", "items")
+    fields = {"group": rows.schema["group"].dataType, "frame": IntegerType(), "first_id": rows.schema["id"].dataType, "last_id": rows.schema["id"].dataType, "items": LongType()}
+    kind = StructType([StructField(name, of) for name, of in fields.items()])
+    schema = to_arrow_schema(kind)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = first = last = None
+        frame = n = 0
+        for batch in batches:
+            out = []
+            for g, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if n and g == group and n < most and x - first <= span:
+                    last, n = x, n + 1
+                    continue
+                if n:
+                    out.append((group, frame, first, last, n))
+                frame = frame + 1 if n and g == group else 0
+                group, first, last, n = g, x, x, 1
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((group, frame, first, last, n), schema, strict=True)], schema=schema)
+
+    near = rows.repartition("group").sortWithinPartitions("group", "id")
+    return near.mapInArrow(cut, kind)
