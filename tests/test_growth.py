@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import vectors
+from tidemark.functions import batches, html as H, selectors, vectors
 from tidemark.operators import clusters
 from tidemark.sources import connectors
 from tidemark.streaming import jobs, state
@@ -107,3 +107,15 @@ def test_frames_of_many_groups_in_one_batch(spark):
         want += [(g, k, f[0], f[-1], len(f)) for k, f in enumerate(frames)]
     assert got == sorted(want)
     assert "FlatMapGroups" not in found._jdf.queryExecution().optimizedPlan().toString()  # a call of Python for each island before
+
+
+def test_pages_become_objects_a_few_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(batches, "ROWS", 3)
+    pages = [f"<title>t{i}</title><h1>H{i}</h1><p>p{i} <a href='https://x.org/{i}'>l</a></p><ul><li><a href='/{i}'>m</a></li></ul>" for i in range(20)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(pages)), "id long, html string").coalesce(1)
+    columns = {"markdown": H.markdown_column, "text": H.text_column, "meta": H.meta_column, "links": H.links_column}
+    found = df.select("id", *[make(F.col("html")).alias(name) for name, make in columns.items()], selectors.listed_column(F.col("html"), "li", "a").alias("items"), selectors.texts_column(F.col("html"), "h1").alias("heads"))
+    got = {r.id: r for r in found.collect()}
+    for i, page in enumerate(pages):
+        assert got[i].markdown == H.markdown_of(page) and got[i].links == H.links_of(page) and got[i].text.asDict() == H.text_of(page)
+        assert got[i].meta.asDict() == H.meta_of(page) and [x.asDict() for x in got[i]["items"]] == selectors.listed(page, "li", "a") and got[i].heads == ([f"H{i}"] if page else [])
