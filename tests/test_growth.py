@@ -119,3 +119,32 @@ def test_pages_become_objects_a_few_at_a_time(spark, monkeypatch):
     for i, page in enumerate(pages):
         assert got[i].markdown == H.markdown_of(page) and got[i].links == H.links_of(page) and got[i].text.asDict() == H.text_of(page)
         assert got[i].meta.asDict() == H.meta_of(page) and [x.asDict() for x in got[i]["items"]] == selectors.listed(page, "li", "a") and got[i].heads == ([f"H{i}"] if page else [])
+
+
+def test_pieces_are_encoded_once_and_given_up(monkeypatch):
+    import public_tokenizers
+
+    from tidemark.llm import byte_bpe
+
+    bpe = byte_bpe.coder(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    asked: list[str] = []
+
+    class Counted:
+        def encode_batch_fast(self, pieces, **options):
+            asked.extend(pieces)
+            return own.encode_batch_fast(pieces, **options)
+
+    own = bpe.one_piece
+    monkeypatch.setattr(bpe, "one_piece", Counted())
+    monkeypatch.setattr(bpe, "known", {})
+    monkeypatch.setattr(byte_bpe, "PIECES", 40)
+    rnd = random.Random(3)
+    parts = ["it's", " '", "''s", " ", "  ", "\n", "\x1c", "\x85", "12", "½", "Жизнь", "á", "😀", "՘", "\U0001df20", "\U000107bb", "͸", "x" * 90, "abc", "?!"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(12))) for _ in range(200)] + ["", "a " * 5000]
+    whole = [x.ids for x in bpe.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    for size in (1, 7, 202):
+        got = [x.tolist() for i in range(0, len(texts), size) for x in bpe.encode(texts[i : i + size])]
+        assert got == whole and len(bpe.known) <= 40 and max(map(len, bpe.known), default=0) <= byte_bpe.LONGEST
+    asked.clear()
+    bpe.encode(["word " * 3000])
+    assert asked.count(" word") <= 1  # each of 3,000 before

@@ -1,5 +1,9 @@
 """Operator 5: byte-level BPE encoding and decoding with the tokenizers library over Arrow batches.
 
+The pattern cuts a text into pieces, and a piece's ids depend on it alone. So the library encodes each different piece
+once while it is kept; a text's ids are those of its pieces in order. The regex module cuts as the library's own engine
+does, but knows later versions of Unicode: a text with a code point that is unassigned in Python's is encoded whole by the library.
+
 A rank file gives each token's bytes and its rank. Its bytes are written in the printable alphabet of
 byte-level BPE, and every way to cut a token into two tokens becomes a merge, ordered by the rank of what
 it makes; so the library merges as the ranks say. A piece that is a token as a whole is that token.
@@ -16,10 +20,13 @@ from __future__ import annotations
 
 import base64
 import os
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
@@ -39,6 +46,15 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
+def unassigned() -> np.ndarray:
+    """Of each code point, whether Python's Unicode has no character for it."""
+    return np.array([unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)])
+
+
+#: Pieces that a process keeps the ids of, the characters of the longest, and those that the library gets at once.
+PIECES, LONGEST, AT_ONCE = 1 << 18, 64, 1000
+
+
 class ByteBpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         alphabet = byte_alphabet()
@@ -52,10 +68,14 @@ class ByteBpe:
             merges += [(rank, *cut[:2], shown(token[: cut[2]]), shown(token[cut[2] :])) for cut in cuts]
         merges.sort()
         vocabulary = {shown(token): rank for token, rank in ranks.items()}
-        self.tokenizer = Tokenizer(models.BPE(vocab=vocabulary, merges=[m[3:] for m in merges], ignore_merges=True))
-        self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence(
-            [pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
-        )
+        model = models.BPE(vocab=vocabulary, merges=[m[3:] for m in merges], ignore_merges=True)
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.tokenizer = Tokenizer(model)
+        self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), as_bytes])
+        self.one_piece = Tokenizer(model)
+        self.one_piece.pre_tokenizer = as_bytes
+        self.known: dict[str, bytes] = {}
+        self.cut, self.odd = regex.compile(pattern).findall, unassigned()
         size = max(ranks.values()) + 1
         self.tokens = [""] * size
         self.inside = np.zeros(size, bool)
@@ -68,8 +88,31 @@ class ByteBpe:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4") for x in found]
+        cuts = [None if self._is_odd(text) else self.cut(text) for text in texts]
+        different = set().union(*filter(None, cuts))
+        new = [p for p in different if p not in self.known]
+        if len(self.known) + len(new) > PIECES:
+            self.known.clear()
+            new = list(different)
+        self._learn(new)
+        found = [self._whole(text) if cut is None else np.frombuffer(b"".join(map(self.known.__getitem__, cut)), dtype="<u4") for text, cut in zip(texts, cuts, strict=True)]
+        for p in new:
+            if len(p) > LONGEST or len(different) > PIECES:
+                del self.known[p]
+        return found
+
+    def _is_odd(self, text: str) -> bool:
+        return not text.isascii() and bool(self.odd[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any())
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Keep the ids of pieces, as bytes."""
+        for start in range(0, len(pieces), AT_ONCE):
+            some = pieces[start : start + AT_ONCE]
+            for piece, coded in zip(some, self.one_piece.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.known[piece] = np.array(coded.ids, dtype="<u4").tobytes()
 
     def offsets(self, texts: list[str]) -> list[list[tuple[int, int]]]:
         """The characters that each token's bytes belong to, as (start, end)."""
