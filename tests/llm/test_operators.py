@@ -351,6 +351,30 @@ def test_op7_ids_are_the_tokenizers():
             assert len(after) == 0 or 0 < after[0] and after[-1] < len(ids) // 4 and (np.diff(after) > 0).all()
 
 
+def test_op7_keeps_words_in_use(monkeypatch):
+    path = P.path("word_bpe_49k.json")
+    tok, words = Tokenizer.from_file(path), packing.Words(Tokenizer.from_file(path))
+    monkeypatch.setattr(packing.Words, "limit", 20)
+    asked, plain = [], words.plain
+
+    class Asked:
+        def encode_batch_fast(self, texts, **more):
+            asked.extend(w for w in texts[0].split() if w != "!")
+            return plain.encode_batch_fast(texts, **more)
+
+    words.plain = Asked()
+    always = {"the", "of", "ÄÖ", "été"}
+    for i in range(26):
+        batch = [w.encode() for w in always | {chr(97 + i) + chr(97 + j) + "x" for j in range(6)}]
+        words.learn(batch)
+        assert all(words[w] == np.array(tok.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes() for w in batch)
+        assert len(words) + len(words.older) <= 40
+    assert all(asked.count(w.lower()) == 1 for w in always)
+    words.learn([str(i).encode() for i in range(30)])  # more than the limit at once
+    words.learn([b"the"])
+    assert words.keys() == {b"the"} and not words.older
+
+
 def test_op7_settled_cuts_begin_the_best():
     rnd = random.Random(4)
     for _ in range(300):

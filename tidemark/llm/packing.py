@@ -11,7 +11,7 @@ whole line, while it holds little more than a stretch and the document at hand.
 window of a task may instead be cut into lengths that are powers of two, which take no padding.
 
 Words are tokenized once per task: white space separates what the tokenizer treats apart, so ids of a word are
-remembered (up to a fixed number), and those of the new words of a batch come from one call. ASCII marks at the
+remembered (up to a fixed number, those in use before others), and those of the new words of a batch come from one call. ASCII marks at the
 end of a word, behind a letter or digit, are a word of their own, as the tokenizer parts them there. The tokenizer's special tokens are recognised in texts, as it does by itself.
 
 Defined results: null and empty texts have only the end id; repeated rows are packed as often as they occur;
@@ -28,17 +28,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
-from tokenizers import Tokenizer, normalizers, pre_tokenizers
+from tokenizers import Tokenizer, pre_tokenizers
 
-from tidemark.llm.words import slices
+from tidemark.llm.words import sized
 
 SIZE = 2048
 END_ID = 1
 SENTENCE_PENALTY = 24
 INSIDE_PENALTY = 192
 STRETCH = 1 << 18
+#: Bytes of text whose words are parted at once.
+TEXT = 1 << 20
 #: Farthest apart that two possible cuts may lie.
 REACH = 1024
 
@@ -48,31 +51,37 @@ _LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 
 
 class Words(dict):
-    """Ids of words as little-endian unsigned 32-bit integers."""
+    """Ids of words as little-endian unsigned 32-bit integers. When there are many, those not asked for since the last time go."""
 
-    limit = 300_000
+    limit = 150_000
 
     def __init__(self, tokenizer: Tokenizer) -> None:
         self.tokenizer = tokenizer
-        # what is left of the tokenizer's steps for words of letters, between blanks
+        self.older: dict[bytes, bytes] = {}
+        # what is left of the tokenizer's steps for words of letters in lower case, between blanks
         self.plain = Tokenizer(tokenizer.model)
-        self.plain.normalizer = normalizers.Lowercase()
         self.plain.pre_tokenizer = pre_tokenizers.Sequence(
-            [pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+            [pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
 
-    def learn(self, words: set[bytes]) -> None:
-        """Keep the ids of new words."""
-        if len(self) + len(words) > self.limit:
+    def learn(self, words: list[bytes]) -> None:
+        """Keep the ids of new words, each given once."""
+        new = [w for w in words if w not in self]
+        if len(self) + len(new) > self.limit:
+            self.older = dict(self) if len(self) <= self.limit else {}
             self.clear()
+            new = words
         plain = []
-        for word in [w for w in words if w not in self]:
-            if _LETTERS.fullmatch(word):
+        for word in new:
+            ids = self.older.get(word)
+            if ids is not None:
+                self[word] = ids
+            elif word.isalpha() or _LETTERS.fullmatch(word):
                 plain.append(word)
             else:
                 self[word] = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         # a mark between the words gives an id that letters never give
-        text = b" ! ".join([b"", *plain, b""]).decode()
+        text = b" ! ".join([b"", *plain, b""]).decode().lower()
         ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         cuts = (4 * np.flatnonzero(ids == ids[0])).tolist()
         raw = ids.tobytes()
@@ -90,16 +99,15 @@ class Coder:
 
     def encode(self, texts: list[bytes]) -> list[tuple[bytes, np.ndarray]]:
         """For each text its ids with the end id, and the places after sentence ends."""
-        words, upto = [], []
-        for text in texts:
-            words += _parted(text).split()
-            upto.append(len(words))
-        self.words.learn(set(words))
-        ids = list(map(self.words.__getitem__, words))
-        joined = b"".join(ids)
-        after = np.zeros(len(ids) + 1, np.int64)
-        np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4, out=after[1:])
-        stops = after[upto].tolist()
+        parts = pc.ascii_split_whitespace(pa.array(map(_parted, texts), pa.large_binary()).view(pa.large_string()))
+        words = parts.flatten().dictionary_encode()
+        different = words.dictionary.view(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        self.words.learn(different)
+        ids = pa.array(map(self.words.__getitem__, different), pa.large_binary()).take(words.indices)
+        _, offsets, data = ids.buffers()
+        joined = data.to_pybytes() if data else b""
+        after = np.frombuffer(offsets, np.int64, len(ids) + 1) // 4
+        stops = after[parts.offsets.to_numpy()[1:]].tolist()
         after = after[1:][np.diff(after) > 0]
         after = after[self.ends[np.frombuffer(joined, "<u4")[after - 1]]]
         cuts = np.searchsorted(after, stops, side="right").tolist()
@@ -276,7 +284,7 @@ def pack(docs: DataFrame, path: str, keep_ids: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path)
         line = _Line(TaskContext.get().partitionId() << 36, keep_ids)
-        for b in slices(batches, 64):
+        for b in sized(batches, "text", TEXT):
             rows = []
             found = own.encode([t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()])
             for doc_id, (ids, sentences) in zip(b.column("doc_id").to_pylist(), found, strict=True):
