@@ -188,6 +188,29 @@ def test_op12_finds_words_that_share_a_hash(spark, monkeypatch):
     assert collocations._seeded(spark.createDataFrame([("en", "x")], "lang string, text string"), 0, 9, 1 << 16) is None
 
 
+def test_op12_a_task_sends_equal_suffixes_once(monkeypatch):
+    monkeypatch.setattr(collocations, "BLOCK", 64)
+
+    class Bits:
+        value = b"\xff" * 8  # every pair may be frequent
+
+    def sent(texts):
+        batches = (pa.RecordBatch.from_pydict({"lang": ["en"], "text": [t]}) for t in texts)
+        return [tuple(r.values()) for b in collocations._suffixes(Bits, 0)(batches) for r in b.to_pylist()]
+
+    rows = sent(["one two three four"] * 500)
+    assert len(rows) == 3 and {r[-1] for r in rows} == {500}
+    rows = sent([f"one two a{i} b{i}" for i in range(300)])  # mostly different ones don't stay
+    assert sum(r[-1] for r in rows) == 900 and len(set(r[:-1] for r in rows)) == 900
+
+
+def test_op12_sketch_of_large_input():
+    # 50 GB of text have 12e9 pairs and triples or so; where counters meet least by chance alone, all pairs pass
+    assert 12e9 / collocations._counters(50 << 30, 100) < 50
+    assert collocations._counters(0, 100) == collocations.FEWEST and collocations._counters(800 << 20, 100) == 1 << 24
+    assert 4 * collocations._counters(50 << 30, 300) == collocations._counters(50 << 30, 100) == collocations.MOST
+
+
 def test_op12_sort_counts_every_prefix(monkeypatch):
     monkeypatch.setattr(collocations, "SMALL", 16)
     rnd = np.random.default_rng(1)

@@ -5,8 +5,8 @@ counts are the sizes of equal partitions in a sort of all suffixes: a multikey t
 into less, equal and greater by one word, and goes a word deeper in the equal part, down to ``DEPTH`` words. An equal part with
 fewer than ``least`` suffixes is abandoned there, as no longer phrase in it can reach the count.
 
-On a cluster the suffixes are first routed by their leading words. Each task merges equal suffixes of a block into one
-weighted row (a phrase that a third of all rows repeat is one row of each block), and these rows are range-partitioned by all of
+On a cluster the suffixes are first routed by their leading words. Each task merges its equal suffixes into one
+weighted row (a phrase that a third of all rows repeat is one row of each task, or of each block where they differ much), and these rows are range-partitioned by all of
 their words, so that a frequent leading word is spread over as many partitions as it fills. Only the first and the last
 prefixes of a partition can go on in the next one; they aren't abandoned, and a sum over all partitions completes their counts.
 Suffixes end where a pair or triple of words can't be frequent, and aren't routed if it is their first pair: a sketch of all pairs and
@@ -42,7 +42,7 @@ TOP = 2000
 UNKNOWN = "und"
 
 #: Counters of the sketch: one for so many bytes of text, and how many there are at least and at most; slices in which tasks send them.
-BYTES, FEWEST, MOST, SLICES = 64, 1 << 16, 1 << 26, 64
+BYTES, FEWEST, MOST, SLICES = 64, 1 << 16, 1 << 28, 64
 #: Suffixes that a task merges at once before they are routed, and rows of a partition afterwards, about.
 BLOCK, ROUTED = 1 << 19, 1 << 20
 #: Parts of so few rows are sorted at once.
@@ -173,9 +173,9 @@ def _counted(seed: int, least: int, counters: int) -> Callable:
         if held.columns:
             held.merge()
             yield held.out()
-        parts = [_coded(x.tobytes()) for x in counts.reshape(SLICES, -1)]
-        none = [pa.nulls(SLICES, kind) for kind in (pa.string(), pa.int64(), pa.string())]
-        yield pa.RecordBatch.from_arrays([none[0], pa.array(np.arange(SLICES)), none[1], none[2], pa.array(parts, pa.binary())], _COUNTED)
+        none = [pa.nulls(1, kind) for kind in (pa.string(), pa.int64(), pa.string())]
+        for i, part in enumerate(counts.reshape(SLICES, -1)):
+            yield pa.RecordBatch.from_arrays([none[0], pa.array([i]), none[1], none[2], pa.array([_coded(part.tobytes())], pa.binary())], _COUNTED)
 
     return run
 
@@ -206,13 +206,15 @@ def _merged(rows: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _suffixes(bits, seed: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Suffixes whose leading pair may be frequent, up to their first pair or triple that can't be; equal ones of a block once."""
+        """Suffixes whose leading pair may be frequent, up to their first pair or triple that can't be; equal ones of a
+        task once while they take less than half a block."""
         names: dict[str, int] = {}
         held: list[np.ndarray] = []
+        weights: list[np.ndarray] = []
         count = 0
 
         def out() -> pa.RecordBatch:
-            rows, n = _merged(np.concatenate(held), np.ones(count, np.int64))
+            rows, n = held.pop(), weights.pop()
             langs = pa.array(list(names), pa.string()).take(pa.array(rows[:, 0]))
             return pa.RecordBatch.from_arrays([langs, *[pa.array(np.ascontiguousarray(rows[:, i + 1])) for i in range(DEPTH)], pa.array(n)], ["lang", *_WORDS, "n"])
 
@@ -230,12 +232,17 @@ def _suffixes(bits, seed: int) -> Callable:
                     going &= pair[s + d - 1] & (triple[s + d - 2] if d > 1 else True)
                     rows[going, d + 1] = hashes[s[going] + d]
                 held.append(rows)
+                weights.append(np.ones(len(s), np.int64))
                 count += len(s)
                 if count >= BLOCK:
-                    yield out()
-                    held.clear()
-                    count = 0
+                    rows, n = _merged(np.concatenate(held), np.concatenate(weights))
+                    held, weights, count = [rows], [n], len(rows)
+                    if count > BLOCK // 2:
+                        yield out()
+                        count = 0
         if held:
+            rows, n = _merged(np.concatenate(held), np.concatenate(weights))
+            held, weights = [rows], [n]
             yield out()
 
     return run
@@ -351,6 +358,11 @@ def _sorted_parts(least: int) -> Callable:
     return run
 
 
+def _counters(size: int, least: int) -> int:
+    """Counters of the sketch for so many bytes of text; wide ones are fewer."""
+    return max(FEWEST, min(MOST if least < 256 else MOST // 4, 1 << (size // BYTES).bit_length()))
+
+
 def _seeded(docs: DataFrame, seed: int, least: int, counters: int) -> tuple[DataFrame, DataFrame] | None:
     """``(words, counts)``; None if two words of a language share a hash."""
     words = materialize(docs.mapInArrow(_counted(seed, least, counters), "lang string, h bigint, n bigint, word string, counts binary"), "words")
@@ -370,7 +382,7 @@ def phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame,
     spark = docs.sparkSession
     docs = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    counters = max(FEWEST, min(MOST, 1 << (size // BYTES).bit_length()))
+    counters = _counters(size, least)
     seed = 0
     while (found := _seeded(docs, seed, least, counters)) is None:
         seed += 1
