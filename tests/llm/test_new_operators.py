@@ -211,6 +211,39 @@ def test_op12_sketch_of_large_input():
     assert 4 * collocations._counters(50 << 30, 300) == collocations._counters(50 << 30, 100) == collocations.MOST
 
 
+def test_op12_rows_do_not_grow_with_the_splits_of_the_texts(spark, monkeypatch):
+    made, tasks = {}, []
+    real = collocations.materialize
+    monkeypatch.setattr(collocations, "materialize", lambda df, label: made.setdefault(label, real(df, label)))
+    monkeypatch.setattr(collocations, "_tasks", lambda size, cores: tasks.append((size, cores)) or 3)
+    df = spark.createDataFrame([("en", "one two three four five six")] * 2000, "lang string, text string").repartition(40)
+    monkeypatch.setattr(collocations, "discard", lambda df: None)
+    found = collocations.phrases(df, 100)[0]
+    assert found.count() == 14 and {r.a for r in found.collect()} == {2000}
+    assert made["suffixes"].count() <= 3 * 5 and made["words"].filter("lang is not null").count() <= 3 * 6
+    assert made["words"].filter("lang is null").count() <= 3 * collocations.SLICES
+    assert tasks == [(2000 * 27, spark.sparkContext.defaultParallelism)]
+    monkeypatch.undo()
+    assert [collocations._tasks(size, 12) for size in (0, 12 << 30, (12 << 30) + 1)] == [12, 12, 13]
+
+
+def test_op12_a_rare_pair_passes_only_if_both_its_counters_are_full():
+    texts = [f"f{i} g{i}" for i in range(2000)] * 10 + [f"r{i} s{i}" for i in range(20_000)]
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * len(texts), "text": texts})
+    halves = [batch.slice(0, len(texts) // 2), batch.slice(len(texts) // 2)]
+
+    class Bits:
+        value = b""
+
+    sent = (b for half in halves for b in collocations._counted(0, 9, 1 << 15)(iter([half])))
+    counters = [b.select(["h", "counts"]) for b in sent if b.column("lang").null_count]
+    (bits,) = collocations._frequent(9)(iter(counters))
+    Bits.value = b"".join(x for _, x in sorted(zip(*bits.to_pydict().values(), strict=True)))
+    weights = collections.Counter(n for b in collocations._suffixes(Bits, 0)(iter(halves)) for n in b.column("n").to_pylist())
+    assert weights[10] == 2000  # all that are frequent
+    assert 0 < weights[1] < 600  # one counter of each: 1,200 or so
+
+
 def test_op12_sort_counts_every_prefix(monkeypatch):
     monkeypatch.setattr(collocations, "SMALL", 16)
     rnd = np.random.default_rng(1)

@@ -10,8 +10,12 @@ weighted row (a phrase that a third of all rows repeat is one row of each task,
 their words, so that a frequent leading word is spread over as many partitions as it fills. Only the first and the last
 prefixes of a partition can go on in the next one; they aren't abandoned, and a sum over all partitions completes their counts.
 Suffixes end where a pair or triple of words can't be frequent, and aren't routed if it is their first pair: a sketch of all pairs and
-triples gives upper bounds by counters that stop at ``least``, one for about 64 bytes of text within fixed bounds; it saves work
-and can't change a result.
+triples gives upper bounds by counters that stop at ``least``, one for about 64 bytes of text within fixed bounds; each pair or triple has
+two, and its bound is the lower one; it saves work and can't change a result.
+
+Both steps over the texts run in as many tasks as there are cores, or one for ``WHOLE`` bytes if these are more: a task sends its counters and
+a row of each frequent phrase, and both the phrases and Spark's own splits of the texts grow with the input, so that their product would
+grow with its square.
 
 Words are known by 64-bit hashes. All words of all texts are held against their hashes, and two of a language that share one start the
 work anew with another seed, so counts are exact; scores are exact in decimals of 38 digits (``1000 * a * n`` stays below 10^38).
@@ -43,6 +47,8 @@ UNKNOWN = "und"
 
 #: Counters of the sketch: one for so many bytes of text, and how many there are at least and at most; slices in which tasks send them.
 BYTES, FEWEST, MOST, SLICES = 64, 1 << 16, 1 << 28, 64
+#: Bytes of text that a task takes at most, about, in the steps over all texts.
+WHOLE = 1 << 30
 #: Suffixes that a task merges at once before they are routed, and rows of a partition afterwards, about.
 BLOCK, ROUTED = 1 << 19, 1 << 20
 #: Parts of so few rows are sorted at once.
@@ -50,7 +56,7 @@ SMALL = 1 << 12
 #: A longer word is digested instead of hashed as a polynomial.
 LONG = 64
 #: Bytes of text that a task takes at once, and words that it holds before it sends them.
-TEXT, HELD = 2 << 20, 1 << 18
+TEXT, HELD = 512 << 10, 1 << 18
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _STOP = np.zeros(256, bool)
@@ -156,6 +162,21 @@ def _coded(counts: bytes) -> bytes:
 _COUNTED = ["lang", "h", "n", "word", "counts"]
 
 
+def _places(gram: np.ndarray, counters: int) -> list[np.ndarray]:
+    """Two counters of each hash, one in each half: by its first bits, which follow the order of hashes, and by its last ones."""
+    half = counters // 2
+    return [(gram >> np.uint64(65 - half.bit_length())).astype(np.int64), (gram & np.uint64(half - 1)).astype(np.int64) + half]
+
+
+def _count(counts: np.ndarray, gram: np.ndarray, least: int) -> None:
+    """Raise both counters of each hash to what the lower one and its number here come to, so that neither is below its count."""
+    gram, n = np.unique(gram, return_counts=True)
+    places = _places(gram, len(counts))
+    upto = np.minimum(np.minimum(*[counts[at] for at in places]) + n, least).astype(counts.dtype)
+    for at in places:
+        np.maximum.at(counts, at, upto)
+
+
 def _counted(seed: int, least: int, counters: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Words with their counts, and at the end the counters of pairs and triples (rows without a language)."""
@@ -163,8 +184,7 @@ def _counted(seed: int, least: int, counters: int) -> Callable:
         held = _Held()
         for words, langs in _words(batches, seed):
             for gram, whole in words.grams:
-                at, n = np.unique(gram[whole] & np.uint64(counters - 1), return_counts=True)
-                counts[at] = np.minimum(counts[at] + n, least)
+                _count(counts, gram[whole], least)
             held.add(words, langs)
             if len(held.texts) > HELD:
                 held.merge()
@@ -219,7 +239,7 @@ def _suffixes(bits, seed: int) -> Callable:
             return pa.RecordBatch.from_arrays([langs, *[pa.array(np.ascontiguousarray(rows[:, i + 1])) for i in range(DEPTH)], pa.array(n)], ["lang", *_WORDS, "n"])
 
         for words, langs in _words(batches, seed):
-            (pair, triple) = (np.append(whole & _in_bitmap(bits.value, gram), np.zeros(DEPTH, bool)) for gram, whole in words.grams)
+            (pair, triple) = (np.append(whole & _may_reach(bits.value, gram), np.zeros(DEPTH, bool)) for gram, whole in words.grams)
             code = np.array([names.setdefault(x, len(names)) for x in langs], np.int64)
             hashes = words.hashes.view(np.int64)
             at = np.flatnonzero(pair)
@@ -255,6 +275,12 @@ def _in_bitmap(bits: bytes, hashes: np.ndarray) -> np.ndarray:
     return (table[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
 
 
+def _may_reach(bits: bytes, gram: np.ndarray) -> np.ndarray:
+    """Which hashes have both counters at ``least``."""
+    one, two = (_in_bitmap(bits, at) for at in _places(gram, 8 * len(bits)))
+    return one & two
+
+
 class MultikeySort:
     """Three-way quicksort of pointers to the rows of ``rows`` (values by row; after the first, a zero ends a row).
 
@@ -363,6 +389,11 @@ def _counters(size: int, least: int) -> int:
     return max(FEWEST, min(MOST if least < 256 else MOST // 4, 1 << (size // BYTES).bit_length()))
 
 
+def _tasks(size: int, cores: int) -> int:
+    """Tasks for the steps over so many bytes of text."""
+    return max(cores, -(-size // WHOLE))
+
+
 def _seeded(docs: DataFrame, seed: int, least: int, counters: int) -> tuple[DataFrame, DataFrame] | None:
     """``(words, counts)``; None if two words of a language share a hash."""
     words = materialize(docs.mapInArrow(_counted(seed, least, counters), "lang string, h bigint, n bigint, word string, counts binary"), "words")
@@ -383,6 +414,7 @@ def phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame,
     docs = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     counters = _counters(size, least)
+    docs = docs.coalesce(_tasks(size, spark.sparkContext.defaultParallelism))
     seed = 0
     while (found := _seeded(docs, seed, least, counters)) is None:
         seed += 1

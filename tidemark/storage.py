@@ -11,6 +11,10 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of a row group, which a task that writes holds in memory and one task reads whole.
+GROUP = 16 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; where that is unset, a temporary one of a local session (tests)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -67,7 +71,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", GROUP).parquet(path)
     spark._jvm.System.gc()  # Spark deletes the shuffle files of a finished write once its plan is collected
     out = spark.read.schema(df.schema).parquet(path)
     out._tidemark_path = path
