@@ -2,11 +2,13 @@
 
 import datetime as dt
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from tidemark.functions import batches, html as H, selectors, vectors
 from tidemark.operators import clusters
+from tidemark.plans import clustering
 from tidemark.sources import connectors
 from tidemark.streaming import jobs, state
 
@@ -92,6 +94,81 @@ def test_overlaps_in_blocks(spark, monkeypatch):
     assert got == sorted(want) and len(want) > 600
 
 
+def _merges(rows, least):
+    """Every signal of a workspace held against all that were kept before it."""
+    out = []
+    for w in {r[0] for r in rows}:
+        kept = []
+        for r in sorted((r for r in rows if r[0] == w), key=lambda r: (-r[6], r[1])):
+            docs, sem, words, title = (set(r[k] or ()) for k in (2, 3, 4, 5))
+            for k in kept:
+                doc = len(docs & k[1]) / max(len(docs | k[1]), 1)
+                s, kw, t = (len(a & b) / len(a | b) if a | b else 1.0 for a, b in ((sem, k[2]), (words, k[3]), (title, k[4])))
+                time = 0.0
+                if None not in (*r[7:], *k[5]):
+                    gap = abs((max(r[7], k[5][0]) - min(r[8], k[5][1])).total_seconds()) / 3600
+                    time = 1.0 if gap <= 720 else max(0.0, 1 - gap / 720)
+                if doc >= 0.25 or 0.28 * doc + 0.22 * s + 0.24 * kw + 0.16 * t + 0.10 * time >= least or (kw >= 0.6 and t >= 0.45 and time >= 0.4):
+                    k[1].update(docs)
+                    k[2].update(sem)
+                    break
+            else:
+                kept.append(k := (r[1], docs, sem, words, title, r[7:]))
+            out.append((w, r[1], k[0]))
+    return out
+
+
+def test_signals_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "PROFILES", 9)
+    monkeypatch.setattr(clusters, "SLICE", 4)
+    rnd = random.Random(17)
+
+    def some(values, most):
+        return rnd.choice((None, [])) if rnd.random() < 0.05 else rnd.sample(values, rnd.randrange(1, most))
+
+    rows = []
+    for i in range(420):
+        at = rnd.choice((None, *[dt.datetime(2024, 1, 1) + dt.timedelta(hours=rnd.randrange(2500)) for _ in range(9)]))
+        common = i % 4 == 3  # a workspace with one keyword, and a term that all titles have
+        words, title = (["k"], ["the", *rnd.sample("abcdefghijklmnop", 4)]) if common else (some([*"klmn", None], 4), some("abcdefgh", 5))
+        rows.append((i % 4 if i % 4 else None, i, some([*range(300), None], 5), some(range(4), 3), words, title, rnd.random(), at, at and at + dt.timedelta(hours=rnd.randrange(300))))
+    rows += [(9, i, [i], [1], ["k"], ["copy"], 0.5, None, None) for i in range(30)] + [(9, 40, [3], [1], ["k"], ["copy"], 0.9, None, None)]
+    kind = "workspace long, signal long, doc_ids array<long>, semantic_cluster_ids array<long>, keywords array<string>, title_terms array<string>, score double, first_seen timestamp_ntz, last_seen timestamp_ntz"
+    df = spark.createDataFrame(rows, kind)
+    for least in (0.72, 0.58):
+        found = clusters.merge_signals(df, least=least)
+        want = _merges(rows, least)
+        assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, want)) and sum(s != m for _, s, m in want) > 50
+        assert "FlatMapGroups" not in found._jdf.queryExecution().optimizedPlan().toString()  # all of a workspace in one call before
+
+
+def test_a_common_term_needs_no_comparison(monkeypatch):
+    rnd, calls, temporal = random.Random(19), [], clusters._temporal
+    monkeypatch.setattr(clusters, "_temporal", lambda *x: calls.append(x) or temporal(*x))
+    fold = clusters._Fold(0.72, 0.25, 720)
+    terms = [f"t{i}" for i in range(3000)]
+    rows = [(0, i, [i, 9000 + i % 40] if i % 50 == 0 else [i], [], ["k"], ["the", *rnd.sample(terms, 9)], 1 - i / 1000, None, None) for i in range(900)]
+    rows += [(0, 1000 + i, [2000 + i], [], ["k"], rows[i][5][: 6 + i % 5], 0.0, None, None) for i in range(90)]
+    got = [(0, r[1], fold.into({"signal": r[1], "docs": set(r[2]), "semantic": set(r[3]), "words": set(r[4]), "title": set(r[5]), "first": None, "last": None})) for r in rows]
+    assert got == _merges(rows, 0.72) and any(s != m for _, s, m in got)
+    assert len(calls) < 2000  # about 400,000 pairs
+
+
+def test_titles_of_clusters_shuffle_no_whole_texts(spark, tmp_path):
+    texts = [(i, f"Title{i} of the {'word' * (i % 60)} b{i} " + "and more text " * 40, "en", f"s{i % 3}" if i % 7 else None, 600) for i in range(400)] + [(400, None, "en", "s0", 0)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2, 0) for i in range(0, 400, 2)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    found = clustering._clusters(spark, str(tmp_path), 100)
+    got = {r.cluster: (r.doc_ids, r.title_terms) for r in found.collect()}
+    want = {}
+    for i, text, _, source, _ in texts:
+        if source:
+            own = want.setdefault(f"{source}-{i // 100}", ([], list(dict.fromkeys(re.findall(r"[a-z0-9][a-z0-9\-_]{2,}", text[:180].lower()))) if text else None))
+            own[0].append(i)
+    assert got == want
+    assert "substring(text" in found._jdf.queryExecution().optimizedPlan().toString().split("LeftOuter")[-1]  # above the join with labels before
+
+
 def test_frames_of_many_groups_in_one_batch(spark):
     rnd = random.Random(13)
     rows = [(f"g{rnd.randrange(400)}", rnd.randrange(300)) for _ in range(3000)] + [("copies", 5)] * 13 + [("long", i) for i in range(25_000)] + [("gaps", i * 49) for i in range(9)] + [(None, 1), ("g1", None)]

@@ -56,8 +56,8 @@ def newest_evidence(spark, d):
 def _clusters(spark, d, step: int) -> DataFrame:
     """Clusters of posts by source and a slice of ids, with their title terms and concepts; texts have no titles, so the first
     180 characters stand for one."""
-    p = V.posts(spark, d).filter("source_id is not null").withColumn("cluster", F.concat_ws("-", "source_id", (F.floor(F.col("post_id") / step)).cast("string")))
-    first = F.array_distinct(tx.terms(F.left("content", F.lit(180))))
+    p = V.posts(spark, d, 180).filter("source_id is not null").withColumn("cluster", F.concat_ws("-", "source_id", (F.floor(F.col("post_id") / step)).cast("string")))
+    first = F.array_distinct(tx.terms(F.col("content")))
     g = p.groupBy("cluster").agg(F.array_sort(F.collect_set("post_id")).alias("doc_ids"), F.min("post_id").alias("post_id"), F.max("published_at").alias("last_seen"), F.min("published_at").alias("first_seen"), F.first("source_id").alias("source_id"))
     titles = p.select("post_id", first.alias("title_terms"))
     return g.join(titles, "post_id").withColumn("concepts", F.array(F.concat(F.lit("c"), (F.col("post_id") % 9).cast("string"))))

@@ -24,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """post_id, source_id, workspace, content, published_at, relevance, status, n_tags."""
+def posts(spark: SparkSession, sf_dir: str, first: int | None = None) -> DataFrame:
+    """post_id, source_id, workspace, content, published_at, relevance, status, n_tags; of the content its ``first`` characters, if so many
+    will do, so that whole texts aren't shuffled."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs = docs if first is None else docs.withColumn("text", F.left("text", F.lit(first)))
     published = F.lit(START).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("doc_id") % 1170 * 37).cast("int"), F.lit(0))
     return docs.join(labels.select("doc_id", "quality"), "doc_id", "left").select(
         F.col("doc_id").alias("post_id"),
